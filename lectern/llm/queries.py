@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lectern.llm import simhash
+from lectern.llm import simhash, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op6_simhash": simhash.op6_simhash,
 }
 ORACLES: dict[str, str] = {}
