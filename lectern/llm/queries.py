@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lectern.llm import simhash, toxicity
+from lectern.llm import quality, simhash, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op6_simhash": simhash.op6_simhash,
+    "op7_quality": quality.op7_quality,
 }
 ORACLES: dict[str, str] = {}
