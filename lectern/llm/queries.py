@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lectern.llm import quality, simhash, toxicity
+from lectern.llm import quality, simhash, substrings, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op6_simhash": simhash.op6_simhash,
     "op7_quality": quality.op7_quality,
+    "op8_substrings": substrings.op8_substrings,
 }
 ORACLES: dict[str, str] = {}
