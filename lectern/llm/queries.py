@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lectern.llm import quality, simhash, substrings, toxicity
+from lectern.llm import decontaminate, quality, simhash, substrings, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op6_simhash": simhash.op6_simhash,
     "op7_quality": quality.op7_quality,
     "op8_substrings": substrings.op8_substrings,
+    "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 ORACLES: dict[str, str] = {}
