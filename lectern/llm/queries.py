@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import decontaminate, packing, quality, simhash, substrings, toxicity
+from lectern.llm import decontaminate, packing, quality, sharding, simhash, substrings, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_simhash": simhash.op6_simhash,
     "op7_quality": quality.op7_quality,
     "op8_substrings": substrings.op8_substrings,
+    "op9_sharding": sharding.op9_sharding,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 ORACLES: dict[str, str] = {}
