@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lectern.llm import decontaminate, packing, quality, sharding, simhash, substrings, toxicity
+from lectern.llm import decontaminate, packing, quality, sharding, simhash, substrings, topk, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op4_topk": topk.op4_topk,
     "op5_packing": packing.op5_packing,
     "op6_simhash": simhash.op6_simhash,
     "op7_quality": quality.op7_quality,
