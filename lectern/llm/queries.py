@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lectern.llm import decontaminate, packing, quality, sharding, simhash, substrings, topk, toxicity
+from lectern.llm import decontaminate, packing, quality, sharding, simhash, substrings, topk, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op3_warc": warc.op3_warc,
     "op4_topk": topk.op4_topk,
     "op5_packing": packing.op5_packing,
     "op6_simhash": simhash.op6_simhash,
