@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lectern.llm import decontaminate, packing, quality, sharding, simhash, substrings, topk, toxicity, warc
+from lectern.llm import decontaminate, licenses, packing, quality, sharding, simhash, substrings, topk, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_licenses": licenses.op2_licenses,
     "op3_warc": warc.op3_warc,
     "op4_topk": topk.op4_topk,
     "op5_packing": packing.op5_packing,
@@ -15,4 +16,4 @@ QUERIES = {
     "op9_sharding": sharding.op9_sharding,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_licenses": licenses.ORACLE}
