@@ -47,14 +47,15 @@ def fingerprint(body: bytes, width: int) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """Rows (doc_id, fp long) of docs(doc_id, text), one per row; null and empty texts have fp 0."""
+    """Rows (doc_id, h, fp) of docs(doc_id, text), one per row; h hashes the text, null and empty texts have fp 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.fromiter((fingerprint(x.as_py() or b"", width) for x in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            fp = np.fromiter((fingerprint(x.as_py() or b"", width) for x in b.column(2)), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], ["doc_id", "h", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("body")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("body"))
+    return rows.select("doc_id", F.xxhash64("body").alias("h"), "body").mapInArrow(run, "doc_id long, h long, fp long")
 
 
 def _pair_masks() -> np.ndarray:
@@ -159,6 +160,15 @@ def links(fps: DataFrame, threshold: int = 4) -> DataFrame:
     return dealt.mapInArrow(compare, "a long, b long")
 
 
+def _grouped(docs: DataFrame, width: int, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """(rows with their fingerprints, fingerprints with the root and the smallest doc_id of their component)."""
+    own = common.materialise(fingerprints(docs, width), "fingerprints")
+    fps = own.groupBy("fp").agg(F.min(common.order_key("doc_id")).alias("first"))
+    roots = common.components(links(fps, threshold))
+    named = fps.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    return own, named.join(named.groupBy("root").agg(F.min("first").alias("component")), "root").select("fp", "root", "component")
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, threshold: int = 4) -> DataFrame:
     """Rows (doc_id, fp, component_id) of docs(doc_id, text), one per row.
 
@@ -167,15 +177,21 @@ def near_duplicates(docs: DataFrame, width: int = 4, threshold: int = 4) -> Data
     reachable. Null or empty texts have fingerprint 0, which links like any other. A null doc_id is
     never chosen as component_id unless its component has no other. Repeated rows stay. An empty
     table gives an empty result; other columns are ignored."""
-    own = common.materialise(fingerprints(docs, width), "fingerprints")
-    fps = own.groupBy("fp").agg(F.min(common.order_key("doc_id")).alias("first"))
-    roots = common.components(links(fps, threshold))
-    named = fps.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    first = named.groupBy("root").agg(F.min("first").alias("component"))
-    label = named.join(first, "root").select("fp", "component")
+    own, label = _grouped(docs, width, threshold)
     return own.join(label, "fp").select("doc_id", "fp", F.nullif(F.col("component"), F.lit(common.LAST)).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, width: int = 4, threshold: int = 4) -> DataFrame:
+    """docs with one row of each component of near-duplicates, that of the smallest doc_id; all columns stay.
+
+    Of rows with that doc_id the one with the smallest text hash stays, and any one of equal rows. Null and
+    empty texts are one component, of which one row stays."""
+    own, label = _grouped(docs, width, threshold)
+    chosen = own.select(common.order_key("doc_id").alias("o"), "h", "fp").join(label, "fp").groupBy("root").agg(F.min(F.struct("o", "h")).alias("c")).select(F.col("c.o").alias("__o"), F.col("c.h").alias("__h"))
+    keyed = docs.withColumns({"__o": common.order_key("doc_id"), "__h": F.xxhash64(F.col("text").cast("string").cast("binary"))})
+    return keyed.join(chosen, ["__o", "__h"], "left_semi").dropDuplicates(["__o", "__h"]).select(*docs.columns)
+
+
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document (4-word shingles, 4 bits)."""
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
