@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -42,13 +43,19 @@ def _vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Letters whose lower case is one letter that no normal form changes, then marks.
+_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+)([.,;:!?]*)\Z")
+
+
 class _Coder(dict):
     """Ids of words (runs without ASCII white space) as little-endian unsigned 32-bit bytes.
 
     The tokenizer splits at white space before anything else, so the ids of a text are those of its
-    words in turn. Words are looked up; unknown ones are encoded together. Forgets all when it is full."""
+    words in turn. Words are looked up. Of an unknown word of Latin letters and closing marks the
+    lower-case letters and the marks, which the tokenizer takes apart too, are looked up or coded by its model;
+    other unknown words go through the whole tokenizer, many at once. Forgets all when it is full."""
 
-    FULL = 600_000
+    FULL = 800_000
 
     def __init__(self, path: str):
         super().__init__()
@@ -56,14 +63,51 @@ class _Coder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.codes = [np.array([i], "<u4").tobytes() for i in range(self.tokenizer.get_vocab_size())]
+        self.parts: dict[bytes, bytes] = {}
+        self.plain = self._is_plain()
+        # the byte-level alphabet: printable Latin-1 stands for itself, other bytes for U+0100 and on
+        kept = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+        rest = iter(range(256, 512))
+        self.letters = [chr(b) if b in kept else chr(next(rest)) for b in range(256)]
+
+    def _is_plain(self) -> bool:
+        """Whether letters and marks of a word may be coded apart, seen on samples by the whole tokenizer."""
+        whole = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
+        return all(whole(a + b) == whole(a.lower()) + whole(b) for a in ("The", "Élan", "xqzt", "naïve") for b in (".", ",", "!!", "?!", ":;"))
+
+    def _part(self, part: bytes) -> bytes:
+        """Ids of lower-case letters or of marks, by the tokenizer's model."""
+        ids = self.parts.get(part)
+        if ids is None:
+            text = part.decode() if part.isascii() else "".join([self.letters[b] for b in part])
+            code = self.codes
+            ids = self.parts[part] = b"".join([code[t.id] for t in self.model.tokenize(text)])
+        return ids
 
     def learn(self, words: set[bytes]) -> None:
         if len(self) > self.FULL:
             self.clear()
-        new = [w for w in words if w not in self]
+        if len(self.parts) > self.FULL:
+            self.parts.clear()
+        new, part = [], self._part
+        for w in words:
+            if w in self:
+                continue
+            if not self.plain:
+                new.append(w)
+            elif w.isalpha():  # ASCII letters only, as bytes
+                self[w] = part(w.lower())
+            elif w[:-1].isalpha() and w[-1] in b".,;:!?":
+                self[w] = part(w[:-1].lower()) + part(w[-1:])
+            elif m := _PLAIN.match(w.decode()):
+                self[w] = part(m[1].lower().encode()) + (part(m[2].encode()) if m[2] else b"")
+            else:
+                new.append(w)
         for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
+            chunk = new[a : a + 20_000]
+            for w, e in zip(chunk, self.tokenizer.encode_batch_fast([w.decode() for w in chunk], add_special_tokens=False), strict=True):
                 self[w] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, bodies: list[bytes]) -> Iterator[bytes]:
