@@ -126,7 +126,8 @@ def conservative_groups(same: DataFrame, members: DataFrame, by: str = "book_id"
         return pd.DataFrame({by: m[by], "id": m["id"], "root": [min(group[x]) for x in m["id"]]})
 
     kinds = dict(members.dtypes)
-    return members.select(by, "id").groupBy(by).cogroup(same.groupBy(by)).applyInPandas(run, f"{by} {kinds[by]}, id {kinds['id']}, root {kinds['id']}")
+    pairs = same.select(F.col(by).alias("__by"), "a", "b")
+    return members.select(by, "id").groupBy(by).cogroup(pairs.groupBy("__by")).applyInPandas(run, f"{by} {kinds[by]}, id {kinds['id']}, root {kinds['id']}")
 
 
 def canonical(names: Column) -> Column:
