@@ -6,6 +6,7 @@ kept with its reason, so nothing is dropped silently.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,8 +66,6 @@ def event_rows(replies: DataFrame, scenes: DataFrame) -> tuple[DataFrame, DataFr
     participants array<struct<entity_id,role>>, from_location, to_location) and scenes(scene_id, text, entity_ids).
 
     A bad event is skipped with a reason; a scene with more than seven events is refused whole."""
-    import pandas as pd
-
     def locate(text: pd.Series, form: pd.Series, nth: pd.Series) -> pd.DataFrame:
         found = [spans.resolve(t, f, None, None, None if pd.isna(n) else int(n)) or (None, None) for t, f, n in zip(text, form, nth, strict=True)]
         return pd.DataFrame({"start_char": pd.array([a for a, _ in found], "Int32"), "end_char": pd.array([b for _, b in found], "Int32")})
