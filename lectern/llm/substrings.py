@@ -188,7 +188,8 @@ def repeats(docs: DataFrame, length: int = 50) -> tuple[DataFrame, DataFrame, Da
     documents that share passages, as half-open, possibly overlapping ranges of words."""
     spark = docs.sparkSession
     sketch = common.materialise(_sketches(docs, length), "sketches")
-    heads = sketch.groupBy("h", "c").agg(F.min("ord").alias("first"))
+    # written, so that both sides of the join are plain exchanges and a text of very many copies is split
+    heads = common.materialise(sketch.groupBy("h", "c").agg(F.min("ord").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "heads")
     copies = common.materialise(sketch.select("ord", "h", "c").join(heads, ["h", "c"]).where("first < ord").select("ord", "h").distinct(), "copies")
     runs = sketch.where(F.size("anchors") > 0).select("ord", "h", "anchors", "starts", "sizes").join(copies, ["ord", "h"], "left_anti")
     runs = runs.select("ord", "h", F.explode(F.arrays_zip("anchors", "starts", "sizes")).alias("r")).select("ord", "h", F.col("r.anchors").alias("anchor"), F.col("r.starts").alias("start"), F.col("r.sizes").alias("size"))
