@@ -21,6 +21,8 @@ from lectern.llm import common
 WIDTH, STRIDE, CHUNK = 12, 4, 512
 #: At most so many labelled rows of each class are used for training.
 SAMPLE_EACH = 2000
+#: Labelled texts of more bytes are not used for training, which bounds the sample's size; they are scored like all.
+SAMPLE_BYTES = 1 << 20
 #: Places convolved at a time; bounds the memory of a very long text. A multiple of a half chunk.
 PLACES = 1 << 15
 _HALF = CHUNK // 2 // STRIDE
@@ -142,7 +144,7 @@ def sample(docs: DataFrame, labels: DataFrame, modulus: int, held: int, each: in
     rows = rows.where(common.remainder(F.col("doc_id"), modulus) != held).groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("top")).where("y = top")
     key = F.xxhash64(F.col("doc_id"))
     ids = rows.where("y = 1").orderBy(key, "doc_id").limit(each).union(rows.where("y = 0").orderBy(key, "doc_id").limit(each)).select("doc_id", "y")
-    found = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+    found = docs.select(F.col("doc_id").cast("long"), "text").where(F.octet_length(F.coalesce("text", F.lit(""))) <= SAMPLE_BYTES).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
     return [((r.text or "").encode(), r.y) for r in sorted(found.collect(), key=lambda r: r.doc_id)]
 
 

@@ -25,6 +25,8 @@ from lectern.llm import common
 BITS = 18
 #: At most so many labelled rows of each class are used for training.
 SAMPLE_EACH = 4000
+#: Labelled texts of more bytes are not used for training, which bounds the sample's size; they are scored like all.
+SAMPLE_BYTES = 1 << 20
 FACTORS = 8
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -136,7 +138,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, each:
     key = F.xxhash64(F.col("doc_id"))
     ids = rows.where("y = 1").orderBy(key, "doc_id").limit(each).union(rows.where("y = 0").orderBy(key, "doc_id").limit(each)).select("doc_id", "y")
     # bounded: 2 x each ids
-    found = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+    found = docs.select(F.col("doc_id").cast("long"), "text").where(F.octet_length(F.coalesce("text", F.lit(""))) <= SAMPLE_BYTES).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
     return [(r.text, r.y) for r in sorted(found.collect(), key=lambda r: r.doc_id)]
 
 
