@@ -1,6 +1,6 @@
 """Toxicity by a second-order factorization machine over hashed terms.
 
-Terms of a document are its words, the beginnings of its words and pairs of neighbouring words,
+Terms of a document are its words and the beginnings of its words,
 hashed into ``2**BITS`` buckets. The machine learns a weight and a latent vector for each bucket;
 the products of the vectors score pairs of terms that occur together, such as an insult with the
 mention of a group, which no sum of single weights expresses. It is trained with AdaGrad in numpy
