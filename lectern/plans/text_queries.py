@@ -75,12 +75,8 @@ def q_chunks_full(spark, sf_dir):
     return chunk_rows(documents(spark, sf_dir))
 
 
-@query(f"""WITH RECURSIVE {_GLUE} SELECT doc_id, start_char, end_char, CAST(lag(start_char) OVER w AS BIGINT) AS previous_start, CAST(lead(start_char) OVER w AS BIGINT) AS next_start,
-substr(text, CAST(start_char + 1 AS BIGINT), 40) AS head, coalesce(substr(text, CAST(greatest(lag(start_char) OVER w, lag(end_char) OVER w - 200) + 1 AS BIGINT), CAST(least(200, lag(end_char) OVER w - lag(start_char) OVER w) AS BIGINT)), '') AS tail_before
-FROM chunks JOIN documents USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY start_char)""")
-def q_chunk_chain_context(spark, sf_dir):
+def chain_context(docs):
     """Chunks with their neighbours, their heads and up to 200 characters of what stands before."""
-    docs = short_lined(documents(spark, sf_dir))
     found = docs.select("doc_id", "text", F.posexplode(spans.chunks(F.col("text"))).alias("k", "c"), spans.chunks(F.col("text")).alias("all"))
     before, after = F.get("all", F.col("k") - 1), F.get("all", F.col("k") + 1)
     n = F.least(F.lit(200), before["end_char"] - before["start_char"])
@@ -89,6 +85,20 @@ def q_chunk_chain_context(spark, sf_dir):
     return found.select("doc_id", long(F.col("c.start_char")).alias("start_char"), long(F.col("c.end_char")).alias("end_char"), long(before["start_char"]).alias("previous_start"), long(after["start_char"]).alias("next_start"), F.substring("text", F.col("c.start_char") + 1, F.lit(40)).alias("head"), tail.alias("tail_before"))
 
 
+@query(f"""WITH RECURSIVE {_GLUE} SELECT doc_id, start_char, end_char, CAST(lag(start_char) OVER w AS BIGINT) AS previous_start, CAST(lead(start_char) OVER w AS BIGINT) AS next_start,
+substr(text, CAST(start_char + 1 AS BIGINT), 40) AS head, coalesce(substr(text, CAST(greatest(lag(start_char) OVER w, lag(end_char) OVER w - 200) + 1 AS BIGINT), CAST(least(200, lag(end_char) OVER w - lag(start_char) OVER w) AS BIGINT)), '') AS tail_before
+FROM chunks JOIN documents USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY start_char)""")
+def q_chunk_chain_context(spark, sf_dir):
+    """chain_context of documents without long lines, which is what the SQL can glue; q_chunk_chain_full has all documents."""
+    return chain_context(short_lined(documents(spark, sf_dir)))
+
+
+@query()
+def q_chunk_chain_full(spark, sf_dir):
+    """chain_context of all documents, long lines split."""
+    return chain_context(documents(spark, sf_dir))
+
+
 @query("SELECT sha256(text) AS text_hash, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1")
 def q_content_hash(spark, sf_dir):
     return documents(spark, sf_dir).groupBy(T.content_hash(F.col("text")).alias("text_hash")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
