@@ -95,18 +95,33 @@ def q_ancestor_at_level(spark, sf_dir):
 _LINKS = "o AS (SELECT l_orderkey, l_suppkey, l_partkey, l_quantity, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey) AS k FROM lineitem), links AS (SELECT DISTINCT least(a.l_suppkey, b.l_suppkey) AS a, greatest(a.l_suppkey, b.l_suppkey) AS b FROM o a JOIN o b ON a.l_orderkey = b.l_orderkey AND b.k = a.k + 1 AND a.l_suppkey <> b.l_suppkey WHERE a.l_quantity > 49 AND a.l_returnflag = 'R')"
 
 
-def links(spark, sf_dir):
-    """Suppliers of neighbouring line items of an order, the first a large returned one."""
+def links(spark, sf_dir, every=False):
+    """Suppliers of neighbouring line items of an order; only those of a large returned first item unless ``every``."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_partkey")
     l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_quantity", "l_returnflag")
-    pairs = l.withColumn("b", F.lead("l_suppkey").over(w)).where("l_suppkey <> b and l_quantity > 49 and l_returnflag = 'R'")
+    pairs = l.withColumn("b", F.lead("l_suppkey").over(w)).where("l_suppkey <> b")
+    if not every:
+        pairs = pairs.where("l_quantity > 49 and l_returnflag = 'R'")
     return pairs.select(F.least("l_suppkey", "b").alias("a"), F.greatest("l_suppkey", "b").alias("b")).distinct()
 
 
+def degrees(pairs):
+    e = search.both_ways(pairs, "a", "b")
+    return e.groupBy(F.col("a").alias("source")).agg(F.count("*").alias("degree"), F.min("b").alias("first"))
+
+
 @query(f"WITH {_LINKS}, u AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) SELECT a AS source, count(*) AS degree, min(b) AS first FROM u GROUP BY 1")
 def q_undirected_links(spark, sf_dir):
-    e = search.both_ways(links(spark, sf_dir), "a", "b")
-    return e.groupBy(F.col("a").alias("source")).agg(F.count("*").alias("degree"), F.min("b").alias("first"))
+    return degrees(links(spark, sf_dir))
+
+
+_EVERY_LINK = "o AS (SELECT l_orderkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey) AS k FROM lineitem), links AS (SELECT DISTINCT least(a.l_suppkey, b.l_suppkey) AS a, greatest(a.l_suppkey, b.l_suppkey) AS b FROM o a JOIN o b ON a.l_orderkey = b.l_orderkey AND b.k = a.k + 1 AND a.l_suppkey <> b.l_suppkey)"
+
+
+@query(f"WITH {_EVERY_LINK}, u AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) SELECT a AS source, count(*) AS degree, min(b) AS first FROM u GROUP BY 1")
+def q_undirected_links_full(spark, sf_dir):
+    """The links of all neighbouring line items."""
+    return degrees(links(spark, sf_dir, every=True))
 
 
 @query(f"WITH RECURSIVE {_LINKS}, u AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links), x AS (SELECT a AS node, a AS reach FROM u UNION SELECT x.node, u.b FROM x JOIN u ON u.a = x.reach) SELECT node, min(reach) AS root FROM x GROUP BY 1")
@@ -114,6 +129,12 @@ def q_connected_components(spark, sf_dir):
     return entities.connected(links(spark, sf_dir))
 
 
+@query()
+def q_connected_components_full(spark, sf_dir):
+    """Components of the links of all neighbouring line items; the recursive SQL makes node x reach rows, so none is given."""
+    return entities.connected(links(spark, sf_dir, every=True))
+
+
 @query()
 def q_conservative_unions(spark, sf_dir):
     """Suppliers of a nation joined only where every pair of a group is linked."""
