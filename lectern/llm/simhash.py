@@ -8,6 +8,10 @@ Each half is replicated to every anchor within radius 1 plus the threshold met f
 distance 1 or less from both; its nearest anchor is therefore reached by both, so no link is lost.
 A fingerprint goes to at most 34 anchors of 2 x 2^27. Per anchor only a spanning forest of the
 links is emitted, never all pairs; equal fingerprints are one vertex from the start.
+
+A copy with a few changed words differs in more bits than anchors can cover (10 of 64 at similarity 0.8, more than 16 at
+times). ``similar_links`` therefore finds texts by BANDS bands of BAND_ROWS minhashes of their shingles and
+keeps the pairs whose exact Jaccard similarity suffices; at 0.8 a pair shares no band with probability 3e-6.
 """
 
 from __future__ import annotations
@@ -25,6 +29,9 @@ from lectern.llm import common
 SEED = 42
 #: Shingles hashed at a time, so that a very long document needs bounded memory.
 BLOCK = 1 << 16
+#: Bands of minhashes, and minhashes in each.
+BANDS, BAND_ROWS = 24, 4
+_MULTIPLY, _ADD = (np.random.default_rng(SEED).integers(1, 1 << 63, (2, BANDS * BAND_ROWS), np.uint64) | np.uint64(1))
 
 
 def fingerprint(body: bytes, width: int) -> int:
@@ -160,11 +167,116 @@ def links(fps: DataFrame, threshold: int = 4) -> DataFrame:
     return dealt.mapInArrow(compare, "a long, b long")
 
 
-def _grouped(docs: DataFrame, width: int, threshold: int) -> tuple[DataFrame, DataFrame]:
-    """(rows with their fingerprints, fingerprints with the root and the smallest doc_id of their component)."""
+def shingles(body: bytes, width: int) -> np.ndarray:
+    """Sorted distinct XXH64 of the shingles of ``width`` words; a shorter text is one shingle, one without words has none."""
+    words = body.lower().split()
+    n = len(words)
+    if n == 0:
+        return np.empty(0, np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
+    starts = np.concatenate(([0], ends[:-1]))[: max(1, n - width + 1)].tolist()
+    ends = (ends[min(width, n) - 1 :] - 1).tolist()
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)), np.uint64, len(starts)))
+
+
+def bands(found: np.ndarray) -> np.ndarray:
+    """Keys of the bands of a set of shingles that isn't empty."""
+    low = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(found), 4096):
+        x = found[at : at + 4096, None] * _MULTIPLY + _ADD
+        low = np.minimum(low, (x ^ (x >> np.uint64(32))).min(axis=0))
+    each = low.reshape(BANDS, BAND_ROWS)
+    return np.array([xxhash.xxh64_intdigest(each[i].tobytes(), i) for i in range(BANDS)], np.uint64).view(np.int64)
+
+
+def similar_forest(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Links (index, index) of a spanning forest of the sets by Jaccard similarity ``least`` or more."""
+    found = []
+    size = np.array([len(x) for x in sets])
+    every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    rest = np.ones(len(sets), bool)
+    for first in range(len(sets)):
+        queue = [first] if rest[first] else []
+        rest[first] = False
+        while queue and rest.any():
+            x = queue.pop()
+            a, b = np.searchsorted(every, sets[x]), np.searchsorted(every, sets[x], side="right")
+            n = b - a
+            at = np.repeat(a - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+            both = np.bincount(owner[at], minlength=len(sets))
+            near = np.flatnonzero(rest & (both >= least * (size + size[x] - both) - 1e-9))
+            rest[near] = False
+            found += [(x, int(y)) for y in near]
+            queue += near.tolist()
+    return found
+
+
+def similar_links(docs: DataFrame, own: DataFrame, width: int, least: float) -> DataFrame:
+    """Links (a, b) of fingerprints in own(h, fp) of texts of docs whose sets of shingles have Jaccard similarity ``least`` or more.
+
+    Spanning forests of the texts that share a band, as in ``links``; equal texts count once."""
+    spark = docs.sparkSession
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                found = [bands(x) if len(x) else None for x in (shingles(t.as_py() or b"", width) for t in part.column(1))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], ["h", "keys"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t.as_py() or b"", width).tobytes() for t in part.column(1)], pa.binary())], ["h", "found"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (key, fp, found) come sorted by key; a group that crosses a batch is carried over."""
+        kept: list[tuple[int, int, np.ndarray]] = []
+
+        def out(group: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+            pairs = {(group[i][1], group[j][1]) for i, j in similar_forest([x for _, _, x in group], least)}
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for b in batches:
+            for key, fp, found in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if kept and kept[0][0] != key:
+                    if len(kept) > 1:
+                        yield out(kept)
+                    kept = []
+                kept.append((key, fp, np.frombuffer(found, np.uint64)))
+        if len(kept) > 1:
+            yield out(kept)
+
+    texts = docs.select(F.col("text").cast("string").cast("binary").alias("body")).select(F.xxhash64("body").alias("h"), "body")
+    made = common.materialise(texts.mapInArrow(keys, "h long, keys array<long>").where("keys is not null").dropDuplicates(["h"]), "bands")
+    each = made.select("h", F.posexplode("keys").alias("band", "key"))
+    shared = each.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("h").alias("low"), F.max("h").alias("high"), F.sum(F.pmod(F.xxhash64("h"), F.lit(1 << 40))).alias("all")).where("n > 1")
+    # bands with the same texts are looked at once
+    once = common.materialise(shared.groupBy("n", "low", "high", "all").agg(F.min(F.struct("band", "key")).alias("k")).select("k.band", "k.key"), "shared")
+    members = common.materialise(each.join(once, ["band", "key"]).select("h", F.xxhash64("band", "key").alias("key")), "members")
+    # written, so that its join with texts of very many copies can be split
+    wanted = common.materialise(members.select("h").distinct(), "wanted")
+    whole = common.materialise(texts.join(wanted, "h", "left_semi").mapInArrow(sets, "h long, found binary").dropDuplicates(["h"]), "sets")
+    named = whole.join(own.select("h", "fp").dropDuplicates(["h"]), "h")
+    entries = members.join(named, "h").select("key", "fp", "found")
+    dealt = entries.repartition(common.partitions(spark), "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(compare, "a long, b long")
+
+
+def _grouped(docs: DataFrame, width: int, threshold: int, similar: tuple[int, float] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows with their fingerprints, fingerprints with the root and the smallest doc_id of their component).
+
+    With ``similar`` (words of a shingle, similarity) texts that are so similar are linked too."""
     own = common.materialise(fingerprints(docs, width), "fingerprints")
     fps = own.groupBy("fp").agg(F.min(common.order_key("doc_id")).alias("first"))
-    roots = common.components(links(fps, threshold))
+    found = links(fps, threshold)
+    if similar is not None:
+        found = found.union(similar_links(docs, own, *similar))
+    roots = common.components(found)
     named = fps.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     return own, named.join(named.groupBy("root").agg(F.min("first").alias("component")), "root").select("fp", "root", "component")
 
@@ -181,12 +293,14 @@ def near_duplicates(docs: DataFrame, width: int = 4, threshold: int = 4) -> Data
     return own.join(label, "fp").select("doc_id", "fp", F.nullif(F.col("component"), F.lit(common.LAST)).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, width: int = 4, threshold: int = 4) -> DataFrame:
+def one_of_each(docs: DataFrame, width: int = 4, threshold: int = 4, similar: tuple[int, float] | None = None) -> DataFrame:
     """docs with one row of each component of near-duplicates, that of the smallest doc_id; all columns stay.
 
+    ``similar`` = (words of a shingle, similarity) also links texts whose sets of shingles have that Jaccard similarity.
+
     Of rows with that doc_id the one with the smallest text hash stays, and any one of equal rows. Null and
     empty texts are one component, of which one row stays."""
-    own, label = _grouped(docs, width, threshold)
+    own, label = _grouped(docs, width, threshold, similar)
     # reduced to one row a fingerprint before the join, so that a fingerprint of very many rows is no single task
     least = own.groupBy("fp").agg(F.min(F.struct(common.order_key("doc_id").alias("o"), "h")).alias("c"))
     chosen = least.join(label, "fp").groupBy("root").agg(F.min("c").alias("c")).select(F.col("c.o").alias("__o"), F.col("c.h").alias("__h"))

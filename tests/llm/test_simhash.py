@@ -66,3 +66,33 @@ def test_against_brute_force(spark):
     got = sorted(((r.doc_id, r.fp % 2**64, r.component_id) for r in simhash.near_duplicates(df).collect()), key=str)
     assert got == brute(rows)
     assert simhash.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_similar_texts_beyond_the_threshold_go(spark):
+    rng = random.Random(8)
+    rows = []
+    for g in range(20):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+        v = list(w)
+        for i in (20, 75, 130):
+            v[i] = "changed"
+        far = [x if i % 12 else "other" for i, x in enumerate(w)]
+        rows += [(10 * g, " ".join(w)), (10 * g + 1, " ".join(v)), (10 * g + 2, " ".join(far))]
+    rows += [(900, "A b"), (901, "a  B"), (902, "c"), (903, None), (904, "")]
+    sets = [set(simhash.shingles((t or "").encode(), 5).tolist()) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def up(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        bits = bin(plain(rows[i][1]) ^ plain(rows[j][1])).count("1")
+        if bits <= 4 or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) > 0:
+            root[max(up(i), up(j))] = min(up(i), up(j))
+    want = {rows[up(i)][0] for i in range(len(rows))}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in simhash.one_of_each(df, similar=(5, 0.8)).collect()} == want
+    assert len({r.doc_id for r in simhash.one_of_each(df).collect()}) > len(want)
+    assert simhash.one_of_each(df.limit(0), similar=(5, 0.8)).count() == 0
