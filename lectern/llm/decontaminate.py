@@ -110,8 +110,13 @@ class Items:
         item = self.item[which]
         diagonal = np.repeat(at, n) - self.place[which]
         band = diagonal // BAND
-        twice = diagonal - band * BAND < self.budget[item]  # in the overlap with the band before
-        item, band = np.concatenate((item, item[twice])), np.concatenate((band, band[twice] - 1))
+        into = diagonal - band * BAND
+        items, places = [item], [band]
+        for j in range(-(-int(self.budget[item].max(initial=0)) // BAND)):  # the bands before whose overlap holds it
+            reached = into + j * BAND < self.budget[item]
+            items.append(item[reached])
+            places.append(band[reached] - j - 1)
+        item, band = np.concatenate(items), np.concatenate(places)
         low = int(band.min()) if len(band) else 0
         key, count = np.unique(item * (1 << 32) + band - low, return_counts=True)
         item, band = key >> 32, (key & 0xFFFFFFFF) + low

@@ -84,3 +84,15 @@ def test_long_text_and_blocks(spark, monkeypatch):
     df = spark.createDataFrame([(1, far)], "doc_id long, text string")
     bf = spark.createDataFrame([(1, item), (2, item[::-1]), (3, item + " extra words here")], "item_id long, text string")
     assert sorted(r.item_id for r in dc.matches(df, bf).collect()) == [1]
+
+
+def test_long_item_with_edits_to_one_side():
+    """Insertions spread the shared grams over more diagonals than two bands have."""
+    rng = random.Random(9)
+    item = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4000))
+    text = "".join(c + "7" * (i % 11 == 10) for i, c in enumerate(item))
+    items = dc.Items([(1, item)])
+    edits = len(text) - len(item)
+    assert edits <= items.budget[0]
+    found = items.matches(dc.reduced("before " + text + " after")[0])
+    assert [(k, s, e, d) for k, s, e, d in found] == [(0, 7, 7 + len(text), edits)]
