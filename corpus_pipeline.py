@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from lectern.llm import common, decontaminate, packing, quality, simhash, substrings
 
-#: Documents below this probability of good quality go; lower than 0.5, so that few good ones are lost.
-KEEP = 0.3
+#: Documents below this probability of good quality go: the classifier's own decision.
+KEEP = 0.5
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
