@@ -37,8 +37,8 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all documents in sequences of 2048."""
-    return packing.packed(docs)
+    """Token pieces of all documents with their ids, in sequences of 2048."""
+    return packing.packed(docs, keep_ids=True)
 
 
 STAGES = [

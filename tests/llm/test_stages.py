@@ -15,3 +15,11 @@ def test_quality_stage_removes_what_the_classifier_rejects(spark):
     predicted = {r.doc_id: r.predicted for r in quality.op7_quality(spark, SF).collect()}
     kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["quality classifier"](spark, docs, SF).collect()}
     assert kept == {d for d, p in predicted.items() if p == 1}
+
+
+def test_packing_stage_gives_the_ids(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(20)
+    rows = dict(corpus_pipeline.STAGES)["best-fit packing"](spark, docs, SF).collect()
+    assert len({r.doc_id for r in rows}) == 20
+    for r in rows:
+        assert len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32
