@@ -60,7 +60,7 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Machine:
-    """Weights of a factorization machine; ``known`` marks buckets seen in enough training texts."""
+    """Weights of a factorization machine; ``known`` marks buckets seen in at least two training texts (``least`` of fit)."""
 
     def __init__(self, factors: int = FACTORS, seed: int = 7):
         rng = np.random.default_rng(seed)
@@ -97,7 +97,7 @@ class Machine:
         raw, _, _ = self._raw(*self._batch(rows), len(rows))
         return 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
 
-    def fit(self, rows, y, epochs: int = 6, size: int = 64, rate: float = 0.25, decay: float = 1e-5, least: int = 20, seed: int = 7) -> Machine:
+    def fit(self, rows, y, epochs: int = 6, size: int = 64, rate: float = 0.25, decay: float = 1e-5, least: int = 2, seed: int = 7) -> Machine:
         """AdaGrad over shuffled batches; classes weigh alike. With one class only, the prior is learnt."""
         y = np.asarray(y, float)
         if not len(y):

@@ -39,3 +39,14 @@ def test_query_on_held_out_rows_and_edge_cases(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
     assert {r.score for r in toxicity.toxicity(d, l.limit(0)).collect()} == {0.5}
     assert toxicity.toxicity(d.limit(0), l).count() == 0
+
+
+def test_rare_words_count():
+    rng = random.Random(4)
+    filler = [f"word{chr(97 + i)}" for i in range(20)]
+    rare = "vile scum trash idiot moron".split()  # in 8 of 400 texts each
+    rows = [(" ".join(rng.sample(filler, 8)) + (f" {rare[i // 10 % 5]}" if i % 10 == 0 else ""), int(i % 10 == 0)) for i in range(400)]
+    m = toxicity.Machine().fit([toxicity.features(t) for t, _ in rows], [y for _, y in rows])
+    new = [" ".join(rng.sample(filler, 8)) for _ in range(40)]
+    assert (m.score([toxicity.features(t + " vile") for t in new]) >= 0.5).mean() > 0.9
+    assert (m.score([toxicity.features(t) for t in new]) < 0.5).mean() > 0.9
