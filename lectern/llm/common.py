@@ -51,6 +51,15 @@ def drop(*frames: DataFrame) -> None:
                 path.getFileSystem(conf).delete(path.getParent(), True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until df has no column of that name in any case."""
+    have = {c.lower() for c in df.columns}
+    name = f"__{name}"
+    while name in have:
+        name += "_"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's shuffle parallelism."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -7,6 +7,10 @@ Shared q-grams are counted in bands of BAND diagonals that overlap by k, so that
 them all; bands below the bound are dropped, the rest are verified by banded alignment. The items are
 the stated query set: they are indexed in blocks of bounded size and every text is read whole
 against every block; no text is shuffled.
+
+Very long texts are read in windows of their reduced form. Windows overlap by the longest possible occurrence and begin
+at multiples of BAND, so that the bands, and with them the result, are those of the text in one piece. Shared q-grams are
+expanded and counted in slices of at most PAIRS, whatever repeats in text and items.
 """
 
 from __future__ import annotations
@@ -18,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm import common
+
 Q = 9
 BAND = 64
 #: Edits allowed, as a part of an item's characters.
@@ -26,6 +32,8 @@ RATE = 0.1
 LEAST = 8
 #: Characters of items in one block, and of texts handled at once.
 BLOCK_CHARS, TEXT_CHARS = 1 << 21, 1 << 20
+#: Pairs of equal q-grams expanded at once, and numbers in one array of an alignment.
+PAIRS, CELLS = 1 << 21, 1 << 22
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 22
 
@@ -46,22 +54,48 @@ def _letters() -> np.ndarray:
 _table: np.ndarray | None = None
 
 
-def reduced(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(code points, place of each in the text) of the reduced text."""
+def _letter(c: int) -> int:
+    """What ``_letters`` says, for any code point."""
+    ch = chr(c)
+    if not ch.isalnum():
+        return 32
+    low = ch.lower()
+    return ord(low) if len(low) == 1 else c
+
+
+def _mapped(text: str) -> np.ndarray:
+    """Each code point's lower-case letter or digit, or a space."""
     global _table
     if _table is None:
         _table = _letters()
     raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    m = np.where(raw < 0x10000, _table[np.minimum(raw, 0xFFFF)], raw)
-    space = m == 32
-    keep = ~space
-    keep[1:] |= ~space[:-1]
-    if len(keep):
-        keep[0] = not space[0]
-    at = np.flatnonzero(keep)
-    if len(at) and m[at[-1]] == 32:
-        at = at[:-1]
-    return m[at], at
+    m = _table[np.minimum(raw, 0xFFFF)]
+    far = np.flatnonzero(raw > 0xFFFF)
+    if len(far):
+        kinds, which = np.unique(raw[far], return_inverse=True)
+        m[far] = np.array([_letter(int(c)) for c in kinds], np.uint32)[which]
+    return m
+
+
+def reduced_parts(text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(code points, place of each in the text) of the reduced text, in parts; a space may end the last one."""
+    after_space = True
+    for a in range(0, len(text), TEXT_CHARS):
+        m = _mapped(text[a : a + TEXT_CHARS])
+        space = m == 32
+        keep = ~space
+        keep[1:] |= ~space[:-1]
+        keep[0] = not (space[0] and after_space)
+        after_space = bool(space[-1])
+        at = np.flatnonzero(keep)
+        yield m[at], at + a
+
+
+def reduced(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(code points, place of each in the text) of the reduced text."""
+    parts = list(reduced_parts(text)) or [(np.empty(0, np.uint32), np.empty(0, np.int64))]
+    m, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return (m[:-1], at[:-1]) if len(m) and m[-1] == 32 else (m, at)
 
 
 def grams(m: np.ndarray) -> np.ndarray:
@@ -88,6 +122,7 @@ class Items:
         self.size = np.array([len(t) for t in texts], np.int64)
         self.budget = np.maximum(0, np.minimum((rate * self.size).astype(np.int64), (self.size - Q + 1 - LEAST) // Q))
         self.bound = np.maximum(1, self.size - Q + 1 - Q * self.budget)
+        self.longest = int((self.size + self.budget).max(initial=0))
         h = [grams(t) for t in texts]
         item = np.repeat(np.arange(len(h)), [len(x) for x in h])
         place = np.concatenate([np.arange(len(x)) for x in h] or [np.empty(0, np.int64)])
@@ -98,17 +133,46 @@ class Items:
         self.bitmap = np.zeros(1 << _BITS, bool)
         self.bitmap[self.hash >> np.uint64(64 - _BITS)] = True
 
-    def candidates(self, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, first diagonal of the band) of the bands that meet the bound in a reduced text."""
+    def candidates(self, m: np.ndarray, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(item, first diagonal of the band) of the bands that meet the bound in a reduced text; items marked in ``skip`` are left out."""
         h = grams(m)
         at = np.flatnonzero(self.bitmap[h >> np.uint64(64 - _BITS)]) if len(self.hash) else np.empty(0, np.int64)
         k = np.minimum(np.searchsorted(self.hash, h[at]), max(0, len(self.hash) - 1))
         same = self.hash[k] == h[at] if len(at) else np.empty(0, bool)
         at, k = at[same], k[same]
+        until = np.cumsum(self.count[k])
+        reach = -(-int(self.budget.max(initial=0)) // BAND)
+        live, seen = np.empty(0, np.int64), np.empty(0, np.int64)
+        items, bands = [], []
+        a = 0
+        while a < len(at):
+            b = max(a + 1, int(np.searchsorted(until, (until[a - 1] if a else 0) + PAIRS, side="right")))
+            key, count = self._counted(at[a:b], k[a:b], skip)
+            if len(live):
+                key, which = np.unique(np.concatenate((live, key)), return_inverse=True)
+                count = np.bincount(which, weights=np.concatenate((seen, count))).astype(np.int64)
+            # bands that no later gram can reach are settled
+            open_from = (int(at[b]) - self.longest) // BAND - reach if b < len(at) else 1 << 31
+            settled = (key & 0xFFFFFFFF) - (1 << 31) < open_from
+            good = settled & (count >= self.bound[key >> 32])
+            items.append(key[good] >> 32)
+            bands.append((key[good] & 0xFFFFFFFF) - (1 << 31))
+            live, seen, a = key[~settled], count[~settled], b
+        if not items:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        item, band = np.concatenate(items), np.concatenate(bands)
+        order = np.lexsort((band, item))
+        return item[order], band[order] * BAND
+
+    def _counted(self, at: np.ndarray, k: np.ndarray, skip: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """(item << 32 | band + 2**31, shared grams) of grams ``k`` of the index that stand at ``at`` in a text."""
         n = self.count[k]
-        which = np.repeat(self.start[k] - np.concatenate(([0], np.cumsum(n)[:-1])) if len(n) else n, n) + np.arange(n.sum())
+        which = np.repeat(self.start[k] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
         item = self.item[which]
         diagonal = np.repeat(at, n) - self.place[which]
+        if skip is not None:
+            use = ~skip[item]
+            item, diagonal = item[use], diagonal[use]
         band = diagonal // BAND
         into = diagonal - band * BAND
         items, places = [item], [band]
@@ -116,24 +180,37 @@ class Items:
             reached = into + j * BAND < self.budget[item]
             items.append(item[reached])
             places.append(band[reached] - j - 1)
-        item, band = np.concatenate(items), np.concatenate(places)
-        low = int(band.min()) if len(band) else 0
-        key, count = np.unique(item * (1 << 32) + band - low, return_counts=True)
-        item, band = key >> 32, (key & 0xFFFFFFFF) + low
-        good = count >= self.bound[item]
-        return item[good], band[good] * BAND
-
-    def matches(self, m: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(item, start, end, edits) of the best occurrence of each item in a reduced text."""
+        item, band = np.concatenate(items), np.concatenate(places) + (1 << 31)
+        if len(item) > 4096:
+            low, first = int(band.min()), int(item.min())
+            span, rows = int(band.max()) - low + 1, int(item.max()) - first + 1
+            if span * rows <= 2 * len(item):  # dense: no sort
+                count = np.bincount((item - first) * span + band - low, minlength=1)
+                found = np.flatnonzero(count)
+                return (found // span + first << 32) + found % span + low, count[found]
+        return np.unique(item * (1 << 32) + band, return_counts=True)
+
+    def matches(self, m: np.ndarray, skip: np.ndarray | None = None, opens: bool = True, ends: bool = True) -> list[tuple[int, int, int, int]]:
+        """(item, start, end, edits) of the best occurrence of each item in a reduced text.
+
+        ``opens`` and ``ends`` tell whether its ends are ends of a text, and so of words."""
         best: dict[int, tuple[int, int, int]] = {}
-        item, first = self.candidates(m)
-        for a in range(0, len(item), 256):
-            for k, s, e, d in self._verify(m, item[a : a + 256], first[a : a + 256]):
+        item, first = self.candidates(m, skip)
+        order = np.argsort(self.size[item], kind="stable")
+        item, first = item[order], first[order]
+        a = 0
+        while a < len(item):
+            cells = self.size[item[a : a + 256]] + BAND + 4 * self.budget[item[a : a + 256]] + 1
+            b = a + max(1, int(np.searchsorted(cells * np.arange(1, len(cells) + 1), CELLS)))
+            for k, s, e, d in self._verify(m, item[a:b], first[a:b]):
                 if k not in best or (d, s) < (best[k][2], best[k][0]):
                     best[k] = (s, e, d)
+            a = b
         if self.short:
-            padded = np.concatenate(([32], m, [32])).astype("<u4").tobytes()
+            padded = np.concatenate(([32 if opens else 0], m, [32 if ends else 0])).astype("<u4").tobytes()
             for k, t in self.short:
+                if skip is not None and skip[k]:
+                    continue
                 need = np.concatenate(([32], t, [32])).astype("<u4").tobytes()
                 at = padded.find(need)
                 while at >= 0 and at % 4:
@@ -185,11 +262,37 @@ class Items:
         return end, edits
 
 
-def _windows(text: str, overlap: int) -> Iterator[tuple[int, str]]:
-    """A text in one piece, or a very long one in overlapping pieces."""
-    step = max(TEXT_CHARS, 2 * overlap)
-    for a in range(0, max(1, len(text) - overlap), step):
-        yield a, text[a : a + step + overlap]
+def _windows(text: str, overlap: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool, bool]]:
+    """(reduced part, its places, whether the text begins with it, whether it ends with it) of a text.
+
+    Each part but the first begins with at least ``overlap`` characters of the one before, at a multiple of BAND."""
+    m, at, opens = np.empty(0, np.uint32), np.empty(0, np.int64), True
+    held = None
+    for more, places in reduced_parts(text):
+        if held is not None:
+            yield held
+            step = max(0, (len(m) - overlap) // BAND * BAND)
+            m, at, opens = m[step:], at[step:], opens and not step
+        m, at = np.concatenate((m, more)), np.concatenate((at, places))
+        held = (m, at, opens, False)
+    if held is not None:
+        yield (*held[:3], True)
+
+
+_ROWS = "doc_id long, item_id long, start long, end long, edits int, budget int"
+
+
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str | None]]]:
+    """The items in blocks of about BLOCK_CHARS characters; the driver holds the benchmark, which is the query set, block by block."""
+    block, chars, none = [], 0, True
+    for r in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator():
+        block.append((r.item_id, r.text))
+        chars += len(r.text or "")
+        if chars >= BLOCK_CHARS:
+            yield block
+            block, chars, none = [], 0, False
+    if block or none:
+        yield block
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
@@ -199,78 +302,62 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFr
     occurrence, the first on ties, in code points of the text. ``rate`` bounds the edits by the item's reduced
     length. Items without letters or digits match nothing; items shorter than Q characters match as whole
     words only. Null texts match nothing; null ids are passed on; repeated rows and items give
-    repeated rows. Empty tables give an empty result; other columns are ignored."""
-    schema = "doc_id long, item_id long, start long, end long, edits int, budget int"
-    frames, block, chars = [], [], 0
-    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
+    repeated rows. Empty tables give an empty result; other columns are ignored. Each block of BLOCK_CHARS characters
+    of items is one more scan of the documents."""
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
     def scan(block: list[tuple[int | None, str | None]]) -> DataFrame:
-        made = docs.sparkSession.sparkContext.broadcast(block)  # bounded by BLOCK_CHARS
+        made = docs.sparkSession.sparkContext.broadcast(block)  # bounded by BLOCK_CHARS and one item
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = Items(made.value, rate)
-            # white space and marks that are dropped don't count, so an occurrence may be longer in the text
-            overlap = 8 * int(items.size.max(initial=1)) + 1024
             for b in batches:
-                out = []
-                texts = b.column(1).to_pylist()
                 ids = b.column(0).to_pylist()
-                for found in _batched(items, texts, overlap):
-                    t, k, s, e, d = found
-                    out.append((ids[t], items.ids[k], s, e, d, int(items.budget[k])))
+                out = [(ids[t], items.ids[k], s, e, d, int(items.budget[k])) for t, k, s, e, d in _batched(items, b.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["doc_id", "item_id", "start", "end", "edits", "budget"])
 
-        return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+        return texts.mapInArrow(run, _ROWS)
 
-    for r in rows.toLocalIterator():
-        block.append((r.item_id, r.text))
-        chars += len(r.text or "")
-        if chars >= BLOCK_CHARS:
-            frames.append(scan(block))
-            block, chars = [], 0
-    if block or not frames:
-        frames.append(scan(block))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.union(f)
+    out = None
+    for block in _blocks(benchmark):
+        out = scan(block) if out is None else out.union(scan(block))
     return out
 
 
-def _batched(items: Items, texts: list[str | None], overlap: int) -> Iterator[tuple[int, int, int, int, int]]:
+def _batched(items: Items, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, int]]:
     """(text, item, start, end, edits) of a list of texts; many short ones share the array work."""
     gap = np.zeros(1, np.uint32)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
 
-    def flush(parts):
-        whole, begin, owner = [], [0], []
-        for _, _, m, _ in parts:
-            whole += [m, gap]
-            begin.append(begin[-1] + len(m) + 1)
-        every = np.concatenate(whole)
-        starts = np.array(begin)
+    def one(part, exact: np.ndarray | None = None) -> None:
+        t, m, where, opens, ends = part
+        for k, s, e, d in items.matches(m, exact, opens, ends):
+            found = (d, int(where[min(s, len(where) - 1)]), int(where[e - 1]) + 1 if e > s else int(where[min(s, len(where) - 1)]))
+            if (t, k) not in best or found < best[t, k]:
+                best[t, k] = found
+
+    def flush(parts) -> None:
+        begin = np.cumsum([0] + [len(p[1]) + 1 for p in parts])
+        every = np.concatenate([x for p in parts for x in (p[1], gap)])
         item, first = items.candidates(every)
-        if len(item) or items.short:
-            # the text that holds the middle of the item in the band; a band may touch two
-            lo = np.searchsorted(starts, np.maximum(first, 0), side="right") - 1
-            hi = np.searchsorted(starts, np.clip(first + BAND + items.budget[item] + items.size[item], 0, len(every) - 1), side="right") - 1
-            todo = {int(x) for a, b in zip(lo, hi, strict=True) for x in range(a, b + 1) if x < len(parts)}
-            for p in sorted(todo if not items.short else range(len(parts))):
-                t, at, m, where = parts[p]
-                for k, s, e, d in items.matches(m):
-                    e0 = at + int(where[e - 1]) + 1 if e > s else at + int(where[min(s, len(where) - 1)])
-                    found = (d, at + int(where[min(s, len(where) - 1)]), e0)
-                    if (t, k) not in best or found < best[t, k]:
-                        best[t, k] = found
+        # the text that holds the middle of the item in the band; a band may touch two
+        lo = np.searchsorted(begin, np.maximum(first, 0), side="right") - 1
+        hi = np.searchsorted(begin, np.clip(first + BAND + items.budget[item] + items.size[item], 0, len(every) - 1), side="right") - 1
+        todo = {int(x) for a, b in zip(lo, hi, strict=True) for x in range(a, b + 1) if x < len(parts)}
+        for p in sorted(todo if not items.short else range(len(parts))):
+            one(parts[p])
 
     parts, size = [], 0
     for t, text in enumerate(texts):
-        if not text:
-            continue
-        for at, piece in _windows(text, overlap):
-            m, where = reduced(piece)
+        exact = np.zeros(len(items.ids), bool)  # items found without edits: nothing later is better
+        for m, where, opens, ends in _windows(text or "", items.longest + 2):
             if not len(m):
                 continue
-            parts.append((t, at, m, where))
+            if not (opens and ends):
+                one((t, m, where, opens, ends), exact)
+                exact[[k for k in range(len(items.ids)) if best.get((t, k), (1,))[0] == 0]] = True
+                continue
+            parts.append((t, m, where, opens, ends))
             size += len(m)
             if size >= TEXT_CHARS:
                 flush(parts)
@@ -282,9 +369,28 @@ def _batched(items: Items, texts: list[str | None], overlap: int) -> Iterator[tu
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """docs without the rows that contain a benchmark item; all columns stay, null ids are kept unless they match."""
-    found = matches(docs, benchmark, rate).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(F.col("__leak")), "left_anti")
+    """docs without the rows that contain a benchmark item; all columns stay, whatever their names.
+
+    Each row is judged by its own text: rows that share an id, or have none, don't touch each other.
+    Null and empty texts stay. Blocks of items are taken one after the other in one pass each, without a shuffle."""
+    schema = docs.schema
+    body = common.unused(docs, "body")
+
+    def scan(left: DataFrame, block: list[tuple[int | None, str | None]]) -> DataFrame:
+        made = docs.sparkSession.sparkContext.broadcast(block)  # bounded by BLOCK_CHARS and one item
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            items = Items(made.value, rate)
+            for b in batches:
+                keep = np.ones(b.num_rows, bool)
+                keep[[t for t, *_ in _batched(items, b.column(b.num_columns - 1).to_pylist())]] = False
+                yield b.select(range(b.num_columns - 1)).filter(pa.array(keep))
+
+        return left.withColumn(body, F.col("text").cast("string")).mapInArrow(run, schema)
+
+    for block in _blocks(benchmark):
+        docs = scan(docs, block)
+    return docs
 
 
 def op10_decontaminate(spark, sf_dir: str) -> DataFrame:

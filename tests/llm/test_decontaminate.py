@@ -78,7 +78,7 @@ def test_long_text_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(dc, "TEXT_CHARS", 5000)
     far = "ab cd ef " * 40000 + item + " zz" * 3000
     made = dc.Items([(1, item)])
-    found = list(dc._batched(made, [far, None, item, "no " * 4000], 2000))
+    found = list(dc._batched(made, [far, None, item, "no " * 4000]))
     assert [(t, far[s:e] if t == 0 else s) for t, _, s, e, _ in found] == [(0, item), (2, 0)]
     monkeypatch.setattr(dc, "BLOCK_CHARS", 10)
     df = spark.createDataFrame([(1, far)], "doc_id long, text string")
@@ -96,3 +96,70 @@ def test_long_item_with_edits_to_one_side():
     assert edits <= items.budget[0]
     found = items.matches(dc.reduced("before " + text + " after")[0])
     assert [(k, s, e, d) for k, s, e, d in found] == [(0, 7, 7 + len(text), edits)]
+
+
+def whole(items, text):
+    """The result of a text read in one piece."""
+    m, at = dc.reduced(text)
+    return sorted((k, int(at[s]), int(at[e - 1]) + 1, d) for k, s, e, d in items.matches(m))
+
+
+def test_windows_give_what_one_piece_gives(monkeypatch):
+    """Items with edits, short items and much white space at every place of a window end."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
+    long = [" ".join(word() for _ in range(18)) for _ in range(2)]
+    items = dc.Items([(1, long[0]), (2, long[1]), (3, "cat"), (4, "x y")])
+    assert items.budget[0] > 0
+    found = 0
+    for at in range(0, 300, 3):
+        edited = list(long[0])
+        edited[30] = "q"
+        edited[60] = ""
+        spread = "".join(c if c != " " else " " * 10 + "...\n" for c in "".join(edited))
+        text = "zz " * (at // 3) + spread + " concat " + "w" * (at % 7) + " cat. " + long[1] + " X  y" + " vv" * 50
+        monkeypatch.setattr(dc, "TEXT_CHARS", 1 << 20)
+        want = whole(items, text)
+        for size in (97, 128, 200):
+            monkeypatch.setattr(dc, "TEXT_CHARS", size)
+            assert sorted((k, s, e, d) for _, k, s, e, d in dc._batched(items, [text])) == want
+        assert {k for k, *_ in want} == {0, 1, 2, 3}
+        assert "concat" not in text[want[2][1] - 3 : want[2][2]] and not text[want[2][2]].isalnum()
+        found += len(want)
+    assert found == 400
+
+
+def test_slices_count_as_one(monkeypatch):
+    rng = random.Random(3)
+    text = "".join(rng.choice("ab ") for _ in range(3000))
+    items = dc.Items([(i, text[a : a + 60]) for i, a in enumerate(range(0, 2000, 77))] + [(99, "a" * 70)])
+    m = dc.reduced(text + " " + "a" * 300)[0]
+    want = [x.tolist() for x in items.candidates(m)]
+    for pairs in (1, 7, 1000):
+        monkeypatch.setattr(dc, "PAIRS", pairs)
+        assert [x.tolist() for x in items.candidates(m)] == want
+
+
+def test_one_letter_is_bounded():
+    import tracemalloc
+
+    items = dc.Items([(1, "a" * 300), (2, "ab" * 150)])
+    tracemalloc.start()
+    found = list(dc._batched(items, ["a" * 2_000_000]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(k, s, d) for _, k, s, _, d in found] == [(0, 0, 0)] and peak < 1 << 29
+
+
+def test_leaks_go_row_by_row(spark):
+    item = "the quick brown fox jumps over the lazy dog while seven wizards brew potions"
+    rows = [(None, "clean one", 1), (None, item, 2), (None, None, 3), (7, "say " + item, 4), (7, "clean too", 5), (8, "", 6), (9, "x" * 50, 7), (9, "x" * 50, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __body int")
+    bf = spark.createDataFrame([(1, item), (2, "other item of the benchmark with many words")], "item_id long, text string")
+    got = dc.without_leaks(df, bf)
+    assert got.columns == df.columns and sorted(r["__body"] for r in got.collect()) == [1, 3, 5, 6, 7, 8]
+    assert dc.without_leaks(df, bf.limit(0)).count() == 8 and dc.without_leaks(df.limit(0), bf).count() == 0
+
+
+def test_letters_beyond_the_basic_plane():
+    assert "".join(map(chr, dc.reduced("a\U0001f600b \U00010400")[0])) == "a b \U00010428"
