@@ -194,19 +194,30 @@ class Items:
         """(item, start, end, edits) of the best occurrence of each item in a reduced text.
 
         ``opens`` and ``ends`` tell whether its ends are ends of a text, and so of words."""
-        best: dict[int, tuple[int, int, int]] = {}
-        item, first = self.candidates(m, skip)
+        return [(k, *v) for (_, k), v in self.all_matches([(m, opens, ends)], [0], skip).items()]
+
+    def all_matches(self, parts: list[tuple[np.ndarray, bool, bool]], which: list[int], skip: np.ndarray | None = None) -> dict[tuple[int, int], tuple[int, int, int]]:
+        """(part, item) -> (start, end, edits) of the best occurrences in the parts ``which``, aligned together."""
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        found = [self.candidates(parts[p][0], skip) for p in which]
+        part = np.repeat(np.array(which, np.int64), [len(x) for x, _ in found])
+        item = np.concatenate([x for x, _ in found] or [np.empty(0, np.int64)])
+        lo = np.concatenate(([0], np.cumsum([len(p[0]) for p in parts])))
+        every = np.concatenate([p[0] for p in parts]) if len(parts) > 1 else parts[0][0]
+        first = np.concatenate([x for _, x in found] or [np.empty(0, np.int64)]) + lo[part]
         order = np.argsort(self.size[item], kind="stable")
-        item, first = item[order], first[order]
+        part, item, first = part[order], item[order], first[order]
         a = 0
         while a < len(item):
             cells = self.size[item[a : a + 256]] + BAND + 4 * self.budget[item[a : a + 256]] + 1
             b = a + max(1, int(np.searchsorted(cells * np.arange(1, len(cells) + 1), CELLS)))
-            for k, s, e, d in self._verify(m, item[a:b], first[a:b]):
-                if k not in best or (d, s) < (best[k][2], best[k][0]):
-                    best[k] = (s, e, d)
+            for p, k, s, e, d in self._verify(every, part[a:b], item[a:b], first[a:b], lo):
+                s, e = s - int(lo[p]), e - int(lo[p])
+                if (p, k) not in best or (d, s) < (best[p, k][2], best[p, k][0]):
+                    best[p, k] = (s, e, d)
             a = b
-        if self.short:
+        for p in which if self.short else ():
+            m, opens, ends = parts[p]
             padded = np.concatenate(([32 if opens else 0], m, [32 if ends else 0])).astype("<u4").tobytes()
             for k, t in self.short:
                 if skip is not None and skip[k]:
@@ -216,49 +227,50 @@ class Items:
                 while at >= 0 and at % 4:
                     at = padded.find(need, at + 1)
                 if at >= 0:
-                    best[k] = (at // 4, at // 4 + len(t), 0)
-        return [(k, *v) for k, v in best.items()]
+                    best[p, k] = (at // 4, at // 4 + len(t), 0)
+        return best
 
-    def _verify(self, m, item, first):
-        budget, size = self.budget[item], self.size[item]
+    def _verify(self, m, part, item, first, begin):
+        """(part, item, start, end, edits) of the bands within the budget; part p is m[begin[p]:begin[p + 1]]."""
+        budget, lo, hi = self.budget[item], begin[part], begin[part + 1]
         most = int(budget.max())
         width = BAND + 3 * most + 1
         base = first - most
-        ends, edits = self._align(m, base, [self.texts[k] for k in item], width, np.zeros((len(item), width), np.int32))
+        ends, edits = self._align(m, base, [self.texts[k] for k in item], width, np.zeros((len(item), width), np.int32), lo, hi)
         ok = np.flatnonzero(edits <= budget)
         if not len(ok):
             return []
         # from each end backwards, to find the start
-        back = m[::-1]
-        start = len(m) - ends[ok]
+        back, n = m[::-1], len(m)
+        start = n - ends[ok]
         o = np.arange(2 * most + 1)
         seed = np.broadcast_to(np.where(o >= most, o - most, 1 << 20), (len(ok), len(o))).astype(np.int32)
-        begins, _ = self._align(back, start - most, [self.texts[k][::-1] for k in item[ok]], len(o), seed)
-        return [(int(k), int(len(m) - b), int(e), int(d)) for k, b, e, d in zip(item[ok], begins, ends[ok], edits[ok], strict=True)]
+        begins, _ = self._align(back, start - most, [self.texts[k][::-1] for k in item[ok]], len(o), seed, n - hi[ok], n - lo[ok])
+        return [(int(p), int(k), int(n - b), int(e), int(d)) for p, k, b, e, d in zip(part[ok], item[ok], begins, ends[ok], edits[ok], strict=True)]
 
     @staticmethod
-    def _align(m, base, texts, width, seed):
-        """Banded edit distance of each text within m; diagonals base .. base + width. (end in m, edits)."""
+    def _align(m, base, texts, width, seed, lo, hi):
+        """Banded edit distance of each text within m[lo:hi]; diagonals base .. base + width. (end in m, edits)."""
         size = np.array([len(t) for t in texts])
         rows = int(size.max())
         at = base[:, None] + np.arange(rows + width)[None, :]
-        inside = (at >= 0) & (at < len(m))
+        inside = (at >= lo[:, None]) & (at < hi[:, None])
         region = np.where(inside, m[np.clip(at, 0, max(0, len(m) - 1))], 0)
         pattern = np.full((len(texts), rows), 1, np.int64)
         for i, t in enumerate(texts):
             pattern[i, : len(t)] = t
         ramp = np.arange(width, dtype=np.int32)
-        d = seed
+        d, last = seed, set(size.tolist())
         end, edits = np.zeros(len(texts), np.int64), np.full(len(texts), 1 << 20)
         for i in range(1, rows + 1):
             new = d + (region[:, i - 1 : i - 1 + width] != pattern[:, i - 1 : i])
             np.minimum(new[:, :-1], d[:, 1:] + 1, out=new[:, :-1])
             d = np.minimum.accumulate(new - ramp, axis=1) + ramp
-            done = np.flatnonzero(size == i)
-            if done.size:
+            if i in last:
                 # ends outside the text aren't ends; the padding matches nothing, so none of them is cheaper
+                done = np.flatnonzero(size == i)
                 o = d[done].argmin(1)
-                end[done], edits[done] = np.clip(base[done] + o + i, 0, len(m)), d[done, o]
+                end[done], edits[done] = np.clip(base[done] + o + i, lo[done], hi[done]), d[done, o]
         return end, edits
 
 
@@ -329,10 +341,11 @@ def _batched(items: Items, texts: list[str | None]) -> Iterator[tuple[int, int,
     gap = np.zeros(1, np.uint32)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
 
-    def one(part, exact: np.ndarray | None = None) -> None:
-        t, m, where, opens, ends = part
-        for k, s, e, d in items.matches(m, exact, opens, ends):
-            found = (d, int(where[min(s, len(where) - 1)]), int(where[e - 1]) + 1 if e > s else int(where[min(s, len(where) - 1)]))
+    def note(parts, which: list[int], exact: np.ndarray | None = None) -> None:
+        for (p, k), (s, e, d) in items.all_matches([(m, opens, ends) for _, m, _, opens, ends in parts], which, exact).items():
+            t, where = parts[p][0], parts[p][2]
+            at = int(where[min(s, len(where) - 1)])
+            found = (d, at, int(where[e - 1]) + 1 if e > s else at)
             if (t, k) not in best or found < best[t, k]:
                 best[t, k] = found
 
@@ -344,8 +357,9 @@ def _batched(items: Items, texts: list[str | None]) -> Iterator[tuple[int, int,
         lo = np.searchsorted(begin, np.maximum(first, 0), side="right") - 1
         hi = np.searchsorted(begin, np.clip(first + BAND + items.budget[item] + items.size[item], 0, len(every) - 1), side="right") - 1
         todo = {int(x) for a, b in zip(lo, hi, strict=True) for x in range(a, b + 1) if x < len(parts)}
-        for p in sorted(todo if not items.short else range(len(parts))):
-            one(parts[p])
+        which = sorted(todo if not items.short else range(len(parts)))
+        if which:
+            note(parts, which)
 
     parts, size = [], 0
     for t, text in enumerate(texts):
@@ -354,7 +368,7 @@ def _batched(items: Items, texts: list[str | None]) -> Iterator[tuple[int, int,
             if not len(m):
                 continue
             if not (opens and ends):
-                one((t, m, where, opens, ends), exact)
+                note([(t, m, where, opens, ends)], [0], exact)
                 exact[[k for k in range(len(items.ids)) if best.get((t, k), (1,))[0] == 0]] = True
                 continue
             parts.append((t, m, where, opens, ends))
