@@ -51,6 +51,18 @@ def drop(*frames: DataFrame) -> None:
                 path.getFileSystem(conf).delete(path.getParent(), True)
 
 
+_caches: list[dict] = []
+
+
+def only(cache: dict) -> None:
+    """Keep this word cache and let those of other operators go: a Python worker serves one operator after another."""
+    for c in _caches:
+        if c is not cache:
+            c.clear()
+    if not any(c is cache for c in _caches):
+        _caches.append(cache)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, lengthened until df has no column of that name in any case."""
     have = {c.lower() for c in df.columns}

@@ -55,7 +55,7 @@ class _Coder(dict):
     lower-case letters and the marks, which the tokenizer takes apart too, are looked up or coded by its model;
     other unknown words go through the whole tokenizer, many at once. Forgets all when it is full."""
 
-    FULL = 800_000
+    FULL = 300_000
 
     def __init__(self, path: str):
         super().__init__()
@@ -86,11 +86,13 @@ class _Coder(dict):
             ids = self.parts[part] = b"".join([code[t.id] for t in self.model.tokenize(text)])
         return ids
 
+    def clear(self) -> None:
+        super().clear()
+        self.parts.clear()
+
     def learn(self, words: set[bytes]) -> None:
-        if len(self) > self.FULL:
+        if len(self) > self.FULL or len(self.parts) > self.FULL:
             self.clear()
-        if len(self.parts) > self.FULL:
-            self.parts.clear()
         new, part = [], self._part
         for w in words:
             if w in self:
@@ -133,6 +135,7 @@ def token_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int =
         if path not in _coders:
             _coders[path] = _Coder(path)
         coder = _coders[path]
+        common.only(coder)
         for b in batches:
             at = 0
             sizes = np.cumsum([len(x.as_py() or b"") for x in b.column(1)])
@@ -330,7 +333,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> D
     are interchangeable; they are ranked by sub-groups of about RANKED rows, so equal lengths of
     a third of all rows are no single task. Columns named sequence_id or offset are replaced."""
     spark = pieces.sparkSession
-    table = common.materialise(pieces.withColumn("__row", F.monotonically_increasing_id()), "pieces")
+    row, salt, rank, at, first = (common.unused(pieces, x) for x in ("row", "salt", "rank", "at", "before"))
+    table = common.materialise(pieces.withColumn(row, F.monotonically_increasing_id()), "pieces")
     counts = {r.length: r.n for r in table.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
     if not counts:
         return pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
@@ -339,24 +343,22 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> D
     where = spark.sparkContext.broadcast(slots(plan(counts, capacity, groups)))  # bounded by the capacity
     salts = F.create_map(*[x for n, c in sorted(counts.items()) if c > RANKED for x in (F.lit(n), F.lit(-(-c // RANKED)))]) if max(counts.values()) > RANKED else None
     many = F.coalesce(F.try_element_at(salts, F.col("length")), F.lit(1)) if salts is not None else F.lit(1)
-    salted = table.withColumn("__salt", F.pmod(F.xxhash64("__row"), many.cast("long")))
-    before = salted.groupBy("length", "__salt").count().select("length", "__salt", (F.sum("count").over(Window.partitionBy("length").orderBy("__salt")) - F.col("count")).alias("__before"))
-    ranked = salted.withColumn("__rank", F.row_number().over(Window.partitionBy("length", "__salt").orderBy("__row")) - 1)
-    ranked = ranked.join(before, ["length", "__salt"]).withColumn("__rank", (F.col("__rank") + F.col("__before")).cast("long"))
+    salted = table.withColumn(salt, F.pmod(F.xxhash64(row), many.cast("long")))
+    before = salted.groupBy("length", salt).count().select("length", salt, (F.sum("count").over(Window.partitionBy("length").orderBy(salt)) - F.col("count")).alias(first))
+    ranked = salted.withColumn(rank, F.row_number().over(Window.partitionBy("length", salt).orderBy(row)) - 1)
+    ranked = ranked.join(before, ["length", salt]).withColumn(rank, (F.col(rank) + F.col(first)).cast("long"))
 
-    @F.pandas_udf("struct<sequence_id:long,offset:long>")
+    @F.arrow_udf("struct<sequence_id:long,offset:long>")
     def place(length, rank):
-        import pandas as pd
-
-        s, n, r = where.value, length.to_numpy(), rank.to_numpy()
+        s, n, r = where.value, length.to_numpy(zero_copy_only=False).astype(np.int64), rank.to_numpy(zero_copy_only=False)
         span = int(max(s["low"].max(), r.max(initial=0))) + 1
         i = np.searchsorted(s["length"] * span + s["low"], n * span + r, side="right") - 1
         k = r - s["low"][i]
-        return pd.DataFrame({"sequence_id": s["sequence"][i] + k // s["each"][i], "offset": s["offset"][i] + k % s["each"][i] * n})
+        return pa.StructArray.from_arrays([pa.array(s["sequence"][i] + k // s["each"][i]), pa.array(s["offset"][i] + k % s["each"][i] * n)], ["sequence_id", "offset"])
 
-    placed = ranked.withColumn("__at", place("length", "__rank"))
-    kept = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    return placed.select(*kept, "__at.sequence_id", "__at.offset")
+    placed = ranked.withColumn(at, place("length", rank))
+    kept = [F.col(f"`{c}`") for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
+    return placed.select(*kept, F.col(at)["sequence_id"].alias("sequence_id"), F.col(at)["offset"].alias("offset"))
 
 
 def packed(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = 0, keep_ids: bool = False) -> DataFrame:

@@ -162,11 +162,9 @@ def with_score(docs: DataFrame, net: Network, name: str = "score") -> DataFrame:
     """docs with a column of probabilities, named ``name`` (which replaces a column of that name)."""
     model = docs.sparkSession.sparkContext.broadcast(net)  # of fixed size
 
-    @F.pandas_udf("double")
+    @F.arrow_udf("double")
     def probability(bodies):
-        import pandas as pd
-
-        return pd.Series(model.value.score([bytes(b) if b is not None else b"" for b in bodies]))
+        return pa.array(model.value.score([x.as_py() or b"" for x in bodies]))
 
     return docs.withColumn(name, probability(F.col("text").cast("string").cast("binary")))
 

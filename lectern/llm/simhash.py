@@ -300,12 +300,13 @@ def one_of_each(docs: DataFrame, width: int = 4, threshold: int = 4, similar: tu
 
     Of rows with that doc_id the one with the smallest text hash stays, and any one of equal rows. Null and
     empty texts are one component, of which one row stays."""
+    o, h = common.unused(docs, "ord"), common.unused(docs, "h")
     own, label = _grouped(docs, width, threshold, similar)
     # reduced to one row a fingerprint before the join, so that a fingerprint of very many rows is no single task
     least = own.groupBy("fp").agg(F.min(F.struct(common.order_key("doc_id").alias("o"), "h")).alias("c"))
-    chosen = least.join(label, "fp").groupBy("root").agg(F.min("c").alias("c")).select(F.col("c.o").alias("__o"), F.col("c.h").alias("__h"))
-    keyed = docs.withColumns({"__o": common.order_key("doc_id"), "__h": F.xxhash64(F.col("text").cast("string").cast("binary"))})
-    return keyed.join(chosen, ["__o", "__h"], "left_semi").dropDuplicates(["__o", "__h"]).select(*docs.columns)
+    chosen = least.join(label, "fp").groupBy("root").agg(F.min("c").alias("c")).select(F.col("c.o").alias(o), F.col("c.h").alias(h))
+    keyed = docs.withColumns({o: common.order_key("doc_id"), h: F.xxhash64(F.col("text").cast("string").cast("binary"))})
+    return keyed.join(chosen, [o, h], "left_semi").dropDuplicates([o, h]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ class _Hashes(dict):
     """64-bit hashes of words; forgets all when it is full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 300_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -90,6 +90,7 @@ def _sketches(docs: DataFrame, length: int) -> DataFrame:
     """Of each row: its keys, number of words, digest of the whole text and its pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.only(_HASHES)
         for b in batches:
             n, sha, found = [], [], []
             for x in b.column(4):
@@ -252,12 +253,10 @@ def without_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     _, copies, spans = repeats(docs, length)
     spans = spans.unionByName(copies.select("ord", "h", F.array(F.struct(F.lit(0).alias("lo"), F.lit(2**31 - 1).alias("hi"))).alias("spans")))
 
-    @F.pandas_udf("string")
+    @F.arrow_udf("string")
     def cut(bodies, found):
-        import pandas as pd
-
         out = []
-        for body, s in zip(bodies, found, strict=True):
+        for body, s in zip(bodies.to_pylist(), found.to_pylist(), strict=True):
             if s is None or not len(s):
                 out.append(body)
                 continue
@@ -267,16 +266,15 @@ def without_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
             mask = _mask(len(at) - 1, s) if not whole else np.full(len(at) - 1, len(at) > length)
             kept = b"".join(raw[at[i] : at[i + 1]] for i in np.flatnonzero(~mask).tolist())
             out.append(None if mask.any() and mask.all() else kept.decode() if mask.any() else body)
-        return pd.Series(out, dtype=object)
+        return pa.array(out, pa.string())
 
-    # the reserved names keep clear of columns of the input
-    own = {"ord": "__ord", "h": "__h", "spans": "__spans"}
+    ord_, h, found, new = (common.unused(docs, x) for x in ("ord", "h", "spans", "new"))
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.withColumns({"__ord": common.order_key("doc_id"), "__h": F.xxhash64(body.cast("binary"))})
-    both = keyed.join(spans.withColumnsRenamed(own), ["__ord", "__h"], "left")
-    changed = both.withColumn("__new", F.when(F.col("__spans").isNotNull() & F.col("text").isNotNull(), cut(body, F.col("__spans"))).otherwise(F.col("text")))
-    kept = changed.where(F.col("__spans").isNull() | F.col("text").isNull() | F.col("__new").isNotNull())
-    return kept.withColumn("text", F.col("__new")).select(*docs.columns)
+    keyed = docs.withColumns({ord_: common.order_key("doc_id"), h: F.xxhash64(body.cast("binary"))})
+    both = keyed.join(spans.withColumnsRenamed({"ord": ord_, "h": h, "spans": found}), [ord_, h], "left")
+    changed = both.withColumn(new, F.when(F.col(found).isNotNull() & F.col("text").isNotNull(), cut(body, F.col(found))).otherwise(F.col("text")))
+    kept = changed.where(F.col(found).isNull() | F.col("text").isNull() | F.col(new).isNotNull())
+    return kept.withColumn("text", F.col(new)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_substrings(spark, sf_dir: str) -> DataFrame:

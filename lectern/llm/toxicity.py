@@ -153,6 +153,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(machine)  # of fixed size: 2**BITS x (1 + FACTORS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.only(_TERMS)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
