@@ -18,7 +18,8 @@ KEEP = 0.5
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     net = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.with_score(docs, net, "__quality").where(F.col("__quality") >= KEEP).drop("__quality")
+    name = common.unused(docs, "quality")
+    return quality.with_score(docs, net, name).where(F.col(name) >= KEEP).drop(name)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
