@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,12 +60,20 @@ _caches: list[dict] = []
 def only(cache: dict) -> None:
     """Keep this word cache and let those of other operators go: a Python worker serves one operator after another."""
     for c in _caches:
-        if c is not cache:
+        if c is not cache and c:
             c.clear()
+            trim()
     if not any(c is cache for c in _caches):
         _caches.append(cache)
 
 
+def trim() -> None:
+    """Give memory that Arrow and the C library keep for later back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # another C library keeps its memory
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, lengthened until df has no column of that name in any case."""
     have = {c.lower() for c in df.columns}

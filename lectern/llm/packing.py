@@ -55,7 +55,7 @@ class _Coder(dict):
     lower-case letters and the marks, which the tokenizer takes apart too, are looked up or coded by its model;
     other unknown words go through the whole tokenizer, many at once. Forgets all when it is full."""
 
-    FULL = 300_000
+    FULL = 150_000
 
     def __init__(self, path: str):
         super().__init__()
@@ -107,8 +107,8 @@ class _Coder(dict):
                 self[w] = part(m[1].lower().encode()) + (part(m[2].encode()) if m[2] else b"")
             else:
                 new.append(w)
-        for a in range(0, len(new), 20_000):
-            chunk = new[a : a + 20_000]
+        for a in range(0, len(new), 1000):
+            chunk = new[a : a + 1000]
             for w, e in zip(chunk, self.tokenizer.encode_batch_fast([w.decode() for w in chunk], add_special_tokens=False), strict=True):
                 self[w] = np.array(e.ids, "<u4").tobytes()
 
@@ -126,6 +126,7 @@ _coders: dict[str, _Coder] = {}
 def token_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32[, ids]) of docs(doc_id, text); null texts count as empty.
 
+    ids are little-endian unsigned 32-bit numbers in a binary column, which is what ids_crc32 is of.
     A document is its ids and ``end_id``; only longer ones than ``capacity`` are cut."""
     path = vocabulary or _vocabulary()
     end = np.array([end_id], "<u4").tobytes()
@@ -148,11 +149,12 @@ def token_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int =
                     ids += end
                     for k, a in enumerate(range(0, len(ids), 4 * capacity)):
                         piece = ids[a : a + 4 * capacity]
-                        rows.append((doc, k, a // 4, len(piece) // 4, zlib.crc32(piece), *([np.frombuffer(piece, "<i4")] if keep_ids else [])))
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
+                        rows.append((doc, k, a // 4, len(piece) // 4, zlib.crc32(piece), *([piece] if keep_ids else [])))
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(len(names))], names)
+        common.trim()
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("body")).mapInArrow(run, schema)
 
 

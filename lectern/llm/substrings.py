@@ -40,7 +40,7 @@ class _Hashes(dict):
     """64-bit hashes of words; forgets all when it is full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
