@@ -8,8 +8,11 @@ import ctypes
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,6 +96,28 @@ def order_key(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(LAST)).cast("long")
 
 
+def labelled(docs: DataFrame, labels: DataFrame, label: str, usable: Column, each: int) -> DataFrame:
+    """At most ``each`` labelled rows (key, y, text) of either class, those of the smallest hashes of doc_id, whatever their size.
+
+    Only ids within the bound are sent to the executors; conflicting labels of one id and ids of
+    no row are left out, repeated rows count once. ``key`` is an order of its own that mixes the classes."""
+    rows = labels.select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1)).where(usable)
+    rows = rows.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("top")).where("y = top")
+    key = F.xxhash64(F.col("doc_id"))
+    ids = rows.where("y = 1").orderBy(key, "doc_id").limit(each).union(rows.where("y = 0").orderBy(key, "doc_id").limit(each)).select("doc_id", "y")
+    # bounded: 2 x each ids
+    found = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).select(F.xxhash64("doc_id", F.lit(7)).alias("key"), "y", "text")
+
+
+def stream(df: DataFrame, size: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a materialised frame on the driver, file by file and ``size`` at a time; nothing else is held."""
+    for file in sorted(df.inputFiles()):
+        fs, path = FileSystem.from_uri(file)
+        with fs.open_input_file(path) as f:
+            yield from pq.ParquetFile(f).iter_batches(size, columns=df.columns)
+
+
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of doc_id as text, modulo; null when doc_id is null."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(modulus)

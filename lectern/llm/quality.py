@@ -5,11 +5,14 @@ every STRIDE-th place. Overlapping chunks (CHUNK bytes, each shifted by half of
 text; each filter is max-pooled within a chunk, and the largest and the mean of the chunks'
 values are combined by a logistic unit into one probability. For scoring, embedding and filters
 are multiplied into one table, so that a filter bank costs WIDTH look-ups at a place.
+
+The training rows are written in the shared folder in a hashed order and read again in every epoch, a batch at a time, so that
+the driver holds one batch of texts and no sample.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +24,8 @@ from lectern.llm import common
 WIDTH, STRIDE, CHUNK = 12, 4, 512
 #: At most so many labelled rows of each class are used for training.
 SAMPLE_EACH = 2000
-#: Labelled texts of more bytes are not used for training, which bounds the sample's size; they are scored like all.
-SAMPLE_BYTES = 1 << 20
+#: Rows of a training batch, and files of training rows.
+BATCH, FILES = 32, 8
 #: Places convolved at a time; bounds the memory of a very long text. A multiple of a half chunk.
 PLACES = 1 << 15
 _HALF = CHUNK // 2 // STRIDE
@@ -89,26 +92,23 @@ class Network:
             out[i] = c.max(0) @ self.p["top"] + c.mean(0) @ self.p["mean"] + self.p["bias"][0]
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
-    def fit(self, bodies: list[bytes], y, epochs: int = 5, size: int = 32, rate: float = 0.01, seed: int = 5) -> Network:
-        """Adam over shuffled batches; classes weigh alike. Gradients flow through the pooled places only."""
-        y = np.asarray(y, float)
+    def fit(self, batches: Callable[[], Iterable[tuple[list[bytes], np.ndarray]]], rows: int, positives: int, epochs: int = 5, rate: float = 0.01) -> Network:
+        """Adam over the batches (bodies, labels), read anew in each epoch; classes weigh alike. Gradients flow through the pooled places only."""
         p, m, v = self.p, {k: np.zeros_like(a) for k, a in self.p.items()}, {k: np.zeros_like(a) for k, a in self.p.items()}
-        weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
-        rng, step, filters = np.random.default_rng(seed), 0, len(p["shift"])
+        heavy = {1: 0.5 * rows / max(1, positives), 0: 0.5 * rows / max(1, rows - positives)}
+        step, filters = 0, len(p["shift"])
         self.training = True
         for epoch in range(epochs):
-            order = rng.permutation(len(y))
-            for i in range(0, len(y), size):
-                pick = order[i : i + size]
+            for bodies, y in batches():
                 self.freeze()
                 g = {k: np.zeros_like(a) for k, a in p.items()}
                 dt = np.zeros(WIDTH * 256 * filters)
-                for j in pick:
+                for j in range(len(bodies)):
                     c, place = self._chunks(bodies[j])
                     best = c.argmax(0)
                     top, mean = c[best, np.arange(filters)], c.mean(0)
                     z = top @ p["top"] + mean @ p["mean"] + p["bias"][0]
-                    d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[j]) * weight[j] / len(pick)
+                    d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[j]) * heavy[int(y[j])] / len(bodies)
                     g["top"] += d * top
                     g["mean"] += d * mean
                     g["bias"] += d
@@ -135,27 +135,22 @@ class Network:
         return self.freeze()
 
 
-def sample(docs: DataFrame, labels: DataFrame, modulus: int, held: int, each: int) -> list[tuple[bytes, int]]:
-    """At most ``each`` labelled (bytes, quality) rows of either class, those of the smallest hashes of doc_id.
-
-    Conflicting labels of one id are left out; repeated rows count once. The ids sent to the
-    executors are at most 2 x each."""
-    rows = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1))
-    rows = rows.where(common.remainder(F.col("doc_id"), modulus) != held).groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("top")).where("y = top")
-    key = F.xxhash64(F.col("doc_id"))
-    ids = rows.where("y = 1").orderBy(key, "doc_id").limit(each).union(rows.where("y = 0").orderBy(key, "doc_id").limit(each)).select("doc_id", "y")
-    found = docs.select(F.col("doc_id").cast("long"), "text").where(F.octet_length(F.coalesce("text", F.lit(""))) <= SAMPLE_BYTES).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
-    return [((r.text or "").encode(), r.y) for r in sorted(found.collect(), key=lambda r: r.doc_id)]
-
-
 def train(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, each: int = SAMPLE_EACH) -> Network:
     """A network fitted on labels.quality of rows whose remainder of crc32(doc_id) is not ``held``."""
-    rows = sample(docs, labels, modulus, held, each)
+    rows = common.labelled(docs, labels, "quality", common.remainder(F.col("doc_id"), modulus) != held, each)
+    dealt = rows.repartitionByRange(FILES, "key").sortWithinPartitions("key").select("y", F.col("text").cast("binary").alias("body"))
+    kept = common.materialise(dealt, "sample")
+    sizes = kept.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("ones")).first()
     net = Network()
-    if not rows:
+    if not sizes.n:
         net.p["top"][:], net.p["mean"][:] = 0, 0
         return net.freeze()
-    return net.fit([b for b, _ in rows], [y for _, y in rows])
+
+    def batches() -> Iterator[tuple[list[bytes], np.ndarray]]:
+        for b in common.stream(kept, BATCH):
+            yield b.column(1).to_pylist(), b.column(0).to_numpy()
+
+    return net.fit(batches, sizes.n, sizes.ones)
 
 
 def with_score(docs: DataFrame, net: Network, name: str = "score") -> DataFrame:

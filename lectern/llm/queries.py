@@ -16,4 +16,4 @@ QUERIES = {
     "op9_sharding": sharding.op9_sharding,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
-ORACLES: dict[str, str] = {"op2_licenses": licenses.ORACLE}
+ORACLES: dict[str, str] = {"op2_licenses": licenses.ORACLE, "op4_topk": topk.ORACLE}

@@ -5,6 +5,10 @@ hashed into ``2**BITS`` buckets. The machine learns a weight and a latent vector
 the products of the vectors score pairs of terms that occur together, such as an insult with the
 mention of a group, which no sum of single weights expresses. It is trained with AdaGrad in numpy
 on a bounded sample of the labelled rows and scores every whole text.
+
+Long texts hold thousands of words that say nothing; of the buckets those count that the classes of the sample tell
+apart by SIGMA standard errors, at most TERMS of them. Counts come from the executors by bucket, then the rows' values of
+these buckets: the driver holds at most 2 x SAMPLE_EACH x TERMS numbers and no text.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import common
@@ -25,8 +29,8 @@ from lectern.llm import common
 BITS = 18
 #: At most so many labelled rows of each class are used for training.
 SAMPLE_EACH = 4000
-#: Labelled texts of more bytes are not used for training, which bounds the sample's size; they are scored like all.
-SAMPLE_BYTES = 1 << 20
+#: Buckets that count, and the standard errors by which they must tell the classes apart.
+TERMS, SIGMA = 4096, 2.0
 FACTORS = 8
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -60,7 +64,7 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Machine:
-    """Weights of a factorization machine; ``known`` marks buckets seen in at least two training texts (``least`` of fit)."""
+    """Weights of a factorization machine; ``known`` marks the buckets that count."""
 
     def __init__(self, factors: int = FACTORS, seed: int = 7):
         rng = np.random.default_rng(seed)
@@ -97,12 +101,14 @@ class Machine:
         raw, _, _ = self._raw(*self._batch(rows), len(rows))
         return 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
 
-    def fit(self, rows, y, epochs: int = 6, size: int = 64, rate: float = 0.25, decay: float = 1e-5, least: int = 2, seed: int = 7) -> Machine:
-        """AdaGrad over shuffled batches; classes weigh alike. With one class only, the prior is learnt."""
+    def fit(self, rows, y, epochs: int = 6, size: int = 64, rate: float = 0.25, decay: float = 1e-5, known: np.ndarray | None = None, seed: int = 7) -> Machine:
+        """AdaGrad over shuffled batches; classes weigh alike. With one class only, the prior is learnt.
+
+        ``known`` marks the buckets that count; by default those of two or more rows."""
         y = np.asarray(y, float)
         if not len(y):
             return self
-        self.known = np.bincount(np.concatenate([a for a, _ in rows] or [np.empty(0, np.int64)]), minlength=1 << BITS) >= least
+        self.known = known if known is not None else np.bincount(np.concatenate([a for a, _ in rows] or [np.empty(0, np.int64)]), minlength=1 << BITS) >= 2
         rng = np.random.default_rng(seed)
         gb, gw, gv = 1e-6, np.full(1 << BITS, 1e-6), np.full(self.v.shape, 1e-6)
         weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
@@ -128,24 +134,53 @@ class Machine:
         return self
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, each: int) -> list[tuple[str | None, int]]:
-    """At most ``each`` labelled (text, label) rows of either class, those of the smallest hashes of doc_id.
+def telling(ones: np.ndarray, every: np.ndarray, positives: int, rows: int) -> np.ndarray:
+    """Marks of the buckets in two or more rows whose share of label 1 differs from the sample's by SIGMA standard errors.
+
+    ones, every: in how many rows of label 1, and of both, each bucket stands. The TERMS most telling at most; without two classes, none."""
+    share = positives / max(1, rows)
+    spread = np.sqrt(np.maximum(every * share * (1 - share) * (1 - every / max(1, rows)), 1e-9))
+    z = np.where((every >= 2) & (every < rows), np.abs(ones - every * share) / spread, 0)
+    known = z >= SIGMA
+    if known.sum() > TERMS:
+        known &= z > np.sort(z)[-TERMS - 1]
+    return known if 0 < positives < rows else np.zeros(len(every), bool)
 
-    Only ids within the bound are sent to the executors; conflicting labels of one id and ids of
-    no row are left out, repeated rows count once."""
-    rows = labels.select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1)).where(usable)
-    rows = rows.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("top")).where("y = top")
-    key = F.xxhash64(F.col("doc_id"))
-    ids = rows.where("y = 1").orderBy(key, "doc_id").limit(each).union(rows.where("y = 0").orderBy(key, "doc_id").limit(each)).select("doc_id", "y")
-    # bounded: 2 x each ids
-    found = docs.select(F.col("doc_id").cast("long"), "text").where(F.octet_length(F.coalesce("text", F.lit(""))) <= SAMPLE_BYTES).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
-    return [(r.text, r.y) for r in sorted(found.collect(), key=lambda r: r.doc_id)]
+
+def _arrays(column: pa.ChunkedArray, kind: str) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_py(), kind) for x in column]
 
 
 def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, each: int = SAMPLE_EACH) -> Machine:
     """A machine fitted on labels.toxic of rows whose remainder of crc32(doc_id) is not ``held``."""
-    rows = sample(docs, labels, "toxic", common.remainder(F.col("doc_id"), modulus) != held, each)
-    return Machine().fit([features(t) for t, _ in rows], [y for _, y in rows])
+    names = ("key", "y", "ids", "values")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.only(_TERMS)
+        for b in batches:
+            for i in range(b.num_rows):
+                a, x = features(b.column(2)[i].as_py())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(1).slice(i, 1), pa.array([a.astype(np.int32)], pa.list_(pa.int32())), pa.array([x.astype(np.float32)], pa.list_(pa.float32()))], names)
+
+    texts = common.labelled(docs, labels, "toxic", common.remainder(F.col("doc_id"), modulus) != held, each)
+    rows = common.materialise(texts.mapInArrow(read, "key long, y int, ids array<int>, values array<float>"), "sample")
+    sizes = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("ones")).first()
+    counts = rows.select("y", F.explode("ids").alias("id")).groupBy("id").agg(F.sum("y").alias("ones"), F.count("*").alias("n")).toArrow()  # at most 2**BITS rows
+    ones, every = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    at = counts.column("id").to_numpy()
+    ones[at], every[at] = counts.column("ones").to_numpy(), counts.column("n").to_numpy()
+    known = telling(ones, every, sizes.ones, sizes.n)
+    use = docs.sparkSession.sparkContext.broadcast(np.packbits(known))  # of fixed size
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mark = np.unpackbits(use.value).astype(bool)
+        for b in batches:
+            found = [(a[mark[a]], x[mark[a]]) for a, x in ((np.array(i.as_py(), np.int64), np.array(v.as_py(), np.float64)) for i, v in zip(b.column(2), b.column(3), strict=True))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([a.astype("<i4").tobytes() for a, _ in found], pa.binary()), pa.array([x.astype("<f4").tobytes() for _, x in found], pa.binary())], names)
+
+    small = rows.mapInArrow(keep, "key long, y int, ids binary, values binary").toArrow().sort_by("key")  # at most 2 x each rows of TERMS numbers
+    got = list(zip(_arrays(small.column("ids"), "<i4"), _arrays(small.column("values"), "<f4"), strict=True))
+    return Machine().fit([(a.astype(np.int64), x.astype(np.float64)) for a, x in got], small.column("y").to_numpy(), epochs=8, known=known)
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:

@@ -49,3 +49,30 @@ def test_tree_prunes():
     t.scores = lambda q, a, b, f=t.scores: (seen.append((b - a) * len(q)), f(q, a, b))[1]
     t.search(np.arange(20), v[:20], 5, np.full(20, -(2**63)))
     assert sum(seen) < 0.5 * 20 * 4000
+
+
+def test_few_shards_are_visited(spark):
+    """On clustered vectors a query goes to few of the shards, and every row is in one shard."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(0, 1, (40, 6)) * 4
+    v = np.concatenate([c + rng.normal(0, 0.05, (50, 6)) for c in centres])
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    probed, found, visits, shards = topk._found(df, F.col("vec_id") % 20 == 0, 5, 60, 30)
+    assert shards > 25 and 100 + visits.count() < 0.5 * 100 * shards
+    got = sorted(tuple(r) for r in topk._ranked(probed, found, 5).collect())
+    assert got == brute(rows, 5, 20)
+
+
+def test_best_bound_first():
+    """The leaves of one query are opened in the order of their bounds."""
+    rng = np.random.default_rng(2)
+    v = rng.integers(-1000, 1000, (3000, 3))
+    t = topk.BallTree(np.arange(3000), v)
+    q = rng.integers(-1000, 1000, (1, 3))
+    seen = []
+    t.scores = lambda x, a, b, f=t.scores: (seen.append((a, b)), f(x, a, b))[1]
+    t.search(np.array([-1]), q, 5, np.array([-(2**63)]))
+    leaves = {(a, b): i for i, (a, b, left, _) in enumerate(t.nodes) if left < 0}
+    bound = [float(t.bounds(leaves[x], q.astype(float), np.sqrt((q * q).sum(1)))[0]) for x in seen]
+    assert bound == sorted(bound, reverse=True) and len(bound) < len(leaves)

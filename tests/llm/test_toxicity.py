@@ -20,6 +20,38 @@ def test_pairwise_interaction_is_learnt():
     assert np.mean((m.score(x[2000:]) >= 0.5) == np.array(y[2000:])) > 0.95
 
 
+def test_score_against_the_sum_over_pairs():
+    rng = random.Random(5)
+    words = ["abel", "brink", "cosy", "dune", "elder", "abet"]
+    rows = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 9))) for _ in range(60)]
+    x = [toxicity.features(t) for t in rows]
+    m = toxicity.Machine().fit(x, [i % 2 for i in range(60)])
+    for (ids, values), p in zip(x, m.score(x), strict=True):
+        use = [(int(i), v) for i, v in zip(ids, values, strict=True) if m.known[i]]
+        size = sum(v * v for _, v in use) ** 0.5 or 1
+        use = [(i, v / size) for i, v in use]
+        raw = m.bias + sum(m.w[i] * v for i, v in use)
+        raw += sum((m.v[i] @ m.v[j]) * v * u for a, (i, v) in enumerate(use) for j, u in use[a + 1 :])
+        assert abs(1 / (1 + np.exp(-raw)) - p) < 1e-9
+
+
+def test_telling_buckets():
+    """z of a share against the sample's, computed apart."""
+    ones, every = np.array([10.0, 5, 2, 1, 0, 30]), np.array([10.0, 40, 4, 1, 25, 100])
+    got = toxicity.telling(ones, every, 30, 100)
+    z = [abs(o - e * 0.3) / (e * 0.3 * 0.7 * (1 - e / 100)) ** 0.5 if 2 <= e < 100 else 0 for o, e in zip(ones, every, strict=True)]
+    assert got.tolist() == [x >= 2 for x in z] and got.tolist() == [True, True, False, False, True, False]
+    assert not toxicity.telling(ones, every, 100, 100).any() and not toxicity.telling(ones, every, 0, 0).any()
+
+
+def test_recall_on_held_out_labels(spark):
+    """Label 1 of rows that weren't trained on, on the larger table."""
+    sf = "/root/testdata/sf0.1"
+    got = toxicity.op1_toxicity(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").select("toxic", "predicted").collect()
+    assert np.mean([r.predicted for r in got if r.toxic == 1]) >= 0.85
+    assert np.mean([r.predicted for r in got if r.toxic == 0]) <= 0.01
+
+
 def test_query_on_held_out_rows_and_edge_cases(spark):
     rng = random.Random(2)
     docs, labels = [], []
