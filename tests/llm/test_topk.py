@@ -73,6 +73,16 @@ def test_best_bound_first():
     seen = []
     t.scores = lambda x, a, b, f=t.scores: (seen.append((a, b)), f(x, a, b))[1]
     t.search(np.array([-1]), q, 5, np.array([-(2**63)]))
-    leaves = {(a, b): i for i, (a, b, left, _) in enumerate(t.nodes) if left < 0}
-    bound = [float(t.bounds(leaves[x], q.astype(float), np.sqrt((q * q).sum(1)))[0]) for x in seen]
-    assert bound == sorted(bound, reverse=True) and len(bound) < len(leaves)
+    bound, parts = {}, {}
+
+    def down(i, above):
+        a, b, left, right = t.nodes[i]
+        bound[i] = min(above, float(t.bounds(i, q.astype(float), np.sqrt((q * q).sum(1)))[0]))
+        if left < 0:
+            parts[a, b] = bound[i]
+        else:
+            down(left, bound[i]), down(right, bound[i])
+
+    down(0, float("inf"))
+    opened = [parts[x] for x in seen]
+    assert opened == sorted(opened, reverse=True) and len(opened) < len(parts)
