@@ -24,7 +24,33 @@ LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
 OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
 SOFTWARE.
 """
+BSD = """Copyright (c) 2019, Example Corp.
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+3. Neither the name of Example Corp. nor the names of its contributors may be
+   used to endorse or promote products derived from this software without
+   specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY EXAMPLE CORP. AND CONTRIBUTORS "AS IS" AND ANY
+EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.
+"""
+_PARTS = "bsd_grant,bsd_source,bsd_binary,bsd_names,bsd_as_is"
 ROWS = [
+    (20, BSD, f"reserved,{_PARTS}", "BSD-3-Clause", ""),
+    (21, BSD.replace("2. Redist", "A sentence of somebody else.\n2. Redist"), f"reserved,{_PARTS}", "All-Rights-Reserved", _PARTS),
+    (22, BSD.replace("Corp. nor", "Corp nor"), f"reserved,{_PARTS}", "BSD-3-Clause", ""),
+    (23, "SPDX-License-Identifier: LGPL-2.1-or-later", "lgpl21plus_ref", "LGPL-2.1-or-later", ""),
+    (24, "GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007\n\nCopyright (C) 2007 Somebody\nEveryone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.", "agpl_title,agpl_v3_date,gnu_verbatim", "AGPL-3.0-only", ""),
+    (25, MIT.replace("The above", "Some other words here.\nThe above"), "mit_name,mit_grant,mit_notice,mit_as_is,mit_liability", "MIT", "mit_grant,mit_notice,mit_as_is,mit_liability"),
     (1, MIT, "mit_name,mit_grant,mit_notice,mit_as_is,mit_liability", "MIT", ""),
     (2, "Some words here.\nReleased under the MIT License.\nMore text.", "mit_ref", "MIT", ""),
     (3, "x. Licensed under CC BY-NC 4.0. LICENSED UNDER THE APACHE LICENSE, VERSION 2.0!", "ccbync4_ref,apache2_ref", "Apache-2.0,CC-BY-NC-4.0", ""),
