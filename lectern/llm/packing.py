@@ -26,8 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.llm import common
 
@@ -328,18 +331,50 @@ def slots(classes: list[tuple[int, list[tuple[int, int]]]]) -> dict[str, np.ndar
     return dict(zip(("length", "low", "sequence", "each", "offset"), a.T, strict=True))
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:
+def _fetch(wide: tuple[str, ...], names: list[str]):
+    """Adds the columns ``wide`` to rows sorted by (file, index), their last two columns, by reading the files in step."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, chunks, held, first = None, None, None, 0
+        for b in batches:
+            files, index = b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_numpy()
+            at = 0
+            while at < b.num_rows:
+                if files[at] != file:
+                    file = files[at]
+                    fs, path = FileSystem.from_uri(file)
+                    chunks, held, first = pq.ParquetFile(fs.open_input_file(path)).iter_batches(256, columns=list(wide), use_threads=False), None, 0
+                while held is None or index[at] >= first + held.num_rows:
+                    first += held.num_rows if held is not None else 0
+                    held = next(chunks)
+                to = at + 1
+                while to < b.num_rows and files[to] == file and index[to] < first + held.num_rows:
+                    to += 1
+                part, taken = b.slice(at, to - at), held.take(pa.array(index[at:to] - first))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-2], *(taken.column(c) for c in wide)], names)
+                at = to
+
+    return run
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, wide: tuple[str, ...] = ()) -> DataFrame:
     """pieces (with a column length, 1 to capacity) and their sequence_id and offset.
 
     Offsets are gapless from 0 in each sequence; ids of sequences are numbers from 0. Rows of one length
     are interchangeable; they are ranked by sub-groups of about RANKED rows, so equal lengths of
-    a third of all rows are no single task. Columns named sequence_id or offset are replaced."""
+    a third of all rows are no single task. Columns named sequence_id or offset are replaced.
+
+    Binary columns named in ``wide``, such as the ids, are never sorted: the rows travel without them and take them from the
+    written pieces in the end, file by file; they come last."""
     spark = pieces.sparkSession
-    row, salt, rank, at, first = (common.unused(pieces, x) for x in ("row", "salt", "rank", "at", "before"))
+    row, salt, rank, at, first, file, index = (common.unused(pieces, x) for x in ("row", "salt", "rank", "at", "before", "file", "index"))
     table = common.materialise(pieces.withColumn(row, F.monotonically_increasing_id()), "pieces")
+    if wide:
+        table = table.select(*[F.col(f"`{c}`") for c in table.columns if c not in wide], F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(index))
     counts = {r.length: r.n for r in table.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
     if not counts:
-        return pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
+        none = [F.col(f"`{c}`") for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
+        return pieces.select(*none, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     if min(counts) < 1 or max(counts) > capacity:
         raise ValueError("lengths must be 1 to capacity")
     where = spark.sparkContext.broadcast(slots(plan(counts, capacity, groups)))  # bounded by the capacity
@@ -359,16 +394,21 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> D
         return pa.StructArray.from_arrays([pa.array(s["sequence"][i] + k // s["each"][i]), pa.array(s["offset"][i] + k % s["each"][i] * n)], ["sequence_id", "offset"])
 
     placed = ranked.withColumn(at, place("length", rank))
-    kept = [F.col(f"`{c}`") for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
-    return placed.select(*kept, F.col(at)["sequence_id"].alias("sequence_id"), F.col(at)["offset"].alias("offset"))
+    kept = [F.col(f"`{c}`") for c in pieces.columns if c.lower() not in ("sequence_id", "offset") and c not in wide]
+    out = placed.select(*kept, F.col(at)["sequence_id"].alias("sequence_id"), F.col(at)["offset"].alias("offset"), *([file, index] if wide else []))
+    if not wide:
+        return out
+    dealt = out.repartition(common.partitions(spark), file).sortWithinPartitions(file, index)
+    schema = T.StructType([*out.schema.fields[:-2], *(pieces.schema[c] for c in wide)])
+    return dealt.mapInArrow(_fetch(wide, schema.names), schema)
 
 
 def packed(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
-    """Rows (doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset) for docs(doc_id, text).
+    """Rows (doc_id, piece, start, length, ids_crc32, sequence_id, offset[, ids]) for docs(doc_id, text).
 
     Null and empty texts are one piece with the end mark alone. Repeated rows and null ids are packed
     like any others. An empty table gives an empty result; other columns are ignored."""
-    return pack(token_pieces(docs, vocabulary, capacity, end_id, keep_ids), capacity)
+    return pack(token_pieces(docs, vocabulary, capacity, end_id, keep_ids), capacity, wide=("ids",) * keep_ids)
 
 
 def op5_packing(spark, sf_dir: str) -> DataFrame:
