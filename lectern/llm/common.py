@@ -8,7 +8,7 @@ import ctypes
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 LAST = 2**63 - 1
 
 _local_base: dict[str, str] = {}
+#: Folders that tables are written to while ``written`` makes one.
+_scopes: list[str] = []
 
 
 def workspace(spark: SparkSession) -> str:
@@ -36,9 +38,29 @@ def workspace(spark: SparkSession) -> str:
             path = tempfile.mkdtemp(prefix="lectern-")
             atexit.register(shutil.rmtree, path, ignore_errors=True)
             base = _local_base[sc.applicationId] = f"file://{path}"
+    if _scopes:
+        base = _scopes[-1]
     return f"{base.rstrip('/')}/lectern-{uuid.uuid4().hex}"
 
 
+def written(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """The frame that ``make`` gives, materialised; all tables that were written for it are deleted."""
+    path, scope = f"{workspace(spark)}/{label}", workspace(spark)
+    _scopes.append(scope)
+    try:
+        df = make()
+        df.write.parquet(path)
+    finally:
+        _scopes.remove(scope)
+        _delete(spark, scope)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame, label: str = "table") -> DataFrame:
     """Write df as Parquet in the shared folder and read it again; this cuts its lineage."""
     path = f"{workspace(df.sparkSession)}/{label}"
@@ -49,12 +71,9 @@ def materialise(df: DataFrame, label: str = "table") -> DataFrame:
 def drop(*frames: DataFrame) -> None:
     """Delete the files of materialised frames that nothing reads any more."""
     for df in frames:
-        jvm = df.sparkSession._jvm
-        conf = df.sparkSession._jsc.hadoopConfiguration()
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
+        for folder in {f.rsplit("/", 2)[0] for f in df.inputFiles()}:
             if "/lectern-" in folder:
-                path.getFileSystem(conf).delete(path.getParent(), True)
+                _delete(df.sparkSession, folder)
 
 
 _caches: list[dict] = []
@@ -138,6 +157,7 @@ def components(edges: DataFrame) -> DataFrame:
             up = hook.select(F.col("node").alias("root"), F.col("root").alias("above"))
             nxt = materialise(hook.join(up, "root").select("node", F.col("above").alias("root"), (F.col("above") != F.col("root")).alias("moved")), "jump")
             done = not nxt.where("moved").head(1)
+            drop(hook)
             hook = nxt.select("node", "root")
             if done:
                 break
@@ -147,11 +167,13 @@ def components(edges: DataFrame) -> DataFrame:
             step = hook.select(F.col("node").alias("root"), F.col("root").alias("new"))
             total = materialise(total.join(step, "root", "left").select("node", F.coalesce("new", "root").alias("root")), "labels")
         at = lambda n, h: h.select(F.col("node").alias(n), F.col("root").alias(f"{n}_root"))
-        left = materialise(
+        rest = materialise(
             left.join(at("a", hook), "a").join(at("b", hook), "b")
             .where("a_root <> b_root")
             .select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b"))
             .distinct(),
             "edges",
         )
+        drop(left)
+        left = rest
     return total if total is not None else left.select(F.col("a").alias("node"), F.col("b").alias("root"))

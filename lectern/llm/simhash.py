@@ -12,6 +12,8 @@ links is emitted, never all pairs; equal fingerprints are one vertex from the st
 A copy with a few changed words differs in more bits than anchors can cover (10 of 64 at similarity 0.8, more than 16 at
 times). ``similar_links`` therefore finds texts by BANDS bands of BAND_ROWS minhashes of their shingles and
 keeps the pairs whose exact Jaccard similarity suffices; at 0.8 a pair shares no band with probability 3e-6.
+Bands of more texts than one task should hold are worked in rounds: a few texts that aren't in the band's largest component
+yet are compared with all of the band, which is dealt over many tasks, until every text is in that component or was compared.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm import common
@@ -31,6 +33,8 @@ SEED = 42
 BLOCK = 1 << 16
 #: Bands of minhashes, and minhashes in each.
 BANDS, BAND_ROWS = 24, 4
+#: Texts, and bytes of their sets of shingles, that one task compares; a band of more is worked in rounds of at most PIVOTS texts.
+GROUP, GROUP_BYTES, PIVOTS = 1000, 1 << 26, (64, 1024)
 _MULTIPLY, _ADD = (np.random.default_rng(SEED).integers(1, 1 << 63, (2, BANDS * BAND_ROWS), np.uint64) | np.uint64(1))
 
 
@@ -162,7 +166,7 @@ def links(fps: DataFrame, threshold: int = 4) -> DataFrame:
         if len(kept_k):
             yield out(kept_k, kept_f)
 
-    entries = fps.select("fp").mapInArrow(spread, "anchor long, fp long")
+    entries = fps.select("fp").repartition(common.partitions(fps.sparkSession)).mapInArrow(spread, "anchor long, fp long")
     dealt = entries.repartition(common.partitions(fps.sparkSession), "anchor").sortWithinPartitions("anchor")
     return dealt.mapInArrow(compare, "a long, b long")
 
@@ -214,10 +218,88 @@ def similar_forest(sets: list[np.ndarray], least: float) -> list[tuple[int, int]
     return found
 
 
-def similar_links(docs: DataFrame, own: DataFrame, width: int, least: float) -> DataFrame:
+def _against(least: float):
+    """A spanning forest of the links between texts (fp, found) and pivots (pfp, pfound) that are similar."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = [], []
+        if left.num_rows and right.num_rows:
+            sets = [np.frombuffer(x.as_py(), np.uint64) for x in right.column("pfound")]
+            size, names = np.array([len(x) for x in sets]), right.column("pfp").to_pylist()
+            every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+            order = np.argsort(every, kind="stable")
+            every, owner = every[order], owner[order]
+            root = list(range(len(sets)))  # of each pivot, by the links so far
+
+            def find(i: int) -> int:
+                while root[i] != i:
+                    root[i] = i = root[root[i]]
+                return i
+
+            for fp, x in zip(left.column("fp").to_pylist(), left.column("found"), strict=True):
+                x = np.frombuffer(x.as_py(), np.uint64)
+                lo, hi = np.searchsorted(every, x), np.searchsorted(every, x, side="right")
+                n = hi - lo
+                at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+                both = np.bincount(owner[at], minlength=len(sets))
+                first = None
+                for i in np.flatnonzero(both >= least * (size + len(x) - both) - 1e-9).tolist():
+                    if names[i] == fp or (first is not None and find(i) == find(first)):
+                        continue
+                    a.append(fp)
+                    b.append(names[i])
+                    if first is None:
+                        first = i
+                    else:
+                        root[find(i)] = find(first)
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _crowded_links(entries: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) within the groups of entries(key, fp, found), which are too large for a task, beside the ``known`` ones.
+
+    Together they have the components of all links. Every text outside its group's largest component is
+    compared with the whole group, a bounded number a round."""
+    sized = entries.select("key", "fp", F.octet_length("found").alias("bytes"))
+    parts = common.materialise(sized.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("bytes") / GROUP_BYTES)).cast("int").alias("parts")), "parts")
+    roots = common.components(known).select(F.col("node").alias("fp"), "root")
+    label = common.materialise(sized.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "label")
+    dealt = common.materialise(entries.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")), "dealt")
+    tried, out, many = None, None, PIVOTS[0]
+    while True:
+        count = label.groupBy("key", "root").agg(F.count("*").alias("n"))
+        main = common.materialise(count.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m")).select("key", F.col("m.root").alias("main")), "main")
+        pending = label.join(main, "key").where("root <> main").drop("main")
+        if tried is not None:
+            pending = pending.join(tried, ["key", "fp"], "left_anti")
+        w = Window.partitionBy("key").orderBy(F.xxhash64("fp"), "fp")
+        first = pending.withColumn("n", F.row_number().over(w)).where(F.col("n") <= many)
+        first = first.withColumn("until", F.sum("bytes").over(w)).where((F.col("n") == 1) | (F.col("until") <= GROUP_BYTES))
+        pivots = common.materialise(first.select("key", "fp"), "pivots")
+        if not pivots.head(1):
+            return out if out is not None else known.limit(0)
+        each = entries.join(pivots, ["key", "fp"]).join(parts, "key")
+        each = each.select(F.col("key").alias("pkey"), F.col("fp").alias("pfp"), F.col("found").alias("pfound"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("ppart"))
+        new = dealt.groupBy("key", "part").cogroup(each.groupBy("pkey", "ppart")).applyInArrow(_against(least), "a long, b long")
+        new = common.materialise(new, "new")
+        out = new if out is None else out.union(new)
+        # links between roots, and the roots that these lead to
+        home = common.materialise(label.select("fp", "root").distinct(), "home")
+        end = lambda n: home.select(F.col("fp").alias(n), F.col("root").alias(f"{n}_root"))
+        joined = common.components(new.join(end("a"), "a").join(end("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
+        moved = joined.select(F.col("node").alias("root"), F.col("root").alias("to"))
+        label = common.materialise(label.join(moved, "root", "left").select("key", "fp", "bytes", F.coalesce("to", "root").alias("root")), "label")
+        tried = pivots if tried is None else tried.union(pivots)
+        many = min(4 * many, PIVOTS[1])
+
+
+def similar_links(docs: DataFrame, own: DataFrame, width: int, least: float, known: DataFrame) -> DataFrame:
     """Links (a, b) of fingerprints in own(h, fp) of texts of docs whose sets of shingles have Jaccard similarity ``least`` or more.
 
-    Spanning forests of the texts that share a band, as in ``links``; equal texts count once."""
+    Spanning forests of the texts that share a band, as in ``links``; equal texts count once. With the links ``known`` (a, b)
+    they have the components of all links."""
     spark = docs.sparkSession
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,9 +344,15 @@ def similar_links(docs: DataFrame, own: DataFrame, width: int, least: float) ->
     wanted = common.materialise(members.select("h").distinct(), "wanted")
     whole = common.materialise(texts.join(wanted, "h", "left_semi").mapInArrow(sets, "h long, found binary").dropDuplicates(["h"]), "sets")
     named = whole.join(own.select("h", "fp").dropDuplicates(["h"]), "h")
-    entries = members.join(named, "h").select("key", "fp", "found")
-    dealt = entries.repartition(common.partitions(spark), "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(compare, "a long, b long")
+    entries = common.materialise(members.join(common.materialise(named, "named"), "h").select("key", "fp", "found"), "entries")
+    crowd = entries.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.octet_length("found")).alias("bytes")).where((F.col("n") > GROUP) | (F.col("bytes") > GROUP_BYTES))
+    crowd = common.materialise(crowd.select("key"), "crowd")
+    dealt = entries.join(crowd, "key", "left_anti").repartition(common.partitions(spark), "key").sortWithinPartitions("key")
+    found = dealt.mapInArrow(compare, "a long, b long")
+    if not crowd.head(1):
+        return found
+    found = common.materialise(found, "found")
+    return found.union(_crowded_links(common.materialise(entries.join(crowd, "key", "left_semi"), "crowded"), known.union(found), least))
 
 
 def _grouped(docs: DataFrame, width: int, threshold: int, similar: tuple[int, float] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -275,10 +363,14 @@ def _grouped(docs: DataFrame, width: int, threshold: int, similar: tuple[int, fl
     fps = own.groupBy("fp").agg(F.min(common.order_key("doc_id")).alias("first"))
     found = links(fps, threshold)
     if similar is not None:
-        found = found.union(similar_links(docs, own, *similar))
+        found = common.materialise(found, "found")
+        found = found.union(similar_links(docs, own, *similar, found))
     roots = common.components(found)
     named = fps.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    return own, named.join(named.groupBy("root").agg(F.min("first").alias("component")), "root").select("fp", "root", "component")
+    named = common.materialise(named, "named")
+    # written, so that the joins on a component of very many fingerprints and on a fingerprint of very many rows can be split
+    lowest = common.materialise(named.groupBy("root").agg(F.min("first").alias("component")), "lowest")
+    return own, common.materialise(named.join(lowest, "root").select("fp", "root", "component"), "label")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, threshold: int = 4) -> DataFrame:

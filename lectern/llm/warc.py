@@ -97,6 +97,7 @@ def write(pages: DataFrame, least: int = 1000, date: str = "2024-01-01T00:00:00Z
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), body.alias("payload"), F.sha1(body).alias("digest"), F.octet_length(body).alias("n"))
     long = rows.where(F.col("n") >= least).select("page_id", "digest")
     heads = long.groupBy("digest").agg(F.max("page_id").alias("target"), F.count("*").alias("count")).where("count > 1 and target is not null").select("digest", "target")
+    heads = common.materialise(heads, "heads")  # written, so that the join on a payload of very many copies can be split
     revisits = long.join(heads, "digest").where("page_id is null or page_id <> target").distinct()
     r = revisits.select(F.col("page_id").alias("r_id"), F.col("digest").alias("r_digest"), "target")
     both = rows.join(r, (F.col("digest") == F.col("r_digest")) & F.col("page_id").eqNullSafe(F.col("r_id")), "left")

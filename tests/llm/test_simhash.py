@@ -96,3 +96,32 @@ def test_similar_texts_beyond_the_threshold_go(spark):
     assert {r.doc_id for r in simhash.one_of_each(df, similar=(5, 0.8)).collect()} == want
     assert len({r.doc_id for r in simhash.one_of_each(df).collect()}) > len(want)
     assert simhash.one_of_each(df.limit(0), similar=(5, 0.8)).count() == 0
+
+
+def test_crowded_bands_give_all_links(spark, monkeypatch):
+    """Many near copies of one text, some near to a few others only, with groups far above what a task compares."""
+    monkeypatch.setattr(simhash, "GROUP", 12)
+    monkeypatch.setattr(simhash, "PIVOTS", (3, 12))
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(140):
+        w = list(base)
+        for j in rng.sample(range(120), rng.choice([1, 2, 3, 5])):
+            w[j] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    sets = [set(simhash.shingles(t.encode(), 5).tolist()) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def up(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        bits = bin(plain(rows[i][1]) ^ plain(rows[j][1])).count("1")
+        if bits <= 4 or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            root[max(up(i), up(j))] = min(up(i), up(j))
+    want = {rows[up(i)][0] for i in range(len(rows))}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in simhash.one_of_each(df, similar=(5, 0.8)).collect()} == want and 3 < len(want) < 100
