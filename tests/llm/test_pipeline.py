@@ -24,7 +24,7 @@ def test_stages(spark):
 
     one = spark.createDataFrame([rows[d] for d in kept], docs.schema)
     two = f2(spark, one, SF)
-    first = {a for a, _, c in simhash_brute(list(kept.items())) if a == c}
+    first = {a for a, _, c in simhash_brute(list(kept.items()), (5, 0.8)) if a == c}
     kept = {d: t for d, t in kept.items() if d in first}
     assert two.columns == docs.columns and {r.doc_id: r.text for r in two.collect()} == kept
 

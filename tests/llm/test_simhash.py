@@ -14,7 +14,13 @@ def plain(text, k=4):
     return sum(1 << b for b in range(64) if h and 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def brute(rows):
+def alike(a, b, width, least):
+    """Whether the Jaccard similarity of the shingles of two texts is ``least`` or more."""
+    a, b = (set(simhash.shingles((t or "").encode(), width).tolist()) for t in (a, b))
+    return len(a & b) >= least * len(a | b) > 0
+
+
+def brute(rows, similar=None):
     fp = {i: plain(t) for i, (_, t) in enumerate(rows)}
     root = list(range(len(rows)))
 
@@ -24,7 +30,7 @@ def brute(rows):
         return i
 
     for i, j in itertools.combinations(range(len(rows)), 2):
-        if bin(fp[i] ^ fp[j]).count("1") <= 4:
+        if bin(fp[i] ^ fp[j]).count("1") <= 4 or similar and alike(rows[i][1], rows[j][1], *similar):
             root[up(i)] = up(j)
     low = {}
     for i, (d, _) in enumerate(rows):
