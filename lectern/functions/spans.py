@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from difflib import SequenceMatcher
+from itertools import pairwise
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# What ends a sentence in a quoted passage, and in a paragraph that is cut.
 _BREAK = re.compile(r"[.!?…]+[»\")\]]*(?=\s|$)|\n")
 _END = re.compile(r"[.!?…]+[»\")\]]*\s+")
 SPAN = "struct<start_char:int,end_char:int>"
@@ -19,17 +22,19 @@ def evidence(text: str | None, quote: str | None) -> tuple[int, int] | None:
     """Range of the whole sentences of ``text`` that hold ``quote``, compared word by word; None if it isn't there.
 
     Case, ё/е and what stands between words don't matter. One word counts from four letters on."""
-    words = re.findall(r"\w+", (quote or "").translate(_FOLD))
-    if not words or len(words) == 1 and len(words[0]) < 4 or text is None:
+    words = lambda x: [(m.group().translate(_FOLD).lower(), *m.span()) for m in re.finditer(r"\w+", x or "")]
+    wanted, there = [w for w, _, _ in words(quote)], words(text)
+    if not wanted or len(wanted) == 1 and len(wanted[0]) < 4:
         return None
-    hit = re.search(rf"(?<!\w){r'\W+'.join(map(re.escape, words))}(?!\w)", text.translate(_FOLD), re.IGNORECASE)
-    if not hit:
+    n = len(wanted)
+    at = next((i for i, w in enumerate(there) if w[0] == wanted[0] and [x for x, _, _ in there[i : i + n]] == wanted), None)
+    if at is None:
         return None
-    ends = [m.end() for m in _BREAK.finditer(text)]
-    start = max([e for e in ends if e <= hit.start()], default=0)
-    end = min([e for e in ends if e >= hit.end()], default=len(text))
-    piece = text[start:end]
-    return start + len(piece) - len(piece.lstrip()), end - len(piece) + len(piece.rstrip())
+    edges = [0, *(m.end() for m in _BREAK.finditer(text)), len(text)]
+    start, end = edges[bisect_right(edges, there[at][1], hi=len(edges) - 1) - 1], edges[bisect_left(edges, there[at + n - 1][2])]
+    inner = text[start:end].strip()
+    start = text.index(inner, start)
+    return start, start + len(inner)
 
 
 def occurrences(text: str | None, form: str | None) -> list[tuple[int, int]]:
@@ -40,30 +45,29 @@ def occurrences(text: str | None, form: str | None) -> list[tuple[int, int]]:
 
 
 def resolve(text: str | None, form: str | None, start: int | None, end: int | None, nth: int | None) -> tuple[int, int] | None:
-    """Given offsets if they hold the form; else its nth occurrence (from 1); else its only one; else None."""
+    """Given offsets if they hold the form; else its nth occurrence (from 1) if there are so many; else its only one; else None."""
     if form and start is not None and end is not None and 0 <= start < end and (text or "")[start:end] == form:
         return start, end
     found = occurrences(text, form)
-    if nth is not None:
-        return found[nth - 1] if 1 <= nth <= len(found) else None
+    if nth is not None and 1 <= nth <= len(found):
+        return found[nth - 1]
     return found[0] if len(found) == 1 else None
 
 
 def split_long(text: str, start: int, end: int, most: int) -> list[tuple[int, int]]:
     """[start, end) in parts of at most ``most``: after a sentence if one ends in time, else after a space, else anywhere."""
-    out = []
-    stops = [start + m.end() for m in _END.finditer(text[start:end])]
-    at = start
-    while end - at > most:
-        edge = at + most
-        usable = [s for s in stops if at < s <= edge]
-        gap = text.rfind(" ", at + 1, edge)
-        cut = usable[-1] if usable else gap + 1 if gap > at else edge
-        out.append((at, at + max(0, len(text[at:cut].rstrip()))))
-        at = cut + len(text[cut:end]) - len(text[cut:end].lstrip())
-    if at < end:
-        out.append((at, end))
-    return out
+    ends = [start + m.end() for m in _END.finditer(text[start:end])]
+
+    def cut(at: int) -> int:
+        last = bisect_right(ends, at + most)
+        gap = text.rfind(" ", at + 1, at + most)
+        return ends[last - 1] if last and ends[last - 1] > at else gap + 1 if gap > at else at + most
+
+    cuts = [start]
+    while end - cuts[-1] > most:
+        cuts.append(end - len(text[cut(cuts[-1]) : end].lstrip()))
+    parts = [(a, a + len(text[a:b].rstrip())) for a, b in pairwise(cuts)]
+    return parts + [(cuts[-1], end)] * (cuts[-1] < end)
 
 
 def chunk_spans(text: str | None, least: int = 400, most: int = 1200) -> list[tuple[int, int]]:

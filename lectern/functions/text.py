@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Endings that the Russian stemmer takes off, the longest that fits first.
 ENDINGS = (
-    "иями ями ами иях ях ах ого его ому ему ыми ими ией ой ей ий ый ая яя ое ее ые ие ую юю ов ев ом ем ам ям а я ы и у ю е о ь"
+    "иями ями ами ого ему ому ыми ими иной ая яя ой ей ам ям ах ях ом ем ов ев ин ын ы и а я у ю е"
 ).split()
 
 #: A sentence ends after . ! ? or … with an optional closing quote and white space, after line breaks, or at the end.
@@ -51,13 +51,13 @@ def normalised_name(name: Column) -> Column:
 
 
 def stem(token: Column) -> Column:
-    """A folded token without one listed ending, if at least four letters stay."""
-    return F.regexp_replace(token, "(?<=.{4})(" + "|".join(ENDINGS) + ")$", "")
+    """A lower-case token without the longest listed ending that leaves at least four letters."""
+    return F.regexp_replace(token, "(?<=.{4})(" + "|".join(sorted(ENDINGS, key=len, reverse=True)) + ")$", "")
 
 
 def stems(text: Column) -> Column:
     """Distinct stems of a text."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(fold(text), F.lit(r"(?U)\w+"), F.lit(0)), stem))
+    return F.array_distinct(F.transform(tokens(text), stem))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -105,6 +105,11 @@ def uuid5_url(name: Column) -> Column:
     return F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-5"), part(14, 3), F.lit("-"), variant, part(18, 3), F.lit("-"), part(21, 12))
 
 
+def uuid5_hex(name: Column) -> Column:
+    """``uuid5_url`` without hyphens."""
+    return F.translate(uuid5_url(name), "-", "")
+
+
 def content_hash(text: Column) -> Column:
     """SHA-256 of the UTF-8 text in hex."""
     return F.sha2(text, 256)

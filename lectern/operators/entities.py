@@ -9,17 +9,19 @@ from pyspark.sql import functions as F
 from lectern.functions import spans
 from lectern.functions import text as T
 
-# Entity types, and pronouns (folded, ё as е) that are no mention by themselves.
-TYPES = ("person", "group", "location", "institution", "object", "other")
+# Entity types, and pronouns that are no mention by themselves (a word is looked up with ё as е).
+TYPES = ("person", "location", "organization", "group", "institution", "vehicle", "artifact", "object", "other")
 PRONOUNS = (
-    "я ты он она оно мы вы они меня тебя его ее нас вас их мне тебе ему ей нам вам им мной тобой ею нами вами ими него нее них нему ней ним нем себя себе собой кто что это этот эта эти тот та те сам сама сами весь все"
+    "я меня мне мной мною ты тебя тебе тобой тобою он его него ему нему им ним нём она её неё ней нею ею оно мы нас нам нами вы вас вам вами они их них ими ними"
 ).split()
+_LETTERS = "[A-Za-zА-Яа-яЁё0-9]+"
 
 
 def individual(surface: Column) -> Column:
-    """Whether a mention can name somebody: it has a capital or a digit and more than pronouns."""
-    words = F.regexp_extract_all(T.fold(surface), F.lit(T.WORD), F.lit(0))
-    return surface.rlike(r"[\p{Lu}\p{Nd}]") & (F.size(F.array_except(words, F.array(*[F.lit(p) for p in PRONOUNS]))) > 0)
+    """Whether a mention can name somebody: a word begins with a capital or holds a digit, and not all are pronouns."""
+    words = F.regexp_extract_all(surface, F.lit(_LETTERS), F.lit(0))
+    marked = F.exists(words, lambda w: w.rlike("^[A-ZА-ЯЁ]|[0-9]"))
+    return marked & F.exists(words, lambda w: ~T.fold(w).isin(*PRONOUNS))
 
 
 def compatible(a: Column, b: Column) -> Column:
@@ -27,35 +29,80 @@ def compatible(a: Column, b: Column) -> Column:
     return a.isNull() | b.isNull() | (a == b)
 
 
-def mention_rows(replies: DataFrame, scenes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(mentions, rejected) from replies(scene_id, seq, surface_text, start_offset, end_offset, occurrence, entity_type, confidence) and scenes(scene_id, text, text_hash).
-
-    A mention must be found in its scene (given offsets, nth or only occurrence), have a known type, a
-    confidence of 0 to 1 and an individualising mark; of mentions on one span the first stays."""
-    both = replies.join(scenes, "scene_id", "left")
+def _located(rows: DataFrame) -> DataFrame:
+    """rows(text, surface_text, start_offset, end_offset, occurrence) with ``span``, null where the form isn't found."""
 
     def locate(text: pd.Series, form: pd.Series, start: pd.Series, end: pd.Series, nth: pd.Series) -> pd.DataFrame:
         whole = lambda x: None if pd.isna(x) else int(x)
         found = [spans.resolve(t, f, whole(a), whole(b), whole(n)) or (None, None) for t, f, a, b, n in zip(text, form, start, end, nth, strict=True)]
         return pd.DataFrame({"start_char": pd.array([a for a, _ in found], "Int32"), "end_char": pd.array([b for _, b in found], "Int32")})
 
-    placed = both.withColumn("span", F.pandas_udf(locate, spans.SPAN)("text", "surface_text", "start_offset", "end_offset", "occurrence"))
+    return rows.withColumn("span", F.pandas_udf(locate, spans.SPAN)("text", "surface_text", "start_offset", "end_offset", "occurrence"))
+
+
+def mention_rows(replies: DataFrame, scenes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(mentions, rejected) from replies(scene_id, seq, surface_text, start_offset, end_offset, occurrence, entity_type,
+    confidence[, local_id, canonical_name_hint]) and scenes(scene_id, text, text_hash[, book_id]).
+
+    A mention must be found in its scene (given offsets, nth or only occurrence), have a local id of its own, no unknown
+    type, no blank hint, no confidence outside 0 to 1 and an individualising mark; of mentions on one span the first stays.
+    Of one local id only the first record that is found counts, whatever becomes of it."""
+    have = set(replies.columns)
+    local = F.trim("local_id") if "local_id" in have else F.concat(F.lit("a"), F.col("seq").cast("string"))
+    hint = F.trim("canonical_name_hint") if "canonical_name_hint" in have else F.lit(None).cast("string")
+    book = F.col("book_id") if "book_id" in scenes.columns else F.lit("")
+    placed = _located(replies.join(scenes, "scene_id", "left")).withColumns({"__local": F.coalesce(local, F.concat(F.lit("a"), F.col("seq").cast("string"))), "__hint": hint})
+    kind = F.trim("entity_type")
+    named = Window.partitionBy("scene_id", "__local", F.col("span.start_char").isNotNull()).orderBy("seq")
     problem = (
         F.when(F.col("text").isNull(), "unknown scene")
         .when(F.col("span.start_char").isNull(), "not found")
-        .when(F.col("entity_type").isNotNull() & ~F.col("entity_type").isin(*TYPES), "type")
-        .when(F.col("confidence").isNull() | F.isnan("confidence") | ~F.col("confidence").between(0, 1), "confidence")
+        .when((F.col("__local") == "") | (F.row_number().over(named) > 1), "local id")
+        .when(kind.isNotNull() & ~kind.isin(*TYPES), "type")
+        .when(F.col("__hint") == "", "hint")
+        .when(F.col("confidence").isNotNull() & (F.isnan("confidence") | ~F.col("confidence").between(0, 1)), "confidence")
         .when(~individual(F.col("surface_text")), "no individual mark")
     )
     judged = placed.withColumn("problem", problem)
     w = Window.partitionBy("scene_id", "span").orderBy("seq")
     ok = judged.where("problem is null").withColumn("n", F.row_number().over(w))
-    key = F.concat_ws(":", "scene_id", "text_hash", "span.start_char", "span.end_char")
-    good = ok.where("n = 1").select("scene_id", T.uuid5_url(key).alias("mention_id"), "surface_text", F.col("span.start_char").alias("start_offset"), F.col("span.end_char").alias("end_offset"), "entity_type", "confidence", "text_hash")
+    key = F.concat_ws(":", book, "scene_id", "text_hash", "span.start_char", "span.end_char")
+    good = ok.where("n = 1").select("scene_id", F.concat(F.lit("mention:"), T.uuid5_hex(key)).alias("mention_id"), F.col("__local").alias("local_id"), "surface_text", F.col("span.start_char").alias("start_offset"), F.col("span.end_char").alias("end_offset"), kind.alias("entity_type"), F.col("__hint").alias("canonical_name_hint"), "confidence", "text_hash")
     bad = judged.where("problem is not null").select("scene_id", "seq", "problem").unionByName(ok.where("n > 1").select("scene_id", "seq", F.lit("repeated span").alias("problem")))
     return good, bad
 
 
+def resolved_references(replies: DataFrame, mentions: DataFrame, scenes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(references, rejected) from replies(scene_id, seq, surface_text, start_offset, end_offset, occurrence, target_local_id,
+    reference_kind), mentions as ``mention_rows`` gives them and scenes(scene_id, text, text_hash[, book_id]).
+
+    The target must be a mention of the scene by local id, the kind not blank, the span found and no mention's; the
+    first reference on a span stays."""
+    book = F.col("book_id") if "book_id" in scenes.columns else F.lit("")
+    known = mentions.select("scene_id", F.col("local_id").alias("target_local_id"), F.col("mention_id").alias("target_mention_id"))
+    taken = mentions.select("scene_id", F.struct(F.col("start_offset").alias("start_char"), F.col("end_offset").alias("end_char")).alias("span"), F.lit(True).alias("taken"))
+    placed = _located(replies.join(scenes, "scene_id", "left")).join(known, ["scene_id", "target_local_id"], "left").join(taken, ["scene_id", "span"], "left")
+    problem = (
+        F.when(F.col("text").isNull(), "unknown scene")
+        .when(F.col("target_mention_id").isNull(), "target")
+        .when(F.coalesce(F.trim("reference_kind"), F.lit("")) == "", "kind")
+        .when(F.col("span.start_char").isNull(), "not found")
+        .when(F.col("taken"), "a mention's span")
+    )
+    judged = placed.withColumn("problem", problem)
+    ok = judged.where("problem is null").withColumn("n", F.row_number().over(Window.partitionBy("scene_id", "span").orderBy("seq")))
+    key = F.concat_ws(":", book, "scene_id", "text_hash", "span.start_char", "span.end_char", "target_mention_id")
+    good = ok.where("n = 1").select("scene_id", F.concat(F.lit("reference:"), T.uuid5_hex(key)).alias("reference_id"), "surface_text", F.col("span.start_char").alias("start_offset"), F.col("span.end_char").alias("end_offset"), F.trim("reference_kind").alias("reference_kind"), "target_mention_id", "text_hash")
+    bad = judged.where("problem is not null").select("scene_id", "seq", "problem").unionByName(ok.where("n > 1").select("scene_id", "seq", F.lit("repeated span").alias("problem")))
+    return good, bad
+
+
+def flat_entity_id(book: Column, name: Column, kind: Column) -> Column:
+    """Id of an entity of a book by its folded kind and name."""
+    plain = lambda c: T.clean(F.lower(F.coalesce(c, F.lit(""))))
+    return F.concat(F.lit("entity:"), T.uuid5_hex(F.concat_ws(":", book, plain(kind), plain(name))))
+
+
 def reference_rows(replies: DataFrame, mentions: DataFrame) -> DataFrame:
     """References (scene_id, seq, start_offset, end_offset, target_mention_id) whose target is a mention of their scene
     and whose span no mention has; the first of a span stays."""
@@ -91,7 +138,7 @@ def decisions(pairs: DataFrame, replies: DataFrame, allowed: list[str], default:
     return pairs.join(good, "pair_id", "left").withColumn("decision", F.coalesce("decision", F.lit(default)))
 
 
-def connected(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def connected(edges: DataFrame) -> DataFrame:
     """(node, root) of undirected edges (a, b); root is the smallest node. Pointers jump, so chains need few rounds."""
     spark = edges.sparkSession
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
@@ -99,15 +146,15 @@ def connected(edges: DataFrame, rounds: int = 50) -> DataFrame:
     keep = (lambda df: df.checkpoint()) if has_folder else (lambda df: df.persist())
     both = keep(both)
     label = keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")))
-    for _ in range(rounds):
+    while True:
         near = both.join(label.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         low = label.join(near, "node").select("node", F.least("root", "near").alias("root"))
         up = low.select(F.col("node").alias("root"), F.col("root").alias("above"))
         new = keep(low.join(up, "root", "left").select("node", F.least(F.col("root"), F.coalesce("above", "root")).alias("root")))
         if not new.join(label.withColumnRenamed("root", "old"), "node").where("root <> old").head(1):
             return new
+        label.unpersist()
         label = new
-    raise RuntimeError("not settled")
 
 
 def conservative_groups(same: DataFrame, members: DataFrame, by: str = "book_id") -> DataFrame:

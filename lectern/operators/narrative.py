@@ -63,7 +63,8 @@ def chunk_annotations(replies: DataFrame, scenes: DataFrame) -> tuple[DataFrame,
 
 def event_rows(replies: DataFrame, scenes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(events, skipped) from replies(scene_id, seq, surface_text, occurrence, gist, gist_roles, kind, modality,
-    participants array<struct<entity_id,role>>, from_location, to_location) and scenes(scene_id, text, entity_ids).
+    participants array<struct<entity_id,role>>, from_location, to_location) and scenes(scene_id, text, entity_ids
+    [, text_hash, book_id]). Ids count the events that stay, from 0, in the order of replies.
 
     A bad event is skipped with a reason; a scene with more than seven events is refused whole."""
     def locate(text: pd.Series, form: pd.Series, nth: pd.Series) -> pd.DataFrame:
@@ -86,8 +87,10 @@ def event_rows(replies: DataFrame, scenes: DataFrame) -> tuple[DataFrame, DataFr
         .when(~_known("from_location") | ~_known("to_location"), "location")
     )
     judged = placed.withColumn("problem", fault)
-    key = F.concat_ws(":", "scene_id", "span.start_char", "span.end_char", "gist")
-    good = judged.where("problem is null").select("scene_id", T.uuid5_url(key).alias("event_id"), F.col("span.start_char").alias("start_offset"), F.col("span.end_char").alias("end_offset"), "surface_text", F.trim("gist").alias("gist"), F.trim("gist_roles").alias("gist_roles"), "kind", "modality", "participants", "from_location", "to_location")
+    book, digest = (F.col(c) if c in scenes.columns else F.lit("") for c in ("book_id", "text_hash"))
+    stays = judged.where("problem is null").withColumn("index", F.row_number().over(Window.partitionBy("scene_id").orderBy("seq")) - 1)
+    key = F.concat_ws(":", book, "scene_id", digest, "index")
+    good = stays.select("scene_id", F.concat(F.lit("event:"), T.uuid5_hex(key)).alias("event_id"), F.col("span.start_char").alias("start_offset"), F.col("span.end_char").alias("end_offset"), "surface_text", F.trim("gist").alias("gist"), F.trim("gist_roles").alias("gist_roles"), "kind", "modality", "participants", "from_location", "to_location")
     return good, judged.where("problem is not null").select("scene_id", "seq", "problem")
 
 

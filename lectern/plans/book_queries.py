@@ -47,16 +47,20 @@ def q_scene_segments(spark, sf_dir):
 
 
 _PRON = ", ".join(f"'{p}'" for p in entities.PRONOUNS)
+#: SQL of a version 5 identifier in the URL namespace of the text in column k, without hyphens.
+_UUID = """substr(h, 1, 12) || '5' || substr(h, 14, 3) || substr('89ab', ((strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1)::INTEGER, 1) || substr(h, 18, 15)"""
 
 
-@query(f"""WITH f AS (SELECT doc_id, regexp_extract(text, '^[\\pL\\pN_]+') AS s FROM documents)
-SELECT CAST(doc_id AS VARCHAR) AS scene_id, s AS surface_text, 0 AS start_offset, CAST(length(s) AS INTEGER) AS end_offset FROM f WHERE s <> '' AND regexp_matches(s, '[\\p{{Lu}}\\p{{Nd}}]') AND len(list_filter(regexp_extract_all(replace(lower(s), 'ё', 'е'), '[\\pL\\pN]+'), lambda w: w NOT IN ({_PRON}))) > 0""")
+@query(f"""WITH f AS (SELECT doc_id, text, regexp_extract(text, '^[\\pL\\pN_]+') AS s FROM documents),
+m AS (SELECT CAST(doc_id AS VARCHAR) AS scene_id, s AS surface_text, 0 AS start_offset, CAST(length(s) AS INTEGER) AS end_offset, regexp_extract_all(s, '[A-Za-zА-Яа-яЁё0-9]+') AS w,
+sha1(from_hex('6ba7b8119dad11d180b400c04fd430c8') || encode('b:' || doc_id || ':' || sha256(text) || ':0:' || length(s))) AS h FROM f WHERE s <> '')
+SELECT scene_id, 'mention:' || {_UUID} AS mention_id, surface_text, start_offset, end_offset FROM m WHERE len(list_filter(w, lambda x: regexp_matches(x, '^[A-ZА-ЯЁ]|[0-9]'))) > 0 AND len(list_filter(w, lambda x: replace(lower(x), 'ё', 'е') NOT IN ({_PRON}))) > 0""")
 def q_mentions(spark, sf_dir):
-    """The first word of every document as a proposed mention; those with an individual mark stay."""
-    d = documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("scene_id"), "text", F.regexp_extract("text", r"(?U)^\w+", 0).alias("s"))
-    replies = d.where("s <> ''").select("scene_id", F.lit(1).alias("seq"), F.col("s").alias("surface_text"), F.lit(0).alias("start_offset"), F.length("s").alias("end_offset"), F.lit(None).cast("int").alias("occurrence"), F.lit("person").alias("entity_type"), F.lit(0.5).alias("confidence"))
-    good, _ = entities.mention_rows(replies, d.select("scene_id", "text", T.content_hash(F.col("text")).alias("text_hash")))
-    return good.select("scene_id", "surface_text", "start_offset", "end_offset")
+    """The first word of every document as a proposed mention without a confidence; those with an individual mark stay."""
+    d = documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("scene_id"), "text", F.regexp_extract("text", r"(?U)^\w+", 0).alias("s"), F.lit("b").alias("book_id"))
+    replies = d.where("s <> ''").select("scene_id", F.lit(1).alias("seq"), F.col("s").alias("surface_text"), F.lit(0).alias("start_offset"), F.length("s").alias("end_offset"), F.lit(None).cast("int").alias("occurrence"), F.lit("person").alias("entity_type"), F.lit(None).cast("double").alias("confidence"))
+    good, _ = entities.mention_rows(replies, d.select("scene_id", "book_id", "text", T.content_hash(F.col("text")).alias("text_hash")))
+    return good.select("scene_id", "mention_id", "surface_text", "start_offset", "end_offset")
 
 
 _TYPE = "CASE event_type WHEN 'view' THEN 'retells' WHEN 'click' THEN 'parallels' WHEN 'purchase' THEN 'none' WHEN 'signup' THEN 'causes' ELSE 'huh' END"
