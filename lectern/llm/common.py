@@ -96,6 +96,16 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run``, a function of a Python worker, which gives memory back at the end of its task."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
+
+    return whole
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, lengthened until df has no column of that name in any case."""
     have = {c.lower() for c in df.columns}

@@ -328,7 +328,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFr
                 out = [(ids[t], items.ids[k], s, e, d, int(items.budget[k])) for t, k, s, e, d in _batched(items, b.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["doc_id", "item_id", "start", "end", "edits", "budget"])
 
-        return texts.mapInArrow(run, _ROWS)
+        return texts.mapInArrow(common.trimmed(run), _ROWS)
 
     out = None
     for block in _blocks(benchmark):
@@ -400,7 +400,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) ->
                 keep[[t for t, *_ in _batched(items, b.column(b.num_columns - 1).to_pylist())]] = False
                 yield b.select(range(b.num_columns - 1)).filter(pa.array(keep))
 
-        return left.withColumn(body, F.col("text").cast("string")).mapInArrow(run, schema)
+        return left.withColumn(body, F.col("text").cast("string")).mapInArrow(common.trimmed(run), schema)
 
     for block in _blocks(benchmark):
         docs = scan(docs, block)

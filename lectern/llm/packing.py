@@ -155,10 +155,9 @@ def token_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int =
                         rows.append((doc, k, a // 4, len(piece) // 4, zlib.crc32(piece), *([piece] if keep_ids else [])))
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(len(names))], names)
-        common.trim()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("body")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("body")).mapInArrow(common.trimmed(run), schema)
 
 
 def _knapsack(sizes: list[int], value: np.ndarray, most: list[int], capacity: int) -> tuple[float, np.ndarray]:
@@ -400,7 +399,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, wide
         return out
     dealt = out.repartition(common.partitions(spark), file).sortWithinPartitions(file, index)
     schema = T.StructType([*out.schema.fields[:-2], *(pieces.schema[c] for c in wide)])
-    return dealt.mapInArrow(_fetch(wide, schema.names), schema)
+    return dealt.mapInArrow(common.trimmed(_fetch(wide, schema.names)), schema)
 
 
 def packed(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = 0, keep_ids: bool = False) -> DataFrame:

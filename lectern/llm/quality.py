@@ -159,7 +159,9 @@ def with_score(docs: DataFrame, net: Network, name: str = "score") -> DataFrame:
 
     @F.arrow_udf("double")
     def probability(bodies):
-        return pa.array(model.value.score([x.as_py() or b"" for x in bodies]))
+        out = pa.array(model.value.score([x.as_py() or b"" for x in bodies]))
+        common.trim()
+        return out
 
     return docs.withColumn(name, probability(F.col("text").cast("string").cast("binary")))
 
@@ -172,7 +174,7 @@ def scores(docs: DataFrame, net: Network) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.value.score([x.as_py() or b"" for x in b.column(1)]))], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("body")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("body")).mapInArrow(common.trimmed(run), "doc_id long, score double")
 
 
 def quality(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, each: int = SAMPLE_EACH) -> DataFrame:

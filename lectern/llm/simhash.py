@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], ["doc_id", "h", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("body"))
-    return rows.select("doc_id", F.xxhash64("body").alias("h"), "body").mapInArrow(run, "doc_id long, h long, fp long")
+    return rows.select("doc_id", F.xxhash64("body").alias("h"), "body").mapInArrow(common.trimmed(run), "doc_id long, h long, fp long")
 
 
 def _pair_masks() -> np.ndarray:
@@ -166,9 +166,9 @@ def links(fps: DataFrame, threshold: int = 4) -> DataFrame:
         if len(kept_k):
             yield out(kept_k, kept_f)
 
-    entries = fps.select("fp").repartition(common.partitions(fps.sparkSession)).mapInArrow(spread, "anchor long, fp long")
+    entries = fps.select("fp").repartition(common.partitions(fps.sparkSession)).mapInArrow(common.trimmed(spread), "anchor long, fp long")
     dealt = entries.repartition(common.partitions(fps.sparkSession), "anchor").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(compare, "a long, b long")
+    return dealt.mapInArrow(common.trimmed(compare), "a long, b long")
 
 
 def shingles(body: bytes, width: int) -> np.ndarray:
@@ -334,7 +334,7 @@ def similar_links(docs: DataFrame, own: DataFrame, width: int, least: float, kno
             yield out(kept)
 
     texts = docs.select(F.col("text").cast("string").cast("binary").alias("body")).select(F.xxhash64("body").alias("h"), "body")
-    made = common.materialise(texts.mapInArrow(keys, "h long, keys array<long>").where("keys is not null").dropDuplicates(["h"]), "bands")
+    made = common.materialise(texts.mapInArrow(common.trimmed(keys), "h long, keys array<long>").where("keys is not null").dropDuplicates(["h"]), "bands")
     each = made.select("h", F.posexplode("keys").alias("band", "key"))
     shared = each.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("h").alias("low"), F.max("h").alias("high"), F.sum(F.pmod(F.xxhash64("h"), F.lit(1 << 40))).alias("all")).where("n > 1")
     # bands with the same texts are looked at once
@@ -342,13 +342,13 @@ def similar_links(docs: DataFrame, own: DataFrame, width: int, least: float, kno
     members = common.materialise(each.join(once, ["band", "key"]).select("h", F.xxhash64("band", "key").alias("key")), "members")
     # written, so that its join with texts of very many copies can be split
     wanted = common.materialise(members.select("h").distinct(), "wanted")
-    whole = common.materialise(texts.join(wanted, "h", "left_semi").mapInArrow(sets, "h long, found binary").dropDuplicates(["h"]), "sets")
+    whole = common.materialise(texts.join(wanted, "h", "left_semi").mapInArrow(common.trimmed(sets), "h long, found binary").dropDuplicates(["h"]), "sets")
     named = whole.join(own.select("h", "fp").dropDuplicates(["h"]), "h")
     entries = common.materialise(members.join(common.materialise(named, "named"), "h").select("key", "fp", "found"), "entries")
     crowd = entries.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.octet_length("found")).alias("bytes")).where((F.col("n") > GROUP) | (F.col("bytes") > GROUP_BYTES))
     crowd = common.materialise(crowd.select("key"), "crowd")
     dealt = entries.join(crowd, "key", "left_anti").repartition(common.partitions(spark), "key").sortWithinPartitions("key")
-    found = dealt.mapInArrow(compare, "a long, b long")
+    found = dealt.mapInArrow(common.trimmed(compare), "a long, b long")
     if not crowd.head(1):
         return found
     found = common.materialise(found, "found")

@@ -103,7 +103,7 @@ def _sketches(docs: DataFrame, length: int) -> DataFrame:
                 ["doc_id", "ord", "h", "c", "n_words", "sha", "anchors", "starts", "sizes"],
             )
 
-    return _keyed(docs).mapInArrow(run, "doc_id long, ord long, h long, c long, n_words long, sha string, anchors array<long>, starts array<int>, sizes array<int>")
+    return _keyed(docs).mapInArrow(common.trimmed(run), "doc_id long, ord long, h long, c long, n_words long, sha string, anchors array<long>, starts array<int>, sizes array<int>")
 
 
 def _search(length: int):
@@ -196,11 +196,11 @@ def repeats(docs: DataFrame, length: int = 50) -> tuple[DataFrame, DataFrame, Da
     runs = runs.select("ord", "h", F.explode(F.arrays_zip("anchors", "starts", "sizes")).alias("r")).select("ord", "h", F.col("r.anchors").alias("anchor"), F.col("r.starts").alias("start"), F.col("r.sizes").alias("size"))
     shared = runs.groupBy("anchor").agg(F.min("h").alias("least"), F.max("h").alias("most"), F.count("*").alias("n")).where("least < most").select("anchor", F.ceil(F.col("n") / HOT).cast("int").alias("salts"))
     found = runs.join(shared, "anchor").groupBy("ord", "h").agg(F.collect_list(F.struct("start", "size", "anchor", "salts")).alias("found"))
-    texts = _keyed(docs).select("ord", "h", "body").join(found, ["ord", "h"]).mapInArrow(_cut(length), "anchor long, salts int, ord long, h long, start int, piece binary")
+    texts = _keyed(docs).select("ord", "h", "body").join(found, ["ord", "h"]).mapInArrow(common.trimmed(_cut(length)), "anchor long, salts int, ord long, h long, start int, piece binary")
     shard = F.xxhash64("anchor", F.pmod(F.xxhash64("ord", F.lit(1)), F.col("salts").cast("long")))
     dealt = texts.select(shard.alias("shard"), (F.col("salts") > 1).alias("salted"), "ord", "h", "start", "piece")
     dealt = dealt.repartition(common.partitions(spark), "shard").sortWithinPartitions("shard")
-    hits = common.materialise(dealt.mapInArrow(_search(length), "ord long, h long, lo int, hi int, digest binary"), "hits")
+    hits = common.materialise(dealt.mapInArrow(common.trimmed(_search(length)), "ord long, h long, lo int, hi int, digest binary"), "hits")
     firsts = hits.where("digest is not null")
     lowest = firsts.groupBy("digest").agg(F.min("ord").alias("lowest"))
     later = firsts.join(lowest, "digest").where("lowest < ord").select("ord", "h", "lo", "hi")
@@ -236,7 +236,7 @@ def removals(docs: DataFrame, length: int = 50) -> DataFrame:
                 sha.append(hashlib.sha256(b" ".join([w for w, m in zip(words, mask.tolist(), strict=True) if not m])).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cut, pa.int64()), pa.array(sha, pa.string())], ["ord", "h", "cut", "left"])
 
-    changed = _keyed(docs).select("ord", "h", "body").join(spans, ["ord", "h"]).mapInArrow(run, "ord long, h long, cut long, left string")
+    changed = _keyed(docs).select("ord", "h", "body").join(spans, ["ord", "h"]).mapInArrow(common.trimmed(run), "ord long, h long, cut long, left string")
     changed = changed.groupBy("ord", "h").agg(F.min("cut").alias("cut"), F.min("left").alias("left"))
     gone = copies.withColumn("gone", F.lit(True))
     out = sketch.select("doc_id", "ord", "h", "n_words", "sha").join(changed, ["ord", "h"], "left").join(gone, ["ord", "h"], "left")
@@ -266,7 +266,9 @@ def without_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
             mask = _mask(len(at) - 1, s) if not whole else np.full(len(at) - 1, len(at) > length)
             kept = b"".join(raw[at[i] : at[i + 1]] for i in np.flatnonzero(~mask).tolist())
             out.append(None if mask.any() and mask.all() else kept.decode() if mask.any() else body)
-        return pa.array(out, pa.string())
+        made = pa.array(out, pa.string())
+        common.trim()
+        return made
 
     ord_, h, found, new = (common.unused(docs, x) for x in ("ord", "h", "spans", "new"))
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))

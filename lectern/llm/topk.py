@@ -206,7 +206,7 @@ def _dealt(rows: DataFrame, shard_rows: int) -> tuple[DataFrame, int]:
                     region[at] = made.value[int(d)].of(_matrix(pa.chunked_array([b.column(0).take(pa.array(at))])))
             yield pa.RecordBatch.from_arrays([b.column(2), b.column(0), b.column(1), b.column(3), pa.array(region)], ["vec_id", "v", "dim", "qhash", "region"])
 
-    placed = common.materialise(rows.select("v", "dim", "vec_id", "qhash").mapInArrow(run, "vec_id long, v array<long>, dim int, qhash long, region long"), "placed")
+    placed = common.materialise(rows.select("v", "dim", "vec_id", "qhash").mapInArrow(common.trimmed(run), "vec_id long, v array<long>, dim int, qhash long, region long"), "placed")
     regions = placed.groupBy("dim", "region").count().withColumn("parts", F.ceil(F.col("count") / shard_rows))
     # one row a region and dimension, far fewer than rows; written, so that a crowded region's join can be split
     first = F.sum("parts").over(Window.orderBy("dim", "region")) - F.col("parts")

@@ -163,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, e
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(1).slice(i, 1), pa.array([a.astype(np.int32)], pa.list_(pa.int32())), pa.array([x.astype(np.float32)], pa.list_(pa.float32()))], names)
 
     texts = common.labelled(docs, labels, "toxic", common.remainder(F.col("doc_id"), modulus) != held, each)
-    rows = common.materialise(texts.mapInArrow(read, "key long, y int, ids array<int>, values array<float>"), "sample")
+    rows = common.materialise(texts.mapInArrow(common.trimmed(read), "key long, y int, ids array<int>, values array<float>"), "sample")
     sizes = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("ones")).first()
     counts = rows.select("y", F.explode("ids").alias("id")).groupBy("id").agg(F.sum("y").alias("ones"), F.count("*").alias("n")).toArrow()  # at most 2**BITS rows
     ones, every = np.zeros(1 << BITS), np.zeros(1 << BITS)
@@ -178,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, e
             found = [(a[mark[a]], x[mark[a]]) for a, x in ((np.array(i.as_py(), np.int64), np.array(v.as_py(), np.float64)) for i, v in zip(b.column(2), b.column(3), strict=True))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([a.astype("<i4").tobytes() for a, _ in found], pa.binary()), pa.array([x.astype("<f4").tobytes() for _, x in found], pa.binary())], names)
 
-    small = rows.mapInArrow(keep, "key long, y int, ids binary, values binary").toArrow().sort_by("key")  # at most 2 x each rows of TERMS numbers
+    small = rows.mapInArrow(common.trimmed(keep), "key long, y int, ids binary, values binary").toArrow().sort_by("key")  # at most 2 x each rows of TERMS numbers
     got = list(zip(_arrays(small.column("ids"), "<i4"), _arrays(small.column("values"), "<f4"), strict=True))
     return Machine().fit([(a.astype(np.int64), x.astype(np.float64)) for a, x in got], small.column("y").to_numpy(), epochs=8, known=known)
 
@@ -195,7 +195,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
                 p = model.value.score([features(x.as_py()) for x in part.column(1)])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p)], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(common.trimmed(run), "doc_id long, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, each: int = SAMPLE_EACH) -> DataFrame:

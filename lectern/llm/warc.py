@@ -125,7 +125,7 @@ def write(pages: DataFrame, least: int = 1000, date: str = "2024-01-01T00:00:00Z
             if out is not None:
                 out.close()
 
-    return common.materialise(both.select("page_id", "url", "payload", "digest", "target").mapInArrow(run, INDEX), "index")
+    return common.materialise(both.select("page_id", "url", "payload", "digest", "target").mapInArrow(common.trimmed(run), INDEX), "index")
 
 
 def read(index: DataFrame, payloads: bool = True) -> DataFrame:
@@ -170,7 +170,7 @@ def read(index: DataFrame, payloads: bool = True) -> DataFrame:
         if opened is not None:
             opened[1].close()
 
-    return dealt.select("file", "offset", "length").mapInArrow(run, RECORD)
+    return dealt.select("file", "offset", "length").mapInArrow(common.trimmed(run), RECORD)
 
 
 def op3_warc(spark, sf_dir: str) -> DataFrame:
