@@ -196,3 +196,93 @@ def outline(scenes: DataFrame, most: int) -> DataFrame:
     pick = F.when(size(160) <= most, 160).when(size(80) <= most, 80).when(size(0) <= most, 0)
     sized = all_.withColumn("gist_chars", pick)
     return sized.select("book_id", F.when(F.col("gist_chars") == 160, F.col("l160")).when(F.col("gist_chars") == 80, F.col("l80")).when(F.col("gist_chars") == 0, F.col("l0")).alias("lines"), "gist_chars")
+
+
+# What a link between scenes is called in a hint.
+SCENE_LINKS = {"retells": "пересказ", "prefigures": "предвестие", "causes": "причина", "parallels": "параллель"}
+
+
+def marked_text(scenes: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(scene_id, text): a scene's text with [C1], [C2] ... before its chunks(scene_id, start_char, end_char), in reading order."""
+    inside = chunks.join(scenes.select("scene_id", F.col("start_char").alias("base")), "scene_id").select("scene_id", (F.col("start_char") - F.col("base")).cast("int").alias("a"))
+    cuts = inside.groupBy("scene_id").agg(F.array_sort(F.collect_list("a")).alias("cuts"))
+    both = scenes.join(cuts, "scene_id", "left").withColumn("cuts", F.coalesce("cuts", F.array().cast("array<int>")))
+    until = F.concat(F.slice("cuts", 2, F.greatest(F.size("cuts") - 1, F.lit(0))), F.array(F.length("text")))
+    parts = F.transform("cuts", lambda a, i: F.concat(F.lit("[C"), i + 1, F.lit("]"), F.substring("text", a + 1, F.get(until, i) - a)))
+    return both.select("scene_id", F.concat(F.substring("text", F.lit(1), F.coalesce(F.get("cuts", F.lit(0)), F.length("text"))), F.array_join(parts, "")).alias("text"))
+
+
+def enriched(events: DataFrame, scenes: DataFrame, chunks: DataFrame, participants: DataFrame, context: int = CONTEXT_CHARS) -> DataFrame:
+    """events(book_id, scene_id, id, start_offset, end_offset, ...) with position, scene_title, context, participant_ids, chunk_level, chunk_representation.
+
+    Events of scenes(book_id, scene_id, start_char, title, text) that aren't there go. The chunk(book_id, scene_id, start_char, end_char,
+    level, representation) is the first that contains the event; participants(book_id, event_id, entity_id)."""
+    s = scenes.select("book_id", "scene_id", F.col("start_char").alias("base"), F.col("title").alias("scene_title"), F.col("text").alias("whole"))
+    own = events.join(s, ["book_id", "scene_id"])
+    side = F.greatest(F.lit(0), F.floor((F.lit(context) - (F.col("end_offset") - F.col("start_offset"))) / 2))
+    left, right = F.greatest(F.lit(0), F.col("start_offset") - side), F.least(F.length("whole"), F.col("end_offset") + side)
+    own = own.withColumns({"position": F.col("base") + F.col("start_offset"), "scene_title": F.coalesce("scene_title", F.lit("")), "context": F.substring("whole", (left + 1).cast("int"), (right - left).cast("int"))})
+    k = chunks.select(F.col("book_id").alias("kb"), F.col("scene_id").alias("ks"), F.col("start_char").alias("a"), F.col("end_char").alias("b"), "level", "representation")
+    hit = own.select("book_id", "scene_id", "id", "base", "start_offset", "end_offset").join(k, (F.col("book_id") == F.col("kb")) & (F.col("scene_id") == F.col("ks")) & (F.col("a") - F.col("base") <= F.col("start_offset")) & (F.col("end_offset") <= F.col("b") - F.col("base")))
+    first = hit.groupBy("book_id", "id").agg(F.min_by("level", "a").alias("chunk_level"), F.min_by("representation", "a").alias("chunk_representation"))
+    people = participants.groupBy("book_id", F.col("event_id").alias("id")).agg(F.array_sort(F.collect_set("entity_id")).alias("participant_ids"))
+    out = own.drop("whole", "base").join(first, ["book_id", "id"], "left").join(people, ["book_id", "id"], "left")
+    return out.withColumn("participant_ids", F.coalesce("participant_ids", F.array().cast(dict(people.dtypes)["participant_ids"])))
+
+
+def scene_link_anchors(events: DataFrame, links: DataFrame, per_link: int = 3, bonus: float = 0.05) -> DataFrame:
+    """(book_id, source_id, target_id, left_id, right_id, score, hint): the most similar pairs of events of each two linked scenes.
+
+    events(book_id, id, scene_id, roles, story, people), links(book_id, source_id, target_id, type, reason). Scenes are short, so a
+    link has few pairs; a shared participant counts a little."""
+    side = lambda p, end: events.select("book_id", F.col("scene_id").alias(end), *[F.col(c).alias(f"{p}_{c}") for c in ("id", "roles", "story", "people")])
+    pairs = links.join(side("a", "source_id"), ["book_id", "source_id"]).join(side("b", "target_id"), ["book_id", "target_id"])
+    near = F.greatest(F.coalesce(V.cosine(F.col("a_story"), F.col("b_story")), F.lit(0.0)), F.coalesce(V.cosine(F.col("a_roles"), F.col("b_roles")), F.lit(0.0)))
+    score = near + F.when(F.coalesce(F.arrays_overlap("a_people", "b_people"), F.lit(False)), bonus).otherwise(0.0)
+    label = F.try_element_at(F.create_map(*[F.lit(x) for pair in SCENE_LINKS.items() for x in pair]), F.col("type"))
+    hint = F.trim(F.concat(label, F.lit(" между сценами: "), F.coalesce("reason", F.lit(""))))
+    ranked = pairs.select("book_id", "source_id", "target_id", F.col("a_id").alias("left_id"), F.col("b_id").alias("right_id"), score.alias("score"), hint.alias("hint"))
+    w = Window.partitionBy("book_id", "source_id", "target_id").orderBy(F.desc("score"), "left_id", "right_id")
+    return ranked.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_link).drop("r")
+
+
+def pair_payload(pairs: DataFrame) -> DataFrame:
+    """(pair_id, payload): pairs(left, right, hint) of enriched events as JSON for the oracle; the id joins theirs by ``::``."""
+    side = lambda c: F.struct(F.col(f"{c}.gist").alias("gist"), F.coalesce(F.col(f"{c}.gist_roles"), F.lit("")).alias("roles"), F.col(f"{c}.context").alias("context"), F.coalesce(F.col(f"{c}.scene_title"), F.lit("")).alias("scene"), F.coalesce(F.col(f"{c}.modality"), F.lit("actual")).alias("modality"), F.coalesce(F.col(f"{c}.chunk_representation"), F.lit("narrator")).alias("form"))
+    pair = F.concat_ws("::", "left.id", "right.id")
+    return pairs.select(pair.alias("pair_id"), F.to_json(F.struct(pair.alias("pair_id"), side("left").alias("left"), side("right").alias("right"), F.nullif("hint", F.lit("")).alias("hint"))).alias("payload"))
+
+
+def scene_map(groups: DataFrame, replies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links, failures) of the groups(book_id, group) that an oracle was asked about: replies(book_id, group, attempt, failed, seq, a, b, type, subtype, direction, basis, reason).
+
+    A pair (a, b) of scene numbers that several groups name is one link, the first reply's, with ``found`` = how often. The first
+    attempt of a group without a fault counts; a group without one is a failure. A row with null a only says that a group was answered."""
+    good = replies.where(~F.col("failed"))
+    first = good.groupBy("book_id", "group").agg(F.min("attempt").alias("attempt"))
+    used = good.join(first, ["book_id", "group", "attempt"]).where("a is not null")
+    names = ("type", "subtype", "direction", "basis", "reason")
+    each = used.groupBy("book_id", "group", "a", "b").agg(F.min(F.struct("seq", *names)).alias("x"))
+    merged = each.groupBy("book_id", "a", "b").agg(F.min_by("x", "group").alias("x"), F.count("*").alias("found"))
+    back = F.col("x.direction") == "b_to_a"
+    links = merged.select("book_id", F.when(back, F.col("b")).otherwise(F.col("a")).alias("source_no"), F.when(back, F.col("a")).otherwise(F.col("b")).alias("target_no"), "x.type", "x.subtype", F.col("x.direction").isNotNull().alias("directed"), "x.basis", "x.reason", "found")
+    return links, groups.join(first.select("book_id", "group"), ["book_id", "group"], "left_anti")
+
+
+def scene_outline(layers: DataFrame, scenes: DataFrame, sections: DataFrame, presence: DataFrame, people: DataFrame) -> DataFrame:
+    """(book_id, nth, id, title, summary, text_hash, chapter, characters): scenes of ready layers in reading order with who is present.
+
+    presence(book_id, entity_id, scene_id), people(book_id, id, canonical_name, entity_type): persons only, by name."""
+    ready = scenes.join(layers.where("status = 'ready'").select("book_id", "chapter_id"), ["book_id", "chapter_id"], "left_semi")
+    who = presence.join(people.where("entity_type = 'person'").select("book_id", F.col("id").alias("entity_id"), "canonical_name"), ["book_id", "entity_id"])
+    names = who.groupBy("book_id", F.col("scene_id").alias("id")).agg(F.array_sort(F.collect_list("canonical_name")).alias("characters"))
+    titles = sections.select("book_id", F.col("id").alias("chapter_id"), F.col("title").alias("chapter"))
+    both = ready.join(titles, ["book_id", "chapter_id"], "left").join(names, ["book_id", "id"], "left")
+    order = Window.partitionBy("book_id").orderBy("start_char", "id")
+    return both.select("book_id", F.row_number().over(order).alias("nth"), "id", "title", "summary", "text_hash", "chapter", F.coalesce("characters", F.array().cast("array<string>")).alias("characters"))
+
+
+def progress(scenes: DataFrame, done: DataFrame, method: str) -> DataFrame:
+    """(book_id, scenes, annotated): how many scenes of each book have a ready annotation of their text by this method."""
+    ok = done.where((F.col("status") == "ready") & (F.col("method_hash") == method)).select("scene_id", "text_hash", F.lit(1).alias("ok")).distinct()
+    return scenes.join(ok, ["scene_id", "text_hash"], "left").groupBy("book_id").agg(F.count("*").alias("scenes"), F.count("ok").alias("annotated"))
