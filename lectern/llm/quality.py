@@ -150,7 +150,9 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, e
         for b in common.stream(kept, BATCH):
             yield b.column(1).to_pylist(), b.column(0).to_numpy()
 
-    return net.fit(batches, sizes.n, sizes.ones)
+    net.fit(batches, sizes.n, sizes.ones)
+    common.drop(kept)
+    return net
 
 
 def with_score(docs: DataFrame, net: Network, name: str = "score") -> DataFrame:

@@ -35,6 +35,8 @@ BLOCK = 1 << 16
 BANDS, BAND_ROWS = 24, 4
 #: Texts, and bytes of their sets of shingles, that one task compares; a band of more is worked in rounds of at most PIVOTS texts.
 GROUP, GROUP_BYTES, PIVOTS = 1000, 1 << 26, (64, 1024)
+#: Bands looked at together: after the first ones most similar texts are in one component, and bands within one need no look.
+ROUNDS = ((0, 4), (4, BANDS))
 _MULTIPLY, _ADD = (np.random.default_rng(SEED).integers(1, 1 << 63, (2, BANDS * BAND_ROWS), np.uint64) | np.uint64(1))
 
 
@@ -285,12 +287,7 @@ def _crowded_links(entries: DataFrame, known: DataFrame, least: float) -> DataFr
         new = dealt.groupBy("key", "part").cogroup(each.groupBy("pkey", "ppart")).applyInArrow(_against(least), "a long, b long")
         new = common.materialise(new, "new")
         out = new if out is None else out.union(new)
-        # links between roots, and the roots that these lead to
-        home = common.materialise(label.select("fp", "root").distinct(), "home")
-        end = lambda n: home.select(F.col("fp").alias(n), F.col("root").alias(f"{n}_root"))
-        joined = common.components(new.join(end("a"), "a").join(end("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
-        moved = joined.select(F.col("node").alias("root"), F.col("root").alias("to"))
-        label = common.materialise(label.join(moved, "root", "left").select("key", "fp", "bytes", F.coalesce("to", "root").alias("root")), "label")
+        label = common.materialise(_relabelled(label, new), "label")
         tried = pivots if tried is None else tried.union(pivots)
         many = min(4 * many, PIVOTS[1])
 
@@ -334,25 +331,44 @@ def similar_links(docs: DataFrame, own: DataFrame, width: int, least: float, kno
             yield out(kept)
 
     texts = docs.select(F.col("text").cast("string").cast("binary").alias("body")).select(F.xxhash64("body").alias("h"), "body")
+    names = common.materialise(own.select("h", "fp").dropDuplicates(["h"]), "names")
     made = common.materialise(texts.mapInArrow(common.trimmed(keys), "h long, keys array<long>").where("keys is not null").dropDuplicates(["h"]), "bands")
-    each = made.select("h", F.posexplode("keys").alias("band", "key"))
-    shared = each.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("h").alias("low"), F.max("h").alias("high"), F.sum(F.pmod(F.xxhash64("h"), F.lit(1 << 40))).alias("all")).where("n > 1")
-    # bands with the same texts are looked at once
-    once = common.materialise(shared.groupBy("n", "low", "high", "all").agg(F.min(F.struct("band", "key")).alias("k")).select("k.band", "k.key"), "shared")
-    members = common.materialise(each.join(once, ["band", "key"]).select("h", F.xxhash64("band", "key").alias("key")), "members")
-    # written, so that its join with texts of very many copies can be split
-    wanted = common.materialise(members.select("h").distinct(), "wanted")
-    whole = common.materialise(texts.join(wanted, "h", "left_semi").mapInArrow(common.trimmed(sets), "h long, found binary").dropDuplicates(["h"]), "sets")
-    named = whole.join(own.select("h", "fp").dropDuplicates(["h"]), "h")
-    entries = common.materialise(members.join(common.materialise(named, "named"), "h").select("key", "fp", "found"), "entries")
-    crowd = entries.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.octet_length("found")).alias("bytes")).where((F.col("n") > GROUP) | (F.col("bytes") > GROUP_BYTES))
-    crowd = common.materialise(crowd.select("key"), "crowd")
-    dealt = entries.join(crowd, "key", "left_anti").repartition(common.partitions(spark), "key").sortWithinPartitions("key")
-    found = dealt.mapInArrow(common.trimmed(compare), "a long, b long")
-    if not crowd.head(1):
-        return found
-    found = common.materialise(found, "found")
-    return found.union(_crowded_links(common.materialise(entries.join(crowd, "key", "left_semi"), "crowded"), known.union(found), least))
+    roots = common.components(known).select(F.col("node").alias("fp"), "root")
+    label = common.materialise(made.select("h").join(names, "h").join(roots, "fp", "left").select("h", "fp", F.coalesce("root", "fp").alias("root")), "label")
+    out = None
+    for low, high in ROUNDS:
+        each = made.select("h", F.posexplode(F.slice("keys", low + 1, high - low)).alias("band", "key")).withColumn("band", F.col("band") + low).join(label.select("h", "root"), "h")
+        shared = each.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("h").alias("low"), F.max("h").alias("high"), F.sum(F.pmod(F.xxhash64("h"), F.lit(1 << 40))).alias("all"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1")
+        # bands with the same texts are looked at once
+        once = common.materialise(shared.groupBy("n", "low", "high", "all").agg(F.min(F.struct("band", "key")).alias("k")).select("k.band", "k.key"), "shared")
+        members = common.materialise(each.join(once, ["band", "key"]).select("h", F.xxhash64("band", "key").alias("key")), "members")
+        # written, so that its join with texts of very many copies can be split
+        wanted = common.materialise(members.select("h").distinct(), "wanted")
+        whole = common.materialise(texts.join(wanted, "h", "left_semi").mapInArrow(common.trimmed(sets), "h long, found binary").dropDuplicates(["h"]).join(names, "h"), "sets")
+        sized = members.join(whole.select("h", F.octet_length("found").alias("bytes")), "h")
+        crowd = common.materialise(sized.groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).where((F.col("n") > GROUP) | (F.col("bytes") > GROUP_BYTES)).select("key"), "crowd")
+        entries = lambda rows, whole=whole: rows.join(whole, "h").select("key", "fp", "found")
+        dealt = entries(members.join(crowd, "key", "left_anti")).repartition(common.partitions(spark), "key").sortWithinPartitions("key")
+        found = common.materialise(dealt.mapInArrow(common.trimmed(compare), "a long, b long"), "found")
+        if crowd.head(1):
+            crowded = common.materialise(entries(members.join(crowd, "key", "left_semi")), "crowded")
+            so_far = known.union(found) if out is None else known.union(out).union(found)
+            found = found.union(_crowded_links(crowded, so_far, least))
+            common.drop(crowded)
+        out = found if out is None else out.union(found)
+        if high < BANDS:
+            label = common.materialise(_relabelled(label, found), "label")
+        common.drop(whole, members, once, wanted)
+    return out
+
+
+def _relabelled(label: DataFrame, links: DataFrame) -> DataFrame:
+    """label(fp, root, ...) with roots joined by links (a, b) of fingerprints."""
+    home = common.materialise(label.select("fp", "root").distinct(), "home")
+    end = lambda n: home.select(F.col("fp").alias(n), F.col("root").alias(f"{n}_root"))
+    joined = common.components(links.join(end("a"), "a").join(end("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
+    moved = joined.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    return label.join(moved, "root", "left").withColumn("root", F.coalesce("to", "root")).select(*label.columns)
 
 
 def _grouped(docs: DataFrame, width: int, threshold: int, similar: tuple[int, float] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -393,10 +409,14 @@ def one_of_each(docs: DataFrame, width: int = 4, threshold: int = 4, similar: tu
     Of rows with that doc_id the one with the smallest text hash stays, and any one of equal rows. Null and
     empty texts are one component, of which one row stays."""
     o, h = common.unused(docs, "ord"), common.unused(docs, "h")
-    own, label = _grouped(docs, width, threshold, similar)
-    # reduced to one row a fingerprint before the join, so that a fingerprint of very many rows is no single task
-    least = own.groupBy("fp").agg(F.min(F.struct(common.order_key("doc_id").alias("o"), "h")).alias("c"))
-    chosen = least.join(label, "fp").groupBy("root").agg(F.min("c").alias("c")).select(F.col("c.o").alias(o), F.col("c.h").alias(h))
+
+    def first() -> DataFrame:
+        own, label = _grouped(docs, width, threshold, similar)
+        # reduced to one row a fingerprint before the join, so that a fingerprint of very many rows is no single task
+        least = own.groupBy("fp").agg(F.min(F.struct(common.order_key("doc_id").alias("o"), "h")).alias("c"))
+        return least.join(label, "fp").groupBy("root").agg(F.min("c").alias("c")).select(F.col("c.o").alias(o), F.col("c.h").alias(h))
+
+    chosen = common.written(docs.sparkSession, first, "chosen")
     keyed = docs.withColumns({o: common.order_key("doc_id"), h: F.xxhash64(F.col("text").cast("string").cast("binary"))})
     return keyed.join(chosen, [o, h], "left_semi").dropDuplicates([o, h]).select(*[F.col(f"`{c}`") for c in docs.columns])
 

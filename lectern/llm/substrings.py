@@ -250,8 +250,12 @@ def without_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
 
     Texts without repeats stay as they are; cut words take the white space after them along. A
     document that loses every word goes; null and empty texts stay. See ``removals`` for nulls and ties."""
-    _, copies, spans = repeats(docs, length)
-    spans = spans.unionByName(copies.select("ord", "h", F.array(F.struct(F.lit(0).alias("lo"), F.lit(2**31 - 1).alias("hi"))).alias("spans")))
+
+    def marked() -> DataFrame:
+        _, copies, spans = repeats(docs, length)
+        return spans.unionByName(copies.select("ord", "h", F.array(F.struct(F.lit(0).alias("lo"), F.lit(2**31 - 1).alias("hi"))).alias("spans")))
+
+    spans = common.written(docs.sparkSession, marked, "spans")
 
     @F.arrow_udf("string")
     def cut(bodies, found):

@@ -179,6 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, e
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([a.astype("<i4").tobytes() for a, _ in found], pa.binary()), pa.array([x.astype("<f4").tobytes() for _, x in found], pa.binary())], names)
 
     small = rows.mapInArrow(common.trimmed(keep), "key long, y int, ids binary, values binary").toArrow().sort_by("key")  # at most 2 x each rows of TERMS numbers
+    common.drop(rows)
     got = list(zip(_arrays(small.column("ids"), "<i4"), _arrays(small.column("values"), "<f4"), strict=True))
     return Machine().fit([(a.astype(np.int64), x.astype(np.float64)) for a, x in got], small.column("y").to_numpy(), epochs=8, known=known)
 
