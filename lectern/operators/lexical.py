@@ -2,21 +2,119 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 
 K1, B = 1.2, 0.75
+#: Characters of phrases looked for in one pass.
+BLOCK = 1 << 22
+_WORD = re.compile(r"[^\W_]+")
 
 
-def index(docs: DataFrame, key: str, text: str = "text", stemmed: bool = False) -> DataFrame:
-    """(key, token, tf, dl): how often each token occurs in each text, and the text's number of tokens."""
-    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(T.WORD), F.lit(0))
-    if stemmed:
-        words = F.transform(F.regexp_extract_all(T.fold(F.col(text)), F.lit(T.WORD), F.lit(0)), T.stem)
-    found = docs.select(key, words.alias("w"))
-    return found.select(key, F.size("w").alias("dl"), F.explode("w").alias("token")).groupBy(key, "token", "dl").agg(F.count("*").alias("tf"))
+_ENDINGS = sorted(T.ENDINGS, key=len, reverse=True)
+
+
+def _stem(token: str) -> str:
+    return next((token[: -len(e)] for e in _ENDINGS if token.endswith(e) and len(token) >= len(e) + 4), token)
+
+
+def postings(docs: DataFrame, key: str, text: str = "text", stemmed: bool = False) -> DataFrame:
+    """(token, key, tf, dl): an index to be stored; counted within each text, so no occurrence is shuffled.
+
+    With ``stemmed`` tokens are folded (ё as е) and lose their endings, for texts and queries alike."""
+    kind = dict(docs.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, str] = {}
+        for b in batches:
+            for i in range(b.num_rows):
+                words = _WORD.findall((b.column(1)[i].as_py() or "").lower())
+                if stemmed:
+                    if len(seen) > 200_000:
+                        seen.clear()
+                    words = [seen.get(w) or seen.setdefault(w, _stem(w.replace("ё", "е"))) for w in words]
+                counts = Counter(words)
+                n = len(counts)
+                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([b.column(0)[i].as_py()] * n, b.schema.field(0).type), pa.array(list(counts.values()), pa.int64()), pa.array([len(words)] * n, pa.int64())], ["token", key, "tf", "dl"])
+
+    return docs.select(key, F.col(text).cast("string")).mapInArrow(run, f"token string, {key} {kind}, tf long, dl long")
+
+
+def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
+    """One row (n, mean): how many texts there are and their mean number of tokens; stored beside the postings."""
+    return docs.agg(F.count("*").alias("n"), F.avg(F.size(F.regexp_extract_all(F.lower(F.col(text)), F.lit(T.WORD), F.lit(0)))).alias("mean"))
+
+
+def bm25_from(index: DataFrame, stats: DataFrame, key: str, query: list[str], stemmed: bool = False) -> DataFrame:
+    """(key, score) from stored postings: only those of the query's tokens are read, whatever the size of the texts."""
+    q = list(dict.fromkeys(_stem(w.lower().replace("ё", "е")) if stemmed else w.lower() for w in query))
+    own = index.where(F.col("token").isin(q))
+    df = own.groupBy("token").agg(F.count("*").alias("df"))  # as many rows as the query has tokens
+    both = own.join(F.broadcast(df), "token").join(F.broadcast(stats))  # stats: one row
+    part = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
+    return both.groupBy(key).agg(F.sum(part).alias("score"))
+
+
+def document_frequency(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(token, df, first): in how many texts each token occurs, and the smallest key among them; distinct tokens of a text only are shuffled."""
+    words = docs.select(key, F.explode(T.terms(F.col(text))).alias("token"))
+    return words.groupBy("token").agg(F.count("*").alias("df"), F.min(key).alias("first"))
+
+
+def containing(docs: DataFrame, key: str, phrases: DataFrame, phrase_key: str, phrase: str, text: str = "text") -> DataFrame:
+    """(key, phrase_key, start): texts that hold a phrase exactly, with its first place in code points.
+
+    All phrases of a block are looked for at once, in one pass over the texts, by an automaton; a block holds about BLOCK characters,
+    and further blocks are further passes. The driver passes the phrases, which are the query, through block by block."""
+    kinds = dict(docs.dtypes)[key], dict(phrases.dtypes)[phrase_key]
+    out = None
+    for block in _blocks(phrases.select(phrase_key, F.col(phrase).cast("string"))):
+        made = docs.sparkSession.sparkContext.broadcast(block)  # bounded by BLOCK and one phrase
+
+        def run(batches: Iterator[pa.RecordBatch], made=made) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            same: dict[str, list] = {}
+            for i, p in made.value:
+                if p:
+                    same.setdefault(p, []).append(i)
+            automaton = ahocorasick.Automaton()
+            for p in same:
+                automaton.add_word(p, p)
+            if same:
+                automaton.make_automaton()
+            for b in batches:
+                rows: list[tuple] = []
+                for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    first: dict[str, int] = {}
+                    for end, p in automaton.iter(t) if same and t else ():
+                        first.setdefault(p, end - len(p) + 1)
+                    rows += [(k, i, at) for p, at in first.items() for i in same[p]]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], b.schema.field(0).type), pa.array([r[1] for r in rows]).cast(made_type), pa.array([r[2] for r in rows], pa.int32())], [key, phrase_key, "start"])
+
+        made_type = pa.int64() if kinds[1] in ("bigint", "int") else pa.string()
+        found = docs.select(key, F.col(text).cast("string")).mapInArrow(run, f"{key} {kinds[0]}, {phrase_key} {'bigint' if made_type == pa.int64() else 'string'}, start int")
+        out = found if out is None else out.union(found)
+    return out
+
+
+def _blocks(rows: DataFrame) -> Iterator[list[tuple]]:
+    block, chars, none = [], 0, True
+    for r in rows.toLocalIterator():
+        block.append(tuple(r))
+        chars += len(r[1] or "")
+        if chars >= BLOCK:
+            yield block
+            block, chars, none = [], 0, False
+    if block or none:
+        yield block
 
 
 def _count(token: str):

@@ -1,12 +1,13 @@
 """Versioned tables with compare-and-swap, search sessions, chats, reply caches and budgets.
 
-A store is a folder with one subfolder for each version and a pointer file; a write makes a new version and moves
-the pointer only if the expected version is still current. All file work goes through Hadoop's FileSystem, so any
+A store is a folder with one subfolder for each version; a write makes the next one by a rename, which succeeds only if the
+expected version is still the last. Nothing else has to be written, so a writer that dies leaves no half version. All file work goes through Hadoop's FileSystem, so any
 store that Spark reads will do.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -28,10 +29,10 @@ class VersionedTable:
 
     def version(self) -> int:
         """The current version; 0 before the first write."""
-        if not self._fs.exists(self._path(f"{self.path}/_heads")):
+        if not self._fs.exists(self._path(self.path)):
             return 0
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.path}/_heads"))]
-        return max((int(n.split("-")[0]) for n in names), default=0)
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.path))]
+        return max((int(n[1:]) for n in names if re.fullmatch(r"v\d+", n)), default=0)
 
     def _folder(self, version: int) -> str:
         return f"{self.path}/v{version}"
@@ -54,10 +55,14 @@ class VersionedTable:
         if self._fs.exists(target) or not self._fs.rename(self._path(aside), target):
             self._fs.delete(self._path(aside), True)
             raise Conflict(f"version {expected + 1} is there already")
-        self._fs.mkdirs(self._path(f"{self.path}/_heads"))
-        self._fs.create(self._path(f"{self.path}/_heads/{expected + 1}-{uuid.uuid4().hex}")).close()
         return expected + 1
 
+    def undo(self, expected: int) -> int:
+        """Store the version before the current one anew; the history stays whole."""
+        if expected < 2:
+            raise Conflict("there is nothing to undo")
+        return self.write(self.read(expected - 1), expected)
+
 
 def latest(rows: DataFrame, by: list[str], *order) -> DataFrame:
     """The last row of each key."""

@@ -122,6 +122,21 @@ def q_lexical_bm25(spark, sf_dir):
     return lexical.bm25(documents(spark, sf_dir), "doc_id", ["the", "with"]).select("doc_id", F.round("score", 6).alias("score"))
 
 
+@query(_BM25 + "SELECT doc_id, round(score, 6) AS score FROM b")
+def q_index_bm25(spark, sf_dir):
+    """The same search from postings, as a stored index gives them."""
+    d = documents(spark, sf_dir)
+    found = lexical.bm25_from(lexical.postings(d, "doc_id"), lexical.statistics(d), "doc_id", ["the", "with"])
+    return found.select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(replace(lower(text), 'ё', 'е'), '[\\pL\\pN]+')) AS w FROM documents)
+SELECT w AS token, doc_id, count(*) AS tf FROM w WHERE NOT regexp_matches(w, '[а-я]') GROUP BY 1, 2""")
+def q_stemmed_postings(spark, sf_dir):
+    """Postings with Russian stems; tokens of other letters stay as they are."""
+    return lexical.postings(documents(spark, sf_dir), "doc_id", stemmed=True).where(~F.col("token").rlike("[а-я]")).select("token", "doc_id", "tf")
+
+
 @query(_BM25 + "SELECT doc_id, CAST(row_number() OVER (ORDER BY round(score, 6) DESC, doc_id) AS INTEGER) AS rank, true AS truncated FROM b QUALIFY rank <= 20")
 def q_lexical_topk_or(spark, sf_dir):
     """A top-20 report of the search for either word, with the probe for more."""
@@ -134,7 +149,7 @@ def q_lexical_topk_or(spark, sf_dir):
 @query("""WITH w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\pL\\pN]+'))) AS token FROM documents)
 SELECT token, count(*) AS df, min(doc_id) AS first_id FROM w GROUP BY token""")
 def q_inverted_index(spark, sf_dir):
-    return lexical.index(documents(spark, sf_dir), "doc_id").groupBy("token").agg(F.count("*").alias("df"), F.min("doc_id").alias("first_id"))
+    return lexical.document_frequency(documents(spark, sf_dir), "doc_id").withColumnRenamed("first", "first_id")
 
 
 @query("""WITH p AS (SELECT doc_id, unnest(range(len(l))) AS k, unnest(l) AS t, len(l) AS n FROM (SELECT doc_id, string_split(lower(text), ' the ') AS l FROM documents)),
@@ -150,25 +165,20 @@ def q_substring_hits(spark, sf_dir):
 
 
 def quote_hits(spark, sf_dir):
-    """(doc_id, item_id) of documents that hold an item's text: joined on a word run, then checked."""
-    lead = lambda c: F.slice(F.split(c, r"\s+"), 2, 4)
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote")).withColumn("key", F.xxhash64(F.array_join(lead(F.col("quote")), " ")))
-    words = documents(spark, sf_dir).select("doc_id", "text", F.split("text", r"\s+").alias("w"))
-    keys = words.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 3)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 4), " "))))).alias("key"))
-    pairs = keys.join(items.select("key", "item_id"), "key").select("doc_id", "item_id").distinct()
-    both = pairs.join(documents(spark, sf_dir), "doc_id").join(items.select("item_id", "quote"), "item_id")
-    return both.where(F.contains("text", F.col("quote")))
+    """(doc_id, item_id, start) of documents that hold an item's text."""
+    return lexical.containing(documents(spark, sf_dir), "doc_id", table(spark, sf_dir, "benchmark"), "item_id", "text")
 
 
 @query("SELECT doc_id, item_id, CAST(strpos(d.text, b.text) - 1 AS INTEGER) AS start_char FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def q_evidence_contained(spark, sf_dir):
-    return quote_hits(spark, sf_dir).select("doc_id", "item_id", (F.instr("text", F.col("quote")) - 1).cast("int").alias("start_char"))
+    return quote_hits(spark, sf_dir).withColumnRenamed("start", "start_char")
 
 
 @query()
 def q_evidence_spans(spark, sf_dir):
     """The sentences that hold each quoted item."""
-    found = quote_hits(spark, sf_dir).withColumn("span", spans.evidence_span(F.col("text"), F.col("quote")))
+    quotes = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
+    found = quote_hits(spark, sf_dir).join(documents(spark, sf_dir), "doc_id").join(quotes, "item_id").withColumn("span", spans.evidence_span(F.col("text"), F.col("quote")))
     return found.select("doc_id", "item_id", "span.start_char", "span.end_char")
 
 
