@@ -210,3 +210,9 @@ def name_match(catalog: DataFrame, query: str, limit: int = 10) -> DataFrame:
     marked = top.withColumns({"r": F.row_number().over(w), "second": F.lead("score").over(w)})
     gap = F.max(F.when((F.col("r") == 1) & (F.col("score") - F.col("second") < 0.08), True).otherwise(False)).over(Window.partitionBy())
     return marked.withColumn("ambiguous", gap).where(F.col("r") <= limit).select("id", "score", "scene_count", "ambiguous")
+
+
+def catalog(entities: DataFrame, presence_rows: DataFrame) -> DataFrame:
+    """entities(id, ...) with scene_count, 0 for those in no scene."""
+    n = presence_rows.groupBy(F.col("entity_id").alias("id")).agg(F.countDistinct("scene_id").alias("n"))
+    return entities.join(n, "id", "left").withColumn("scene_count", F.coalesce("n", F.lit(0))).drop("n")

@@ -7,7 +7,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
@@ -68,6 +68,14 @@ def document_frequency(docs: DataFrame, key: str, text: str = "text") -> DataFra
     return words.groupBy("token").agg(F.count("*").alias("df"), F.min(key).alias("first"))
 
 
+def substring_hits(docs: DataFrame, key: str, phrase: str, text: str = "text") -> DataFrame:
+    """(key, k, start_char, end_char): all places of a phrase that don't overlap, whatever the case; lengths of the parts between give the offsets."""
+    parts = docs.select(key, F.split(F.lower(F.col(text)), F.lit(re.escape(phrase.lower())), -1).alias("l"))
+    p = parts.select(key, (F.size("l") - 1).alias("n"), F.posexplode("l").alias("k", "t")).select(key, "n", "k", F.length("t").alias("c"))
+    start = F.sum("c").over(Window.partitionBy(key).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)) + len(phrase) * F.col("k")
+    return p.select(key, "k", "n", start.cast("long").alias("start_char")).where("k < n").select(key, "k", "start_char", (F.col("start_char") + len(phrase)).alias("end_char"))
+
+
 def containing(docs: DataFrame, key: str, phrases: DataFrame, phrase_key: str, phrase: str, text: str = "text") -> DataFrame:
     """(key, phrase_key, start): texts that hold a phrase exactly, with its first place in code points.
 

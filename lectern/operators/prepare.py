@@ -56,3 +56,10 @@ def status(chapters: DataFrame, scenes: DataFrame, mentions: DataFrame, annotati
     both = s.join(m, ["scene_id", "text_hash"], "left").join(a, ["scene_id", "text_hash"], "left")
     n = both.groupBy("chapter_id").agg(F.count("*").alias("scenes"), F.sum((F.col("status") == "ready").cast("long")).alias("ready"), F.sum(F.coalesce("m", F.lit(0))).cast("long").alias("extracted"), F.sum(F.coalesce("a", F.lit(0))).cast("long").alias("annotated"))
     return chapters.select("chapter_id").join(n, "chapter_id", "left").na.fill(0)
+
+
+def coverage(scenes: DataFrame, covered: DataFrame) -> DataFrame:
+    """(book_id, scenes, ready, covered) of scenes(book_id, id, ready) and covered(id); coverage is reduced to scenes before the join."""
+    both = scenes.join(covered.select("id", F.lit(True).alias("c")).distinct(), "id", "left")
+    n = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
+    return both.groupBy("book_id").agg(F.count("*").alias("scenes"), n(F.col("ready")).alias("ready"), n(F.col("c")).alias("covered"))

@@ -176,3 +176,19 @@ def within_hops(scenes: DataFrame, anchors: DataFrame, hops: int) -> DataFrame:
 def both_ways(edges: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
     """Edges and their reverses."""
     return edges.unionByName(edges.withColumns({source: F.col(target), target: F.col(source)}))
+
+
+def reading_chain(scenes: DataFrame, *order: str) -> DataFrame:
+    """scenes(book_id, id) with scene_rank from 1, previous_id and next_id in reading order."""
+    w = Window.partitionBy("book_id").orderBy(*order, "id")
+    return scenes.withColumns({"scene_rank": F.row_number().over(w).cast("long"), "previous_id": F.lag("id").over(w), "next_id": F.lead("id").over(w)})
+
+
+def chunk_context(docs: DataFrame, key: str, tail: int = 200, head: int = 40) -> DataFrame:
+    """Chunks of whole texts with their neighbours' starts, their heads and at most ``tail`` characters of what stands before."""
+    found = docs.select(key, "text", F.posexplode(spans.chunks(F.col("text"))).alias("k", "c"), spans.chunks(F.col("text")).alias("all"))
+    before, after = F.get("all", F.col("k") - 1), F.get("all", F.col("k") + 1)
+    n = F.least(F.lit(tail), before["end_char"] - before["start_char"])
+    end = F.coalesce(F.substring("text", before["end_char"] - n + 1, n), F.lit(""))
+    long = lambda c: c.cast("long")
+    return found.select(key, long(F.col("c.start_char")).alias("start_char"), long(F.col("c.end_char")).alias("end_char"), long(before["start_char"]).alias("previous_start"), long(after["start_char"]).alias("next_start"), F.substring("text", F.col("c.start_char") + 1, F.lit(head)).alias("head"), end.alias("tail_before"))

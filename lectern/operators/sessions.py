@@ -124,3 +124,15 @@ def within_budget(requests: DataFrame, calls: int, tokens: int, order: str = "se
 def reserve(text, output: int):
     """Tokens to set aside for a request: a tenth more than a rough count, 128 more and the output."""
     return (F.ceil(1.1 * F.size(F.split(text, r"\s+"))) + 128 + output).cast("long")
+
+
+def history_tail(messages: DataFrame, by: str, order: str, size, budget: int) -> DataFrame:
+    """The newest messages of users and assistants while their sizes fit the budget; the first overflow ends the tail."""
+    w = Window.partitionBy(by).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    return messages.where(F.col("role").isin("user", "assistant")).withColumn("tokens_to_end", F.sum(size).over(w)).where(F.col("tokens_to_end") <= budget)
+
+
+def counters(items: DataFrame) -> DataFrame:
+    """(search_id, items, viewed, rejected, last) of items(search_id, viewed, review_status, at)."""
+    n = lambda c: F.sum(c.cast("long"))
+    return items.groupBy("search_id").agg(F.count("*").alias("items"), n(F.col("viewed")).alias("viewed"), n(F.col("review_status") == "rejected").alias("rejected"), F.max("at").alias("last"))

@@ -36,11 +36,10 @@ def canonical_text(lines: DataFrame, key: str) -> DataFrame:
 
 def next_bound(sections: DataFrame, by: str = "book_id") -> DataFrame:
     """sections(start, level) with ``end``: the next start of a section of the same or an outer level, or ``total``."""
-    own = sections.withColumn("__row", F.monotonically_increasing_id())
-    order = Window.partitionBy(by).orderBy("start", "level")
-    later = F.collect_list(F.struct("start", "level")).over(order.rowsBetween(1, Window.unboundedFollowing))
-    ends = F.filter(later, lambda x: (x["level"] <= F.col("level")) & (x["start"] > F.col("start")))
-    return own.withColumn("end", F.coalesce(F.try_element_at(F.transform(ends, lambda x: x["start"]), F.lit(1)), F.col("total"))).drop("__row")
+    levels = range(0, 10)  # fixed: levels are 0 to 9
+    strict = Window.partitionBy(by).orderBy(F.col("start").desc()).rangeBetween(Window.unboundedPreceding, -1)
+    after = F.array(*[F.min(F.when(F.col("level") <= n, F.col("start"))).over(strict) for n in levels])
+    return sections.withColumn("end", F.coalesce(F.get(after, F.col("level")), F.col("total")))
 
 
 def closure(edges: DataFrame, roots: DataFrame, node: str = "id", parent: str = "parent_id", depth: int = 12) -> DataFrame:
@@ -107,3 +106,8 @@ def override(automatic: DataFrame, human: DataFrame, suppressed: DataFrame, keys
     """Automatic rows replaced by human ones of the same key, less suppressed keys; column ``origin`` tells which."""
     a = automatic.join(human.select(*keys), keys, "left_anti").join(suppressed.select(*keys), keys, "left_anti")
     return a.withColumn("origin", F.lit("automatic")).unionByName(human.withColumn("origin", F.lit("human")))
+
+
+def duplicates(rows: DataFrame, *key: str) -> DataFrame:
+    """(key, n) of keys that aren't unique."""
+    return rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")

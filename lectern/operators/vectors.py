@@ -18,6 +18,11 @@ def scan(table: DataFrame, query: list[float], key: str, vector: str, limit: int
     return probe.orderBy(F.desc("score"), key).limit(limit), probe.agg((F.count("*") > limit).alias("truncated"))
 
 
+def similar_outside(table: DataFrame, query: list[float], key: str, vector: str, start: int, end: int, limit: int) -> DataFrame:
+    """The ``limit`` rows most similar to a vector whose range (start_char, end_char) doesn't overlap [start, end)."""
+    return scan(table.where(~((F.col("start_char") < end) & (F.col("end_char") > start))), query, key, vector, limit)[0]
+
+
 def centroids(table: DataFrame, by: str, vector: str, weight: Column) -> DataFrame:
     """(by, pos, value): weighted mean vectors, one row for each component."""
     parts = table.select(by, weight.cast("double").alias("w"), F.posexplode(vector).alias("pos", "x"))

@@ -120,7 +120,7 @@ def q_review_latest(spark, sf_dir):
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
 def q_unique_violations(spark, sf_dir):
     """Keys that are not unique."""
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).where("n > 1")
+    return structure.duplicates(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
 
 
 @query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN 'edited' ELSE p_name END AS title, CASE WHEN p_partkey % 5 = 0 THEN 'human' ELSE 'automatic' END AS origin FROM part WHERE p_partkey % 7 <> 0 OR p_partkey % 5 = 0""")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import entities, search, structure
+from lectern.operators import entities, prepare, related, search, structure
 from lectern.plans.registry import query, table
 
 _SCENES = "scenes AS (SELECT o_custkey AS book_id, o_orderkey AS id, o_orderdate, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS scene_rank FROM orders)"
@@ -31,8 +31,8 @@ def q_presence(spark, sf_dir):
 
 @query("SELECT s_suppkey, s_name, count(DISTINCT l_orderkey) AS scene_count FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1, 2")
 def q_entity_catalog(spark, sf_dir):
-    n = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.countDistinct("l_orderkey").alias("n"))
-    return table(spark, sf_dir, "supplier").select("s_suppkey", "s_name").join(n, "s_suppkey", "left").select("s_suppkey", "s_name", F.coalesce("n", F.lit(0)).alias("scene_count"))
+    m, _ = mentions(spark, sf_dir)
+    return entities.catalog(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), "s_name"), m).select(F.col("id").alias("s_suppkey"), "s_name", "scene_count")
 
 
 @query("SELECT l_orderkey AS scene_id, count(DISTINCT l_suppkey) AS n FROM lineitem WHERE l_suppkey IN (1, 2) GROUP BY 1 HAVING count(DISTINCT l_suppkey) = 2")
@@ -50,8 +50,7 @@ def q_entities_union_anchor(spark, sf_dir):
 
 @query(f"WITH {_SCENES} SELECT book_id, id, scene_rank, lag(id) OVER w AS previous_id, lead(id) OVER w AS next_id FROM scenes WINDOW w AS (PARTITION BY book_id ORDER BY scene_rank)")
 def q_next_scene_chain(spark, sf_dir):
-    w = Window.partitionBy("book_id").orderBy("o_orderdate", "id")
-    return scenes(spark, sf_dir).select("book_id", "id", F.col("scene_rank").cast("long").alias("scene_rank"), F.lag("id").over(w).alias("previous_id"), F.lead("id").over(w).alias("next_id"))
+    return search.reading_chain(scenes(spark, sf_dir).drop("scene_rank"), "o_orderdate").select("book_id", "id", "scene_rank", "previous_id", "next_id")
 
 
 @query(f"WITH {_SCENES}, a AS (SELECT s.* FROM scenes s JOIN orders o ON o.o_orderkey = s.id WHERE o_orderpriority = '1-URGENT') SELECT a.book_id, a.id AS anchor_id, s.id, s.scene_rank - a.scene_rank AS distance FROM a JOIN scenes s ON s.book_id = a.book_id AND s.scene_rank BETWEEN a.scene_rank - 2 AND a.scene_rank + 1 AND s.id <> a.id")
@@ -181,10 +180,9 @@ def q_stale_layers(spark, sf_dir):
 @query("SELECT o_custkey, count(DISTINCT o_orderkey) AS scenes, count(DISTINCT CASE WHEN o_orderstatus <> 'F' THEN o_orderkey END) AS ready, count(DISTINCT CASE WHEN l_returnflag = 'R' THEN o_orderkey END) AS covered FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
 def q_coverage_status(spark, sf_dir):
     """Scenes, ready ones and covered ones for each book; coverage is reduced to scenes before the join."""
-    covered = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"), F.lit(True).alias("c")).distinct()
-    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus").join(covered, "o_orderkey", "left")
-    n = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
-    return o.groupBy("o_custkey").agg(F.count("*").alias("scenes"), n(F.col("o_orderstatus") != "F").alias("ready"), n(F.col("c")).alias("covered"))
+    covered = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("id"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("book_id"), F.col("o_orderkey").alias("id"), (F.col("o_orderstatus") != "F").alias("ready"))
+    return prepare.coverage(o, covered).withColumnRenamed("book_id", "o_custkey")
 
 
 @query(f"""WITH {_SCENES}, a AS (SELECT s.* FROM scenes s JOIN orders o ON o.o_orderkey = s.id WHERE o_orderpriority = '1-URGENT'),
@@ -212,3 +210,58 @@ def q_runs(spark, sf_dir):
     first = ids.select("user_id", F.col("k").alias("first"), F.col("event_id").alias("first_id"))
     last = ids.select("user_id", F.col("k").alias("last"), F.col("event_id").alias("last_id"))
     return r.join(first, ["user_id", "first"]).join(last, ["user_id", "last"]).select("user_id", "event_type", F.col("first_id").alias("first"), F.col("last_id").alias("last"), "n")
+
+
+_FRAGS = """s AS (SELECT o_custkey AS book_id, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS r, o_orderpriority AS title FROM orders), frag AS (SELECT book_id, r AS fragment, r * 100 + 10 AS a, r * 100 + 120 AS b FROM s WHERE r % 3 = 0),
+links AS (SELECT x.book_id, x.id AS source_id, y.id AS target_id, (['retells', 'parallels', 'causes'])[CAST(x.id % 3 AS INTEGER) + 1] AS type, CASE WHEN x.id % 2 = 0 THEN 'suggestive' ELSE 'explicit' END AS basis, CASE WHEN x.id % 4 = 0 THEN 'why' END AS reason, x.id AS xid, y.id AS yid FROM s x JOIN s y ON x.book_id = y.book_id AND y.r = x.r + 2)"""
+
+
+def fragments(spark, sf_dir):
+    """(scenes, fragments, links): scenes of 100 characters each, every third a fragment that reaches into the next, links two scenes on."""
+    w = Window.partitionBy("book_id").orderBy("id")
+    s = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("book_id"), F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"))
+    s = s.withColumn("r", F.row_number().over(w) - 1).withColumns({"start_char": (F.col("r") * 100).cast("long"), "end_char": (F.col("r") * 100 + 100).cast("long"), "text_hash": F.col("id") % 11})
+    frag = s.where("r % 3 = 0").select("book_id", F.col("r").cast("long").alias("fragment"), (F.col("start_char") + 10).alias("start_char"), (F.col("start_char") + 120).alias("end_char"))
+    to = s.select("book_id", (F.col("r") - 2).alias("r"), F.col("id").alias("target_id"), F.col("text_hash").alias("target_hash"))
+    kind = F.element_at(F.array(F.lit("retells"), F.lit("parallels"), F.lit("causes")), (F.col("source_id") % 3 + 1).cast("int"))
+    l = s.select("book_id", "r", F.col("id").alias("source_id"), F.col("text_hash").alias("source_hash")).join(to, ["book_id", "r"])
+    l = l.withColumns({"type": kind, "basis": F.when(F.col("source_id") % 2 == 0, "suggestive").otherwise("explicit"), "reason": F.when(F.col("source_id") % 4 == 0, "why")})
+    return s, frag, l
+
+
+_PATH = "CASE type WHEN 'retells' THEN 'пересказ того же события' WHEN 'parallels' THEN 'параллель' ELSE 'связь по причине' END || {} || CASE WHEN basis = 'suggestive' THEN ' (гипотеза)' ELSE '' END || ': «' || {} || '»' || CASE WHEN reason IS NOT NULL THEN ' — ' || reason ELSE '' END"
+
+
+@query(f"""WITH {_FRAGS}, ways AS (SELECT book_id, source_id, target_id, type, basis, reason, xid, yid FROM links UNION ALL SELECT book_id, target_id, source_id, type, basis, reason, xid, yid FROM links),
+hit AS (SELECT DISTINCT f.book_id, fragment, o.id, o.r * 100 AS start_char, {_PATH.format("' между сценами'", "o.title")} AS path FROM frag f JOIN s ON s.book_id = f.book_id AND s.r * 100 < b AND s.r * 100 + 100 > a JOIN ways ON ways.book_id = s.book_id AND source_id = s.id JOIN s o ON o.book_id = f.book_id AND o.id = target_id WHERE xid % 5 <> 0)
+SELECT book_id, fragment, CAST(id AS VARCHAR) AS id, start_char, path, CAST(row_number() OVER (PARTITION BY book_id, fragment ORDER BY start_char, id, path) AS INTEGER) AS rank FROM hit""")
+def q_linked_scenes(spark, sf_dir):
+    """Scenes linked to those that fragments overlap; links of every fifth source are of another version."""
+    s, frag, l = fragments(spark, sf_dir)
+    old = l.withColumn("source_hash", F.when(F.col("source_id") % 5 == 0, -1).otherwise(F.col("source_hash")))
+    return related.linked_scenes(frag, s, old).select("book_id", "fragment", "id", "start_char", "path", "rank")
+
+
+@query(f"""WITH {_FRAGS}, ways AS (SELECT book_id, source_id, target_id, type, basis, reason FROM links UNION ALL SELECT book_id, target_id, source_id, type, basis, reason FROM links),
+hit AS (SELECT DISTINCT f.book_id, fragment, o.id, o.r * 100 + 30 AS start_char, {_PATH.format("''", "'g' || o.id")} AS path FROM frag f JOIN s ON s.book_id = f.book_id AND s.r * 100 + 50 < b AND s.r * 100 + 55 > a JOIN ways ON ways.book_id = s.book_id AND source_id = s.id JOIN s o ON o.book_id = f.book_id AND o.id = target_id)
+SELECT book_id, fragment, 'k' || id AS id, start_char, path, CAST(row_number() OVER (PARTITION BY book_id, fragment ORDER BY start_char, 'k' || id, path) AS INTEGER) AS rank FROM hit""")
+def q_linked_events(spark, sf_dir):
+    """Chunks with an event linked to one that a fragment overlaps; each scene has one event and a chunk around it."""
+    s, frag, l = fragments(spark, sf_dir)
+    events = s.select("book_id", "id", (F.col("start_char") + 50).alias("start_char"), (F.col("start_char") + 55).alias("end_char"), F.concat(F.lit("g"), "id").alias("gist"))
+    chunks = s.select("book_id", F.concat(F.lit("k"), "id").alias("id"), (F.col("start_char") + 30).alias("start_char"), (F.col("start_char") + 70).alias("end_char"))
+    return related.linked_events(frag, events, l.select("book_id", "source_id", "target_id", "type", "basis", "reason"), chunks).select("book_id", "fragment", "id", "start_char", "path", "rank")
+
+
+@query(f"""WITH e AS (SELECT label AS book_id, vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS r FROM embeddings),
+p AS (SELECT x.book_id, x.r AS fragment, y.id, round((1 + list_cosine_similarity(x.v, y.v)) / 2, 9) AS s, y.r FROM e x JOIN e y ON x.book_id = y.book_id AND abs(x.r - y.r) > 1 WHERE x.r % 4 = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY book_id, fragment ORDER BY s DESC, CAST(id AS VARCHAR)) AS rank FROM p)
+SELECT CAST(book_id AS BIGINT) AS book_id, fragment, CAST(id AS VARCHAR) AS id, CAST(rank AS INTEGER) AS nth, round(1.0::DOUBLE / (60 + rank), 9) AS score FROM k WHERE rank <= 3""")
+def q_related_fragments(spark, sf_dir):
+    """Chunks most similar to those that contain fragments, fused into what is related; neighbours overlap by half."""
+    w = Window.partitionBy("book_id").orderBy("id")
+    e = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("book_id"), F.col("vec_id").alias("id"), "embedding", F.lit("m").alias("embedding_model"))
+    e = e.withColumn("r", (F.row_number().over(w) - 1).cast("long")).withColumns({"start_char": F.col("r") * 100, "end_char": F.col("r") * 100 + 150}).withColumn("id", F.col("id").cast("string"))
+    frag = e.where("r % 4 = 0").select("book_id", F.col("r").alias("fragment"), (F.col("start_char") + 60).alias("start_char"), (F.col("start_char") + 90).alias("end_char"))
+    found = related.related(related.similar_chunks(frag, e, 3))
+    return found.select("book_id", "fragment", "id", "nth", F.round("score", 9).alias("score"))

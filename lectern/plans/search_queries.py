@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.functions import vectors as V
-from lectern.operators import intervals, lexical, search, vectors
+from lectern.operators import intervals, lexical, search, sessions, vectors
 from lectern.plans.registry import query, table
 from lectern.plans.text_queries import _BM25, chunk_rows, documents
 from lectern.sources import html
@@ -41,9 +41,8 @@ def q_vector_topk(spark, sf_dir):
 @query(f"WITH {_SCORED} SELECT vec_id, score FROM s WHERE NOT (vec_id * 10 < 37 AND vec_id * 10 + 15 > 0) QUALIFY row_number() OVER (ORDER BY score DESC, vec_id) <= 15")
 def q_similar_excluding_overlap(spark, sf_dir):
     """The 15 chunks most similar to the first that do not overlap the span 0..37; chunk i spans 10 i .. 10 i + 15."""
-    rows = embeddings(spark, sf_dir).where(~((F.col("vec_id") * 10 < 37) & (F.col("vec_id") * 10 + 15 > 0)))
-    best, _ = vectors.scan(rows, probe(spark, sf_dir), "vec_id", "embedding", 15)
-    return best.select("vec_id", F.round("score", 6).alias("score"))
+    rows = embeddings(spark, sf_dir).withColumns({"start_char": F.col("vec_id") * 10, "end_char": F.col("vec_id") * 10 + 15})
+    return vectors.similar_outside(rows, probe(spark, sf_dir), "vec_id", "embedding", 0, 37, 15).select("vec_id", F.round("score", 6).alias("score"))
 
 
 @query("WITH p AS (SELECT label, vec_id % 7 + 1 AS w, unnest(range(len(embedding))) AS pos, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings) SELECT label, CAST(pos AS INTEGER) AS pos, round(sum(w * x) / sum(w), 6) AS value FROM p GROUP BY 1, 2")
@@ -202,9 +201,8 @@ def q_paging_status(spark, sf_dir):
 
 @query("SELECT user_id AS search_id, count(*) AS items, CAST(sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS BIGINT) AS viewed, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS rejected, max(event_id) AS last FROM events GROUP BY 1")
 def q_session_counters(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    n = lambda t: F.sum((F.col("event_type") == t).cast("long"))
-    return e.groupBy(F.col("user_id").alias("search_id")).agg(F.count("*").alias("items"), n("view").alias("viewed"), n("error").alias("rejected"), F.max("event_id").alias("last"))
+    status = F.when(F.col("event_type") == "error", "rejected").otherwise("unreviewed")
+    return sessions.counters(table(spark, sf_dir, "events").select(F.col("user_id").alias("search_id"), (F.col("event_type") == "view").alias("viewed"), status.alias("review_status"), F.col("event_id").alias("at")))
 
 
 @query()

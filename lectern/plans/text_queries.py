@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import spans
 from lectern.functions import text as T
-from lectern.operators import lexical, structure
+from lectern.operators import lexical, search, sessions, structure
 from lectern.plans.registry import query, table
 
 _LINES = """lines AS (SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS element FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
@@ -75,28 +75,18 @@ def q_chunks_full(spark, sf_dir):
     return chunk_rows(documents(spark, sf_dir))
 
 
-def chain_context(docs):
-    """Chunks with their neighbours, their heads and up to 200 characters of what stands before."""
-    found = docs.select("doc_id", "text", F.posexplode(spans.chunks(F.col("text"))).alias("k", "c"), spans.chunks(F.col("text")).alias("all"))
-    before, after = F.get("all", F.col("k") - 1), F.get("all", F.col("k") + 1)
-    n = F.least(F.lit(200), before["end_char"] - before["start_char"])
-    tail = F.coalesce(F.substring("text", before["end_char"] - n + 1, n), F.lit(""))
-    long = lambda c: c.cast("long")
-    return found.select("doc_id", long(F.col("c.start_char")).alias("start_char"), long(F.col("c.end_char")).alias("end_char"), long(before["start_char"]).alias("previous_start"), long(after["start_char"]).alias("next_start"), F.substring("text", F.col("c.start_char") + 1, F.lit(40)).alias("head"), tail.alias("tail_before"))
-
-
 @query(f"""WITH RECURSIVE {_GLUE} SELECT doc_id, start_char, end_char, CAST(lag(start_char) OVER w AS BIGINT) AS previous_start, CAST(lead(start_char) OVER w AS BIGINT) AS next_start,
 substr(text, CAST(start_char + 1 AS BIGINT), 40) AS head, coalesce(substr(text, CAST(greatest(lag(start_char) OVER w, lag(end_char) OVER w - 200) + 1 AS BIGINT), CAST(least(200, lag(end_char) OVER w - lag(start_char) OVER w) AS BIGINT)), '') AS tail_before
 FROM chunks JOIN documents USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY start_char)""")
 def q_chunk_chain_context(spark, sf_dir):
-    """chain_context of documents without long lines, which is what the SQL can glue; q_chunk_chain_full has all documents."""
-    return chain_context(short_lined(documents(spark, sf_dir)))
+    """Chunks with their neighbours in documents without long lines, which is what the SQL can glue; q_chunk_chain_full has all documents."""
+    return search.chunk_context(short_lined(documents(spark, sf_dir)), "doc_id")
 
 
 @query()
 def q_chunk_chain_full(spark, sf_dir):
-    """chain_context of all documents, long lines split."""
-    return chain_context(documents(spark, sf_dir))
+    """Chunks with their neighbours in all documents, long lines split."""
+    return search.chunk_context(documents(spark, sf_dir), "doc_id")
 
 
 @query("SELECT sha256(text) AS text_hash, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1")
@@ -156,12 +146,8 @@ def q_inverted_index(spark, sf_dir):
 o AS (SELECT doc_id, k, n, CAST(sum(length(t)) OVER (PARTITION BY doc_id ORDER BY k) + 5 * k AS BIGINT) AS start_char FROM p)
 SELECT doc_id, CAST(k AS INTEGER) AS k, start_char, start_char + 5 AS end_char FROM o WHERE k < n - 1""")
 def q_substring_hits(spark, sf_dir):
-    """All non-overlapping places of a phrase, case-insensitive; lengths of the parts between them give the offsets."""
-    phrase = " the "
-    parts = documents(spark, sf_dir).select("doc_id", F.split(F.lower("text"), F.lit(phrase), -1).alias("l"))
-    p = parts.select("doc_id", (F.size("l") - 1).alias("n"), F.posexplode("l").alias("k", "t")).select("doc_id", "n", "k", F.length("t").alias("c"))
-    start = F.sum("c").over(Window.partitionBy("doc_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)) + len(phrase) * F.col("k")
-    return p.select("doc_id", "k", "n", start.cast("long").alias("start_char")).where("k < n").select("doc_id", "k", "start_char", (F.col("start_char") + len(phrase)).alias("end_char"))
+    """All non-overlapping places of a phrase, case-insensitive."""
+    return lexical.substring_hits(documents(spark, sf_dir), "doc_id", " the ")
 
 
 def quote_hits(spark, sf_dir):
@@ -219,6 +205,5 @@ r AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS BETWEE
 SELECT conv_id, turn, role, CAST(back AS BIGINT) AS tokens_to_end FROM r WHERE back <= 400""")
 def q_history_tail(spark, sf_dir):
     """The newest messages of each conversation within a budget; the first overflow ends the tail."""
-    c = table(spark, sf_dir, "conversations").where(F.col("role").isin("user", "assistant")).select("conv_id", "turn", "role", F.length("text").alias("n"))
-    w = Window.partitionBy("conv_id").orderBy(F.desc("turn")).rowsBetween(Window.unboundedPreceding, 0)
-    return c.withColumn("tokens_to_end", F.sum("n").over(w)).where("tokens_to_end <= 400").select("conv_id", "turn", "role", "tokens_to_end")
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.length("text").alias("n"))
+    return sessions.history_tail(c, "conv_id", "turn", F.col("n"), 400).select("conv_id", "turn", "role", "tokens_to_end")
