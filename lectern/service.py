@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.functions import vectors as V
-from lectern.operators import entities, intervals, lexical, search, sessions, structure
+from lectern.operators import entities, intervals, lexical, related, search, sessions, structure
 
 SEARCHABLE = ("ready", "partial")
 EXPANSIONS = ("discourse", "composition", "character", "chronotope", "retelling", "prefiguring", "parallel", "causal")
@@ -152,9 +152,14 @@ class Search:
             more += [name] * cut
         return self._result(hits, r, q, more)
 
-    def find_entities(self, query: str, limit: int = 10, types: list[str] | None = None) -> DataFrame:
-        """Entities by name; ``ambiguous`` when the best two are close."""
+    def find_entities(self, query: str | None = None, limit: int = 10, types: list[str] | None = None) -> DataFrame:
+        """Entities by name, ``ambiguous`` when the best two are close; without a name those of the types in most scenes."""
         rows = self.t["entities"] if types is None else self.t["entities"].where(F.col("entity_type").isin(types))
+        if not query:
+            if not types:
+                raise ValueError("a name or types are needed")
+            listed = rows.select("id", F.lit(None).cast("double").alias("score"), "scene_count", F.lit(False).alias("ambiguous"))
+            return listed.orderBy(F.desc("scene_count"), "id").limit(check(limit, 1, 30, "limit"))
         return entities.name_match(rows, check_query(query), check(limit, 1, 30, "limit"))
 
     def scenes_for_entities(self, ids: list, every: bool = True, section_ids: list[str] | None = None) -> Result:
@@ -217,6 +222,24 @@ class Search:
             raise ValueError("; ".join(warnings))
         return self._result(hits, self.ranges(), "", [], warnings)
 
+    def related(self, result: Result, item_id: str, similar: int = 5) -> DataFrame:
+        """Places related to one candidate: by links between events, by links between scenes, by similarity; see operators.related."""
+        self.fresh(result)
+        check(similar, 0, 20, "similar")
+        one = result.candidates.where(F.col("id") == item_id).select(F.lit(self.book_id).alias("book_id"), F.lit(0).cast("long").alias("fragment"), "start_char", "end_char")
+        if one.head(1) == []:
+            raise ValueError("the candidate is not of this search")
+        found, own = [], self._own("chunks")
+        if {"events", "event_links"} <= self.t.keys():
+            found.append(related.linked_events(one, self._own("events"), self.t["event_links"], own))
+        if "scene_links" in self.t and "source_hash" in self.t["scene_links"].columns:
+            found.append(related.linked_scenes(one, self._own("scenes"), self.t["scene_links"]))
+        if similar and {"embedding", "embedding_model"} <= set(own.columns):
+            found.append(related.similar_chunks(one, own, similar))
+        if not found:
+            raise ValueError("there are no links and no vectors")
+        return related.related(*found).drop("fragment")
+
     def project(self, result: Result) -> Result:
         """Candidates of any origin as chunks, which inherit the best score of each channel."""
         self.fresh(result)
@@ -267,7 +290,7 @@ class Search:
         """A retrieval plan: each phrase in texts and scenes, each description by meaning, entities; merged and projected.
 
         A channel that fails becomes a warning; the plan stays with the search."""
-        jobs = [(f"words {w!r} in {t}", lambda w=w, t=t: self.words(w, t, limit=200 if t == "text" else 5)) for w in words for t in ("text", "scenes")]
+        jobs = [(f"words {w!r} in {t}", lambda w=w, t=t: self.words(w, t, limit=5 if t == "scenes" else 200)) for w in words for t in ("text", "scenes", "context")]
         jobs += [(f"description {d!r}", lambda d=d, v=v: self.semantic(d, v, limit=15)) for d, v in descriptions]
         jobs += [("entities", lambda: self.scenes_for_entities(list(entity_ids)))] * bool(entity_ids)
         found, failed = [], []
