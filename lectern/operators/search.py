@@ -61,6 +61,7 @@ def round_robin(items: DataFrame) -> DataFrame:
     gives its best item that isn't out yet. Sequential by nature, so grouped by search."""
 
     def turn(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
         queues: dict[str, list] = {}
         for at, (item, scores) in enumerate(zip(pdf["id"], pdf["scores"], strict=True)):
             for channel, score in dict(scores).items():
@@ -78,7 +79,7 @@ def round_robin(items: DataFrame) -> DataFrame:
         return pd.DataFrame({"search_id": pdf["search_id"].iloc[0], "id": list(out), "ord": list(out.values())})
 
     kinds = dict(items.dtypes)
-    order = items.select("search_id", "id", "scores").orderBy("search_id").groupBy("search_id").applyInPandas(turn, f"search_id {kinds['search_id']}, id {kinds['id']}, ord long")
+    order = items.select("search_id", "id", "scores").groupBy("search_id").applyInPandas(turn, f"search_id {kinds['search_id']}, id {kinds['id']}, ord long")
     return items.join(order, ["search_id", "id"])
 
 

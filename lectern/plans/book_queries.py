@@ -156,7 +156,7 @@ def q_preparation_status(spark, sf_dir):
     return prepare.status(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("chapter_id")), s, l, l)
 
 
-@query()
+@query("""WITH d AS (SELECT doc_id, sha256(text) AS hash FROM documents) SELECT DISTINCT hash, CAST(64 AS INTEGER) AS dimensions FROM d WHERE hash NOT IN (SELECT hash FROM d WHERE doc_id % 3 = 0)""")
 def q_embed_misses(spark, sf_dir):
     """Texts that the cache lacks, embedded offline: one vector for each distinct text."""
     d = documents(spark, sf_dir).select(F.col("doc_id").alias("seq"), T.content_hash(F.col("text")).alias("hash"), "text")

@@ -9,7 +9,7 @@ from lectern.functions import text as T
 from lectern.functions import vectors as V
 from lectern.operators import intervals, lexical, search, sessions, vectors
 from lectern.plans.registry import query, table
-from lectern.plans.text_queries import _BM25, chunk_rows, documents
+from lectern.plans.text_queries import _BM25, _PARAS, documents, paragraphs
 from lectern.sources import html
 
 _Q = "q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0)"
@@ -81,7 +81,15 @@ def event_hits(spark, sf_dir):
     return search.ranked(best, ["search_id", "channel"], F.desc("value"), "id")
 
 
-@query()
+@query("""WITH RECURSIVE b AS (SELECT user_id AS search_id, event_type AS channel, event_id % 40 AS id, max(value) AS value FROM events GROUP BY 1, 2, 3),
+r AS (SELECT search_id, channel, id, row_number() OVER (PARTITION BY search_id, channel ORDER BY value DESC, id) AS rank FROM b),
+c AS (SELECT search_id, channel, list(id ORDER BY rank) AS ids FROM r GROUP BY 1, 2),
+l AS (SELECT search_id, list(ids ORDER BY channel) AS lines, (SELECT count(DISTINCT id) FROM r WHERE r.search_id = c.search_id) AS total FROM c GROUP BY 1),
+t AS (SELECT search_id, lines, total, 0 AS step, CAST([] AS BIGINT[]) AS taken FROM l
+UNION ALL SELECT search_id, lines, total, step + 1, CASE WHEN new IS NULL THEN taken ELSE list_append(taken, new) END FROM (SELECT *, list_filter(lines[step % len(lines) + 1], lambda x: NOT list_contains(taken, x))[1] AS new FROM t WHERE len(taken) < total)),
+o AS (SELECT search_id, unnest(taken) AS id, CAST(unnest(range(len(taken))) AS BIGINT) AS ord FROM t WHERE len(taken) = total),
+s AS (SELECT search_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM r GROUP BY 1, 2)
+SELECT search_id, id, ord, score FROM o JOIN s USING (search_id, id)""")
 def q_round_robin(spark, sf_dir):
     fused = search.fuse(event_hits(spark, sf_dir), ["search_id", "id"])
     return search.round_robin(fused).select("search_id", "id", "ord", F.round("score", 9).alias("score"))
@@ -156,11 +164,12 @@ def q_smallest_container(spark, sf_dir):
     return found.select(F.col("left_event_id").alias("event_id"), F.col("right_event_id").alias("container"))
 
 
-@query()
+@query(f"""WITH {_PARAS}, n AS (SELECT doc_id, length(text) AS n FROM documents), h(search_id, channel, a, b, score) AS (VALUES ('s1', 'words', 1, 3, 1.0::DOUBLE / 61), ('s2', 'semantic', 2, 5, 1.0::DOUBLE / 62), ('s1', 'semantic', 0, 1, 1.0::DOUBLE / 61))
+SELECT search_id, n.doc_id AS book_id, l AS start_char, r AS end_char, channel, round(max(score), 9) AS score FROM n, h, paras p WHERE p.doc_id = n.doc_id AND CAST(floor(n * a / 10.0) AS BIGINT) < r AND CAST(floor(n * b / 10.0) AS BIGINT) > l GROUP BY 1, 2, 3, 4, 5""")
 def q_project_passages(spark, sf_dir):
-    """Sentence hits of two searches in every document, projected to its chunks."""
+    """Hits of two searches in every document, projected to its paragraphs."""
     docs = documents(spark, sf_dir)
-    chunks = chunk_rows(docs).withColumnRenamed("doc_id", "book_id")
+    chunks = paragraphs(docs).withColumnRenamed("doc_id", "book_id")
     n = docs.select(F.col("doc_id").alias("book_id"), F.length("text").cast("long").alias("n"))
     hits = n.select("book_id", F.explode(F.array(*[F.struct(F.lit(f"s{k}").alias("search_id"), F.lit(c).alias("channel"), (F.col("n") * a / 10).cast("long").alias("start_char"), (F.col("n") * b / 10).cast("long").alias("end_char"), F.lit(1.0 / (60 + k)).alias("score")) for k, c, a, b in ((1, "words", 1, 3), (2, "semantic", 2, 5), (1, "semantic", 0, 1))])).alias("h")).select("book_id", "h.*")
     return search.project(hits, chunks).withColumn("score", F.round("score", 9))
