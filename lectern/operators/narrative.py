@@ -286,3 +286,16 @@ def progress(scenes: DataFrame, done: DataFrame, method: str) -> DataFrame:
     """(book_id, scenes, annotated): how many scenes of each book have a ready annotation of their text by this method."""
     ok = done.where((F.col("status") == "ready") & (F.col("method_hash") == method)).select("scene_id", "text_hash", F.lit(1).alias("ok")).distinct()
     return scenes.join(ok, ["scene_id", "text_hash"], "left").groupBy("book_id").agg(F.count("*").alias("scenes"), F.count("ok").alias("annotated"))
+
+
+def rebuilt(events: DataFrame, scene_map_links: DataFrame, replies: DataFrame, known: DataFrame | None = None, per_link: int = 3, k: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs, decisions, links): event links from scene links, the shortlist and an oracle's replies, for all books at once.
+
+    events are as ``shortlist`` and ``scene_link_anchors`` take them; the best pairs of linked scenes and ``known``(book_id, a_id, b_id)
+    are required candidates. A pair's id is ``left::right``; links carry their book."""
+    near = scene_link_anchors(events, scene_map_links, per_link).select("book_id", F.col("left_id").alias("a_id"), F.col("right_id").alias("b_id"))
+    must = near if known is None else near.unionByName(known.select("book_id", "a_id", "b_id"))
+    pairs = shortlist(events, must.distinct(), k).withColumn("pair_id", F.concat_ws("::", "left_id", "right_id"))
+    decided = link_decisions(pairs, replies)
+    side = events.select("book_id", F.col("id").alias("source_id"))
+    return pairs, decided, link_rows(decided).join(side, "source_id")

@@ -42,6 +42,13 @@ def check_query(text: str) -> str:
     return text.strip()
 
 
+def _settled(candidates: DataFrame) -> DataFrame:
+    """The rows themselves, so that later steps of a conversation start from them and not from a growing plan.
+
+    A search has at most candidate_limit (2000) candidates of each channel."""
+    return candidates.sparkSession.createDataFrame(candidates.collect(), candidates.schema)
+
+
 @dataclass
 class Result:
     """A search: its candidates in order, and what is known about it."""
@@ -118,8 +125,7 @@ class Search:
         ordered = search.round_robin(found)
         have = set(ordered.columns)
         defaults = {"review_status": F.lit("unreviewed"), "reason": F.lit(""), "selected": F.lit(False), "viewed": F.lit(False)}
-        # at most candidate_limit rows of several channels; kept, so that later steps start from them
-        return ordered.withColumns({c: v for c, v in defaults.items() if c not in have}).persist()
+        return _settled(ordered.withColumns({c: v for c, v in defaults.items() if c not in have}))
 
     def words(self, query: str, target: str = "text", section_ids: list[str] | None = None, limit: int = 200) -> Result:
         """Search by words in chunk texts, in titles and summaries of scenes, or in chunk contexts."""
@@ -130,6 +136,8 @@ class Search:
         elif target in ("text", "context"):
             docs, origin = self._own("chunks"), "chunk"
             if target == "context":
+                if "context" not in docs.columns:
+                    raise ValueError("the chunks have no contexts")
                 docs = docs.withColumn("text", F.coalesce("context", F.lit("")))
         else:
             raise ValueError("target is text, scenes or context")
@@ -283,8 +291,8 @@ class Search:
         text = self._own("books").select(F.col("text").alias("__text"))
         items = result.candidates.join(F.broadcast(text)).withColumn("text", T.slice_of(F.col("__text"), F.col("start_char"), F.col("end_char"))).select("id", "text", "start_char")
         judged = search.apply_verdicts(items, verdicts).select("id", F.col("review_status").alias("s"), F.col("reason").alias("r"), F.col("selected").alias("sel"), "verified", "quote_start", "quote_end", "quote")
-        new = result.candidates.join(judged, "id").withColumns({"review_status": F.when(F.col("s") != "unreviewed", F.col("s")).otherwise(F.col("review_status")), "reason": F.when(F.col("s") != "unreviewed", F.col("r")).otherwise(F.col("reason")), "selected": F.when(F.col("s") != "unreviewed", F.col("sel")).otherwise(F.col("selected"))})
-        return Result(new.drop("s", "r", "sel"), result.search_id, result.query, result.revision, result.truncated, result.warnings, result.parents, result.plan)
+        new = result.candidates.drop("verified", "quote_start", "quote_end", "quote").join(judged, "id").withColumns({"review_status": F.when(F.col("s") != "unreviewed", F.col("s")).otherwise(F.col("review_status")), "reason": F.when(F.col("s") != "unreviewed", F.col("r")).otherwise(F.col("reason")), "selected": F.when(F.col("s") != "unreviewed", F.col("sel")).otherwise(F.col("selected"))})
+        return Result(_settled(new.drop("s", "r", "sel")), result.search_id, result.query, result.revision, result.truncated, result.warnings, result.parents, result.plan)
 
     def retrieve(self, words: list[str], descriptions: list[tuple[str, list[float]]] = (), entity_ids: list = (), criterion: str = "") -> Result:
         """A retrieval plan: each phrase in texts and scenes, each description by meaning, entities; merged and projected.
