@@ -187,9 +187,9 @@ def q_marked_text(spark, sf_dir):
 
 
 @query("""WITH s AS (SELECT o_custkey AS book_id, o_orderkey AS scene_id, o_orderkey * 100 AS base FROM orders),
-e AS (SELECT s.*, l_linenumber AS n, l_orderkey * 10 + l_linenumber AS id, l_suppkey FROM lineitem JOIN s ON s.scene_id = l_orderkey), w AS (SELECT id, list_sort(list(DISTINCT l_suppkey)) AS who FROM e GROUP BY 1)
+e AS (SELECT s.*, l_linenumber AS n, l_orderkey * 10 + l_linenumber AS id, l_suppkey FROM lineitem JOIN s ON s.scene_id = l_orderkey), w AS (SELECT id, array_to_string(list_sort(list(DISTINCT l_suppkey)), ',') AS who FROM e GROUP BY 1)
 SELECT book_id, id, base + n * 4 AS position, substr(repeat('abcdefghij', 5), CAST(greatest(0, n * 4 - 4) + 1 AS BIGINT), CAST(least(50, n * 4 + 2 + 4) - greatest(0, n * 4 - 4) AS BIGINT)) AS context,
-CASE WHEN n * 4 + 2 <= 14 THEN 'first' WHEN n * 4 >= 14 THEN 'second' END AS chunk_level, who AS participant_ids FROM e JOIN w USING (id)""")
+CASE WHEN n * 4 + 2 <= 14 THEN 'first' WHEN n * 4 >= 14 THEN 'second' END AS chunk_level, who AS participants FROM e JOIN w USING (id)""")
 def q_enriched_events(spark, sf_dir):
     """Line items as events of orders' scenes of fifty characters, with context, chunk and participant."""
     s = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("book_id"), F.col("o_orderkey").alias("scene_id"), (F.col("o_orderkey") * 100).alias("start_char"), F.lit("t").alias("title"), F.lit("abcdefghij" * 5).alias("text"))
@@ -199,7 +199,7 @@ def q_enriched_events(spark, sf_dir):
     part = lambda a, b, level: s.select("book_id", "scene_id", (F.col("start_char") + a).alias("start_char"), (F.col("start_char") + b).alias("end_char"), F.lit(level).alias("level"), F.lit("narrator").alias("representation"))
     people = l.select("book_id", (F.col("l_orderkey") * 10 + n).alias("event_id"), F.col("l_suppkey").alias("entity_id"))
     found = narrative.enriched(events, s, part(0, 14, "first").union(part(14, 50, "second")), people, 10)
-    return found.select("book_id", "id", F.col("position").cast("long").alias("position"), "context", "chunk_level", "participant_ids")
+    return found.select("book_id", "id", F.col("position").cast("long").alias("position"), "context", "chunk_level", F.array_join(F.col("participant_ids").cast("array<string>"), ",").alias("participants"))
 
 
 @query("""WITH e AS (SELECT vec_id, label, vec_id % 20 AS scene_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), l AS (SELECT unnest(range(19)) AS a),

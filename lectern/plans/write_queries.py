@@ -250,7 +250,7 @@ def q_replace_links(spark, sf_dir):
 
 
 @query(f"""WITH {_LIB}, n AS (SELECT book_id, count(*) AS n, count(CASE WHEN id % 3 = 0 THEN 1 END) AS e FROM scenes GROUP BY 1)
-SELECT book_id, book_id % 2 = 0 AS renewed, CASE WHEN book_id % 2 = 0 THEN n END AS n_chunks, CASE WHEN book_id % 2 = 0 THEN e END AS n_embedded, CASE WHEN book_id % 2 = 0 THEN 0 END AS n_scenes, CAST(CASE WHEN book_id % 2 = 0 AND e > 0 THEN 2 END AS INTEGER) AS dims FROM n""")
+SELECT book_id, book_id % 2 = 0 AS renewed, CASE WHEN book_id % 2 = 0 THEN n END AS n_chunks, CASE WHEN book_id % 2 = 0 THEN e END AS n_embedded, CAST(CASE WHEN book_id % 2 = 0 THEN 0 END AS BIGINT) AS n_scenes, CAST(CASE WHEN book_id % 2 = 0 AND e > 0 THEN 2 END AS INTEGER) AS dims FROM n""")
 def q_replace_index(spark, sf_dir):
     """The index state after every second book's chunks are replaced, a third of them with vectors."""
     t = library(spark, sf_dir)
