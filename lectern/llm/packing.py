@@ -56,9 +56,10 @@ class _Coder(dict):
     The tokenizer splits at white space before anything else, so the ids of a text are those of its
     words in turn. Words are looked up. Of an unknown word of Latin letters and closing marks the
     lower-case letters and the marks, which the tokenizer takes apart too, are looked up or coded by its model;
-    other unknown words go through the whole tokenizer, many at once. Forgets all when it is full."""
+    other unknown words go through the whole tokenizer, many at once. Lower-case letters are words themselves, so
+    they share the table. Forgets all when it is full."""
 
-    FULL = 150_000
+    FULL = 400_000
 
     def __init__(self, path: str):
         super().__init__()
@@ -66,9 +67,9 @@ class _Coder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.codes = [np.array([i], "<u4").tobytes() for i in range(self.tokenizer.get_vocab_size())]
-        self.parts: dict[bytes, bytes] = {}
+        self.marks: dict[bytes, bytes] = {}
         self.plain = self._is_plain()
         # the byte-level alphabet: printable Latin-1 stands for itself, other bytes for U+0100 and on
         kept = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
@@ -80,34 +81,39 @@ class _Coder(dict):
         whole = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
         return all(whole(a + b) == whole(a.lower()) + whole(b) for a in ("The", "Élan", "xqzt", "naïve") for b in (".", ",", "!!", "?!", ":;"))
 
-    def _part(self, part: bytes) -> bytes:
-        """Ids of lower-case letters or of marks, by the tokenizer's model."""
-        ids = self.parts.get(part)
+    def _coded(self, text: str) -> bytes:
+        """Ids of lower-case letters or of marks in the byte-level alphabet, by the tokenizer's model."""
+        found, code = self.tokenize(text), self.codes
+        return code[found[0].id] if len(found) == 1 else b"".join([code[t.id] for t in found])
+
+    def _lower(self, part: bytes) -> bytes:
+        """Ids of lower-case letters, which are a word of the table."""
+        ids = self.get(part)
         if ids is None:
-            text = part.decode() if part.isascii() else "".join([self.letters[b] for b in part])
-            code = self.codes
-            ids = self.parts[part] = b"".join([code[t.id] for t in self.model.tokenize(text)])
+            ids = self[part] = self._coded(part.decode() if part.isascii() else "".join([self.letters[b] for b in part]))
         return ids
 
-    def clear(self) -> None:
-        super().clear()
-        self.parts.clear()
+    def _mark(self, part: bytes) -> bytes:
+        ids = self.marks.get(part)
+        if ids is None:
+            if len(self.marks) > 10_000:
+                self.marks.clear()
+            ids = self.marks[part] = self._coded(part.decode())
+        return ids
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self) > self.FULL or len(self.parts) > self.FULL:
+        if len(self) > self.FULL:
             self.clear()
-        new, part = [], self._part
-        for w in words:
-            if w in self:
-                continue
+        new, lower, mark = [], self._lower, self._mark
+        for w in words - self.keys():
             if not self.plain:
                 new.append(w)
             elif w.isalpha():  # ASCII letters only, as bytes
-                self[w] = part(w.lower())
-            elif w[:-1].isalpha() and w[-1] in b".,;:!?":
-                self[w] = part(w[:-1].lower()) + part(w[-1:])
+                self[w] = lower(w.lower())
+            elif w[-1] in b".,;:!?" and w[:-1].isalpha():
+                self[w] = lower(w[:-1].lower()) + mark(w[-1:])
             elif m := _PLAIN.match(w.decode()):
-                self[w] = part(m[1].lower().encode()) + (part(m[2].encode()) if m[2] else b"")
+                self[w] = lower(m[1].lower().encode()) + (mark(m[2].encode()) if m[2] else b"")
             else:
                 new.append(w)
         for a in range(0, len(new), 1000):
