@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from difflib import SequenceMatcher
-from itertools import pairwise
+from itertools import accumulate, pairwise
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -99,17 +100,21 @@ def windows(text: str, most: int) -> list[str]:
     return parts + [now] if now else parts
 
 
-def _rows(spans):
-    return [{"start_char": a, "end_char": b} for a, b in spans]
-
-
 def _evidence(text: pd.Series, quote: pd.Series) -> pd.DataFrame:
     found = [evidence(t, q) or (None, None) for t, q in zip(text, quote, strict=True)]
     return pd.DataFrame({"start_char": pd.array([a for a, _ in found], "Int32"), "end_char": pd.array([b for _, b in found], "Int32")})
 
 
-def _occurrences(text: pd.Series, form: pd.Series) -> pd.Series:
-    return pd.Series([_rows(occurrences(t, f)) for t, f in zip(text, form, strict=True)])
+def _lists(found: list[list[tuple[int, int]]]) -> pa.Array:
+    """Ranges of each text as an Arrow list, without an object for each range."""
+    ends = pa.array(list(accumulate(map(len, found), initial=0)), pa.int32())
+    flat = [x for spans in found for x in spans]
+    fields = pa.StructArray.from_arrays([pa.array([a for a, _ in flat], pa.int32()), pa.array([b for _, b in flat], pa.int32())], ["start_char", "end_char"])
+    return pa.ListArray.from_arrays(ends, fields)
+
+
+def _occurrences(text: pa.Array, form: pa.Array) -> pa.Array:
+    return _lists([occurrences(t, f) for t, f in zip(text.to_pylist(), form.to_pylist(), strict=True)])
 
 
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -122,7 +127,7 @@ def evidence_span(text: Column, quote: Column) -> Column:
 
 
 def occurrence_spans(text: Column, form: Column) -> Column:
-    return F.pandas_udf(_occurrences, f"array<{SPAN}>")(text, form)
+    return F.arrow_udf(_occurrences, f"array<{SPAN}>")(text, form)
 
 
 def sequence_ratio(a: Column, b: Column) -> Column:
@@ -133,7 +138,7 @@ def sequence_ratio(a: Column, b: Column) -> Column:
 def chunks(text: Column, least: int = 400, most: int = 1200) -> Column:
     """Array of chunk ranges of a text."""
 
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([_rows(chunk_spans(t, least, most)) for t in texts])
+    def run(texts: pa.Array) -> pa.Array:
+        return _lists([chunk_spans(t.as_py(), least, most) for t in texts])
 
-    return F.pandas_udf(run, f"array<{SPAN}>")(text)
+    return F.arrow_udf(run, f"array<{SPAN}>")(text)

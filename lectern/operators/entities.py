@@ -119,9 +119,12 @@ def shortlist(mentions: DataFrame, entities: DataFrame, k: int, by: str = "chapt
     mentions(by, mention_id, name, entity_type, scene_no), entities(by, entity_id, name, entity_type, scene_no)."""
     e = entities.select(by, "entity_id", F.col("name").alias("e_name"), F.col("entity_type").alias("e_type"), F.col("scene_no").alias("e_scene"))
     pairs = mentions.join(e, by).where(compatible(F.col("entity_type"), F.col("e_type")))
-    lexical = spans.sequence_ratio(T.fold(F.col("name")), T.fold(F.col("e_name")))
-    score = F.greatest(lexical, T.jaccard(T.stems(F.col("name")), T.stems(F.col("e_name"))))
-    score = score + F.when(F.col("entity_type") == F.col("e_type"), 0.08).otherwise(0.0) + 0.04 / (1 + F.abs(F.col("scene_no") - F.col("e_scene")))
+    # names repeat, so each two are compared once in a chapter
+    names = pairs.select(by, "name", "e_name").distinct()
+    lexical = spans.sequence_ratio(F.lower("name"), F.lower("e_name"))
+    names = names.withColumn("near", F.greatest(lexical, T.jaccard(T.stems(F.col("name")), T.stems(F.col("e_name")))))
+    pairs = pairs.join(names, [by, "name", "e_name"])
+    score = F.col("near") + F.when(F.col("entity_type") == F.col("e_type"), 0.08).otherwise(0.0) + 0.04 / (1 + F.abs(F.col("scene_no") - F.col("e_scene")))
     w = Window.partitionBy("mention_id").orderBy(F.desc("score"), "entity_id")
     return pairs.withColumn("score", score).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("mention_id", "entity_id", "score", "r")
 

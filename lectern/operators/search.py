@@ -34,11 +34,21 @@ def fuse(hits: DataFrame, by: list[str]) -> DataFrame:
     return fused.select(*by, F.map_from_entries("p").alias("scores"), F.aggregate("p", F.lit(0.0), lambda a, x: a + x["s"]).alias("score"))
 
 
+#: Ranges of a scope that every task may hold.
+STATED = 1000
+
+
 def clip_to_ranges(hits: DataFrame, ranges: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Hits cut to each allowed range (by, start_char, end_char) that they meet; empty pieces go."""
     by = by or []
     r = ranges.select(*by, F.col("start_char").alias("__s"), F.col("end_char").alias("__e"))
-    both = hits.join(r, by) if by else hits.crossJoin(F.broadcast(r))
+    if by:
+        both = hits.join(r, by)
+    elif ranges.limit(STATED + 1).count() <= STATED:
+        both = hits.crossJoin(F.broadcast(r))  # a stated scope of at most STATED ranges
+    else:  # met in buckets of places
+        pairs = intervals.overlap_join(hits.withColumn("__k", F.lit(0)), ranges.withColumn("__k", F.lit(0)), ["__k"], 4096, ("", "__r_"))
+        both = pairs.withColumnsRenamed({"__r_start_char": "__s", "__r_end_char": "__e"}).select(*hits.columns, "__s", "__e")
     return both.withColumns({"start_char": F.greatest("start_char", "__s"), "end_char": F.least("end_char", "__e")}).where("start_char < end_char").drop("__s", "__e")
 
 
