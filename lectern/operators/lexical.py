@@ -126,22 +126,24 @@ def _blocks(rows: DataFrame) -> Iterator[list[tuple]]:
 
 
 def _count(token: str):
-    """How often a token occurs in the array column w."""
-    return F.size(F.filter("w", lambda x: x == F.lit(token)))
+    """How often a token occurs in the array column w; never null, so that no filter is inferred from it."""
+    return F.coalesce(F.size(F.filter("w", lambda x: x == F.lit(token))), F.lit(0))
 
 
 def bm25(docs: DataFrame, key: str, query: list[str], text: str = "text") -> DataFrame:
     """(key, score) of the texts that hold any of the query's tokens.
 
     The query's tokens are few, so only their postings are made: frequencies are counted in the scan and
-    no text is exploded or shuffled."""
+    no text is exploded or shuffled. A few numbers for each text are dealt once and read twice, for the statistics
+    and the scores, so that texts are cut into tokens once."""
     if not query:
         return docs.select(key, F.lit(0.0).alias("score")).limit(0)
     words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(T.WORD), F.lit(0))
     q = list(dict.fromkeys(query))
-    rows = docs.select(key, words.alias("w")).select(key, F.size("w").alias("dl"), *[_count(t).alias(f"tf{i}") for i, t in enumerate(q)])
+    rows = docs.select(key, words.alias("w")).select(key, F.size("w").alias("dl"), *[_count(t).alias(f"tf{i}") for i, t in enumerate(q)]).repartition(F.col(key))
     stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(q))])
-    both = rows.where(" or ".join(f"tf{i} > 0" for i in range(len(q)))).join(F.broadcast(stats))  # one row
+    # one row of statistics; the condition names it, so that it isn't pushed below the exchange that both sides read
+    both = rows.join(F.broadcast(stats)).where(sum((F.col(f"tf{i}") for i in range(1, len(q))), F.col("tf0")) * F.col("n") > 0)
     part = lambda i: F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
     return both.select(key, sum((part(i) for i in range(1, len(q))), part(0)).alias("score"))
 
