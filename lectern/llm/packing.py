@@ -37,7 +37,7 @@ from lectern.llm import common
 CAPACITY = 2048
 GROUPS = 96
 #: Rows ranked by one task within a length, about.
-RANKED = 1000
+RANKED = 250
 
 
 def _vocabulary() -> str:

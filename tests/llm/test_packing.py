@@ -52,7 +52,7 @@ def test_plan_is_exact_and_tight(kind):
 def test_whole_packing(spark):
     rng = random.Random(1)
     odd = ["", None, "The CAT's <|endoftext|> n'est", "Ünïcode é ́x a\xa0b\x1cc d\x85e", "日本語 text 😀!", "x" * 9000, " \n ", "Élan, ÀÇÉ!! naïve?! Œuvre ĂĎ. ªb µm ºC ßß. e\u0301t\u0301. I\u0307x \u0130stanbul it's. A.B a..b ....", "<|startoftext|>, x<|endoftext|>."]
-    texts = odd + [" ".join(rng.choice(["stone", "River,", "un-der", "9 11", "Ol'd", "ção."]) for _ in range(rng.choice([3, 50, 400, 3000]))) for _ in range(150)]
+    texts = [*odd, "stone River, " * 20_000] + [" ".join(rng.choice(["stone", "River,", "un-der", "9 11", "Ol'd", "ção."]) for _ in range(rng.choice([3, 50, 400, 3000]))) for _ in range(150)]
     rows = [(i, t) for i, t in enumerate(texts)] + [(None, "lost"), (3, texts[3])]
     df = spark.createDataFrame([(i, t, 7, "z") for i, t in rows], "doc_id long, text string, sequence_id int, piece string")
     got = packing.packed(df, keep_ids=True).collect()
