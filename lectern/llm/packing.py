@@ -56,7 +56,7 @@ class _Coder(dict):
     The tokenizer splits at white space before anything else, so the ids of a text are those of its
     words in turn. Words are looked up. Of an unknown word of Latin letters and closing marks the
     lower-case letters and the marks, which the tokenizer takes apart too, are looked up or coded by its model;
-    other unknown words go through the whole tokenizer, many at once. Lower-case letters are words themselves, so
+    other unknown words go through the whole tokenizer. Lower-case letters are words themselves, so
     they share the table. Forgets all when it is full."""
 
     FULL = 400_000
@@ -74,7 +74,7 @@ class _Coder(dict):
         # the byte-level alphabet: printable Latin-1 stands for itself, other bytes for U+0100 and on
         kept = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
         rest = iter(range(256, 512))
-        self.letters = [chr(b) if b in kept else chr(next(rest)) for b in range(256)]
+        self.letters = "".join([chr(b) if b in kept else chr(next(rest)) for b in range(256)])
 
     def _is_plain(self) -> bool:
         """Whether letters and marks of a word may be coded apart, seen on samples by the whole tokenizer."""
@@ -86,13 +86,6 @@ class _Coder(dict):
         found, code = self.tokenize(text), self.codes
         return code[found[0].id] if len(found) == 1 else b"".join([code[t.id] for t in found])
 
-    def _lower(self, part: bytes) -> bytes:
-        """Ids of lower-case letters, which are a word of the table."""
-        ids = self.get(part)
-        if ids is None:
-            ids = self[part] = self._coded(part.decode() if part.isascii() else "".join([self.letters[b] for b in part]))
-        return ids
-
     def _mark(self, part: bytes) -> bytes:
         ids = self.marks.get(part)
         if ids is None:
@@ -101,32 +94,36 @@ class _Coder(dict):
             ids = self.marks[part] = self._coded(part.decode())
         return ids
 
-    def learn(self, words: set[bytes]) -> None:
-        if len(self) > self.FULL:
-            self.clear()
-        new, lower, mark = [], self._lower, self._mark
-        for w in words - self.keys():
-            if not self.plain:
-                new.append(w)
-            elif w.isalpha():  # ASCII letters only, as bytes
-                self[w] = lower(w.lower())
-            elif w[-1] in b".,;:!?" and w[:-1].isalpha():
-                self[w] = lower(w[:-1].lower()) + mark(w[-1:])
-            elif m := _PLAIN.match(w.decode()):
-                self[w] = lower(m[1].lower().encode()) + (mark(m[2].encode()) if m[2] else b"")
-            else:
-                new.append(w)
-        for a in range(0, len(new), 1000):
-            chunk = new[a : a + 1000]
-            for w, e in zip(chunk, self.tokenizer.encode_batch_fast([w.decode() for w in chunk], add_special_tokens=False), strict=True):
-                self[w] = np.array(e.ids, "<u4").tobytes()
+    def __missing__(self, word: bytes) -> bytes:
+        if not self.plain:
+            ids = self._whole(word)
+        elif word.isalpha():  # ASCII letters only, as bytes
+            low = word.lower()
+            ids = self._coded(low.decode()) if low == word else self[low]
+        elif word[-1] in b".,;:!?" and word[:-1].isalpha():
+            ids = self[word[:-1].lower()] + self._mark(word[-1:])
+        elif m := _PLAIN.match(word.decode()):
+            low = m[1].lower().encode()
+            ids = self._coded(low.decode("latin-1").translate(self.letters)) if low == word else self[low]
+            if m[2]:
+                ids += self._mark(m[2].encode())
+        else:
+            ids = self._whole(word)
+        self[word] = ids
+        return ids
+
+    def _whole(self, word: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, bodies: list[bytes]) -> Iterator[bytes]:
         """Ids of each text, without an end mark."""
-        split = [b.split() for b in bodies]
-        self.learn(set().union(*split))
-        for words in split:
-            yield b"".join(map(self.__getitem__, words))
+        for body in bodies:
+            words, ids = body.split(), []
+            for a in range(0, len(words), 100_000):  # a very long text doesn't overfill the table
+                if len(self) > self.FULL:
+                    self.clear()
+                ids.append(b"".join(map(self.__getitem__, words[a : a + 100_000])))
+            yield b"".join(ids)
 
 
 _coders: dict[str, _Coder] = {}
