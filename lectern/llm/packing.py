@@ -59,7 +59,7 @@ class _Coder(dict):
     other unknown words go through the whole tokenizer. Lower-case letters are words themselves, so
     they share the table. Forgets all when it is full."""
 
-    FULL = 400_000
+    FULL = 250_000
 
     def __init__(self, path: str):
         super().__init__()
