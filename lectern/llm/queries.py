@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import decontaminate, licenses, packing, quality, sharding, simhash, substrings, topk, toxicity, warc
+from lectern.llm import centroids, decontaminate, licenses, packing, quality, sharding, simhash, substrings, topk, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_substrings": substrings.op8_substrings,
     "op9_sharding": sharding.op9_sharding,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op12_centroids": centroids.op12_centroids,
 }
-ORACLES: dict[str, str] = {"op2_licenses": licenses.ORACLE, "op4_topk": topk.ORACLE}
+ORACLES: dict[str, str] = {"op2_licenses": licenses.ORACLE, "op4_topk": topk.ORACLE, "op12_centroids": centroids.ORACLE}
