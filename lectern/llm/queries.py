@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import centroids, decontaminate, licenses, packing, quality, sharding, simhash, substrings, topk, toxicity, variants, warc
+from lectern.llm import centroids, decontaminate, jaccard, licenses, packing, quality, sharding, simhash, substrings, topk, toxicity, variants, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,7 +15,8 @@ QUERIES = {
     "op8_substrings": substrings.op8_substrings,
     "op9_sharding": sharding.op9_sharding,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_jaccard": jaccard.op11_jaccard,
     "op12_centroids": centroids.op12_centroids,
     "op13_variants": variants.op13_variants,
 }
-ORACLES: dict[str, str] = {"op2_licenses": licenses.ORACLE, "op4_topk": topk.ORACLE, "op12_centroids": centroids.ORACLE, "op13_variants": variants.ORACLE}
+ORACLES: dict[str, str] = {"op2_licenses": licenses.ORACLE, "op4_topk": topk.ORACLE, "op11_jaccard": jaccard.ORACLE, "op12_centroids": centroids.ORACLE, "op13_variants": variants.ORACLE}

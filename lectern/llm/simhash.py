@@ -259,7 +259,7 @@ def _against(least: float):
     return run
 
 
-def _crowded_links(entries: DataFrame, known: DataFrame, least: float) -> DataFrame:
+def crowded_links(entries: DataFrame, known: DataFrame, least: float) -> DataFrame:
     """Links (a, b) within the groups of entries(key, fp, found), which are too large for a task, beside the ``known`` ones.
 
     Together they have the components of all links. Every text outside its group's largest component is
@@ -353,7 +353,7 @@ def similar_links(docs: DataFrame, own: DataFrame, width: int, least: float, kno
         if crowd.head(1):
             crowded = common.materialise(entries(members.join(crowd, "key", "left_semi")), "crowded")
             so_far = known.union(found) if out is None else known.union(out).union(found)
-            found = found.union(_crowded_links(crowded, so_far, least))
+            found = found.union(crowded_links(crowded, so_far, least))
             common.drop(crowded)
         out = found if out is None else out.union(found)
         if high < BANDS:
