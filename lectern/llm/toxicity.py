@@ -6,9 +6,11 @@ the products of the vectors score pairs of terms that occur together, such as an
 mention of a group, which no sum of single weights expresses. It is trained with AdaGrad in numpy
 on a bounded sample of the labelled rows and scores every whole text.
 
-Long texts hold thousands of words that say nothing; of the buckets those count that the classes of the sample tell
-apart by SIGMA standard errors, at most TERMS of them. Counts come from the executors by bucket, then the rows' values of
-these buckets: the driver holds at most 2 x SAMPLE_EACH x TERMS numbers and no text.
+Long texts hold thousands of words that say nothing, so only some buckets count: those that tell the classes apart on their own, and
+those that do so together with others. For the latter a machine is fitted on the former; what it leaves unexplained is
+added up for every bucket against MATES groups of partners, and a bucket counts if one of its sums is JOINT standard errors from zero.
+Frequencies come from the executors by bucket; the sample's rows are streamed from the shared folder,
+so the driver holds the values of buckets that count, at most 2 x SAMPLE_EACH rows of them, and no text.
 """
 
 from __future__ import annotations
@@ -29,9 +31,12 @@ from lectern.llm import common
 BITS = 18
 #: At most so many labelled rows of each class are used for training.
 SAMPLE_EACH = 4000
-#: Buckets that count, and the standard errors by which they must tell the classes apart.
-TERMS, SIGMA = 4096, 2.0
+#: Standard errors by which a bucket must tell the classes apart on its own, or with a group of partners.
+SIGMA, JOINT = 2.0, 12.0
+#: Groups that the partners of a bucket are hashed into, and rows that a joint bucket needs.
+MATES, ROWS = 16, 8
 FACTORS = 8
+EPOCHS = 12
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -137,18 +142,33 @@ class Machine:
 def telling(ones: np.ndarray, every: np.ndarray, positives: int, rows: int) -> np.ndarray:
     """Marks of the buckets in two or more rows whose share of label 1 differs from the sample's by SIGMA standard errors.
 
-    ones, every: in how many rows of label 1, and of both, each bucket stands. The TERMS most telling at most; without two classes, none."""
+    ones, every: in how many rows of label 1, and of both, each bucket stands. Without two classes, none."""
     share = positives / max(1, rows)
     spread = np.sqrt(np.maximum(every * share * (1 - share) * (1 - every / max(1, rows)), 1e-9))
-    z = np.where((every >= 2) & (every < rows), np.abs(ones - every * share) / spread, 0)
-    known = z >= SIGMA
-    if known.sum() > TERMS:
-        known &= z > np.sort(z)[-TERMS - 1]
+    known = (every >= 2) & (every < rows) & (np.abs(ones - every * share) >= SIGMA * spread)
     return known if 0 < positives < rows else np.zeros(len(every), bool)
 
 
-def _arrays(column: pa.ChunkedArray, kind: str) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_py(), kind) for x in column]
+def joint(rows: Iterator[tuple[np.ndarray, np.ndarray]], unexplained: np.ndarray, every: np.ndarray) -> np.ndarray:
+    """Marks of the buckets whose products with a group of partners go along with what is unexplained of the rows' labels.
+
+    Products are of values of unit length, a bucket isn't its own partner. Buckets in fewer than ROWS rows, or in all of them, don't count."""
+    total, square = np.zeros((1 << BITS, MATES), np.float32), np.zeros((1 << BITS, MATES), np.float32)
+    n = 0
+    for (ids, x), g in zip(rows, unexplained, strict=True):
+        n += 1
+        use = (every[ids] >= ROWS) & (every[ids] < len(unexplained))
+        ids, x = ids[use], x[use]
+        if not len(ids):
+            continue
+        x = x / np.sqrt((x * x).sum())
+        group = (ids * 2654435761 >> 16) % MATES
+        mates = np.tile(np.bincount(group, weights=x, minlength=MATES), (len(ids), 1))
+        mates[np.arange(len(ids)), group] -= x
+        each = g * x[:, None] * mates
+        total[ids] += each
+        square[ids] += each * each
+    return (np.abs(total) >= JOINT * np.sqrt(square + 1e-12)).any(axis=1) if n else np.zeros(1 << BITS, bool)
 
 
 def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, each: int = SAMPLE_EACH) -> Machine:
@@ -160,28 +180,51 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, e
         for b in batches:
             for i in range(b.num_rows):
                 a, x = features(b.column(2)[i].as_py())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(1).slice(i, 1), pa.array([a.astype(np.int32)], pa.list_(pa.int32())), pa.array([x.astype(np.float32)], pa.list_(pa.float32()))], names)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(1).slice(i, 1), pa.array([a.astype("<i4").tobytes()], pa.binary()), pa.array([x.astype("<f4").tobytes()], pa.binary())], names)
 
     texts = common.labelled(docs, labels, "toxic", common.remainder(F.col("doc_id"), modulus) != held, each)
-    rows = common.materialise(texts.mapInArrow(common.trimmed(read), "key long, y int, ids array<int>, values array<float>"), "sample")
-    sizes = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("ones")).first()
-    counts = rows.select("y", F.explode("ids").alias("id")).groupBy("id").agg(F.sum("y").alias("ones"), F.count("*").alias("n")).toArrow()  # at most 2**BITS rows
+    rows = common.materialise(texts.mapInArrow(common.trimmed(read), "key long, y int, ids binary, values binary"), "sample")
+
+    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ones, every = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+        for b in batches:
+            for y, a in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                a = np.frombuffer(a.as_py(), "<i4")
+                every[a] += 1
+                ones[a] += y
+        at = np.flatnonzero(every)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(ones[at]), pa.array(every[at])], ["id", "ones", "n"])
+
+    counts = rows.select("y", "ids").mapInArrow(common.trimmed(ids), "id long, ones long, n long").groupBy("id").agg(F.sum("ones").alias("ones"), F.sum("n").alias("n")).toArrow()  # at most 2**BITS rows
     ones, every = np.zeros(1 << BITS), np.zeros(1 << BITS)
     at = counts.column("id").to_numpy()
     ones[at], every[at] = counts.column("ones").to_numpy(), counts.column("n").to_numpy()
-    known = telling(ones, every, sizes.ones, sizes.n)
-    use = docs.sparkSession.sparkContext.broadcast(np.packbits(known))  # of fixed size
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mark = np.unpackbits(use.value).astype(bool)
-        for b in batches:
-            found = [(a[mark[a]], x[mark[a]]) for a, x in ((np.array(i.as_py(), np.int64), np.array(v.as_py(), np.float64)) for i, v in zip(b.column(2), b.column(3), strict=True))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([a.astype("<i4").tobytes() for a, _ in found], pa.binary()), pa.array([x.astype("<f4").tobytes() for _, x in found], pa.binary())], names)
 
-    small = rows.mapInArrow(common.trimmed(keep), "key long, y int, ids binary, values binary").toArrow().sort_by("key")  # at most 2 x each rows of TERMS numbers
+    def sample() -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """The sample's rows in the order of their files, a few at a time."""
+        for b in common.stream(rows, 64):
+            for key, y, a, x in zip(b.column("key").to_pylist(), b.column("y").to_pylist(), b.column("ids"), b.column("values"), strict=True):
+                yield key, y, np.frombuffer(a.as_py(), "<i4").astype(np.int64), np.frombuffer(x.as_py(), "<f4").astype(np.float64)
+
+    def fitted(known: np.ndarray) -> tuple[Machine, np.ndarray, np.ndarray]:
+        """A machine of the known buckets, the order of the rows' keys, and their labels in the order of the files."""
+        kept = [(key, y, a[known[a]].astype(np.int32), x[known[a]].astype(np.float32)) for key, y, a, x in sample()]
+        order = np.argsort([r[0] for r in kept], kind="stable")
+        y = np.array([r[1] for r in kept])
+        got = [(kept[i][2].astype(np.int64), kept[i][3].astype(np.float64)) for i in order]
+        machine = Machine().fit(got, y[order], epochs=EPOCHS, known=known)
+        left = np.empty(len(y))
+        left[order] = y[order] - machine.score(got) if len(got) else 0
+        return machine, left, y
+
+    y = np.array([r[1] for r in sample()])
+    known = telling(ones, every, int(y.sum()), len(y))
+    machine, left, _ = fitted(known)
+    more = joint(((a, x) for _, _, a, x in sample()), left, every) & ~known if 0 < y.sum() < len(y) else known & False
+    if more.any():
+        machine, _, _ = fitted(known | more)
     common.drop(rows)
-    got = list(zip(_arrays(small.column("ids"), "<i4"), _arrays(small.column("values"), "<f4"), strict=True))
-    return Machine().fit([(a.astype(np.int64), x.astype(np.float64)) for a, x in got], small.column("y").to_numpy(), epochs=8, known=known)
+    return machine
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
