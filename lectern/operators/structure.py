@@ -6,6 +6,9 @@ else is a half-open range of it. Per-book trees are small, so the few order-depe
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +16,8 @@ from lectern.operators import intervals
 
 # Roles of sections, outermost first, and which may stand directly in which.
 ROLES = ("book", "work", "volume", "part", "chapter", "section", "subsection", "paragraph")
+#: Levels of a tree that one recursive query follows.
+DEEPEST = 10_000
 
 
 def elements(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -35,22 +40,56 @@ def canonical_text(lines: DataFrame, key: str) -> DataFrame:
 
 
 def next_bound(sections: DataFrame, by: str = "book_id") -> DataFrame:
-    """sections(start, level) with ``end``: the next start of a section of the same or an outer level, or ``total``."""
-    levels = range(0, 10)  # fixed: levels are 0 to 9
-    strict = Window.partitionBy(by).orderBy(F.col("start").desc()).rangeBetween(Window.unboundedPreceding, -1)
-    after = F.array(*[F.min(F.when(F.col("level") <= n, F.col("start"))).over(strict) for n in levels])
-    return sections.withColumn("end", F.coalesce(F.get(after, F.col("level")), F.col("total")))
-
-
-def closure(edges: DataFrame, roots: DataFrame, node: str = "id", parent: str = "parent_id", depth: int = 12) -> DataFrame:
-    """Descendants of the roots (id), themselves included, at most ``depth`` levels down: (root, id, level)."""
-    front = roots.select(F.col(node).alias("root"), F.col(node), F.lit(0).alias("level"))
-    found = front
-    tree = edges.select(F.col(node).alias("__child"), F.col(parent).alias("__parent"))
-    for level in range(1, depth + 1):
-        front = front.join(tree, F.col(node) == F.col("__parent")).select("root", F.col("__child").alias(node), F.lit(level).alias("level"))
-        found = found.unionByName(front)
-    return found
+    """sections(start, level, total) with ``end``: the next start after its own of a section of the same or an outer level, or ``total``.
+
+    Levels are any numbers. Each book's sections come sorted, in Arrow batches, from the last start to the first; a stack holds the starts that
+    may still end a section, one a level at most, so a book is never a group in memory. A section without start or level ends at ``total``
+    and ends nothing."""
+    rows = sections.drop("end")
+    names = rows.columns
+    schema = ", ".join(f"`{c}` {kind}" for c, kind in rows.dtypes) + ", `end` bigint"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        book, stack, outer, here = object(), [], None, None  # stack: (level, start), nearer and deeper ones later; outer: least level at the start ``here``
+        for b in batches:
+            ends = []
+            for key, start, level, total in zip(*(b.column(names.index(c)).to_pylist() for c in (by, "start", "level", "total")), strict=True):
+                if key != book:
+                    book, stack, outer, here = key, [], None, None
+                if start is None or level is None:
+                    ends.append(total)
+                    continue
+                if start != here:
+                    if outer is not None:
+                        while stack and stack[-1][0] >= outer:
+                            stack.pop()  # hidden by a nearer start of an outer level
+                        stack.append((outer, here))
+                    outer, here = level, start
+                outer = min(outer, level)
+                ends.append(next((at for x, at in reversed(stack) if x <= level), total))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ends, pa.int64())], [*names, "end"])
+
+    dealt = rows.repartition(F.col(by)).sortWithinPartitions(F.col(by), F.col("start").desc_nulls_last())
+    return dealt.mapInArrow(run, schema)
+
+
+def closure(edges: DataFrame, roots: DataFrame, node: str = "id", parent: str = "parent_id", by: tuple[str, ...] = (), depth: int | None = None) -> DataFrame:
+    """Descendants of the roots, themselves included, however deep, or at most ``depth`` levels down: (by, root, node, level), once each.
+
+    A recursive query: each step joins the nodes of the last level with their children. ``by`` are columns within which an id is known. A node that
+    a way has passed already isn't followed again, so circles end. A way of more than DEEPEST levels is an error, never cut off in silence."""
+    spark = edges.sparkSession
+    # Spark stops a recursion of more rows than this by default; here they are at most the ways from the roots
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    keys, of = "".join(f"`{k}`, " for k in by), lambda t: "".join(f"{t}.`{k}`, " for k in by)
+    same = "".join(f" AND e.`{k}` = c.`{k}`" for k in by)
+    stop = "" if depth is None else f" AND c.level < {int(depth)}"
+    text = f"""WITH RECURSIVE c ({keys}root, `{node}`, level, way) MAX RECURSION LEVEL {DEEPEST} AS (
+  SELECT {keys}`{node}`, `{node}`, 0, array(`{node}`) FROM {{roots}}
+  UNION ALL
+  SELECT {of("c")}c.root, e.`{node}`, c.level + 1, array_append(c.way, e.`{node}`) FROM c JOIN {{edges}} AS e ON e.`{parent}` = c.`{node}`{same}{stop} WHERE NOT array_contains(c.way, e.`{node}`))
+SELECT {keys}root, `{node}`, min(level) AS level FROM c GROUP BY {keys}root, `{node}`"""
+    return spark.sql(text, edges=edges, roots=roots)
 
 
 def ancestor(paths: Column, up: Column | int) -> Column:

@@ -2,8 +2,9 @@
 
 Every function takes the tables it touches, in a dict of DataFrames by name, and a batch of new rows, which may concern
 many books, chapters or scenes at once; it returns the dict with new frames in place of the changed ones. Nothing is collected
-but guards. Store the results as new versions (lectern.operators.sessions.VersionedTable). Rows that a change makes void go by
-anti joins on what is current, never by walking from row to row. Null keys match nothing; repeated new keys are the caller's fault.
+but guards. Store the results in a lectern.library.Library. Which rows name which is declared once, in NAMES; ``cascade`` follows it from the
+keys that a write removes through all tables by anti joins, so the work is that of the rows removed. Null keys match nothing; repeated new
+keys are the caller's fault. Tables that are absent are passed over.
 
 Tables: books(book_id, text, text_hash, revision), sections(book_id, id, parent_id, start, level), blocks(book_id, id, section_id,
 role, start_char, end_char), layers(book_id, chapter_id, status), scenes(book_id, chapter_id, id, start_char, end_char, text_hash),
@@ -22,11 +23,39 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import spans
-from lectern.operators import intervals
+from lectern.operators import intervals, structure
 from lectern.operators.sessions import Conflict
 
 Tables = dict[str, DataFrame]
 SEARCHABLE = ("ready", "partial")
+_BOOK = ("book_id", "books", "book_id")
+#: What rows name: table -> (its column, table named, column there); every key goes with book_id, null names nothing. A table comes after
+#: those it names, but for itself and for those in HELD. A row goes with any row that it names; arrays name all their items.
+NAMES: dict[str, tuple[tuple[str, str, str], ...]] = {
+    "sections": (_BOOK, ("parent_id", "sections", "id")),
+    "blocks": (_BOOK, ("section_id", "sections", "id")),
+    "layers": (_BOOK, ("chapter_id", "sections", "id")),
+    "scenes": (_BOOK, ("chapter_id", "layers", "chapter_id")),
+    "chunks": (_BOOK, ("scene_id", "scenes", "id")),
+    "annotations": (_BOOK, ("chunk_id", "chunks", "id")),
+    "mentions": (_BOOK, ("scene_id", "scenes", "id")),
+    "references": (_BOOK, ("scene_id", "scenes", "id"), ("target_mention_id", "mentions", "id")),
+    "chapter_entities": (_BOOK, ("chapter_id", "layers", "chapter_id"), ("mention_ids", "mentions", "id")),
+    "resolves": (_BOOK, ("chapter_entity_id", "chapter_entities", "id"), ("book_entity_id", "book_entities", "id")),
+    "book_entities": (_BOOK,),
+    "possibly_same": (_BOOK, ("left_id", "book_entities", "id"), ("right_id", "book_entities", "id")),
+    "entities": (_BOOK,),
+    "refers": (_BOOK, ("mention_id", "mentions", "id"), ("entity_id", "entities", "id")),
+    "events": (_BOOK, ("scene_id", "scenes", "id")),
+    "event_links": (_BOOK, ("source_id", "events", "id"), ("target_id", "events", "id")),
+    "scene_links": (_BOOK, ("source_id", "scenes", "id"), ("target_id", "scenes", "id")),
+    "summary_embeddings": (_BOOK, ("id", "scenes", "id")),
+    "postings": (_BOOK,),
+    "posting_stats": (_BOOK,),
+    "index_state": (_BOOK,),
+}
+#: Rows that go when the last row that names them goes: table -> (its column, table that names it, column there).
+HELD = {"book_entities": ("id", "resolves", "book_entity_id")}
 
 
 def without(rows: DataFrame, gone: DataFrame, on: dict[str, str]) -> DataFrame:
@@ -46,6 +75,79 @@ def replaced(old: DataFrame, new: DataFrame, scope: DataFrame, on: list[str]) ->
     return without(old, scope, {c: c for c in on}).unionByName(new, allowMissingColumns=True).select(*old.columns)
 
 
+def _naming(rows: DataFrame, column: str, named: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``column``, or an item of it, is among the keys (book_id, key)."""
+    if column == "book_id":
+        return only(rows, named, {"book_id": "book_id"})
+    if dict(rows.dtypes)[column].startswith("array"):
+        items = rows.select("book_id", "id", F.explode(column).cast("string").alias("__item"))
+        hit = only(items, named.select("book_id", F.col(key).cast("string").alias(key)), {"book_id": "book_id", "__item": key})
+        return only(rows, hit, {"book_id": "book_id", "id": "id"})
+    return only(rows, named, {"book_id": "book_id", column: key})
+
+
+def cascade(t: Tables, gone: Tables) -> Tables:
+    """All tables less the rows that name, over any number of steps, a key that is gone; gone: table -> (book_id, key column).
+
+    The rows of the gone keys themselves go too. Tables in HELD also lose the rows that nothing names any more, in books where a naming row
+    went. Sections go with all below them. Frames of tables that can't lose anything are the same objects as before."""
+    out, lost = dict(t), {}
+    for name in ["books", *NAMES]:
+        if name not in t:
+            continue
+        rows, refs = t[name], [r for r in NAMES.get(name, ()) if r[1] != name]
+        hits = []
+        if name in gone:
+            key = next((c for c in gone[name].columns if c != "book_id"), "book_id")
+            hits.append(only(rows, gone[name], {"book_id": "book_id", key: key}))
+        for column, to, key in refs:
+            named = lost.get(to, gone.get(to))  # of a table that comes later only what is gone from the start
+            if named is not None:
+                hits.append(_naming(rows, column, named, key))
+        if name in HELD and HELD[name][1] in lost:
+            key, by, theirs = HELD[name]
+            own = only(rows, lost[by], {"book_id": "book_id"})
+            hits.append(without(own, out[by].where(F.col(theirs).isNotNull()), {"book_id": "book_id", key: theirs}))
+        if not hits:
+            continue
+        void = hits[0]
+        for h in hits[1:]:
+            void = void.unionByName(h)
+        up = next((column for column, to, _ in NAMES.get(name, ()) if to == name), None)
+        if up:  # what lies below goes as well
+            below = structure.closure(rows.select("book_id", "id", up), void.select("book_id", "id").distinct(), "id", up, by=("book_id",))
+            void = only(rows, below, {"book_id": "book_id", "id": "id"})
+        on = ["book_id", "id"] if "id" in rows.columns else [c for c, kind in rows.dtypes if not kind.startswith(("array", "map"))]
+        asked = [k for refs in NAMES.values() for _, to, k in refs if to == name and k in rows.columns]
+        lost[name] = void.select(*dict.fromkeys(["book_id", *on, *asked])).distinct()
+        out[name] = _less(rows, lost[name], on)
+    return out
+
+
+def _less(rows: DataFrame, void: DataFrame, on: list[str]) -> DataFrame:
+    """rows less those equal to one in void on some columns, null equal to null."""
+    v = void.select(*[F.col(c).alias(f"__{c}") for c in on])
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return rows.join(v, same, "left_anti").select(*rows.columns)
+
+
+def missing(t: Tables) -> DataFrame:
+    """(name, column, book_id, key): every key that a row of a table names and that isn't there, once."""
+    out = None
+    for name, refs in NAMES.items():
+        for column, to, key in refs:
+            if name not in t or to not in t:
+                continue
+            each = F.explode(column) if dict(t[name].dtypes)[column].startswith("array") else F.col(column)
+            named = t[name].select(F.col("book_id").cast("string").alias("book_id"), each.cast("string").alias("key")).where("key is not null").distinct()
+            there = t[to].select(F.col("book_id").cast("string").alias("book_id"), F.col(key).cast("string").alias("key"))
+            part = named.join(there, ["book_id", "key"], "left_anti").select(F.lit(name).alias("name"), F.lit(column).alias("column"), "book_id", "key")
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
 def chain(rows: DataFrame, by: list[str], *order: str | Column) -> DataFrame:
     """Edges (by, id, next_id) between neighbours in an order."""
     following = F.lead("id").over(Window.partitionBy(*by).orderBy(*order))
@@ -101,37 +203,25 @@ def changed_scenes(old: DataFrame, layers: DataFrame, new: DataFrame) -> DataFra
 def write_layers(t: Tables, layers: DataFrame, scenes: DataFrame) -> Tables:
     """Scene layers(book_id, chapter_id, status) written with all their scenes, and what depends on changed scenes removed.
 
-    Mentions, references, events, scene links and chunk annotations of changed scenes go; so do the chapter entities of
-    their chapters, and book entities that no chapter entity resolves to. Chunks of the chapters are cut anew and the
-    books' index state is cleared."""
+    All that names a changed scene goes, and what names that: mentions, references, events, links of events and scenes, what mentions refer to; so
+    do the chapter entities of their chapters, book entities that no chapter entity resolves to any more, and pairs of such. Chunks of the
+    chapters are cut anew; annotations of chunks that are gone go. The books' index state is cleared."""
     scope = layers.select("book_id", "chapter_id").distinct()
     void = changed_scenes(t["scenes"], layers, scenes)
-    ids = {"book_id": "book_id", "scene_id": "scene_id"}
     chapters = {"book_id": "book_id", "chapter_id": "chapter_id"}
-    out = dict(t)
-    for name in ("mentions", "references", "events"):
-        out[name] = without(t[name], void, ids)
-    for end in ("source_id", "target_id"):
-        out["scene_links"] = without(out["scene_links"], void, {"book_id": "book_id", end: "scene_id"})
-    out["annotations"] = without(t["annotations"], only(t["chunks"], void, ids), {"book_id": "book_id", "chunk_id": "id"})
-    out["chapter_entities"] = without(t["chapter_entities"], void, chapters)
-    out |= _orphans(out, void)
+    lost = only(t["chapter_entities"], void, chapters)
+    out = cascade(t, {"scenes": void.select("book_id", F.col("scene_id").alias("id")), "chapter_entities": lost.select("book_id", "id")})
+    active = only(scenes, layers.where(F.col("status").isin(*SEARCHABLE)), chapters)
+    cut = chunk_scenes(active, t["blocks"], t["books"])
+    stale = without(only(t["chunks"], scope, chapters), cut, {"book_id": "book_id", "id": "id"})
+    out = cascade(out, {"chunks": stale.select("book_id", "id")})
     out["layers"] = replaced(t["layers"], layers, scope, ["book_id", "chapter_id"])
     out["scenes"] = replaced(t["scenes"], scenes, scope, ["book_id", "chapter_id"])
-    active = only(scenes, layers.where(F.col("status").isin(*SEARCHABLE)), chapters)
-    out["chunks"] = replaced(t["chunks"], chunk_scenes(active, t["blocks"], t["books"]), scope, ["book_id", "chapter_id"])
+    out["chunks"] = replaced(t["chunks"], cut, scope, ["book_id", "chapter_id"])
     out["index_state"] = without(t["index_state"], scope, {"book_id": "book_id"})
     return out
 
 
-def _orphans(t: Tables, books: DataFrame) -> Tables:
-    """resolves of lost chapter entities, and book entities of these books without any."""
-    resolves = only(t["resolves"], t["chapter_entities"], {"book_id": "book_id", "chapter_entity_id": "id"})
-    held = resolves.where("book_entity_id is not null").select("book_id", F.col("book_entity_id").alias("id")).distinct()
-    lost = t["book_entities"].join(held, ["book_id", "id"], "left_anti").join(books.select("book_id").distinct(), "book_id", "left_semi")
-    return {"resolves": resolves, "book_entities": without(t["book_entities"], lost, {"book_id": "book_id", "id": "id"})}
-
-
 def delete_books(t: Tables, books: DataFrame) -> Tables:
     """All rows of the books(book_id) removed from every table."""
     return {name: without(rows, books, {"book_id": "book_id"}) for name, rows in t.items()}
@@ -148,19 +238,22 @@ def mentions_in_chunks(scenes: DataFrame, chunks: DataFrame, mentions: DataFrame
 def replace_mentions(t: Tables, sources: DataFrame, mentions: DataFrame, references: DataFrame) -> Tables:
     """Mentions and references of the scenes sources(book_id, chapter_id, scene_id, text_hash) replaced; their chapters' entities go.
 
+    So does what names a mention that isn't among the new ones, and book entities that nothing resolves to any more.
     Conflict if a scene has another text by now or its layer isn't ready."""
     ready = t["scenes"].join(t["layers"].where("status = 'ready'").select("book_id", "chapter_id"), ["book_id", "chapter_id"], "left_semi")
     _unchanged(sources.select("book_id", F.col("scene_id").alias("id"), "text_hash"), ready.select("book_id", "id", "text_hash"), "a scene has changed")
     scope = ["book_id", "scene_id"]
     linked = only(references, mentions, {"book_id": "book_id", "scene_id": "scene_id", "target_mention_id": "id"})
-    out = t | {"mentions": replaced(t["mentions"], mentions, sources, scope), "references": replaced(t["references"], linked, sources, scope)}
-    out["chapter_entities"] = without(t["chapter_entities"], sources, {"book_id": "book_id", "chapter_id": "chapter_id"})
-    return out | {"resolves": only(t["resolves"], out["chapter_entities"], {"book_id": "book_id", "chapter_entity_id": "id"})}
+    old = only(t["mentions"], sources, {c: c for c in scope})
+    lost = only(t["chapter_entities"], sources, {"book_id": "book_id", "chapter_id": "chapter_id"})
+    out = cascade(t, {"mentions": without(old, mentions, {"book_id": "book_id", "id": "id"}).select("book_id", "id"), "chapter_entities": lost.select("book_id", "id")})
+    return out | {"mentions": replaced(out["mentions"], mentions, sources, scope), "references": replaced(out["references"], linked, sources, scope)}
 
 
 def _unchanged(expected: DataFrame, actual: DataFrame, message: str) -> None:
-    """Conflict unless all expected rows are among the actual ones."""
-    if expected.exceptAll(actual.select(*expected.columns)).head(1):
+    """Conflict unless all expected rows are among the actual ones, null equal to null; rows of other books are left out before any shuffle of keys."""
+    near = actual.select(*expected.columns).join(expected.select("book_id").distinct(), "book_id", "left_semi")
+    if _less(expected, near, expected.columns).head(1):
         raise Conflict(message)
 
 
@@ -172,10 +265,10 @@ def replace_chapter_entities(t: Tables, chapters: DataFrame, sources: DataFrame,
     now = only(t["mentions"], scenes, {"book_id": "book_id", "scene_id": "id"}).select("book_id", "id", "scene_text_hash")
     _unchanged(sources, now, "the mentions have changed")
     _unchanged(now, sources, "the mentions have changed")
-    out = t | {"chapter_entities": replaced(t["chapter_entities"], entities, chapters, ["book_id", "chapter_id"])}
-    # a new entity of an old id is another one
-    out["resolves"] = without(t["resolves"], only(t["chapter_entities"], chapters, {"book_id": "book_id", "chapter_id": "chapter_id"}), {"book_id": "book_id", "chapter_entity_id": "id"})
-    return out | _orphans(out, chapters)
+    # a new entity of an old id is another one, so all that named the old ones goes
+    old = only(t["chapter_entities"], chapters, {"book_id": "book_id", "chapter_id": "chapter_id"}).select("book_id", "id")
+    out = cascade(t, {"chapter_entities": old})
+    return out | {"chapter_entities": replaced(t["chapter_entities"], entities, chapters, ["book_id", "chapter_id"])}
 
 
 def replace_resolution(t: Tables, books: DataFrame, sources: DataFrame, decisions: DataFrame, entities: DataFrame) -> Tables:
@@ -185,7 +278,9 @@ def replace_resolution(t: Tables, books: DataFrame, sources: DataFrame, decision
     _unchanged(now, sources, "chapter entities have changed")
     known = F.col("book_entity_id").isNull()
     kept = decisions.where(known).unionByName(only(decisions.where(~known), entities, {"book_id": "book_id", "book_entity_id": "id"}))
-    return t | {"book_entities": replaced(t["book_entities"], entities, books, ["book_id"]), "resolves": replaced(t["resolves"], kept, books, ["book_id"])}
+    lost = without(only(t["book_entities"], books, {"book_id": "book_id"}), entities, {"book_id": "book_id", "id": "id"})
+    out = cascade(t, {"book_entities": lost.select("book_id", "id")})
+    return out | {"book_entities": replaced(t["book_entities"], entities, books, ["book_id"]), "resolves": replaced(t["resolves"], kept, books, ["book_id"])}
 
 
 def apply_resolution(t: Tables, sources: DataFrame, decisions: DataFrame, entities: DataFrame) -> Tables:
@@ -198,11 +293,11 @@ def apply_resolution(t: Tables, sources: DataFrame, decisions: DataFrame, entiti
 
 
 def merge_entities(t: Tables, merges: DataFrame, merged: DataFrame) -> Tables:
-    """Book entities merged: merges(book_id, loser_id, survivor_id) repoint resolutions, merged rows replace the survivors."""
+    """Book entities merged: merges(book_id, loser_id, survivor_id) repoint resolutions, merged rows replace the survivors; pairs with a loser go."""
     m = merges.select("book_id", F.col("loser_id").alias("book_entity_id"), F.col("survivor_id").alias("__to"))
     moved = t["resolves"].join(m, ["book_id", "book_entity_id"], "left").withColumn("book_entity_id", F.coalesce("__to", "book_entity_id"))
-    left = without(replaced(t["book_entities"], merged, merged, ["book_id", "id"]), merges, {"book_id": "book_id", "id": "loser_id"})
-    return t | {"resolves": moved.select(*t["resolves"].columns).distinct(), "book_entities": left}
+    after = t | {"resolves": moved.select(*t["resolves"].columns).distinct(), "book_entities": replaced(t["book_entities"], merged, merged, ["book_id", "id"])}
+    return cascade(after, {"book_entities": merges.select("book_id", F.col("loser_id").alias("id"))})
 
 
 def write_possibly_same(t: Tables, books: DataFrame, pairs: DataFrame) -> Tables:
@@ -224,10 +319,11 @@ def apply_flat(t: Tables, resolutions: DataFrame, entities: DataFrame) -> Tables
 
 
 def replace_annotations(t: Tables, sources: DataFrame, annotations: DataFrame, events: DataFrame) -> Tables:
-    """Chunk annotations and events of the scenes sources(book_id, scene_id, text_hash) replaced; Conflict if a text has changed."""
+    """Chunk annotations and events of the scenes sources(book_id, scene_id, text_hash) replaced; links of the old events go. Conflict if a text has changed."""
     _unchanged(sources.select("book_id", F.col("scene_id").alias("id"), "text_hash"), t["scenes"].select("book_id", "id", "text_hash"), "a scene has changed")
     chunks = only(t["chunks"], sources, {"book_id": "book_id", "scene_id": "scene_id"}).select("book_id", F.col("id").alias("chunk_id"))
-    return t | {"annotations": replaced(t["annotations"], only(annotations, t["chunks"], {"book_id": "book_id", "chunk_id": "id"}), chunks, ["book_id", "chunk_id"]), "events": replaced(t["events"], events, sources, ["book_id", "scene_id"])}
+    out = cascade(t, {"events": only(t["events"], sources, {"book_id": "book_id", "scene_id": "scene_id"}).select("book_id", "id")})
+    return out | {"annotations": replaced(t["annotations"], only(annotations, t["chunks"], {"book_id": "book_id", "chunk_id": "id"}), chunks, ["book_id", "chunk_id"]), "events": replaced(t["events"], events, sources, ["book_id", "scene_id"])}
 
 
 def replace_event_links(t: Tables, books: DataFrame, links: DataFrame) -> Tables:
@@ -255,9 +351,12 @@ def replace_index(t: Tables, source: DataFrame, chunks: DataFrame, summaries: Da
     count = lambda rows, n, k: rows.groupBy("book_id").agg(F.count("*").alias(n), F.count("embedding").alias(k), F.max(F.size("embedding")).alias(f"{n}_dims"))
     counted = source.select("book_id", "text_hash").join(count(chunks, "n_chunks", "n_embedded"), "book_id", "left").join(count(summaries, "n_scenes", "n_scenes_embedded"), "book_id", "left")
     fresh = counted.select("book_id", F.lit(generation).alias("generation"), "text_hash", F.lit(model).alias("model"), F.greatest("n_chunks_dims", "n_scenes_dims").alias("dims"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_chunks", "n_embedded", "n_scenes", "n_scenes_embedded")])
-    out = {"chunks": replaced(t["chunks"], chunks, source, ["book_id"]), "index_state": without(t["index_state"], source, {"book_id": "book_id"}).unionByName(fresh, allowMissingColumns=True)}
+    again = lambda name, rows: without(t[name], source, {"book_id": "book_id"}).unionByName(rows, allowMissingColumns=True)
+    out = {"chunks": again("chunks", chunks), "index_state": again("index_state", fresh)}
     if "summary_embeddings" in t:
-        out["summary_embeddings"] = replaced(t["summary_embeddings"], summaries.where("embedding is not null"), source, ["book_id"])
+        out["summary_embeddings"] = again("summary_embeddings", summaries.where("embedding is not null").select(*[c for c in summaries.columns if c in t["summary_embeddings"].columns]))
+    elif "embedding" in summaries.columns:
+        out["summary_embeddings"] = summaries.where("embedding is not null")
     return t | out, generation
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.functions import vectors as V
-from lectern.operators import entities, intervals, lexical, related, search, sessions, structure
+from lectern.operators import entities, fulltext, intervals, related, search, sessions, structure
 
 SEARCHABLE = ("ready", "partial")
 EXPANSIONS = ("discourse", "composition", "character", "chronotope", "retelling", "prefiguring", "parallel", "causal")
@@ -128,9 +128,10 @@ class Search:
         return _settled(ordered.withColumns({c: v for c, v in defaults.items() if c not in have}))
 
     def words(self, query: str, target: str = "text", section_ids: list[str] | None = None, limit: int = 200) -> Result:
-        """Search by words in chunk texts, in titles and summaries of scenes, or in chunk contexts."""
+        """Search by the stems of words in chunk texts, in titles and summaries of scenes, or in chunk contexts.
+
+        Chunk texts are looked up in the stored index (tables postings and posting_stats); where there is none it is made for the search."""
         q, limit = check_query(query), check(limit, 1, 2000, "candidate_limit")
-        words = list(dict.fromkeys(re.findall(r"[^\W_]+", q.lower())))
         if target == "scenes":
             docs, origin = self._scenes().withColumn("text", F.concat_ws(" ", "title", "summary")), "scene"
         elif target in ("text", "context"):
@@ -142,8 +143,14 @@ class Search:
         else:
             raise ValueError("target is text, scenes or context")
         r = self.ranges(section_ids)
-        scored = lexical.bm25(docs, "id", words).join(docs.select("id", "start_char", "end_char"), "id")
-        best, more = self._limited(scored, r, limit)
+        if target == "text" and {"postings", "posting_stats"} <= self.t.keys():
+            blocks, stats = self._own("postings"), self._own("posting_stats")
+        else:
+            blocks, stats = fulltext.build(fulltext.postings(docs))
+        asked = self.spark.createDataFrame([(self.book_id, w) for w in fulltext.query_tokens(q)], "book_id string, token string")
+        hits, _ = fulltext.search(blocks, stats, asked, limit + 1, r.withColumn("book_id", F.lit(self.book_id)))
+        more = hits.count() > limit
+        best = hits.where(F.col("rank") <= limit).select("id", "start_char", "end_char", "score")
         return self._result([self._hits(best, f"words:{target}", origin)], r, q, [f"words:{target}"] * more)
 
     def semantic(self, query: str, vector: list[float], section_ids: list[str] | None = None, limit: int = 200) -> Result:
