@@ -1,10 +1,11 @@
 """Benchmark decontamination by the q-gram lemma in diagonal bands.
 
 Texts and benchmark items are reduced to lower-case letters and digits with single spaces. If an item
-of m characters occurs in a text with at most k edits, it shares at least m - Q + 1 - k Q of
+of m characters occurs in a text with at most k edits, it shares at least m - q + 1 - k q of
 its q-grams with the text there, on diagonals (place in the text less place in the item) at most k apart.
 Shared q-grams are counted in bands of BAND diagonals that overlap by k, so that some band has
-them all; bands below the bound are dropped, the rest are verified by banded alignment. The items are
+them all; bands below the bound are dropped, the rest are verified by banded alignment. An item takes the longest q of QS that
+leaves it a bound of LEAST shared grams at its full budget, or else the last one, so short items have the same rate of edits as long ones. The items are
 the stated query set: they are indexed in blocks of bounded size and every text is read whole
 against every block; no text is shuffled.
 
@@ -24,11 +25,14 @@ from pyspark.sql import functions as F
 
 from lectern.llm import common
 
+#: Items of fewer characters match as whole words only.
 Q = 9
+#: Lengths of grams; at a rate of edits of 0.1 the last leaves every item of Q characters a bound of one gram or more.
+QS = (8, 6, 4)
 BAND = 64
 #: Edits allowed, as a part of an item's characters.
 RATE = 0.1
-#: q-grams that must be shared at least; short items get a smaller edit budget for it.
+#: q-grams that an item should share at least.
 LEAST = 8
 #: Characters of items in one block, and of texts handled at once.
 BLOCK_CHARS, TEXT_CHARS = 1 << 21, 1 << 20
@@ -98,17 +102,40 @@ def reduced(text: str) -> tuple[np.ndarray, np.ndarray]:
     return (m[:-1], at[:-1]) if len(m) and m[-1] == 32 else (m, at)
 
 
-def grams(m: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the runs of Q = 9 characters."""
-    if len(m) < Q:
+def grams(m: np.ndarray, q: int) -> np.ndarray:
+    """64-bit hashes of the runs of q characters."""
+    if len(m) < q:
         return np.empty(0, np.uint64)
-    h, f = m.astype(np.uint64) + np.uint64(1), _FACTOR
-    for k in (1, 2, 4):
-        h = h[:-k] * f + h[k:]
+    n = len(m) - q + 1
+    h, f, width, out, done = m.astype(np.uint64) + np.uint64(1), _FACTOR, 1, None, 0
+    while True:  # runs of 1, 2, 4, ... characters, put together to q
+        if q & width:
+            part = h[done : done + n]
+            out = part if out is None else out * f + part
+            done += width
+        if done == q:
+            break
+        h = h[:-width] * f + h[width:]
         f = np.uint64(int(f) * int(f) & 0xFFFFFFFFFFFFFFFF)
-    h = h[:-1] * _FACTOR + m[8:].astype(np.uint64)
-    h ^= h >> np.uint64(29)
-    return h * np.uint64(0xBF58476D1CE4E5B9)
+        width *= 2
+    out = out ^ (out >> np.uint64(29))
+    return out * np.uint64(0xBF58476D1CE4E5B9)
+
+
+class _Index:
+    """Where the q-grams of some items stand: hashes, sorted, with their items and places."""
+
+    def __init__(self, texts: list[np.ndarray], which: np.ndarray, q: int):
+        self.q = q
+        h = [grams(texts[k], q) for k in which]
+        item = np.repeat(which, [len(x) for x in h])
+        place = np.concatenate([np.arange(len(x)) for x in h])
+        every = np.concatenate(h)
+        order = np.argsort(every, kind="stable")
+        self.hash, self.start, self.count = np.unique(every[order], return_index=True, return_counts=True)
+        self.item, self.place = item[order], place[order]
+        self.bitmap = np.zeros(1 << _BITS, bool)
+        self.bitmap[self.hash >> np.uint64(64 - _BITS)] = True
 
 
 class Items:
@@ -120,34 +147,36 @@ class Items:
         self.short = [(k, t) for k, t in enumerate(texts) if 0 < len(t) < Q]
         self.texts = texts
         self.size = np.array([len(t) for t in texts], np.int64)
-        self.budget = np.maximum(0, np.minimum((rate * self.size).astype(np.int64), (self.size - Q + 1 - LEAST) // Q))
-        self.bound = np.maximum(1, self.size - Q + 1 - Q * self.budget)
+        self.budget = (rate * self.size + 1e-9).astype(np.int64)
+        shared = self.size[:, None] + 1 - np.array(QS) * (1 + self.budget[:, None])
+        enough = shared >= LEAST
+        self.q = np.where(enough.any(axis=1), enough.argmax(axis=1), len(QS) - 1)
+        if len(rows) and (shared[np.arange(len(rows)), self.q] < 1)[self.size >= Q].any():
+            raise ValueError("so many edits leave an item no gram that must be shared")
+        self.bound = np.maximum(1, shared[np.arange(len(rows)), self.q])
         self.longest = int((self.size + self.budget).max(initial=0))
-        h = [grams(t) for t in texts]
-        item = np.repeat(np.arange(len(h)), [len(x) for x in h])
-        place = np.concatenate([np.arange(len(x)) for x in h] or [np.empty(0, np.int64)])
-        every = np.concatenate(h or [np.empty(0, np.uint64)])
-        order = np.argsort(every, kind="stable")
-        self.hash, self.start, self.count = np.unique(every[order], return_index=True, return_counts=True)
-        self.item, self.place = item[order], place[order]
-        self.bitmap = np.zeros(1 << _BITS, bool)
-        self.bitmap[self.hash >> np.uint64(64 - _BITS)] = True
+        long = [np.flatnonzero((self.q == k) & (self.size >= Q)) for k in range(len(QS))]
+        self.indexes = [_Index(texts, which, q) for which, q in zip(long, QS, strict=True) if len(which)]
 
     def candidates(self, m: np.ndarray, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(item, first diagonal of the band) of the bands that meet the bound in a reduced text; items marked in ``skip`` are left out."""
-        h = grams(m)
-        at = np.flatnonzero(self.bitmap[h >> np.uint64(64 - _BITS)]) if len(self.hash) else np.empty(0, np.int64)
-        k = np.minimum(np.searchsorted(self.hash, h[at]), max(0, len(self.hash) - 1))
-        same = self.hash[k] == h[at] if len(at) else np.empty(0, bool)
+        found = [self._candidates(ix, m, skip) for ix in self.indexes]
+        return tuple(np.concatenate([x[i] for x in found] or [np.empty(0, np.int64)]) for i in (0, 1))
+
+    def _candidates(self, ix: _Index, m: np.ndarray, skip: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        h = grams(m, ix.q)
+        at = np.flatnonzero(ix.bitmap[h >> np.uint64(64 - _BITS)])
+        k = np.minimum(np.searchsorted(ix.hash, h[at]), len(ix.hash) - 1)
+        same = ix.hash[k] == h[at]
         at, k = at[same], k[same]
-        until = np.cumsum(self.count[k])
+        until = np.cumsum(ix.count[k])
         reach = -(-int(self.budget.max(initial=0)) // BAND)
         live, seen = np.empty(0, np.int64), np.empty(0, np.int64)
         items, bands = [], []
         a = 0
         while a < len(at):
             b = max(a + 1, int(np.searchsorted(until, (until[a - 1] if a else 0) + PAIRS, side="right")))
-            key, count = self._counted(at[a:b], k[a:b], skip)
+            key, count = self._counted(ix, at[a:b], k[a:b], skip)
             if len(live):
                 key, which = np.unique(np.concatenate((live, key)), return_inverse=True)
                 count = np.bincount(which, weights=np.concatenate((seen, count))).astype(np.int64)
@@ -164,12 +193,12 @@ class Items:
         order = np.lexsort((band, item))
         return item[order], band[order] * BAND
 
-    def _counted(self, at: np.ndarray, k: np.ndarray, skip: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    def _counted(self, ix: _Index, at: np.ndarray, k: np.ndarray, skip: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         """(item << 32 | band + 2**31, shared grams) of grams ``k`` of the index that stand at ``at`` in a text."""
-        n = self.count[k]
-        which = np.repeat(self.start[k] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        item = self.item[which]
-        diagonal = np.repeat(at, n) - self.place[which]
+        n = ix.count[k]
+        which = np.repeat(ix.start[k] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        item = ix.item[which]
+        diagonal = np.repeat(at, n) - ix.place[which]
         if skip is not None:
             use = ~skip[item]
             item, diagonal = item[use], diagonal[use]

@@ -163,3 +163,35 @@ def test_leaks_go_row_by_row(spark):
 
 def test_letters_beyond_the_basic_plane():
     assert "".join(map(chr, dc.reduced("a\U0001f600b \U00010400")[0])) == "a b \U00010428"
+
+
+def test_items_of_every_length_at_exactly_the_rate_of_edits():
+    """Items of 10 to 200 letters with 10 % edits spread evenly, the worst case for shared grams, of every kind; one edit more is refused."""
+    rng = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    for size in (9, 10, 19, 20, 29, 30, 45, 50, 65, 70, 79, 80, 81, 99, 100, 119, 150, 159, 160, 200):
+        item = "".join(rng.choice(letters) for _ in range(size))
+        made = dc.Items([(1, item)])
+        k = size // 10
+        assert made.budget.tolist() == [k]
+        for kind in ("replace", "insert", "delete"):
+            for edits in {k, k + 1}:
+                t = list(item)
+                for e in range(edits):
+                    j = (2 * e + 1) * size // (2 * edits)
+                    t[j] = {"replace": "é", "insert": t[j] + "é", "delete": ""}[kind]
+                text = "some words before " + "".join(t) + " and some after"
+                got = made.matches(dc.reduced(text)[0])
+                least = semiglobal(item, reduce_plain(text))
+                assert bool(got) == (least <= k), (size, kind, edits, got, least)
+                assert not got or got[0][3] == least
+
+
+def test_grams_are_those_of_each_run():
+    rng = np.random.default_rng(2)
+    m = rng.integers(97, 100, 60).astype(np.uint32)
+    for q in (1, 3, 4, 6, 8, 9):
+        h = dc.grams(m, q)
+        runs = [tuple(m[i : i + q].tolist()) for i in range(len(m) - q + 1)]
+        assert len(h) == len(runs) and len(set(h.tolist())) == len(set(runs)) == len(set(zip(h.tolist(), runs, strict=True)))
+    assert len(dc.grams(m[:3], 4)) == 0
