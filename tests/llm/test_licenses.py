@@ -46,7 +46,10 @@ WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIME
 _PARTS = "bsd_grant,bsd_source,bsd_binary,bsd_names,bsd_as_is"
 ROWS = [
     (20, BSD, f"reserved,{_PARTS}", "BSD-3-Clause", ""),
-    (21, BSD.replace("2. Redist", "A sentence of somebody else.\n2. Redist"), f"reserved,{_PARTS}", "All-Rights-Reserved", _PARTS),
+    (21, BSD.replace("2. Redist", "A sentence of somebody else.\n2. Redist"), f"reserved,{_PARTS}", "", f"reserved,{_PARTS}"),
+    (26, "Copyright 2020 A.\nAll rights reserved.", "reserved", "All-Rights-Reserved", ""),
+    (27, "If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.", "zlib_credit", "", "zlib_credit"),
+    (28, "Version 2, June 1991", "gpl_v2_date", "", "gpl_v2_date"),
     (22, BSD.replace("Corp. nor", "Corp nor"), f"reserved,{_PARTS}", "BSD-3-Clause", ""),
     (23, "SPDX-License-Identifier: LGPL-2.1-or-later", "lgpl21plus_ref", "LGPL-2.1-or-later", ""),
     (24, "GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007\n\nCopyright (C) 2007 Somebody\nEveryone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.", "agpl_title,agpl_v3_date,gnu_verbatim", "AGPL-3.0-only", ""),
@@ -75,3 +78,11 @@ def test_rules_and_oracle(spark):
     assert sorted(c.execute(licenses.ORACLE).fetchall(), key=str) == got
     plan = licenses.licences(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_every_sentence_alone_is_found(spark):
+    """The marks that texts are chosen by miss no sentence: each holds one within a word, and each is found when it is all of a text."""
+    assert all(any(m in word for m in licenses.MARKS for word in sentence.split()) for sentence in licenses.SENTENCES)
+    rows = [(k, sentence.capitalize() + ".") for k, sentence in enumerate(licenses.SENTENCES)]
+    got = {r.doc_id: r.sentences for r in licenses.licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(len(rows))] == list(licenses.SENTENCES.values())

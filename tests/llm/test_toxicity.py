@@ -20,6 +20,34 @@ def test_pairwise_interaction_is_learnt():
     assert np.mean((m.score(x[2000:]) >= 0.5) == np.array(y[2000:])) > 0.95
 
 
+def test_interaction_is_learnt_from_tables(spark):
+    """The same two words through the tables: the choice of buckets keeps what only pairs tell."""
+    rng = random.Random(1)
+    filler = [f"word{chr(97 + i)}" for i in range(20)]
+    docs, labels = [], []
+    for i in range(2400):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        docs.append((i, " ".join(rng.sample(filler, 3) + ["insultx"] * a + ["groupy"] * b)))
+        labels.append((i, int(a == b)))
+    y = dict(labels)
+    got = toxicity.toxicity(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, toxic int")).where("held_out").collect()
+    assert len(got) > 400 and np.mean([r.predicted == y[r.doc_id] for r in got]) >= 0.95
+
+
+def test_joint_buckets():
+    """Of buckets that say nothing alone, those that go along with the labels in pairs, in short rows and in long ones."""
+    rng = np.random.default_rng(3)
+    rows, y = [], []
+    for i in range(1500):
+        a, b = (bool(x) for x in rng.random(2) < 0.5)
+        ids = np.unique(np.concatenate((rng.integers(100, 5000, 4 if i % 2 else 60), [7] * a, [9] * b))).astype(np.int64)
+        rows.append((ids, np.ones(len(ids))))
+        y.append(int(a == b) - 0.5)
+    every = np.bincount(np.concatenate([a for a, _ in rows]), minlength=1 << toxicity.BITS)
+    found = np.flatnonzero(toxicity.joint(iter(rows), np.array(y), every))
+    assert {7, 9} <= set(found.tolist()) and len(found) < 10
+
+
 def test_score_against_the_sum_over_pairs():
     rng = random.Random(5)
     words = ["abel", "brink", "cosy", "dune", "elder", "abet"]
