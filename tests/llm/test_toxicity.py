@@ -40,7 +40,7 @@ def test_joint_buckets():
     rows, y = [], []
     for i in range(1500):
         a, b = (bool(x) for x in rng.random(2) < 0.5)
-        ids = np.unique(np.concatenate((rng.integers(100, 5000, 4 if i % 2 else 60), [7] * a, [9] * b))).astype(np.int64)
+        ids = np.unique(np.concatenate((rng.integers(100, 5000, 4 if i % 2 else 20), [7] * a, [9] * b))).astype(np.int64)
         rows.append((ids, np.ones(len(ids))))
         y.append(int(a == b) - 0.5)
     every = np.bincount(np.concatenate([a for a, _ in rows]), minlength=1 << toxicity.BITS)
