@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from lectern.functions import text as T
 
 K1, B = 1.2, 0.75
-#: Characters of phrases looked for in one pass.
-BLOCK = 1 << 22
+#: Characters of phrases looked for in one pass, and postings of one Arrow batch, about.
+BLOCK, ROWS = 1 << 22, 50_000
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -34,6 +34,7 @@ def postings(docs: DataFrame, key: str, text: str = "text", stemmed: bool = Fals
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, str] = {}
         for b in batches:
+            at, token, tf, dl = [], [], [], []
             for i in range(b.num_rows):
                 words = _WORD.findall((b.column(1)[i].as_py() or "").lower())
                 if stemmed:
@@ -41,8 +42,13 @@ def postings(docs: DataFrame, key: str, text: str = "text", stemmed: bool = Fals
                         seen.clear()
                     words = [seen.get(w) or seen.setdefault(w, _stem(w.replace("ё", "е"))) for w in words]
                 counts = Counter(words)
-                n = len(counts)
-                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([b.column(0)[i].as_py()] * n, b.schema.field(0).type), pa.array(list(counts.values()), pa.int64()), pa.array([len(words)] * n, pa.int64())], ["token", key, "tf", "dl"])
+                at += [i] * len(counts)
+                token += counts
+                tf += counts.values()
+                dl += [len(words)] * len(counts)
+                if len(at) >= ROWS or i == b.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([pa.array(token, pa.string()), b.column(0).take(pa.array(at, pa.int64())), pa.array(tf, pa.int64()), pa.array(dl, pa.int64())], ["token", key, "tf", "dl"])
+                    at, token, tf, dl = [], [], [], []
 
     return docs.select(key, F.col(text).cast("string")).mapInArrow(run, f"token string, {key} {kind}, tf long, dl long")
 

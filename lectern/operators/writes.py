@@ -80,7 +80,7 @@ def _naming(rows: DataFrame, column: str, named: DataFrame, key: str) -> DataFra
     if column == "book_id":
         return only(rows, named, {"book_id": "book_id"})
     if dict(rows.dtypes)[column].startswith("array"):
-        items = rows.select("book_id", "id", F.explode(column).cast("string").alias("__item"))
+        items = rows.select("book_id", "id", F.explode(F.col(column).cast("array<string>")).alias("__item"))
         hit = only(items, named.select("book_id", F.col(key).cast("string").alias(key)), {"book_id": "book_id", "__item": key})
         return only(rows, hit, {"book_id": "book_id", "id": "id"})
     return only(rows, named, {"book_id": "book_id", column: key})
@@ -95,7 +95,7 @@ def cascade(t: Tables, gone: Tables) -> Tables:
     for name in ["books", *NAMES]:
         if name not in t:
             continue
-        rows, refs = t[name], [r for r in NAMES.get(name, ()) if r[1] != name]
+        rows, refs = t[name], [r for r in NAMES.get(name, ()) if r[1] != name and r[0] in t[name].columns]
         hits = []
         if name in gone:
             key = next((c for c in gone[name].columns if c != "book_id"), "book_id")
@@ -138,10 +138,10 @@ def missing(t: Tables) -> DataFrame:
     out = None
     for name, refs in NAMES.items():
         for column, to, key in refs:
-            if name not in t or to not in t:
+            if name not in t or to not in t or column not in t[name].columns:
                 continue
-            each = F.explode(column) if dict(t[name].dtypes)[column].startswith("array") else F.col(column)
-            named = t[name].select(F.col("book_id").cast("string").alias("book_id"), each.cast("string").alias("key")).where("key is not null").distinct()
+            each = F.explode(F.col(column).cast("array<string>")) if dict(t[name].dtypes)[column].startswith("array") else F.col(column).cast("string")
+            named = t[name].select(F.col("book_id").cast("string").alias("book_id"), each.alias("key")).where("key is not null").distinct()
             there = t[to].select(F.col("book_id").cast("string").alias("book_id"), F.col(key).cast("string").alias("key"))
             part = named.join(there, ["book_id", "key"], "left_anti").select(F.lit(name).alias("name"), F.lit(column).alias("column"), "book_id", "key")
             out = part if out is None else out.unionByName(part)

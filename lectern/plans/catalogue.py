@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import spans
 from lectern.operators import lexical, search
-from lectern.plans import book_queries, editing_queries, graph_queries, import_queries, judging_queries, resolution_queries, search_queries, text_queries, write_queries  # noqa: F401  they register their queries
+from lectern.plans import book_queries, cascade_queries, editing_queries, graph_queries, import_queries, judging_queries, resolution_queries, search_queries, text_queries, write_queries  # noqa: F401  they register their queries
 from lectern.plans.registry import ORACLES, QUERIES, table
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

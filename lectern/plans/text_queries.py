@@ -120,11 +120,20 @@ def q_index_bm25(spark, sf_dir):
     return found.select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(replace(lower(text), 'ё', 'е'), '[\\pL\\pN]+')) AS w FROM documents)
-SELECT w AS token, doc_id, count(*) AS tf FROM w WHERE NOT regexp_matches(w, '[а-я]') GROUP BY 1, 2""")
+#: Letters that documents are written over in, so that their words have Russian endings.
+_LATIN, _CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопкрстувшхыз"
+_RUSSIAN = f"""w AS (SELECT doc_id, unnest(regexp_extract_all(replace(translate(lower(text), '{_LATIN}', '{_CYRILLIC}'), 'ё', 'е'), '[\\pL\\pN]+')) AS w FROM documents),
+n AS (SELECT w, count(*) AS n FROM w GROUP BY w), stems AS (SELECT w, n, CASE """ + " ".join(f"WHEN ends_with(w, '{e}') AND length(w) >= {len(e) + 4} THEN left(w, length(w) - {len(e)})" for e in sorted(T.ENDINGS, key=len, reverse=True)) + " ELSE w END AS stem FROM n)"
+
+
+def russian(spark, sf_dir):
+    return documents(spark, sf_dir).withColumn("text", F.translate(F.lower("text"), _LATIN, _CYRILLIC))
+
+
+@query(f"WITH {_RUSSIAN} SELECT stem AS token, doc_id, count(*) AS tf FROM w JOIN stems USING (w) GROUP BY 1, 2")
 def q_stemmed_postings(spark, sf_dir):
-    """Postings with Russian stems; tokens of other letters stay as they are."""
-    return lexical.postings(documents(spark, sf_dir), "doc_id", stemmed=True).where(~F.col("token").rlike("[а-я]")).select("token", "doc_id", "tf")
+    """Postings of all documents in Russian letters, with Russian stems."""
+    return lexical.postings(russian(spark, sf_dir), "doc_id", stemmed=True).select("token", "doc_id", "tf")
 
 
 @query(_BM25 + "SELECT doc_id, CAST(row_number() OVER (ORDER BY round(score, 6) DESC, doc_id) AS INTEGER) AS rank, true AS truncated FROM b QUALIFY rank <= 20")
@@ -181,15 +190,11 @@ def q_excerpts(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", T.shorten(t, 80).alias("short"), T.window_around(t, F.lit(100), F.lit(110), 60).alias("around"))
 
 
-#: Words and their stems, written out by the rule: the longest listed ending that leaves four letters goes.
-_STEMS = "книгами книг; собаки собак; дом дом; гуляющего гуляющего; синяя синя; поле поле; ночью ночь; лес лес; капитанская капитанск; дочкой дочк; степью степь; людей людей; негулин негул; негулиной негул; голубым голубым; петровых петровых; птицын птиц; вороньего вороньего; зелёному зелён; тётями тётям; полями полям"
-
-
-@query("SELECT * FROM (VALUES " + ", ".join("('{}', '{}')".format(*p.split()) for p in _STEMS.split("; ")) + ") AS x(word, stem)")
+@query(f"WITH {_RUSSIAN} SELECT w AS word, stem, n FROM stems")
 def q_stems(spark, sf_dir):
-    """Stems of a list of words, against a table written out by hand."""
-    words = [p.split()[0] for p in _STEMS.split("; ")]
-    return spark.createDataFrame([(w,) for w in words], "word string").select("word", T.stem(F.col("word")).alias("stem"))
+    """Every word of the documents in Russian letters with its stem."""
+    words = russian(spark, sf_dir).select(F.explode(F.regexp_extract_all(T.fold(F.col("text")), F.lit(T.WORD), F.lit(0))).alias("word"))
+    return words.groupBy("word").agg(F.count("*").alias("n")).withColumn("stem", T.stem(F.col("word")))
 
 
 @query("""WITH d AS (SELECT doc_id, sha256(text) AS h FROM documents), f AS (SELECT h, min(doc_id) AS first_id FROM d GROUP BY h)
