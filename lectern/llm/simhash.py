@@ -259,7 +259,7 @@ def _against(least: float):
     return run
 
 
-def crowded_links(entries: DataFrame, known: DataFrame, least: float) -> DataFrame:
+def crowded_links(entries: DataFrame, known: DataFrame, least: float, pivots_of_a_round: tuple[int, int] | None = None) -> DataFrame:
     """Links (a, b) within the groups of entries(key, fp, found), which are too large for a task, beside the ``known`` ones.
 
     Together they have the components of all links. Every text outside its group's largest component is
@@ -268,8 +268,9 @@ def crowded_links(entries: DataFrame, known: DataFrame, least: float) -> DataFra
     parts = common.materialise(sized.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("bytes") / GROUP_BYTES)).cast("int").alias("parts")), "parts")
     roots = common.components(known).select(F.col("node").alias("fp"), "root")
     label = common.materialise(sized.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "label")
+    low, high = pivots_of_a_round or PIVOTS
     dealt = common.materialise(entries.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")), "dealt")
-    tried, out, many = None, None, PIVOTS[0]
+    tried, out, many = None, None, low
     while True:
         count = label.groupBy("key", "root").agg(F.count("*").alias("n"))
         main = common.materialise(count.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m")).select("key", F.col("m.root").alias("main")), "main")
@@ -289,7 +290,7 @@ def crowded_links(entries: DataFrame, known: DataFrame, least: float) -> DataFra
         out = new if out is None else out.union(new)
         label = common.materialise(_relabelled(label, new), "label")
         tried = pivots if tried is None else tried.union(pivots)
-        many = min(4 * many, PIVOTS[1])
+        many = min(4 * many, high)
 
 
 def similar_links(docs: DataFrame, own: DataFrame, width: int, least: float, known: DataFrame) -> DataFrame:
