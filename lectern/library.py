@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lectern.operators import editing, entities, fulltext, indexing, resolution, sessions, writes
 
@@ -72,12 +73,16 @@ class Library:
         wanted = None if books is None else self._of(books)
         listed = [(f.name, f.bucket, f.path, f.kind) for f in self._files(expected)]
         for name, rows in changed.items():
-            kind = ", ".join(f"`{c}` {k}" for c, k in rows.dtypes)
             stay = [x for x in listed if x[0] == name and x[1] is not None and wanted is not None and x[1] not in wanted and x[2]]
-            if stay and stay[0][3] != kind:
-                raise ValueError(f"columns of {name} can't be changed for some books only")
+            kinds = dict(rows.dtypes)
+            if stay:  # columns that other books' files lack are read as null, and the other way round
+                old = {f.name: f.dataType.simpleString() for f in StructType.fromDDL(stay[0][3]).fields}
+                if any(kinds.get(c, k) != k for c, k in old.items()):
+                    raise ValueError(f"types of columns of {name} can't be changed for some books only")
+                kinds = old | kinds
+            kind = ", ".join(f"`{c}` {k}" for c, k in kinds.items())
             made = [(name, b, path, kind) for b, path in self._stored(name, rows).items()]
-            listed = [x for x in listed if x[0] != name] + (stay + made or [(name, None, None, kind)])
+            listed = [x for x in listed if x[0] != name] + ([(*x[:3], kind) for x in stay] + made or [(name, None, None, kind)])
         rows = self.spark.createDataFrame([(*x, label) for x in sorted(listed, key=str)], _MANIFEST)
         return self.manifest.write(rows.coalesce(1), expected)
 
