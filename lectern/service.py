@@ -24,6 +24,8 @@ from lectern.functions import vectors as V
 from lectern.operators import entities, fulltext, intervals, related, search, sessions, structure
 
 SEARCHABLE = ("ready", "partial")
+#: Candidates of one channel at most; a search says which channels had more.
+MOST = 2000
 EXPANSIONS = ("discourse", "composition", "character", "chronotope", "retelling", "prefiguring", "parallel", "causal")
 _BY_TYPE = {"retelling": "retells", "prefiguring": "prefigures", "parallel": "parallels", "causal": "causes"}
 
@@ -45,7 +47,7 @@ def check_query(text: str) -> str:
 def _settled(candidates: DataFrame) -> DataFrame:
     """The rows themselves, so that later steps of a conversation start from them and not from a growing plan.
 
-    A search has at most candidate_limit (2000) candidates of each channel."""
+    A search has at most MOST candidates of each channel."""
     return candidates.sparkSession.createDataFrame(candidates.collect(), candidates.schema)
 
 
@@ -177,33 +179,39 @@ class Search:
             return listed.orderBy(F.desc("scene_count"), "id").limit(check(limit, 1, 30, "limit"))
         return entities.name_match(rows, check_query(query), check(limit, 1, 30, "limit"))
 
-    def scenes_for_entities(self, ids: list, every: bool = True, section_ids: list[str] | None = None) -> Result:
-        """Scenes where all, or any, of the entities occur."""
+    def scenes_for_entities(self, ids: list, every: bool = True, section_ids: list[str] | None = None, limit: int = MOST) -> Result:
+        """Scenes where all, or any, of the entities occur; of more than ``limit`` those with most of them."""
         check(len(ids), 1, 200, "number of entities")
         if self.t["entities"].where(F.col("id").isin(ids)).count() != len(set(ids)):
             raise ValueError("unknown entity")
         found = entities.scenes_with(self.t["presence"], ids, every)
         rows = self._scenes().join(found.select(F.col("scene_id").alias("id"), F.col("n").cast("double").alias("score")), "id").select("id", "start_char", "end_char", "score")
         r = self.ranges(section_ids)
-        return self._result([self._hits(rows, "entity", "scene")], r, "", [])
+        best, more = self._limited(rows, r, check(limit, 1, MOST, "candidate_limit"))
+        return self._result([self._hits(best, "entity", "scene")], r, "", ["entity"] * more)
 
-    def neighbours(self, scene_ids: list, before: int = 1, after: int = 1) -> Result:
-        """Scenes before and after given ones in reading order."""
+    def neighbours(self, scene_ids: list, before: int = 1, after: int = 1, limit: int = MOST) -> Result:
+        """Scenes before and after given ones in reading order, the nearest ``limit`` of them."""
         check(before, 0, 10, "before"), check(after, 0, 10, "after")
         a = self._own("scenes").where(F.col("id").isin(scene_ids)).select("book_id", "id")
         near = search.neighbours(self._scenes(), a, before, after)
         rows = near.groupBy("id").agg((-F.min(F.abs("distance"))).cast("double").alias("score")).join(self._scenes().select("id", "start_char", "end_char"), "id")
-        return self._result([self._hits(rows, "neighbors", "scene")], self.ranges(), "", [])
+        r = self.ranges()
+        best, more = self._limited(rows, r, check(limit, 1, MOST, "candidate_limit"))
+        return self._result([self._hits(best, "neighbors", "scene")], r, "", ["neighbors"] * more)
 
-    def graph(self, scene_ids: list, hops: int = 1) -> Result:
-        """Scenes within some hops of given ones along the reading order."""
+    def graph(self, scene_ids: list, hops: int = 1, limit: int = MOST) -> Result:
+        """Scenes within some hops of given ones along the reading order, the nearest ``limit`` of them."""
         a = self._own("scenes").where(F.col("id").isin(scene_ids)).select("book_id", "id")
         near = search.within_hops(self._scenes(), a, check(hops, 0, 3, "hops"))
         rows = near.select("id", (-F.col("distance")).cast("double").alias("score")).join(self._scenes().select("id", "start_char", "end_char"), "id")
-        return self._result([self._hits(rows, "graph", "scene")], self.ranges(), "", [])
+        r = self.ranges()
+        best, more = self._limited(rows, r, check(limit, 1, MOST, "candidate_limit"))
+        return self._result([self._hits(best, "graph", "scene")], r, "", ["graph"] * more)
 
-    def expand(self, scene_ids: list, channels: list[str]) -> Result:
-        """Scenes related to given ones by neighbourhood, section, shared entities, places or links, fused."""
+    def expand(self, scene_ids: list, channels: list[str], limit: int = MOST) -> Result:
+        """Scenes related to given ones by neighbourhood, section, shared entities, places or links, fused; at most ``limit`` of each channel."""
+        r, limit, more = self.ranges(), check(limit, 1, MOST, "candidate_limit"), []
         if not channels or set(channels) - set(EXPANSIONS):
             raise ValueError(f"channels are {', '.join(EXPANSIONS)}")
         own = self._scenes()
@@ -232,10 +240,12 @@ class Search:
                     continue
                 l = search.both_ways(self.t["scene_links"].where(F.col("type") == _BY_TYPE[c]).select("source_id", "target_id", "reason"), "source_id", "target_id")
                 rows = l.where(F.col("source_id").isin(scene_ids)).groupBy(F.col("target_id").alias("id")).agg(F.lit(0.0).alias("score"), F.min(F.concat(F.lit(f"{c}: "), F.coalesce("reason", F.lit("")))).alias("path"))
-            hits.append(self._hits(rows.where(~F.col("id").isin(scene_ids)).join(place, "id"), c, "scene"))
+            best, cut = self._limited(rows.where(~F.col("id").isin(scene_ids)).join(place, "id"), r, limit)
+            hits.append(self._hits(best, c, "scene"))
+            more += [c] * cut
         if not hits:
             raise ValueError("; ".join(warnings))
-        return self._result(hits, self.ranges(), "", [], warnings)
+        return self._result(hits, r, "", more, warnings)
 
     def related(self, result: Result, item_id: str, similar: int = 5) -> DataFrame:
         """Places related to one candidate: by links between events, by links between scenes, by similarity; see operators.related."""
