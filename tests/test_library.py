@@ -38,7 +38,7 @@ def test_snapshots_edits_and_undo(spark, tmp_path):
 
 
 def test_entities_and_index(spark, tmp_path):
-    lib = library.Library(spark, str(tmp_path))
+    lib = library.Library(spark, str(tmp_path), buckets=2)
     t = order_tables(spark, SF)
     some = spark.createDataFrame([(b,) for b in (1, 2, 4)], "book_id long")
     t = {k: (writes.only(v, some, {"book_id": "book_id"}) if "book_id" in v.columns else v) for k, v in t.items()}
