@@ -10,6 +10,8 @@ ENDINGS = (
     "иями ями ами ого ему ому ыми ими иной ая яя ой ей ам ям ах ях ом ем ов ев ин ын ы и а я у ю е"
 ).split()
 
+#: The largest place or length that Spark's substring takes.
+MOST = (1 << 31) - 1
 #: A sentence ends after . ! ? or … with an optional closing quote and white space, after line breaks, or at the end.
 SENTENCE = r"(?sUd).+?(?:[.!?…][»”\"]?\s+|\n+|$)"
 WORD = r"(?U)[^\W_]+"
@@ -71,8 +73,8 @@ def sentence_units(text: Column) -> Column:
 
 
 def slice_of(text: Column, start: Column, end: Column) -> Column:
-    """text[start:end) in code points."""
-    return F.substring(text, (start + 1).cast("int"), F.greatest(F.lit(0), end - start).cast("int"))
+    """text[start:end) in code points; places beyond any text's end, however large, hold nothing."""
+    return F.substring(text, (F.least(start, F.lit(MOST - 1)) + 1).cast("int"), F.least(F.greatest(F.lit(0), end - start), F.lit(MOST)).cast("int"))
 
 
 def window_around(text: Column, start: Column, end: Column, limit: int) -> Column:

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import spans
+from lectern.functions import text as T
 from lectern.operators import intervals, structure
 from lectern.operators.sessions import Conflict
 
@@ -181,7 +182,7 @@ def chunk_scenes(scenes: DataFrame, blocks: DataFrame, books: DataFrame, least:
     ranges = intervals.subtract(body, holes, ["book_id", "chapter_id"]).select("book_id", "chapter_id", F.col("start_char").alias("a"), F.col("end_char").alias("b"))
     parts = scenes.join(ranges, ["book_id", "chapter_id"]).where("start_char < b and end_char > a")
     parts = parts.select("book_id", "chapter_id", F.col("id").alias("scene_id"), F.greatest("start_char", "a").alias("a"), F.least("end_char", "b").alias("b"))
-    cut = parts.join(books.select("book_id", "text"), "book_id").withColumn("part", F.substring("text", (F.col("a") + 1).cast("int"), (F.col("b") - F.col("a")).cast("int")))
+    cut = parts.join(books.select("book_id", "text"), "book_id").withColumn("part", T.slice_of(F.col("text"), F.col("a"), F.col("b")))
     each = cut.select("book_id", "chapter_id", "scene_id", "a", "part", F.explode(spans.chunks(F.col("part"), least, most)).alias("c"))
     made = each.select("book_id", "chapter_id", "scene_id", (F.col("a") + F.col("c.start_char")).alias("start_char"), (F.col("a") + F.col("c.end_char")).alias("end_char"), F.substring("part", F.col("c.start_char") + 1, F.col("c.end_char") - F.col("c.start_char")).alias("text"))
     return made.withColumn("id", chunk_id(F.col("scene_id"), F.col("start_char"), F.col("end_char"), F.col("text")))
