@@ -136,7 +136,7 @@ def q_agent_context(spark, sf_dir):
     c = table(spark, sf_dir, "customer").withColumn("book_id", F.col("c_nationkey").cast("long"))
     outline = c.select("book_id", F.col("c_custkey").alias("id"), F.col("c_name").alias("title"), F.lit("chapter").alias("role"), F.lit(1).alias("level"), F.col("c_custkey").alias("start"))
     status = c.select("book_id").distinct().select("book_id", F.lit(True).alias("ready"), F.lit(False).alias("semantic"), (F.col("book_id") % 2 == 0).alias("entities"))
-    entities = c.select("book_id", F.col("c_name").alias("canonical_name"), F.array("c_mktsegment").alias("aliases"), F.lit("person").alias("entity_type"), F.round("c_acctbal").cast("long").alias("scene_count"))
+    entities = c.select("book_id", F.col("c_name").alias("canonical_name"), F.array("c_mktsegment").alias("aliases"), F.lit("person").alias("entity_type"), F.rint("c_acctbal").cast("long").alias("scene_count"))
     counts = c.groupBy("book_id", F.col("c_mktsegment").alias("review_status")).agg(F.count("*").alias("n"))
     found = judging.agent_context(outline, status, entities, counts)
     names = F.array_join(F.transform("entities", lambda x: x["canonical_name"]), ",")

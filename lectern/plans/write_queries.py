@@ -115,7 +115,7 @@ def q_section_sync(spark, sf_dir):
 SELECT * FROM (SELECT book_id, section_id, id, lead(id) OVER (PARTITION BY book_id, section_id ORDER BY start_char, id) AS next_id FROM b) WHERE next_id IS NOT NULL""")
 def q_next_blocks(spark, sf_dir):
     """Blocks of a section in the order of their places, chained."""
-    b = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("book_id"), F.col("c_mktsegment").alias("section_id"), F.col("c_custkey").alias("id"), F.round("c_acctbal").cast("long").alias("start_char"))
+    b = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("book_id"), F.col("c_mktsegment").alias("section_id"), F.col("c_custkey").alias("id"), F.rint("c_acctbal").cast("long").alias("start_char"))
     b = b.withColumn("end_char", F.col("start_char") + 1)
     return writes.next_blocks(b)
 

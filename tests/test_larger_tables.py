@@ -32,3 +32,10 @@ def test_places_beyond_an_int(spark, tmp_path, name):
     spark.read.parquet(f"{SF}/orders.parquet").where("o_orderkey < 200").withColumn("o_orderkey", F.col("o_orderkey") + far).write.parquet(f"{tmp_path}/orders.parquet")
     spark.read.parquet(f"{SF}/lineitem.parquet").where("l_orderkey < 200").withColumn("l_orderkey", F.col("l_orderkey") + far).write.parquet(f"{tmp_path}/lineitem.parquet")
     assert equal(spark, tmp_path, name)
+
+
+@pytest.mark.parametrize("name", ["q_agent_context", "q_next_blocks"])
+def test_halves_go_to_the_even_number(spark, tmp_path, name):
+    rows = [(i, f"Customer#{(i * 37) % 100:03d}", 2 * (i % 2), x, "BUILDING") for i, x in enumerate([0.5, -0.5, 1.5, 2.5, 0.0, 2.0, 1.0, 3.0, -1.5, -2.5, -2.0, 4.5] * 8)]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    assert equal(spark, tmp_path, name)
