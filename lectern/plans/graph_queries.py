@@ -9,6 +9,8 @@ from lectern.functions import text as T
 from lectern.operators import entities, prepare, related, search, structure
 from lectern.plans.registry import query, table
 
+#: Parts of one name that are paired in one place, about.
+NAME_PARTS = 1000
 _SCENES = "scenes AS (SELECT o_custkey AS book_id, o_orderkey AS id, o_orderdate, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS scene_rank FROM orders)"
 
 
@@ -146,12 +148,18 @@ def q_conservative_unions(spark, sf_dir):
 @query("""WITH t AS (SELECT p_partkey, p_brand, list_distinct(regexp_extract_all(lower(p_name), '[\\pL\\pN_]+')) AS w FROM part)
 SELECT a.p_partkey AS a, b.p_partkey AS b, round(len(list_intersect(a.w, b.w)) / greatest(1, len(list_distinct(list_concat(a.w, b.w)))), 6) AS score FROM t a JOIN t b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey WHERE len(list_intersect(a.w, b.w)) / greatest(1, len(list_distinct(list_concat(a.w, b.w)))) >= 0.5""")
 def q_name_jaccard(spark, sf_dir):
-    """Parts of one brand whose names share half of their words: joined on a shared word, so no all-pairs join."""
-    t = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.array_distinct(T.tokens(F.col("p_name"))).alias("w"))
-    word = t.select("p_brand", F.col("p_partkey").alias("k"), "w", F.explode("w").alias("word"))
-    a, b = word.select("p_brand", "word", F.col("k").alias("a"), F.col("w").alias("wa")), word.select("p_brand", "word", F.col("k").alias("b"), F.col("w").alias("wb"))
-    pairs = a.join(b, ["p_brand", "word"]).where("a < b").where(F.array_min(F.array_intersect("wa", "wb")) == F.col("word"))
-    return pairs.select("a", "b", F.round(T.jaccard(F.col("wa"), F.col("wb")), 6).alias("score")).where("score >= 0.5")
+    """Parts of one brand whose names share half of their words: each two names are compared once, however many parts have them, on a shared word."""
+    t = table(spark, sf_dir, "part").select("p_brand", F.array_sort(F.array_distinct(T.tokens(F.col("p_name")))).alias("w"), "p_partkey")
+    n = t.groupBy("p_brand", "w").agg(F.count("*").alias("n"))
+    word = n.select("p_brand", "w", "n", F.explode("w").alias("word"))
+    both = word.select("p_brand", "word", F.col("w").alias("wa"), "n").join(word.select("p_brand", "word", F.col("w").alias("wb")), ["p_brand", "word"])
+    near = both.where(F.array_min(F.array_intersect("wa", "wb")) == F.col("word")).withColumn("score", T.jaccard(F.col("wa"), F.col("wb"))).where("score >= 0.5")
+    # parts of a name that many have are dealt, so that no task has all their pairs
+    near = near.select("p_brand", "wa", "wb", F.round("score", 6).alias("score"), F.ceil(F.col("n") / NAME_PARTS).alias("lots"))
+    a = near.join(t.select("p_brand", F.col("w").alias("wa"), F.col("p_partkey").alias("a")), ["p_brand", "wa"]).select("p_brand", "wb", "a", "score", F.xxhash64("wa", F.pmod(F.xxhash64("a"), F.col("lots"))).alias("lot"))
+    b = near.select("p_brand", "wb", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1), lambda i: F.xxhash64("wa", i))).alias("lot")).distinct()
+    b = b.join(t.select("p_brand", F.col("w").alias("wb"), F.col("p_partkey").alias("b")), ["p_brand", "wb"])
+    return a.join(b, ["p_brand", "wb", "lot"]).where("a < b").select("a", "b", "score")
 
 
 @query()

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.plans import catalogue
+from lectern.plans import catalogue, graph_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,3 +39,18 @@ def test_halves_go_to_the_even_number(spark, tmp_path, name):
     rows = [(i, f"Customer#{(i * 37) % 100:03d}", 2 * (i % 2), x, "BUILDING") for i, x in enumerate([0.5, -0.5, 1.5, 2.5, 0.0, 2.0, 1.0, 3.0, -1.5, -2.5, -2.0, 4.5] * 8)]
     spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
     assert equal(spark, tmp_path, name)
+
+
+def test_names_that_many_parts_have(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(graph_queries, "NAME_PARTS", 3)  # few parts of a name in one place
+    names = ["red bolt", "bolt red", "red", "", None, "red bolt nut", "nut", "Red_1 bolt nut cap", "cap"]
+    rows = [(i, names[i * i % 9], f"B{i % 2}" if i % 11 else None) for i in range(200)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    assert equal(spark, tmp_path, "q_name_jaccard")
+
+
+def test_names_meet_once_however_many_parts_have_them(spark, tmp_path):
+    # 8,000 parts of 8 names of one brand: 4 million pairs are found, the 28 million that only share a word are not made
+    spark.range(8000).select(F.col("id").alias("p_partkey"), F.concat_ws(" ", F.lit("red"), F.concat(F.lit("w"), F.col("id") % 8)).alias("p_name"), F.lit("B").alias("p_brand")).write.parquet(f"{tmp_path}/part.parquet")
+    found = catalogue.QUERIES["q_name_jaccard"](spark, str(tmp_path))
+    assert found.where("score <> 1 or a >= b or (b - a) % 8 <> 0").count() == 0 and found.count() == 8 * 1000 * 999 // 2
