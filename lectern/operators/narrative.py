@@ -6,14 +6,17 @@ kept with its reason, so nothing is dropped silently.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lectern.functions import spans
 from lectern.functions import text as T
 from lectern.functions import vectors as V
-from lectern.operators import entities
+from lectern.operators import entities, vectors
 
 # The words that replies may use.
 REPRESENTATIONS = ("narrator", "direct_speech", "thought", "document", "mixed")
@@ -230,22 +233,66 @@ def enriched(events: DataFrame, scenes: DataFrame, chunks: DataFrame, participan
     return out.withColumn("participant_ids", F.coalesce("participant_ids", F.array().cast(dict(people.dtypes)["participant_ids"])))
 
 
-def scene_link_anchors(events: DataFrame, links: DataFrame, per_link: int = 3, bonus: float = 0.05) -> DataFrame:
+def scene_link_anchors(events: DataFrame, links: DataFrame, per_link: int = 3, bonus: float = 0.05, block: int = 4000) -> DataFrame:
     """(book_id, source_id, target_id, left_id, right_id, score, hint): the most similar pairs of events of each two linked scenes.
 
-    events(book_id, id, scene_id, roles, story, people), links(book_id, source_id, target_id, type, reason). Scenes are short, so a
-    link has few pairs; a shared participant counts a little."""
-    side = lambda p, end: events.select("book_id", F.col("scene_id").alias(end), *[F.col(c).alias(f"{p}_{c}") for c in ("id", "roles", "story", "people")])
-    pairs = links.join(side("a", "source_id"), ["book_id", "source_id"]).join(side("b", "target_id"), ["book_id", "target_id"])
-    near = F.greatest(F.coalesce(V.cosine(F.col("a_story"), F.col("b_story")), F.lit(0.0)), F.coalesce(V.cosine(F.col("a_roles"), F.col("b_roles")), F.lit(0.0)))
-    score = near + F.when(F.coalesce(F.arrays_overlap("a_people", "b_people"), F.lit(False)), bonus).otherwise(0.0)
+    events(book_id, id, scene_id, roles, story, people), links(book_id, source_id, target_id, type, reason). A shared participant counts a
+    little; scores equal to 9 digits are ties, to the smaller ids. Scenes meet as matrix products, those of more than ``block`` events in blocks,
+    of which only the best pairs leave a task."""
     label = F.try_element_at(F.create_map(*[F.lit(x) for pair in SCENE_LINKS.items() for x in pair]), F.col("type"))
     hint = F.trim(F.concat(label, F.lit(" между сценами: "), F.coalesce("reason", F.lit(""))))
-    ranked = pairs.select("book_id", "source_id", "target_id", F.col("a_id").alias("left_id"), F.col("b_id").alias("right_id"), score.alias("score"), hint.alias("hint"))
-    w = Window.partitionBy("book_id", "source_id", "target_id").orderBy(F.desc("score"), "left_id", "right_id")
+    size = events.groupBy("book_id", "scene_id").agg(F.ceil(F.count("*") / block).alias("n"))
+    ends = links.select("book_id", "source_id", "target_id").distinct()
+    for end, n in (("source_id", "n_left"), ("target_id", "n_right")):
+        ends = ends.join(size.select("book_id", F.col("scene_id").alias(end), F.col("n").alias(n)), ["book_id", end])
+    on = ["book_id", "source_id", "target_id", "lb", "rb"]
+
+    def side(end: str, own: str, mine: str, other: str, theirs: str) -> DataFrame:
+        e = events.select("book_id", F.col("scene_id").alias(end), "id", "roles", "story", "people")
+        return ends.join(e, ["book_id", end]).withColumns({mine: F.pmod(F.xxhash64("id"), F.col(own)), other: F.explode(F.sequence(F.lit(0).cast("long"), F.col(theirs) - 1))}).drop("n_left", "n_right")
+
+    left, right = side("source_id", "n_left", "lb", "rb", "n_right"), side("target_id", "n_right", "rb", "lb", "n_left")
+    kinds = dict(left.dtypes)
+    none = to_arrow_schema(left.select(*on[:3], F.col("id").alias("left_id"), F.col("id").alias("right_id"), F.lit(0.0).alias("score")).schema)
+
+    def best(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return none.empty_table()
+        a, b = a.sort_by("id"), b.sort_by("id")
+        near = [(vectors.unit_rows(a.column(c)), vectors.unit_rows(b.column(c))) for c in ("story", "roles")]
+        p, q = _holders(a.column("people")), _holders(b.column("people"))
+        shared = [(p[x], q[x]) for x in p.keys() & q.keys()]
+
+        def score(i: slice, j: slice) -> np.ndarray:
+            s = np.maximum(*(vectors.cosines((x[0][i], x[1][i]), (y[0][j], y[1][j]), 0.0) for x, y in near))
+            met = np.zeros(s.shape, bool)
+            for m, n in shared:
+                met[np.ix_(m[np.searchsorted(m, i.start) : np.searchsorted(m, i.stop)] - i.start, n[np.searchsorted(n, j.start) : np.searchsorted(n, j.stop)] - j.start)] = True
+            return s + bonus * met
+
+        r, c, s = vectors.best_columns(score, a.num_rows, b.num_rows, per_link)
+        first = np.lexsort((c, r, -np.round(np.where(np.isnan(s), np.inf, s), 9)))[:per_link]
+        r, c, s = r[first], c[first], s[first]
+        ends = [pa.array([x.as_py()] * len(r), x.type) for x in key[:3]]
+        return pa.table([*ends, a.column("id").take(r), b.column("id").take(c), pa.array(s)], names=[*on[:3], "left_id", "right_id", "score"])
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in on[:3]) + f", left_id {kinds['id']}, right_id {kinds['id']}, score double"
+    right = right.withColumnsRenamed({c: f"{c}_r" for c in on})  # sides of one table have the same columns
+    found = left.groupBy(*on).cogroup(right.groupBy(*[f"{c}_r" for c in on])).applyInArrow(best, schema)
+    ranked = found.join(links.select("book_id", "source_id", "target_id", hint.alias("hint")), ["book_id", "source_id", "target_id"])
+    w = Window.partitionBy("book_id", "source_id", "target_id").orderBy(F.desc(F.round("score", 9)), "left_id", "right_id")
     return ranked.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_link).drop("r")
 
 
+def _holders(people: pa.ChunkedArray) -> dict:
+    """Each participant's rows, ascending."""
+    out: dict = {}
+    for i, each in enumerate(people.to_pylist()):
+        for x in {x for x in each or () if x is not None}:
+            out.setdefault(x, []).append(i)
+    return {x: np.array(rows) for x, rows in out.items()}
+
+
 def pair_payload(pairs: DataFrame) -> DataFrame:
     """(pair_id, payload): pairs(left, right, hint) of enriched events as JSON for the oracle; the id joins theirs by ``::``."""
     side = lambda c: F.struct(F.col(f"{c}.gist").alias("gist"), F.coalesce(F.col(f"{c}.gist_roles"), F.lit("")).alias("roles"), F.col(f"{c}.context").alias("context"), F.coalesce(F.col(f"{c}.scene_title"), F.lit("")).alias("scene"), F.coalesce(F.col(f"{c}.modality"), F.lit("actual")).alias("modality"), F.coalesce(F.col(f"{c}.chunk_representation"), F.lit("narrator")).alias("form"))
