@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lectern.functions import vectors as V
-from lectern.operators import intervals, search
+from lectern.operators import intervals, search, vectors
 
 # What a link is called in a path.
 LABELS = {"retells": "пересказ того же события", "prefigures": "предвестие", "causes": "связь по причине", "parallels": "параллель"}
@@ -54,18 +58,57 @@ def linked_scenes(fragments: DataFrame, scenes: DataFrame, links: DataFrame, wid
     return _ranked(rows, "scenes", "start_char", "id", "path")
 
 
-def similar_chunks(fragments: DataFrame, chunks: DataFrame, k: int = 5, width: int = 2000) -> DataFrame:
+def _dealt(rows: DataFrame, key: str, block: int, mine: str, other: str, others: DataFrame) -> DataFrame:
+    """rows in blocks (column ``mine``) of their book, once for each block of the others' (column ``other``)."""
+    own = rows.groupBy("book_id").agg(F.ceil(F.count("*") / block).alias("n_own"))
+    sized = rows.join(own, "book_id").join(others, "book_id")
+    return sized.withColumns({mine: F.pmod(F.xxhash64(key), F.col("n_own")), other: F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_other") - 1))}).drop("n_own", "n_other")
+
+
+def _similar(mine: DataFrame, chunks: DataFrame, k: int, few: int, many: int) -> DataFrame:
+    """(book_id, fragment, id, start_char, end_char, score): each fragment's k best chunks of each block, by matrix products."""
+    n = lambda rows, block: rows.groupBy("book_id").agg(F.ceil(F.count("*") / block).alias("n_other"))
+    c = chunks.select("book_id", "id", "start_char", "end_char", "embedding", "embedding_model")
+    left = _dealt(mine, "fragment", few, "fb", "cb", n(c, many))
+    right = _dealt(c, "id", many, "cb", "fb", n(mine, few))
+    kinds = dict(mine.dtypes) | dict(c.dtypes)
+    names = ("book_id", "fragment", "id", "start_char", "end_char")
+    schema = to_arrow_schema(mine.select("book_id", "fragment").join(c.select("book_id", "id", "start_char", "end_char"), "book_id").withColumn("score", F.lit(0.0)).schema)
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return schema.empty_table()
+        b = b.sort_by("id")
+        x, y = vectors.unit_rows(a.column("v")), vectors.unit_rows(b.column("embedding"))
+        at, until, start, end = (t.column(name).to_numpy() for t, name in ((a, "a"), (a, "b"), (b, "start_char"), (b, "end_char")))
+        both = pa.chunked_array([*a.column("m").chunks, *b.column("embedding_model").chunks], type=a.column("m").type).combine_chunks()
+        model = pc.rank(both, tiebreaker="dense").to_numpy()
+        p, q = model[: a.num_rows], model[a.num_rows :]
+
+        def score(i: slice, j: slice) -> np.ndarray:
+            s = (1 + vectors.cosines((x[0][i], x[1][i]), (y[0][j], y[1][j]), -np.inf)) / 2
+            s[(p[i][:, None] != q[j][None, :]) | (~(start[j][None, :] >= until[i][:, None]) & ~(end[j][None, :] <= at[i][:, None]))] = -np.inf
+            return s
+
+        r, c, s = vectors.best_columns(score, a.num_rows, b.num_rows, k)
+        return pa.table([*(a.column(name).take(r) for name in names[:2]), *(b.column(name).take(c) for name in names[2:]), pa.array(np.round(s, 9))], names=[*names, "score"])
+
+    on = ("book_id", "fb", "cb")
+    right = right.withColumnsRenamed({name: f"{name}_r" for name in on})  # sides of one table have the same columns
+    return left.groupBy(*on).cogroup(right.groupBy(*[f"{name}_r" for name in on])).applyInArrow(best, ", ".join(f"`{name}` {kinds[name]}" for name in names) + ", score double")
+
+
+def similar_chunks(fragments: DataFrame, chunks: DataFrame, k: int = 5, width: int = 2000, blocks: tuple[int, int] = (4000, 20000)) -> DataFrame:
     """The k chunks of a book most similar to the smallest chunk that contains a fragment; it and those that overlap it are left out.
 
     chunks(book_id, id, start_char, end_char, embedding, embedding_model): vectors of one model and length are compared. A fragment meets
-    the chunks of its own book only."""
+    the chunks of its own book only, in blocks of so many fragments and chunks, of which only each fragment's best k leave a task."""
     whole = chunks.where(V.valid(F.col("embedding")))
     named = fragments.select("book_id", "fragment", "start_char", "end_char").withColumn("key", F.struct("book_id", "fragment"))
     home = intervals.smallest_container(named, whole.select("book_id", "id", "start_char", "end_char"), ["book_id"], "key", width)
     mine = home.select("book_id", F.col("left_fragment").alias("fragment"), F.col("right_id").alias("id"), F.col("right_start_char").alias("a"), F.col("right_end_char").alias("b"))
     mine = mine.join(whole.select("book_id", "id", F.col("embedding").alias("v"), F.col("embedding_model").alias("m")), ["book_id", "id"]).drop("id")
-    near = mine.join(whole, "book_id").where("embedding_model <=> m and size(embedding) = size(v) and not (start_char < b and end_char > a)")
-    scored = near.select("book_id", "fragment", "id", "start_char", "end_char", F.round(V.similarity(F.col("embedding"), F.col("v")), 9).alias("score"), F.lit("похожий по смыслу фрагмент").alias("path"))
+    scored = _similar(mine, whole, k, *blocks).withColumn("path", F.lit("похожий по смыслу фрагмент"))
     return _ranked(scored, "similar", F.desc("score"), "id").where(F.col("rank") <= k)
 
 

@@ -4,9 +4,11 @@ import glob
 import os
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.operators import narrative, related, vectors
 from lectern.plans import catalogue, graph_queries
 
 SF = "/root/testdata/sf0.001"
@@ -54,3 +56,56 @@ def test_names_meet_once_however_many_parts_have_them(spark, tmp_path):
     spark.range(8000).select(F.col("id").alias("p_partkey"), F.concat_ws(" ", F.lit("red"), F.concat(F.lit("w"), F.col("id") % 8)).alias("p_name"), F.lit("B").alias("p_brand")).write.parquet(f"{tmp_path}/part.parquet")
     found = catalogue.QUERIES["q_name_jaccard"](spark, str(tmp_path))
     assert found.where("score <> 1 or a >= b or (b - a) % 8 <> 0").count() == 0 and found.count() == 8 * 1000 * 999 // 2
+
+
+def test_best_columns_of_tiles_are_those_of_all():
+    rng = np.random.default_rng(3)
+    full = rng.integers(0, 12, (30, 200)) / 12.0
+    full[rng.random(full.shape) < 0.3] = -np.inf
+    full[:, :60][5:9] = -np.inf  # rows without a candidate in the first tiles
+    full[3] = -np.inf
+    full[4, 7] = np.nan
+    for k in (1, 3, 50):
+        r, c, s = vectors.best_columns(lambda i, j: full[i, j], 30, 200, k, (7, 20))
+        for row in range(30):
+            rank = np.where(np.isnan(full[row]), np.inf, full[row])
+            want = [x for x in np.lexsort((np.arange(200), -rank)) if rank[x] > -np.inf][:k]
+            assert c[r == row].tolist() == want
+
+
+def test_anchors_of_scenes_of_many_events(spark):
+    rng = np.random.default_rng(5)
+    vector = lambda: rng.integers(-2, 3, 3).tolist()
+    odd = {3: None, 4: [0.0, 0.0, 0.0], 5: [1.0, None, 2.0], 6: [1.0, 1.0]}
+    rows = [("b", i, i % 3, odd.get(i, [float(x) for x in vector()]), [float(x) for x in vector()], [f"p{i % 7}", None] if i % 5 else None) for i in range(60)]
+    events = spark.createDataFrame(rows, "book_id string, id long, scene_id long, roles array<double>, story array<double>, people array<string>")
+    links = spark.createDataFrame([("b", 0, 1, "parallels", "r"), ("b", 1, 2, "causes", None), ("b", 2, 2, "retells", "x"), ("b", 2, 9, "retells", "x")], "book_id string, source_id long, target_id long, type string, reason string")
+
+    def cosine(a, b):
+        if a is None or b is None or None in a + b or len(a) != len(b) or not any(a) or not any(b):
+            return 0.0
+        return sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+
+    def score(x, y):
+        return max(cosine(x[4], y[4]), cosine(x[3], y[3])) + 0.05 * bool(set(x[5] or ()) & set(y[5] or ()) - {None})
+
+    for block in (4, 1000):
+        got = {}
+        for r in narrative.scene_link_anchors(events, links, 3, block=block).collect():
+            got.setdefault((r.source_id, r.target_id), []).append((-round(r.score, 9), r.left_id, r.right_id))
+        for a, b in ((0, 1), (1, 2), (2, 2)):
+            assert sorted(got.pop((a, b))) == sorted((-round(score(x, y), 9), x[1], y[1]) for x in rows if x[2] == a for y in rows if y[2] == b)[:3]
+        assert not got
+
+
+def test_similar_chunks_of_many_blocks(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i % 2, f"c{i}", i // 2 * 100, i // 2 * 100 + 150, [float(x) for x in rng.integers(-3, 4, 4)] if i % 9 else None, None if i % 3 else "m") for i in range(90)]
+    chunks = spark.createDataFrame(rows, "book_id long, id string, start_char long, end_char long, embedding array<float>, embedding_model string")
+    frag = chunks.select("book_id", F.concat(F.lit("f"), "id").alias("fragment"), (F.col("start_char") + 60).alias("start_char"), (F.col("start_char") + 90).alias("end_char"))
+    found = [sorted(tuple(r) for r in related.similar_chunks(frag, chunks, 3, blocks=blocks).collect()) for blocks in ((4, 7), (1000, 1000))]
+    assert found[0] == found[1] and len(found[0]) > 100
+    own = {"f" + r[1]: r for r in rows}
+    for book, f, i, start, end, *_ in found[0]:
+        me, it = own[f], own["f" + i]
+        assert me[0] == it[0] == book and me[5] == it[5] and not (start < me[3] and end > me[2])
