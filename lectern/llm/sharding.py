@@ -1,9 +1,7 @@
 """Sharding by balanced label propagation, in DataFrame operations only.
 
-Documents with equal texts are linked. Groups start whole: the large ones, few by their size, each in the emptiest shard,
-the small ones in runs that level the shards, by running sums; only a group that no shard has room for is
-cut, into as few shards as the room allows. Then, in each round, a document moves to the shard that holds most
-bytes of its group, as far as that shard's quota goes, until none is admitted. Who is admitted is decided by running
+Documents with equal texts are linked. Each starts in a shard by its hash. Then, in each round, a document moves to the shard that holds most
+bytes of its group, as far as that shard's quota of QUOTA equal parts goes, until none is admitted. Who is admitted is decided by running
 sums over a fixed number of buckets, in the order of group sizes (powers of two) and hashes. Documents without
 links then fill the shards towards equal sizes, by running sums again. Groups are votes for each (group, shard); no
 pairs are made.
@@ -14,17 +12,15 @@ sheds to its neighbours, and at most one group a cut is parted. So sizes differ
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm import common
 
 #: Buckets of the running sums: of groups times of rows for the quotas, and at most for fillers and slots.
 GROUP_BUCKETS, ROW_BUCKETS, BUCKETS = 16, 64, 1 << 16
-#: Groups above this part of a shard are placed one by one, at most shards / LARGE of them; buckets of rows of a group that is cut.
-LARGE, CUT_BUCKETS = 0.01, 1024
+#: Equal parts of all bytes that a shard holds at most while labels move; ties between labels go to the smaller, so one gathers more than its part.
+QUOTA = 3
 #: Groups below this part of a shard aren't parted by the last cuts.
 WHOLE = 0.004
 #: Rows of one bucket, about, until there are BUCKETS of them.
@@ -40,23 +36,6 @@ def _loads(linked: DataFrame, shards: int) -> list[int]:
     return [found.get(s, 0) for s in range(shards)]
 
 
-def _table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A few rows of numbers from the driver, without Python on the executors."""
-    names = [x.split()[0] for x in schema.split(", ")]
-    made = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
-    kind = ",".join(x.replace(" ", ":") for x in schema.split(", "))
-    return spark.range(1).select(F.inline(F.from_json(F.lit(made), f"array<struct<{kind}>>")))
-
-
-def _level(loads: list[float], amount: float) -> list[float]:
-    """What each shard takes of ``amount`` so that those that take any end level."""
-    low, high = min(loads), max(loads) + amount
-    for _ in range(60):
-        mid = (low + high) / 2
-        low, high = (mid, high) if sum(max(0.0, mid - x) for x in loads) < amount else (low, mid)
-    return [max(0.0, high - x) for x in loads]
-
-
 def _by_rooms(at: Column, rooms: list[float]) -> Column:
     """The shard of a place on a line along which the shards take ``rooms`` one after the other."""
     place = F.lit(len(rooms) - 1)
@@ -65,52 +44,9 @@ def _by_rooms(at: Column, rooms: list[float]) -> Column:
     return place.cast("int")
 
 
-def _placed(rows: DataFrame, groups: DataFrame, shards: int, capacity: int, mean: float) -> DataFrame:
-    """Rows (row, g, size, shard) of groups(g, bytes), which stay whole wherever a shard has room for them."""
-    large, loads, whole, cut = groups.where(F.col("bytes") > LARGE * capacity), [0.0] * shards, {}, {}
-    for r in sorted(large.collect(), key=lambda r: (-r.bytes, r.g)):  # bounded: shards / LARGE rows
-        s = min(range(shards), key=lambda s: (loads[s], s))
-        if loads[s] + r.bytes <= capacity:
-            whole[r.g], loads[s] = s, loads[s] + r.bytes
-            continue
-        rest, cut[r.g] = float(r.bytes), [0.0] * shards
-        for most in (mean, capacity):
-            for s in sorted(range(shards), key=lambda s: (loads[s], s)):
-                part = min(rest, max(0.0, most - loads[s]))
-                cut[r.g][s], loads[s], rest = cut[r.g][s] + part, loads[s] + part, rest - part
-        s = min(range(shards), key=lambda s: (loads[s], s))
-        cut[r.g][s], loads[s] = cut[r.g][s] + rest, loads[s] + rest
-
-    small = groups.join(F.broadcast(large.select("g")), "g", "left_anti")
-    total = small.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.count("*").alias("n")).first()
-    buckets = min(BUCKETS, max(16, total.n // BUCKET_ROWS))
-    lot = small.withColumn("b", F.pmod(F.xxhash64("g", F.lit(9)), F.lit(buckets)).cast("int"))
-    sums = lot.groupBy("b").agg(F.sum("bytes").alias("s"))
-    before = sums.select("b", (F.sum("s").over(Window.orderBy("b")) - F.col("s")).alias("before"))  # at most BUCKETS rows
-    within = F.sum("bytes").over(Window.partitionBy("b").orderBy("g")) - F.col("bytes") / 2
-    at = lot.withColumn("within", within).join(before, "b").select("g", (F.col("before") + F.col("within")).alias("at"))
-    homes = at.select("g", _by_rooms(F.col("at"), _level(loads, float(total.bytes))).alias("shard"))
-    spark = rows.sparkSession
-    homes = homes.union(_table(spark, [*whole.items(), *((g, None) for g in cut)], "g long, shard int"))
-    linked = rows.select("row", "g", "size").join(common.materialise(homes, "homes"), "g")
-    if not cut:
-        return linked.select("row", "g", "size", "shard")
-    linked = common.materialise(linked.withColumn("cb", F.when(F.col("shard").isNull(), _bucket(CUT_BUCKETS, 7))), "linked")
-    parts: dict[int, list] = {}
-    for r in linked.where("shard is null").groupBy("g", "cb").agg(F.sum("size").alias("bytes")).collect():  # bounded: groups cut x CUT_BUCKETS rows
-        parts.setdefault(r.g, []).append((r.cb, r.bytes))
-    found = []
-    for g, each in parts.items():
-        left, used = list(cut[g]), 0
-        order = [s for s in range(shards) if left[s] > 0]
-        for cb, size in sorted(each):
-            while used < len(order) - 1 and left[order[used]] < size / 2:
-                left[order[used + 1]] += left[order[used]]  # what is over or short goes on, so that errors don't add up
-                used += 1
-            left[order[used]] -= size
-            found.append((g, cb, order[used]))
-    pieces = _table(spark, found, "g long, cb int, piece int")
-    return linked.join(F.broadcast(pieces), ["g", "cb"], "left").select("row", "g", "size", F.coalesce("shard", "piece").alias("shard"))
+def _started(rows: DataFrame, groups: DataFrame, shards: int) -> DataFrame:
+    """Linked rows (row, g, size, shard), each in a shard by its own hash: the labels that the rounds start from."""
+    return rows.select("row", "g", "size").join(groups.select("g"), "g", "left_semi").withColumn("shard", _bucket(shards, 7))
 
 
 def propagate(linked: DataFrame, shards: int, capacity: int) -> DataFrame:
@@ -204,7 +140,7 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
 
     held = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     capacity = max(-(-total.bytes // shards), int(1.02 * held / shards))
-    linked = propagate(common.materialise(_placed(rows, groups.select("g", "bytes"), shards, capacity, total.bytes / shards), "linked"), shards, capacity)
+    linked = propagate(common.materialise(_started(rows, groups, shards), "linked"), shards, QUOTA * capacity)
 
     loads = _loads(linked, shards)
     room = [max(0, capacity - x) for x in loads]

@@ -157,3 +157,20 @@ def test_groups_stay_whole_where_every_text_has_a_copy(spark):
     for r in got:
         where[r.doc_id // 100].add(r.shard)
     assert sum(len(s) > 1 for s in where.values()) <= 14 and max(load) - min(load) <= max(len(t) + 1 for _, t in rows)
+
+
+def test_propagation_gathers_the_groups(spark, monkeypatch):
+    """The rounds, not the start, bring equal texts together: labels before and after them."""
+    seen, rounds = [], sharding.propagate
+
+    def watched(linked, shards, capacity):
+        out = rounds(linked, shards, capacity)
+        seen.append([{(r.row, r.g): r.shard for r in df.collect()} for df in (linked, out)])
+        return out
+
+    monkeypatch.setattr(sharding, "propagate", watched)
+    run(spark, [(10 * g + k, f"text {g} " * 9) for g in range(300) for k in range(3)])
+    before, after = seen[0]
+    parts = lambda labels: len({(g, s) for (_, g), s in labels.items()})
+    assert len(before) == len(after) == 900 and parts(before) > 600 and parts(after) == 300
+    assert sum(before[x] != after[x] for x in before) > 300
