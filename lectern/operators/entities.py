@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
+import itertools
+from collections.abc import Callable, Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -160,24 +166,96 @@ def connected(edges: DataFrame) -> DataFrame:
         label = new
 
 
-def conservative_groups(same: DataFrame, members: DataFrame, by: str = "book_id") -> DataFrame:
+class _Groups:
+    """Groups that members join in rising order: the oldest group whose members are all linked with them, or a new one.
+
+    A group keeps the later members that are linked with all of its own, and nothing else."""
+
+    def __init__(self) -> None:
+        self.left: dict = {}
+        self.next: list = []  # heap of (next of ``left``, root)
+
+    def root(self, member, later: np.ndarray):
+        """The root of a member, by its links to larger ones, sorted."""
+        found = None
+        while self.next and self.next[0][0] <= member:
+            at, root = heapq.heappop(self.next)
+            if at == member and found is None:
+                found, self.left[root] = root, np.intersect1d(self.left[root], later, assume_unique=True)
+            self._wait(root, member)
+        if found is None:
+            found, self.left[member] = member, later
+            self._wait(member, member)
+        return found
+
+    def _wait(self, root, member) -> None:
+        c = self.left[root]
+        i = int(np.searchsorted(c, member, side="right"))
+        if i < len(c):
+            heapq.heappush(self.next, (c[i : i + 1].tolist()[0], root))
+        else:
+            del self.left[root]
+
+
+def _grouped(rows: DataFrame, by: str) -> DataFrame:
+    """(by, id, root) of rows(by, id, copies, b): each member with its links to larger members, a null b where it has none.
+
+    The links come sorted, in Arrow batches, so neither a book's members nor its links are ever in memory at once."""
+    kinds = dict(rows.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups, last, open_, parts, out, kind = _Groups(), object(), None, [], [], None
+
+        def close() -> None:
+            nonlocal groups, last
+            book, member, copies = open_
+            if book != last:
+                groups, last = _Groups(), book
+            later = np.unique(np.concatenate(parts))
+            out.extend([(book, member, None if member is None else groups.root(member, later))] * copies)
+
+        for batch in batches:
+            code = [batch.column(i).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) for i in (0, 1)]
+            starts = [0, *(np.flatnonzero((np.diff(code[0]) != 0) | (np.diff(code[1]) != 0)) + 1).tolist(), batch.num_rows]
+            for a, z in itertools.pairwise(starts):
+                if a == z:
+                    continue
+                key = tuple(batch.column(i)[a].as_py() for i in (0, 1, 2))
+                if key != open_:
+                    if open_ is not None:
+                        close()
+                    open_, parts = key, []
+                parts.append(batch.column(3).slice(a, z - a).drop_null().to_numpy(zero_copy_only=False))
+            kind = [batch.schema.field(i).type for i in (0, 1, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind[i]) for i in range(3)], [by, "id", "root"])
+            out.clear()
+        if open_ is not None:
+            close()
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind[i]) for i in range(3)], [by, "id", "root"])
+
+    return rows.mapInArrow(run, f"`{by}` {kinds[by]}, id {kinds['id']}, root {kinds['id']}")
+
+
+def conservative_groups(same: DataFrame | Callable[[Column, Column], Column], members: DataFrame, by: str = "book_id") -> DataFrame:
     """(by, id, root): groups joined in the order of pairs (a, b) only where every cross pair is in ``same``.
 
-    Depends on the order, so it runs grouped by book."""
-
-    def run(m: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        group = {x: frozenset([x]) for x in m["id"]}
-        pairs = {tuple(sorted(p)) for p in zip(s["a"], s["b"], strict=True)} if len(s) else set()
-        for a, b in sorted(pairs):
-            if a in group and b in group and group[a] is not group[b] and all(tuple(sorted((x, y))) in pairs for x in group[a] for y in group[b]):
-                both = group[a] | group[b]
-                for x in both:
-                    group[x] = both
-        return pd.DataFrame({by: m[by], "id": m["id"], "root": [min(group[x]) for x in m["id"]]})
-
-    kinds = dict(members.dtypes)
-    pairs = same.select(F.col(by).alias("__by"), "a", "b")
-    return members.select(by, "id").groupBy(by).cogroup(pairs.groupBy("__by")).applyInPandas(run, f"{by} {kinds[by]}, id {kinds['id']}, root {kinds['id']}")
+    ``same`` is a table (by, a, b), or a condition on two ids of a book, the smaller first; the pairs of a condition are made one member at a
+    time and never shuffled. Joining in the order of pairs comes to this: each member, in rising order, joins the oldest
+    group that it is linked with as a whole, for a pair of two groups of several was refused when the younger one's root was tried.
+    So the books' members run through in order; a task holds the links of one member and what the open groups may still take."""
+    m = members.groupBy(by, "id").agg(F.count("*").alias("copies"))
+    # a fixed number, for few members may have many links
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if callable(same):
+        dealt = m.repartition(n, F.col(by)).sortWithinPartitions(by, "id")
+        dealt = dealt.mapInArrow(lambda batches: batches, dealt.schema)  # the optimiser takes away a sort that stands right below a join
+        other = F.broadcast(m.select(F.col(by).alias("__by"), F.col("id").alias("b")))
+        rows = dealt.join(other, F.col(by).eqNullSafe(F.col("__by")) & (F.col("id") < F.col("b")) & same(F.col("id"), F.col("b")), "left").select(by, "id", "copies", "b")
+    else:
+        pairs = same.where("a <> b").select(F.col(by).alias("__by"), F.least("a", "b").alias("__a"), F.greatest("a", "b").alias("b"))
+        rows = m.join(pairs, F.col(by).eqNullSafe(F.col("__by")) & (F.col("id") == F.col("__a")), "left").select(by, "id", "copies", "b")
+        rows = rows.repartition(n, F.col(by)).sortWithinPartitions(by, "id")
+    return _grouped(rows, by)
 
 
 def canonical(names: Column) -> Column:

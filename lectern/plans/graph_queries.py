@@ -140,9 +140,7 @@ def q_connected_components_full(spark, sf_dir):
 def q_conservative_unions(spark, sf_dir):
     """Suppliers of a nation joined only where every pair of a group is linked."""
     s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("long").alias("book_id"), F.col("s_suppkey").cast("long").alias("id"))
-    other = s.select("book_id", F.col("id").alias("b"))
-    same = s.select("book_id", F.col("id").alias("a")).join(other, "book_id").where("a < b and (b - a) % 3 <> 0")
-    return entities.conservative_groups(same, s)
+    return entities.conservative_groups(lambda a, b: (b - a) % 3 != 0, s)
 
 
 @query("""WITH t AS (SELECT p_partkey, p_brand, list_distinct(regexp_extract_all(lower(p_name), '[\\pL\\pN_]+')) AS w FROM part)

@@ -5,10 +5,11 @@ import os
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import narrative, related, vectors
+from lectern.operators import entities, narrative, related, vectors
 from lectern.plans import catalogue, graph_queries
 
 SF = "/root/testdata/sf0.001"
@@ -109,3 +110,36 @@ def test_similar_chunks_of_many_blocks(spark):
     for book, f, i, start, end, *_ in found[0]:
         me, it = own[f], own["f" + i]
         assert me[0] == it[0] == book and me[5] == it[5] and not (start < me[3] and end > me[2])
+
+
+def test_conservative_groups_are_those_of_the_pairs_in_order(spark):
+    rng = np.random.default_rng(11)
+    members = [(b, f"{i:02d}") for b in ("p", "q", None) for i in range(24)] + [("p", "03"), ("r", "01")]
+    pairs = [(b, f"{x:02d}", f"{y:02d}") for b, dense in (("p", 0.3), ("q", 0.8), (None, 0.6)) for x in range(26) for y in range(26) if x != y and rng.random() < dense]
+    want = []
+    for b in ("p", "q", "r", None):
+        ids = {i for k, i in members if k == b}
+        same, group = {(min(x, y), max(x, y)) for k, x, y in pairs if k == b}, {i: frozenset([i]) for i in ids}
+        for x, y in sorted(same):
+            if {x, y} <= ids and group[x] is not group[y] and all((min(u, v), max(u, v)) in same for u in group[x] for v in group[y]):
+                group |= dict.fromkeys(group[x] | group[y], group[x] | group[y])
+        want += [(b, i, min(group[i])) for k, i in members if k == b]
+    m, p = spark.createDataFrame(members, "book_id string, id string"), spark.createDataFrame(pairs, "book_id string, a string, b string")
+    assert sorted(map(repr, map(tuple, entities.conservative_groups(p, m).collect()))) == sorted(map(repr, want))
+
+
+def test_pairs_of_a_condition_are_not_held(spark):
+    # 9,000 members of one book: 27 million pairs, which took more than the worker's memory as a set
+    import resource
+
+    m = spark.range(9000).select(F.lit(1).alias("book_id"), (F.col("id") * 7001 % 9000).alias("id"))
+    got = entities.conservative_groups(lambda a, b: (b - a) % 3 != 0, m)
+
+    def grown(batches):
+        n = 0
+        for b in batches:
+            n += sum(r % 3 == 0 and i - r < 3 for i, r in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True))
+        yield pa.RecordBatch.from_pydict({"n": [n], "mb": [resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024]})
+
+    rows = got.mapInArrow(grown, "n long, mb long").collect()
+    assert sum(r.n for r in rows) == 9000 and max(r.mb for r in rows) < 1500
