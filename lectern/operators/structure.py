@@ -76,7 +76,8 @@ def next_bound(sections: DataFrame, by: str = "book_id") -> DataFrame:
 def closure(edges: DataFrame, roots: DataFrame, node: str = "id", parent: str = "parent_id", by: tuple[str, ...] = (), depth: int | None = None) -> DataFrame:
     """Descendants of the roots, themselves included, however deep, or at most ``depth`` levels down: (by, root, node, level), once each.
 
-    A recursive query: each step joins the nodes of the last level with their children. ``by`` are columns within which an id is known. A node that
+    A recursive query: each step joins the nodes of the last level with their children, by a shuffle, for a broadcast would send all edges
+    through the driver at every level. ``by`` are columns within which an id is known. A node that
     a way has passed already isn't followed again, so circles end. A way of more than DEEPEST levels is an error, never cut off in silence."""
     spark = edges.sparkSession
     # Spark stops a recursion of more rows than this by default; here they are at most the ways from the roots
@@ -87,7 +88,7 @@ def closure(edges: DataFrame, roots: DataFrame, node: str = "id", parent: str =
     text = f"""WITH RECURSIVE c ({keys}root, `{node}`, level, way) MAX RECURSION LEVEL {DEEPEST} AS (
   SELECT {keys}`{node}`, `{node}`, 0, array(`{node}`) FROM {{roots}}
   UNION ALL
-  SELECT {of("c")}c.root, e.`{node}`, c.level + 1, array_append(c.way, e.`{node}`) FROM c JOIN {{edges}} AS e ON e.`{parent}` = c.`{node}`{same}{stop} WHERE NOT array_contains(c.way, e.`{node}`))
+  SELECT /*+ MERGE(e) */ {of("c")}c.root, e.`{node}`, c.level + 1, array_append(c.way, e.`{node}`) FROM c JOIN {{edges}} AS e ON e.`{parent}` = c.`{node}`{same}{stop} WHERE NOT array_contains(c.way, e.`{node}`))
 SELECT {keys}root, `{node}`, min(level) AS level FROM c GROUP BY {keys}root, `{node}`"""
     return spark.sql(text, edges=edges, roots=roots)
 

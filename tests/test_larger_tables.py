@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import entities, narrative, related, vectors
+from lectern.operators import entities, narrative, related, structure, vectors
 from lectern.plans import catalogue, graph_queries
 
 SF = "/root/testdata/sf0.001"
@@ -143,3 +143,10 @@ def test_pairs_of_a_condition_are_not_held(spark):
 
     rows = got.mapInArrow(grown, "n long, mb long").collect()
     assert sum(r.n for r in rows) == 9000 and max(r.mb for r in rows) < 1500
+
+
+def test_edges_of_a_deep_tree_are_not_sent_to_the_driver(spark):
+    t = spark.range(50).selectExpr("id", "nullif(id - 1, -1) as parent_id")
+    found = structure.closure(t, t.where("parent_id is null"))
+    assert "strategy=merge" in found._jdf.queryExecution().analyzed().toString()
+    assert sorted(tuple(r) for r in found.collect()) == [(0, i, i) for i in range(50)]
