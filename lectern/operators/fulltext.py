@@ -81,14 +81,18 @@ def postings(docs: DataFrame, stemmed: bool = True) -> DataFrame:
     return rows.mapInArrow(run, f"book_id {kind}, id string, start_char long, end_char long, token string, tf long, dl long")
 
 
-def build(rows: DataFrame, cell: Column | None = None) -> tuple[DataFrame, DataFrame]:
+def build(rows: DataFrame, cell: Column | None = None, tokens: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(blocks, statistics) of postings: blocks(book_id, token, cell, n, most, least, low, high, postings), statistics(book_id, docs, mean).
 
-    ``cell`` is by default the part of CELL characters that a text starts in."""
+    ``cell`` is by default the part of CELL characters that a text starts in. With tokens(book_id, token) only their blocks are
+    made, for an index that is used once: the postings of other tokens aren't shuffled. The statistics are of all texts."""
     stats = rows.where("token = ''").groupBy("book_id").agg(F.count("*").alias("docs"), F.avg("dl").alias("mean"))
     place = F.floor(F.col("start_char") / CELL).cast("long") if cell is None else cell.cast("long")
     each = F.array_sort(F.collect_list(F.struct("start_char", "end_char", "id", "tf", "dl")))  # of one cell
-    blocks = rows.where("token <> ''").withColumn("cell", place).groupBy("book_id", "token", "cell").agg(
+    own = rows.where("token <> ''")
+    if tokens is not None:
+        own = own.join(F.broadcast(tokens.select("book_id", "token").distinct()), ["book_id", "token"], "left_semi")
+    blocks = own.withColumn("cell", place).groupBy("book_id", "token", "cell").agg(
         F.count("*").alias("n"), F.max("tf").alias("most"), F.min("dl").alias("least"), F.min("start_char").alias("low"), F.max("end_char").alias("high"), each.alias("postings"))
     return blocks, stats
 

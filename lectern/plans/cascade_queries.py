@@ -136,7 +136,7 @@ def q_blockmax_topk(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("source").alias("book_id"), F.col("doc_id").alias("id"), F.col("doc_id").alias("start_char"), (F.col("doc_id") + 1).alias("end_char"), "text")
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     asked = d.groupBy("book_id").agg(F.min_by(words, "id").alias("w")).select("book_id", F.explode(F.slice("w", 1, 3)).alias("token")).distinct()
-    blocks, stats = fulltext.build(fulltext.postings(d, stemmed=False), F.floor(F.col("start_char") / 64))
+    blocks, stats = fulltext.build(fulltext.postings(d, stemmed=False), F.floor(F.col("start_char") / 64), asked)
     hits, _ = fulltext.search(blocks, stats, asked, 10)
     return hits.select("book_id", "id", F.round("score", 6).alias("score"), "rank")
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import entities, narrative, related, structure, vectors
+from lectern.operators import entities, fulltext, narrative, related, structure, vectors
 from lectern.plans import catalogue, graph_queries
 
 SF = "/root/testdata/sf0.001"
@@ -150,3 +150,13 @@ def test_edges_of_a_deep_tree_are_not_sent_to_the_driver(spark):
     found = structure.closure(t, t.where("parent_id is null"))
     assert "strategy=merge" in found._jdf.queryExecution().analyzed().toString()
     assert sorted(tuple(r) for r in found.collect()) == [(0, i, i) for i in range(50)]
+
+
+def test_an_index_of_some_tokens_has_only_their_blocks(spark):
+    docs = spark.createDataFrame([("b", str(i), i, i + 1, f"red w{i} {'blue' if i % 3 else ''}") for i in range(40)] + [("c", "0", 0, 1, None)], "book_id string, id string, start_char long, end_char long, text string")
+    asked = spark.createDataFrame([("b", "blue"), ("b", "blue"), ("b", "none"), ("c", "red")], "book_id string, token string")
+    rows = fulltext.postings(docs, stemmed=False)
+    every, some = fulltext.build(rows, F.floor(F.col("start_char") / 8)), fulltext.build(rows, F.floor(F.col("start_char") / 8), asked)
+    assert [sorted(map(repr, b.where("token = 'blue'").collect())) for b in (every[0], some[0])] == [sorted(map(repr, some[0].collect()))] * 2
+    assert sorted(map(tuple, every[1].collect())) == sorted(map(tuple, some[1].collect()))
+    assert [sorted(map(repr, fulltext.search(*x, asked, 5)[0].collect())) for x in (every, some)][0] == sorted(map(repr, fulltext.search(*some, asked, 5)[0].collect()))
