@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import entities, fulltext, narrative, related, structure, vectors
 from lectern.plans import catalogue, graph_queries
+from lectern.sources import html
 
 SF = "/root/testdata/sf0.001"
 
@@ -160,3 +161,12 @@ def test_an_index_of_some_tokens_has_only_their_blocks(spark):
     assert [sorted(map(repr, b.where("token = 'blue'").collect())) for b in (every[0], some[0])] == [sorted(map(repr, some[0].collect()))] * 2
     assert sorted(map(tuple, every[1].collect())) == sorted(map(tuple, some[1].collect()))
     assert [sorted(map(repr, fulltext.search(*x, asked, 5)[0].collect())) for x in (every, some)][0] == sorted(map(repr, fulltext.search(*some, asked, 5)[0].collect()))
+
+
+
+def test_blocks_of_pages_come_in_bounded_batches():
+    pages = pa.RecordBatch.from_pydict({"page_id": list(range(1500)), "html": ["<p>a<p>b<p>c", None, "x"] * 500})
+    made = list(html._batches([pages, pages.slice(0, 0)], "page_id"))
+    assert len(made) == 1 and made[0].num_rows == 1500 and made[0].column(0).to_pylist() == [k for k in range(0, 1500, 3) for _ in range(3)]
+    made = list(html._batches([pages] * 2 + [pa.RecordBatch.from_pydict({"page_id": [7] * 3000, "html": ["<p>a<p>b"] * 3000})], "page_id"))
+    assert sum(b.num_rows for b in made) == 9000 and max(b.num_rows for b in made) < html.ROWS + 2
