@@ -129,6 +129,18 @@ class _Coder(dict):
 _coders: dict[str, _Coder] = {}
 
 
+def _shared() -> dict[str, _Coder]:
+    """The coders of this process."""
+    return _coders
+
+
+def _coder(path: str) -> _Coder:
+    """This process's coder; it is made once and serves one task after another."""
+    if path not in _coders:
+        _coders[path] = _Coder(path)
+    return _coders[path]
+
+
 def token_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32[, ids]) of docs(doc_id, text); null texts count as empty.
 
@@ -139,10 +151,7 @@ def token_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int =
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _coders:
-            _coders[path] = _Coder(path)
-        coder = _coders[path]
-        common.only(coder)
+        coder = _coder(path)
         for b in batches:
             at = 0
             sizes = np.cumsum([len(x.as_py() or b"") for x in b.column(1)])
@@ -160,7 +169,7 @@ def token_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int =
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(len(names))], names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("body")).mapInArrow(common.trimmed(run), schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("body")).mapInArrow(common.trimmed(run, _shared), schema)
 
 
 def _knapsack(sizes: list[int], value: np.ndarray, most: list[int], capacity: int) -> tuple[float, np.ndarray]:
@@ -402,7 +411,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, wide
         return out
     dealt = out.repartition(common.partitions(spark), file).sortWithinPartitions(file, index)
     schema = T.StructType([*out.schema.fields[:-2], *(pieces.schema[c] for c in wide)])
-    return dealt.mapInArrow(common.trimmed(_fetch(wide, schema.names)), schema)
+    return dealt.mapInArrow(common.trimmed(_fetch(wide, schema.names), _shared), schema)
 
 
 def packed(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = 0, keep_ids: bool = False) -> DataFrame:

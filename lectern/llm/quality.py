@@ -161,6 +161,7 @@ def with_score(docs: DataFrame, net: Network, name: str = "score") -> DataFrame:
 
     @F.arrow_udf("double")
     def probability(bodies):
+        common.only()
         out = pa.array(model.value.score([x.as_py() or b"" for x in bodies]))
         common.trim()
         return out

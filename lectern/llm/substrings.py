@@ -49,6 +49,11 @@ class _Hashes(dict):
 _HASHES = _Hashes()
 
 
+def _hashes() -> _Hashes:
+    """The words of this process."""
+    return _HASHES
+
+
 def pieces(words: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, first window, number of windows) of each piece of a document."""
     n, gram = len(words), min(GRAM, length)
@@ -90,7 +95,6 @@ def _sketches(docs: DataFrame, length: int) -> DataFrame:
     """Of each row: its keys, number of words, digest of the whole text and its pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common.only(_HASHES)
         for b in batches:
             n, sha, found = [], [], []
             for x in b.column(4):
@@ -103,7 +107,7 @@ def _sketches(docs: DataFrame, length: int) -> DataFrame:
                 ["doc_id", "ord", "h", "c", "n_words", "sha", "anchors", "starts", "sizes"],
             )
 
-    return _keyed(docs).mapInArrow(common.trimmed(run), "doc_id long, ord long, h long, c long, n_words long, sha string, anchors array<long>, starts array<int>, sizes array<int>")
+    return _keyed(docs).mapInArrow(common.trimmed(run, _hashes), "doc_id long, ord long, h long, c long, n_words long, sha string, anchors array<long>, starts array<int>, sizes array<int>")
 
 
 def _search(length: int):
@@ -259,6 +263,7 @@ def without_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
 
     @F.arrow_udf("string")
     def cut(bodies, found):
+        common.only()
         out = []
         for body, s in zip(bodies.to_pylist(), found.to_pylist(), strict=True):
             if s is None or not len(s):

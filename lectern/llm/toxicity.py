@@ -54,6 +54,11 @@ class _Terms(dict):
 _TERMS = _Terms()
 
 
+def _terms() -> _Terms:
+    """The terms of this process."""
+    return _TERMS
+
+
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """(sorted buckets, values) of a whole text; values are damped counts of unit length. Empty without words."""
     counts = Counter(_WORD.findall((text or "").lower()))
@@ -176,14 +181,13 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, e
     names = ("key", "y", "ids", "values")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common.only(_TERMS)
         for b in batches:
             for i in range(b.num_rows):
                 a, x = features(b.column(2)[i].as_py())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(1).slice(i, 1), pa.array([a.astype("<i4").tobytes()], pa.binary()), pa.array([x.astype("<f4").tobytes()], pa.binary())], names)
 
     texts = common.labelled(docs, labels, "toxic", common.remainder(F.col("doc_id"), modulus) != held, each)
-    rows = common.materialise(texts.mapInArrow(common.trimmed(read), "key long, y int, ids binary, values binary"), "sample")
+    rows = common.materialise(texts.mapInArrow(common.trimmed(read, _terms), "key long, y int, ids binary, values binary"), "sample")
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ones, every = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
@@ -195,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, e
         at = np.flatnonzero(every)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(ones[at]), pa.array(every[at])], ["id", "ones", "n"])
 
-    counts = rows.select("y", "ids").mapInArrow(common.trimmed(ids), "id long, ones long, n long").groupBy("id").agg(F.sum("ones").alias("ones"), F.sum("n").alias("n")).toArrow()  # at most 2**BITS rows
+    counts = rows.select("y", "ids").mapInArrow(common.trimmed(ids, _terms), "id long, ones long, n long").groupBy("id").agg(F.sum("ones").alias("ones"), F.sum("n").alias("n")).toArrow()  # at most 2**BITS rows
     ones, every = np.zeros(1 << BITS), np.zeros(1 << BITS)
     at = counts.column("id").to_numpy()
     ones[at], every[at] = counts.column("ones").to_numpy(), counts.column("n").to_numpy()
@@ -232,14 +236,13 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(machine)  # of fixed size: 2**BITS x (1 + FACTORS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common.only(_TERMS)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 p = model.value.score([features(x.as_py()) for x in part.column(1)])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p)], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(common.trimmed(run), "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(common.trimmed(run, _terms), "doc_id long, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, each: int = SAMPLE_EACH) -> DataFrame:

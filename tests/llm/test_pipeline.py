@@ -3,6 +3,7 @@
 import hashlib
 
 import corpus_pipeline
+import pyarrow as pa
 from tests.llm.test_decontaminate import reduce_plain, semiglobal
 from tests.llm.test_simhash import brute as simhash_brute
 from tests.llm.test_substrings import brute as substring_brute
@@ -52,3 +53,24 @@ def test_stages(spark):
     last = f5(spark, spark.createDataFrame([{**rows[d].asDict(), "text": got[d]} for d in four], docs.schema), SF).collect()
     assert {r.doc_id for r in last} == four
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()} == four
+
+
+def test_word_caches_of_one_operator_leave_the_workers_of_the_next(spark):
+    """A worker has one coder however many tasks it served, and drops it and the words of passages for the next operator."""
+    from lectern.llm import common, packing, substrings, toxicity
+
+    def held(batches):
+        from lectern.llm import common, packing, substrings, toxicity
+
+        n = sum(b.num_rows for b in batches)
+        yield pa.RecordBatch.from_pydict({"rows": [n], "coders": [len(packing._coders)], "known": [len(common._caches)], "words": [len(substrings._HASHES) + len(toxicity._TERMS)]})
+
+    docs = spark.range(80).selectExpr("id as doc_id", "concat('some words and number ', id) as text").repartition(16)
+    look = lambda: spark.range(8, numPartitions=8).mapInArrow(held, "rows long, coders long, known long, words long").collect()
+    packing.token_pieces(docs).count()
+    found = look()
+    assert max(r.coders for r in found) == 1 and max(r.known for r in found) <= 3  # one of each operator at most, not one of each task
+    substrings._sketches(docs, 2).count()
+    assert all(not (r.coders and r.words) for r in look()) and max(r.words for r in look())
+    assert substrings._hashes()[b"word"] and list(common.trimmed(iter, substrings._hashes)([])) == [] and substrings._HASHES
+    assert list(common.trimmed(iter)([])) == [] and not substrings._HASHES
