@@ -13,6 +13,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from difflib import SequenceMatcher
+from functools import lru_cache
 from itertools import batched, chain
 
 import pandas as pd
@@ -49,11 +50,32 @@ def canonical(values: Iterable[str | None], size: Callable[[str], list] = tokens
     return min(names, key=lambda v: (-len(size(v)), len(v), v), default=None)
 
 
+@lru_cache(1 << 14)
+def _alike(a: str, b: str) -> float:
+    """The larger of sequence ratio and stem overlap of two names; the same ones meet again and again while a chapter is clustered."""
+    x, y = set(stems(a)), set(stems(b))
+    return max(SequenceMatcher(None, a.casefold(), b.casefold()).ratio(), len(x & y) / max(1, len(x | y)))
+
+
 def likeness(left: Iterable[str], right: Iterable[str]) -> float:
     """The best of sequence ratio and stem overlap over all pairs of two sets of names."""
-    pairs = [(a, b) for a in left for b in right]
-    overlap = lambda a, b: len(a & b) / max(1, len(a | b))
-    return max((max(SequenceMatcher(None, a.casefold(), b.casefold()).ratio(), overlap(set(stems(a)), set(stems(b)))) for a, b in pairs), default=0.0)
+    right = list(right)
+    return max((_alike(a, b) for a in left for b in right), default=0.0)
+
+
+class Distinct(list):
+    """A list of distinct values by first occurrence, which grows by what is new, without a look at the rest."""
+
+    def __init__(self, values: Iterable = ()):
+        super().__init__()
+        self.known: set = set()
+        self.grow(values)
+
+    def grow(self, values: Iterable) -> None:
+        for v in values:
+            if v is not None and v not in self.known:
+                self.known.add(v)
+                self.append(v)
 
 
 def compatible(a: str | None, b: str | None) -> bool:
@@ -68,14 +90,18 @@ class Cluster:
     name: str | None
     kind: str | None
     state: str
-    aliases: list[str] = field(default_factory=list)
-    hints: list[str] = field(default_factory=list)
+    aliases: list[str] = field(default_factory=Distinct)
+    hints: list[str] = field(default_factory=Distinct)
     mentions: list[str] = field(default_factory=list)
-    scenes: list = field(default_factory=list)
-    ranks: list[int] = field(default_factory=list)
+    scenes: list = field(default_factory=Distinct)
+    ranks: list[int] = field(default_factory=Distinct)
     chapters: list = field(default_factory=list)
     evidence: list[tuple[str, str, str]] = field(default_factory=list)  # mention, surface, context
     references: list[str] = field(default_factory=list)
+    last: int | None = None  # the largest rank
+
+    def __post_init__(self) -> None:
+        self.last = max(self.ranks, default=None)
 
     def names(self) -> list[str]:
         return [v for v in first_seen([self.name, *self.aliases, *self.hints, *self.references]) if v]
@@ -103,7 +129,7 @@ def ranked(name: str, kind: str | None, rank: int, clusters: Iterable[Cluster],
         raise ValueError("k must be 1 to 20")
 
     def score(c: Cluster) -> float:
-        return likeness([name], c.names()) + (0.08 if kind and kind == c.kind else 0) + 0.04 / (1 + abs(rank - max(c.ranks, default=-1000)))
+        return likeness([name], c.names()) + (0.08 if kind and kind == c.kind else 0) + 0.04 / (1 + abs(rank - (-1000 if c.last is None else c.last)))
 
     return sorted((c for c in clusters if compatible(kind, c.kind)), key=lambda c: (-score(c), c.id))[:k]
 
@@ -167,7 +193,8 @@ def clusters(book: object, chapter: object, mentions: list[dict], ask: Callable,
                 target.mentions += ids
                 target.evidence += [(m["id"], m["surface"], m["context"]) for m in part]
                 for own, new in ((target.aliases, "surface"), (target.hints, "hint"), (target.scenes, "scene"), (target.ranks, "rank")):
-                    own[:] = first_seen([*own, *(m[new] for m in part if m[new] is not None and m[new] != "")])
+                    own.grow(m[new] for m in part if m[new] != "")
+                target.last = max((x for x in (target.last, *(m["rank"] for m in part)) if x is not None), default=None)
     return list(made.values())
 
 
@@ -204,6 +231,7 @@ def merged(group: list[Cluster], most: int, size: Callable[[str], list] = tokens
     out = Cluster(min(c.id for c in group), canonical([*(c.name for c in group), *every("hints")], size), kinds.pop() if len(kinds) == 1 else None, state)
     for name in ("aliases", "hints", "mentions", "scenes", "ranks", "chapters", "evidence"):
         setattr(out, name, every(name))
+    out.last = max(out.ranks, default=None)
     out.references = every("references")[:most]
     return out
 

@@ -170,3 +170,25 @@ def test_blocks_of_pages_come_in_bounded_batches():
     assert len(made) == 1 and made[0].num_rows == 1500 and made[0].column(0).to_pylist() == [k for k in range(0, 1500, 3) for _ in range(3)]
     made = list(html._batches([pages] * 2 + [pa.RecordBatch.from_pydict({"page_id": [7] * 3000, "html": ["<p>a<p>b"] * 3000})], "page_id"))
     assert sum(b.num_rows for b in made) == 9000 and max(b.num_rows for b in made) < html.ROWS + 2
+
+
+def test_clusters_of_many_mentions_grow_by_what_is_new(monkeypatch):
+    # 6,000 mentions of two names: every batch used to go through all scenes and ranks again, 12 million steps
+    from lectern.operators import resolution
+
+    steps = 0
+    first_seen = resolution.first_seen
+
+    def counted(values):
+        nonlocal steps
+        out = first_seen(values)
+        steps += len(out)
+        return out
+
+    monkeypatch.setattr(resolution, "first_seen", counted)
+    rows = [{"id": f"m{i}", "surface": "ab"[i % 2] * 4, "kind": None, "hint": None, "scene": str(i), "rank": i * 7 % 6000, "context": "c"} for i in range(6000)]
+    ask = lambda batch, offered, known: {"resolutions": [{"mention_ids": [m["id"]], "entity_id": same[0]} if (same := [i for i in offered[m["id"]] if known[i].name == m["surface"]]) else {"mention_ids": [m["id"]], "new_entity": {"canonical_name": m["surface"]}} for m in batch]}
+    made = resolution.clusters("b", "c", rows, ask)
+    big = made[-1]
+    assert steps < 300_000 and sum(len(c.mentions) for c in made) == 6000 and len(made) == 12
+    assert sorted(big.ranks) == sorted(set(big.ranks)) and big.last == max(big.ranks) and len(made[0].scenes) == len(made[0].mentions)
