@@ -42,8 +42,7 @@ def q_content_blocks(spark, sf_dir):
 def q_scene_segments(spark, sf_dir):
     """Scenes of every document as a chapter, by the default boundary function."""
     u = documents(spark, sf_dir).select("doc_id", F.posexplode(T.sentence_units(F.col("text"))).alias("unit", "text"))
-    start = F.coalesce(F.sum(F.length("text")).over(Window.partitionBy("doc_id").orderBy("unit").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return scenes.segment(u.select(F.col("doc_id").alias("chapter_id"), "unit", start.alias("start_char"), "text"))
+    return scenes.segment(u.select(F.col("doc_id").alias("chapter_id"), "unit", "text"))
 
 
 _PRON = ", ".join(f"'{p}'" for p in entities.PRONOUNS)

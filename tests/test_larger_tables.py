@@ -192,3 +192,25 @@ def test_clusters_of_many_mentions_grow_by_what_is_new(monkeypatch):
     big = made[-1]
     assert steps < 300_000 and sum(len(c.mentions) for c in made) == 6000 and len(made) == 12
     assert sorted(big.ranks) == sorted(set(big.ranks)) and big.last == max(big.ranks) and len(made[0].scenes) == len(made[0].mentions)
+
+
+def test_segments_of_chapters_come_as_a_stream(spark):
+    from lectern.operators import scenes
+
+    units = [(c, u, f"{c} unit {u}." + "\n\n" * (u % 4 == 3)) for c in [*map(str, range(300)), None] for u in range(9)]
+    df = spark.createDataFrame(units, "chapter_id string, unit int, text string").repartition(7)
+    got = scenes.segment(df, most=60)
+    assert "MapInArrow" in got._jdf.queryExecution().toString() and "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()
+    found = {}
+    for r in got.collect():
+        found.setdefault(r.chapter_id, []).append((r.first_unit, r.last_unit, r.start_char, r.end_char, r.status))
+    assert len(found) == 301
+    for c, rows in found.items():
+        texts = [t for x, _, t in units if x == c]
+        at, want = 0, []
+        while at < 9:
+            end = scenes.window_end([len(t) for t in texts], at, 60)
+            end = next((i for i in range(at + 1, end) if texts[i - 1].endswith("\n\n")), end)
+            want.append((at, end, len("".join(texts[:at])), len("".join(texts[:end])), "ready"))
+            at = end
+        assert sorted(rows) == want
