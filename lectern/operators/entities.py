@@ -150,7 +150,8 @@ def decisions(pairs: DataFrame, replies: DataFrame, allowed: list[str], default:
 def connected(edges: DataFrame) -> DataFrame:
     """(node, root) of undirected edges (a, b); root is the smallest node. Pointers jump, so chains need few rounds."""
     spark = edges.sparkSession
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    # repeated edges change no minimum, so no table of all edges is made to find them
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     has_folder = spark.sparkContext.getCheckpointDir() is not None
     keep = (lambda df: df.checkpoint()) if has_folder else (lambda df: df.persist())
     both = keep(both)

@@ -214,3 +214,12 @@ def test_segments_of_chapters_come_as_a_stream(spark):
             want.append((at, end, len("".join(texts[:at])), len("".join(texts[:end])), "ready"))
             at = end
         assert sorted(rows) == want
+
+
+def test_repeated_links_are_not_looked_for(spark, monkeypatch):
+    def refused(self):
+        raise AssertionError("a table of all links takes the memory of a task")
+
+    edges = spark.createDataFrame([(1, 2), (2, 1), (2, 1), (3, 2), (8, 9), (8, 9), (5, 5)], "a long, b long")
+    monkeypatch.setattr(type(edges), "distinct", refused)
+    assert sorted(tuple(r) for r in entities.connected(edges).collect()) == [(1, 1), (2, 1), (3, 1), (5, 5), (8, 8), (9, 8)]
