@@ -16,13 +16,17 @@ def _hash(text: Column) -> Column:
 def chunk_inputs(t: writes.Tables, books: DataFrame) -> DataFrame:
     """Chunks of the books(book_id) with ``input`` and ``embedding_hash``: the annotation's context, a blank line and the text, or the text alone.
 
-    Stored vectors are taken off; the cache has them."""
-    own = writes.only(t["chunks"], books, {"book_id": "book_id"}).drop("embedding", "embedding_hash", "embedding_model", "input")
+    Stored vectors are taken off; the cache has them. Only keys meet the books, and texts meet the keys, so that no task has all texts of a book."""
+    own = t["chunks"].drop("embedding", "embedding_hash", "embedding_model", "input")
+    keys = writes.only(own.select("book_id", "id").distinct(), books, {"book_id": "book_id"})
     context = F.col("context") if "context" in own.columns else F.lit(None).cast("string")
     if "annotations" in t and "context" in t["annotations"].columns:
         own = own.drop("context")
         noted = t["annotations"].select("book_id", F.col("chunk_id").alias("id"), "context").dropDuplicates(["book_id", "id"])
-        own, context = own.join(noted, ["book_id", "id"], "left"), F.col("context")
+        keys, context = keys.join(noted, ["book_id", "id"], "left"), F.col("context")
+    columns = own.columns + ["context"] * ("context" in keys.columns)
+    keys = keys.withColumnsRenamed({"book_id": "__book", "id": "__id"})
+    own = own.join(keys, (F.col("book_id") == F.col("__book")) & F.col("id").eqNullSafe(F.col("__id"))).select(*columns)
     own = own.withColumn("input", F.when(F.coalesce(context, F.lit("")) != "", F.concat(context, F.lit("\n\n"), F.col("text"))).otherwise(F.col("text")))
     return own.withColumn("embedding_hash", _hash(F.col("input")))
 

@@ -223,3 +223,21 @@ def test_repeated_links_are_not_looked_for(spark, monkeypatch):
     edges = spark.createDataFrame([(1, 2), (2, 1), (2, 1), (3, 2), (8, 9), (8, 9), (5, 5)], "a long, b long")
     monkeypatch.setattr(type(edges), "distinct", refused)
     assert sorted(tuple(r) for r in entities.connected(edges).collect()) == [(1, 1), (2, 1), (3, 1), (5, 5), (8, 8), (9, 8)]
+
+
+def test_texts_of_a_book_are_dealt_over_tasks(spark):
+    from lectern.operators import indexing
+
+    chunks = spark.range(400).select((F.col("id") % 2).alias("book_id"), F.nullif(F.col("id"), F.lit(7)).alias("id"), F.concat(F.lit("t"), "id").alias("text"))
+    chunks = chunks.union(chunks.where("id = 9"))
+    t = {"chunks": chunks, "annotations": spark.createDataFrame([(1, 9, "In a"), (1, 9, "In a"), (0, 2, "x"), (1, None, "no")], "book_id long, chunk_id long, context string")}
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(old, ("false", "-1"), strict=True):
+            spark.conf.set(k, v)
+        got = indexing.chunk_inputs(t, spark.createDataFrame([(1,)], "book_id long")).select("id", "input", F.spark_partition_id().alias("p")).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sorted(repr((r.id, r.input)) for r in got) == sorted(repr((None if i == 7 else i, f"In a\n\nt{i}" if i == 9 else f"t{i}")) for i in [*range(1, 400, 2), 9])
+    assert len({r.p for r in got}) > 1
