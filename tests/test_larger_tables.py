@@ -241,3 +241,15 @@ def test_texts_of_a_book_are_dealt_over_tasks(spark):
             spark.conf.set(k, v)
     assert sorted(repr((r.id, r.input)) for r in got) == sorted(repr((None if i == 7 else i, f"In a\n\nt{i}" if i == 9 else f"t{i}")) for i in [*range(1, 400, 2), 9])
     assert len({r.p for r in got}) > 1
+
+
+def test_two_tables_are_compared_in_one_pass(spark):
+    from lectern.operators import writes
+    from lectern.operators.sessions import Conflict
+
+    rows = [(1, None, ["a", None]), (1, 2, []), (None, 3, None)]
+    make = lambda r: spark.createDataFrame(r, "book_id long, id long, mention_ids array<string>")
+    writes._same(make(rows), make(rows[::-1] + rows[:1]), "changed")
+    for a, b in ((rows, rows[1:]), (rows[:2], rows), (rows, [*rows[:2], (None, 3, [])])):
+        with pytest.raises(Conflict):
+            writes._same(make(a), make(b), "changed")
