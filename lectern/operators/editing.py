@@ -86,38 +86,46 @@ def edit_openings(sections: DataFrame, blocks: DataFrame, elements: DataFrame, e
     elements(book_id, pos, type). A range marks an epigraph, its source, the opening, the body's begin or notes; blocks it
     meets give way, and the body begins after what is left of the epigraphs."""
     key = ["book_id", "section_id"]
-    s = sections.select("book_id", F.col("id").alias("section_id"), F.col("start").alias("ss"), F.col("end").alias("se"), "title_position", "body_start")
-    e = edits.select(*key, "operation", F.col("start").alias("es"), F.col("end").alias("ee")).join(s, key, "left")
-    b = blocks.join(e, key)
-    epigraph, notes = F.col("role") == "epigraph", F.col("role") == "footnotes"
-    meets, op = (F.col("start") < F.col("ee")) & (F.col("end") > F.col("es")), F.col("operation")
+    # sections, blocks and edits of a section meet in one shuffle and one order, so that a task sorts once, whatever the rules ask for
+    loose = F.col("book_id").isNull() | F.col("section_id").isNull()
+    rows = edits.select(*key, F.struct("operation", F.col("start").alias("es"), F.col("end").alias("ee")).alias("e"))
+    rows = rows.unionByName(sections.where("book_id is not null and id is not null").select("book_id", F.col("id").alias("section_id"), F.struct(*sections.columns).alias("s")), allowMissingColumns=True)
+    rows = rows.unionByName(blocks.where(~loose).select(*key, F.struct(*blocks.columns).alias("b")), allowMissingColumns=True)
+    rows = rows.withColumns({"bs": F.col("b.start"), "be": F.col("b.end"), "bid": F.col("b.id"), "role": F.col("b.role")})
+    epigraph, notes = F.coalesce(F.col("role") == "epigraph", F.lit(False)), F.coalesce(F.col("role") == "footnotes", F.lit(False))
+    hole = F.when(epigraph & F.col("bs").isNotNull(), F.col("be"))
+    all_of, ordered = Window.partitionBy(*key), Window.partitionBy(*key).orderBy("bs", "bid")
+    rows = rows.withColumns({"nth": F.row_number().over(ordered), "cover": F.max(hole).over(ordered.rowsBetween(Window.unboundedPreceding, -1))})
+    place = F.when(F.col("s").isNotNull(), F.struct(F.col("s.start").alias("ss"), F.col("s.end").alias("se"), F.col("s.title_position").alias("title_position"), F.col("s.body_start").alias("body_start")))
+    rows = rows.withColumns({"own": F.col("e").isNotNull(), "e": F.coalesce("e", F.max("e").over(all_of)), "place": F.max(place).over(all_of)})
+    rows = rows.select(*key, "s", "b", "bs", "be", "bid", "role", "nth", "cover", "own", "e.*", "place.*", F.col("e").isNotNull().alias("edited"))
+    meets, op = F.coalesce((F.col("bs") < F.col("ee")) & (F.col("be") > F.col("es")), F.lit(False)), F.col("operation")
     goes = (
         F.when(op == "footnotes", meets).when(op == "epigraph", meets & (epigraph | notes)).when(op == "opening", meets & epigraph)
-        .when(op == "body", (meets & (epigraph | notes)) | (epigraph & (F.col("end") > F.col("es")))).when(op == "clear_epigraph", epigraph).otherwise(F.lit(False))
+        .when(op == "body", (meets & (epigraph | notes)) | (epigraph & F.coalesce(F.col("be") > F.col("es"), F.lit(False)))).when(op == "clear_epigraph", epigraph).otherwise(F.lit(False))
     )
-    fits = epigraph & (op == "attribution") & (F.col("start") < F.col("es")) & (F.col("es") <= F.col("end"))
-    b = b.withColumns({"goes": goes, "fits": fits}).withColumns({"nth": F.row_number().over(Window.partitionBy(*key, "fits").orderBy("start", "id"))})
-    b = b.withColumn("named", F.col("fits") & (F.col("nth") == 1))
-    facts = b.groupBy(*key).agg(
-        F.max(F.when(epigraph, F.col("end"))).alias("last"), F.max(F.when(epigraph & ~F.col("goes"), F.col("end"))).alias("left"),
-        F.max(epigraph & F.col("goes")).alias("lost"), F.max(notes & F.col("goes")).alias("lost_note"), F.max("named").alias("found"),
-    )
-    whole = e.join(facts, key, "left")
-    # an epigraph stands before the body: nothing but titles, the opening and other epigraphs before it
-    before = elements.join(whole.where("operation = 'epigraph'").select(*key, "ss", "es", "title_position", "body_start"), "book_id").where("pos >= ss and pos < es and type <> 'Title'")
-    before = before.where("not (pos <=> title_position) and not coalesce(pos < body_start, false)")
-    inside = b.where(epigraph).select(*key, F.col("start").alias("bs"), F.col("end").alias("be"))
-    stray = before.join(inside.withColumnsRenamed({"book_id": "b2", "section_id": "s2"}), (F.col("book_id") == F.col("b2")) & (F.col("section_id") == F.col("s2")) & (F.col("pos") >= F.col("bs")) & (F.col("pos") < F.col("be")), "left_anti")
-    whole = whole.join(stray.select(*key, F.lit(True).alias("stray")).distinct(), key, "left")
+    fits = epigraph & (op == "attribution") & (F.col("bs") < F.col("es")) & (F.col("es") <= F.col("be"))
+    rows = rows.withColumns({"goes": goes, "fits": fits})
+    facts = {
+        "last": F.max(F.when(epigraph, F.col("be"))), "left": F.max(F.when(epigraph & ~F.col("goes"), F.col("be"))), "lost": F.max(epigraph & F.col("goes")),
+        "lost_note": F.max(notes & F.col("goes")), "found": F.min(F.when(F.col("fits"), F.col("nth"))), "covered": F.max(hole),
+    }
+    rows = rows.withColumns({n: f.over(all_of) for n, f in facts.items()})
+    # an epigraph stands before the body: nothing but titles, the opening and other epigraphs before it; what lies between those is looked at
+    begin = F.greatest("ss", "body_start")
+    gap = F.when(F.col("own"), F.struct(F.greatest(begin, F.col("covered")).alias("a"), F.col("es").alias("z"))).when(epigraph & F.col("bs").isNotNull(), F.struct(F.greatest(begin, F.col("cover")).alias("a"), F.least("bs", "es").alias("z")))
+    gaps = rows.where((op == "epigraph") & F.col("ss").isNotNull() & F.col("es").isNotNull()).select(*key, "title_position", gap.alias("gap")).select(*key, "title_position", "gap.*").where("a < z")
+    stray = elements.where("type <> 'Title'").select("book_id", "pos").join(gaps, "book_id").where("pos >= a and pos < z and not (pos <=> title_position)")
+    rows = rows.join(stray.select(*key, F.lit(True).alias("stray")).distinct(), key, "left")
     ranged = op != "clear_epigraph"
     problem = (
         F.when(~F.coalesce(op.isin(*OPERATIONS), F.lit(False)), "operation").when(F.col("ss").isNull(), "section")
         .when(ranged & ~F.coalesce((F.col("es") < F.col("ee")) & (F.col("es") >= F.col("ss")) & (F.col("ee") <= F.col("se")), F.lit(False)), "range")
         .when(ranged & F.coalesce(F.col("title_position").between(F.col("es"), F.col("ee") - 1), F.lit(False)), "title")
-        .when(F.col("stray"), "not an opening").when((op == "attribution") & ~F.coalesce(F.col("found"), F.lit(False)), "no epigraph")
+        .when(F.col("stray"), "not an opening").when((op == "attribution") & F.col("found").isNull(), "no epigraph")
     )
-    judged = whole.withColumn("problem", problem)
-    ok = judged.where("problem is null")
+    rows = rows.withColumn("problem", problem)
+    ok = F.col("edited") & F.col("problem").isNull()
     first = F.col("ss") + F.coalesce((F.col("title_position") == F.col("ss")).cast("int"), F.lit(0))
     body = (
         F.when(op == "epigraph", F.greatest("left", "ee")).when(op == "attribution", F.greatest(F.coalesce(F.nullif(F.col("body_start"), F.lit(0)), F.col("ee")), F.col("ee")))
@@ -125,14 +133,20 @@ def edit_openings(sections: DataFrame, blocks: DataFrame, elements: DataFrame, e
         .when((op == "footnotes") & F.col("lost") & (F.col("body_start") == F.col("last")), F.greatest(first, F.col("left")))
         .when(op == "clear_epigraph", F.least(first, F.col("se"))).otherwise(F.col("body_start"))
     )
-    moved = ok.select("book_id", F.col("section_id").alias("id"), body.alias("__body"), F.lit(True).alias("__edited"))
-    new_sections = sections.join(moved, ["book_id", "id"], "left").withColumn("body_start", F.when(F.col("__edited"), F.col("__body")).otherwise(F.col("body_start")).cast(dict(sections.dtypes)["body_start"])).select(*sections.columns)
-    done = b.join(ok.select(*key), key, "left_semi")
-    kept = done.where(~F.col("goes"))
-    kept = kept.withColumns({"end": F.when(F.col("named"), F.greatest("end", "ee")).otherwise(F.col("end")), "attribution_start": F.when(F.col("named"), F.col("es")).otherwise(F.col("attribution_start"))}).select(*blocks.columns)
-    made = ok.where(op.isin("epigraph", "footnotes")).select("book_id", block_id(F.col("book_id").cast("string"), op, F.col("section_id").cast("string"), F.col("es"), F.col("ee")).alias("id"), "section_id", op.alias("role"), F.col("es").alias("start"), F.col("ee").alias("end"), F.lit(None).cast(dict(blocks.dtypes)["attribution_start"]).alias("attribution_start"))
-    rest = blocks.join(ok.select(*key), key, "left_anti").select(*blocks.columns)
-    return new_sections, rest.unionByName(kept).unionByName(made.select(*blocks.columns)), judged.where("problem is not null").select(*key, "problem")
+    moved = F.when(ok, body).otherwise(F.col("s.body_start")).cast(dict(sections.dtypes)["body_start"])
+    new_sections = rows.where("s is not null").select(*[moved.alias(c) if c == "body_start" else F.col(f"s.{c}").alias(c) for c in sections.columns])
+    new_sections = new_sections.unionByName(sections.where("book_id is null or id is null"))
+    named = ok & F.coalesce(F.col("fits") & (F.col("nth") == F.col("found")), F.lit(False))
+    changed = {"end": F.when(named, F.greatest("be", "ee")).otherwise(F.col("be")), "attribution_start": F.when(named, F.col("es")).otherwise(F.col("b.attribution_start"))}
+    made = {
+        "book_id": F.col("book_id"), "section_id": F.col("section_id"), "id": block_id(F.col("book_id").cast("string"), op, F.col("section_id").cast("string"), F.col("es"), F.col("ee")),
+        "role": op, "start": F.col("es"), "end": F.col("ee"),
+    }
+    is_made = F.col("own") & op.isin("epigraph", "footnotes")
+    blocks_now = rows.where((F.col("b").isNotNull() & ~(ok & F.col("goes"))) | (ok & is_made))
+    either = lambda c, kind: F.when(F.col("b").isNotNull(), changed.get(c, F.col(f"b.{c}"))).otherwise(made.get(c, F.lit(None))).cast(kind).alias(c)
+    new_blocks = blocks_now.select(*[either(c, kind) for c, kind in blocks.dtypes]).unionByName(blocks.where(loose))
+    return new_sections, new_blocks, rows.where("own and problem is not null").select(*key, "problem")
 
 
 def split_sections(sections: DataFrame, cuts: DataFrame, elements: DataFrame) -> tuple[DataFrame, DataFrame]:

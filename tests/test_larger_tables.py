@@ -253,3 +253,37 @@ def test_two_tables_are_compared_in_one_pass(spark):
     for a, b in ((rows, rows[1:]), (rows[:2], rows), (rows, [*rows[:2], (None, 3, [])])):
         with pytest.raises(Conflict):
             writes._same(make(a), make(b), "changed")
+
+
+def test_edits_of_openings_sort_a_section_once(spark):
+    from lectern.operators import editing
+
+    sections = [("b", f"s{i}", 10 * i, 10 * i + 10, 10 * i, 10 * i + 6) for i in range(9)] + [(None, "s0", 0, 10, 0, 6), ("b", None, 0, 10, None, 3)]
+    blocks = [("b", f"e{i}{k}", f"s{i}", "epigraph", 10 * i + k, 10 * i + k + 1, None) for i in range(9) for k in (1, 3)] + [("b", f"n{i}", f"s{i}", "footnotes", 10 * i + 7, 10 * i + 9, None) for i in range(9)]
+    odd = [("b", "x", None, "body", 1, 9, None), (None, "y", "s0", "epigraph", 1, 2, None), ("b", "z", "s1", None, None, None, None), ("b", "w", "s77", "epigraph", 1, 2, 1)]
+    asked = [("s0", "epigraph", 4, 6), ("s1", "attribution", 14, 15), ("s2", "opening", 21, 23), ("s3", "body", 33, 34), ("s4", "footnotes", 43, 48), ("s5", "clear_epigraph", None, None), ("s6", "x", 1, 2), ("s8", "epigraph", 88, 89), ("s9", "body", 1, 2), (None, "body", 1, 2)]
+    frames = (
+        spark.createDataFrame(sections, "book_id string, id string, start int, end int, title_position int, body_start int"),
+        spark.createDataFrame(blocks + odd, "book_id string, id string, section_id string, role string, start int, end int, attribution_start int"),
+        spark.createDataFrame([("b", i, "NarrativeText") for i in range(90)], "book_id string, pos int, type string"),
+        spark.createDataFrame([("b", *a) for a in asked], "book_id string, section_id string, operation string, start int, end int"),
+    )
+    s, b, faults = editing.edit_openings(*frames)
+    assert sorted(map(repr, map(tuple, faults.collect()))) == sorted(map(repr, [("b", "s6", "operation"), ("b", "s8", "not an opening"), ("b", "s9", "section"), ("b", None, "section")]))
+    begun = {("b", "s0"): 6, ("b", "s1"): 16, ("b", "s2"): 24, ("b", "s3"): 33, ("b", "s5"): 51}
+    assert sorted(map(repr, map(tuple, s.collect()))) == sorted(repr((*r[:5], begun.get(r[:2], r[5]))) for r in sections)
+    gone = {"e21", "e33", "e43", "n4", "e51", "e53"}
+    want = [r for r in blocks + odd if r[1] not in gone | {"e13"}] + [("b", "e13", "s1", "epigraph", 13, 15, 14)]
+    made = {("s0", "epigraph", 4, 6), ("s4", "footnotes", 43, 48)}
+    got = [tuple(r) for r in b.collect()]
+    assert sorted(repr(r) for r in got if not r[1].startswith("b:b:")) == sorted(map(repr, want))
+    assert {r[2:6] for r in got if r[1].startswith("b:b:")} == made and len(got) == len(want) + 2
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(old, ("false", "-1"), strict=True):
+            spark.conf.set(k, v)
+        plan = editing.edit_openings(*frames)[1]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert plan.count("Sort [") <= 6
