@@ -76,51 +76,71 @@ def replaced(old: DataFrame, new: DataFrame, scope: DataFrame, on: list[str]) ->
     return without(old, scope, {c: c for c in on}).unionByName(new, allowMissingColumns=True).select(*old.columns)
 
 
-def _naming(rows: DataFrame, column: str, named: DataFrame, key: str) -> DataFrame:
-    """The rows whose ``column``, or an item of it, is among the keys (book_id, key)."""
-    if column == "book_id":
-        return only(rows, named, {"book_id": "book_id"})
-    if dict(rows.dtypes)[column].startswith("array"):
-        items = rows.select("book_id", "id", F.explode(F.col(column).cast("array<string>")).alias("__item"))
-        hit = only(items, named.select("book_id", F.col(key).cast("string").alias(key)), {"book_id": "book_id", "__item": key})
-        return only(rows, hit, {"book_id": "book_id", "id": "id"})
-    return only(rows, named, {"book_id": "book_id", column: key})
+def _items(rows: DataFrame, column: str, named: DataFrame, key: str) -> DataFrame:
+    """(book_id, id) of the rows of which an item of ``column`` is among the keys (book_id, key)."""
+    items = rows.select("book_id", "id", F.explode(F.col(column).cast("array<string>")).alias("__item"))
+    keys = named.select("book_id", F.col(key).cast("string").alias("__item"))
+    return items.join(keys, ["book_id", "__item"], "left_semi").select("book_id", "id")
+
+
+def _kept(keys: DataFrame) -> DataFrame:
+    """keys, written once where the session has a folder for checkpoints: several tables are compared with them."""
+    return keys.checkpoint() if keys.sparkSession.sparkContext.getCheckpointDir() else keys
 
 
 def cascade(t: Tables, gone: Tables) -> Tables:
     """All tables less the rows that name, over any number of steps, a key that is gone; gone: table -> (book_id, key column).
 
     The rows of the gone keys themselves go too. Tables in HELD also lose the rows that nothing names any more, in books where a naming row
-    went. Sections go with all below them. Frames of tables that can't lose anything are the same objects as before."""
+    went. Sections go with all below them. Frames of tables that can't lose anything are the same objects as before. Tables that no other
+    names are compared with the keys once; of the others, the keys that go are found first and kept."""
     out, lost = dict(t), {}
     for name in ["books", *NAMES]:
         if name not in t:
             continue
         rows, refs = t[name], [r for r in NAMES.get(name, ()) if r[1] != name and r[0] in t[name].columns]
+        kinds = dict(rows.dtypes)
+        # of a table that comes later only what is gone from the start
+        named = [(column, lost.get(to, gone.get(to)), key) for column, to, key in refs if to in lost or to in gone]
+        first = gone.get(name)
+        key = next((c for c in first.columns if c != "book_id"), "book_id") if first is not None else None
+        held = name in HELD and HELD[name][1] in lost
+        if first is None and not named and not held:
+            continue
+        asked = [k for other, those in NAMES.items() if other in t for _, to, k in those if to == name and k in rows.columns]
+        up = next((column for column, to, _ in NAMES.get(name, ()) if to == name), None)
+        if not asked and not up and name not in HELD and name not in [by for _, by, _ in HELD.values()] and not any(kinds[c].startswith("array") for c, _, _ in named):
+            for column, keys, theirs in [*named, *([(key, first, key)] if key else [])]:
+                both = {"book_id": "book_id", column: theirs}
+                rows = rows.join(keys.select(*[F.col(b).alias(a) for a, b in both.items()]), list(both), "left_anti").select(*rows.columns)
+            out[name] = rows
+            continue
+        on = ["book_id", "id"] if "id" in rows.columns else [c for c, kind in rows.dtypes if not kind.startswith(("array", "map"))]
+        wanted = list(dict.fromkeys(["book_id", *on, *asked]))
         hits = []
-        if name in gone:
-            key = next((c for c in gone[name].columns if c != "book_id"), "book_id")
-            hits.append(only(rows, gone[name], {"book_id": "book_id", key: key}))
-        for column, to, key in refs:
-            named = lost.get(to, gone.get(to))  # of a table that comes later only what is gone from the start
-            if named is not None:
-                hits.append(_naming(rows, column, named, key))
-        if name in HELD and HELD[name][1] in lost:
-            key, by, theirs = HELD[name]
+        if key:
+            own = first.where(F.col("book_id").isNotNull() & F.col(key).isNotNull())
+            hits.append(own.select(*wanted) if {*wanted} == {"book_id", key} else only(rows, own, {"book_id": "book_id", key: key}).select(*wanted))
+        for column, keys, theirs in sorted(named, key=lambda n: kinds[n[0]].startswith("array")):
+            if kinds[column].startswith("array"):
+                rest = rows  # of rows that go anyway no item is looked at
+                for h in hits:
+                    rest = without(rest, h, {c: c for c in on})
+                hit = _items(rest, column, keys, theirs)
+                hits.append(hit.select(*wanted) if {*wanted} == {"book_id", "id"} else only(rows, hit, {"book_id": "book_id", "id": "id"}).select(*wanted))
+            else:
+                hits.append(only(rows, keys, {"book_id": "book_id", column: theirs}).select(*wanted))
+        if held:
+            held_by, by, theirs = HELD[name]
             own = only(rows, lost[by], {"book_id": "book_id"})
-            hits.append(without(own, out[by].where(F.col(theirs).isNotNull()), {"book_id": "book_id", key: theirs}))
-        if not hits:
-            continue
+            hits.append(without(own, out[by].where(F.col(theirs).isNotNull()), {"book_id": "book_id", held_by: theirs}).select(*wanted))
         void = hits[0]
         for h in hits[1:]:
             void = void.unionByName(h)
-        up = next((column for column, to, _ in NAMES.get(name, ()) if to == name), None)
         if up:  # what lies below goes as well
             below = structure.closure(rows.select("book_id", "id", up), void.select("book_id", "id").distinct(), "id", up, by=("book_id",))
-            void = only(rows, below, {"book_id": "book_id", "id": "id"})
-        on = ["book_id", "id"] if "id" in rows.columns else [c for c, kind in rows.dtypes if not kind.startswith(("array", "map"))]
-        asked = [k for refs in NAMES.values() for _, to, k in refs if to == name and k in rows.columns]
-        lost[name] = void.select(*dict.fromkeys(["book_id", *on, *asked])).distinct()
+            void = only(rows, below, {"book_id": "book_id", "id": "id"}).select(*wanted)
+        lost[name] = _kept(void.distinct())
         out[name] = _less(rows, lost[name], on)
     return out
 
@@ -248,7 +268,7 @@ def replace_mentions(t: Tables, sources: DataFrame, mentions: DataFrame, referen
     old = only(t["mentions"], sources, {c: c for c in scope})
     lost = only(t["chapter_entities"], sources, {"book_id": "book_id", "chapter_id": "chapter_id"})
     out = cascade(t, {"mentions": without(old, mentions, {"book_id": "book_id", "id": "id"}).select("book_id", "id"), "chapter_entities": lost.select("book_id", "id")})
-    return out | {"mentions": replaced(out["mentions"], mentions, sources, scope), "references": replaced(out["references"], linked, sources, scope)}
+    return out | {"mentions": replaced(t["mentions"], mentions, sources, scope), "references": replaced(out["references"], linked, sources, scope)}
 
 
 def _unchanged(expected: DataFrame, actual: DataFrame, message: str) -> None:

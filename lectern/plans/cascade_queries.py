@@ -32,7 +32,8 @@ def whole(spark, sf_dir) -> writes.Tables:
     named_by = t["mentions"].select("book_id", F.col("id").alias("mention_id"), (F.col("book_id") * 10 + F.col("id") % 10).alias("entity_id"))
     pair = t["book_entities"].select("book_id", F.col("id").alias("right_id"))
     same = t["book_entities"].where("id % 10 = 1").select("book_id", F.col("id").alias("left_id")).join(pair, "book_id").where("right_id = left_id + 1").withColumn("score", F.lit(0.5))
-    own = t["mentions"].join(t["scenes"].select("book_id", F.col("id").alias("scene_id"), "chapter_id"), ["book_id", "scene_id"]).groupBy("book_id", "chapter_id").agg(F.sort_array(F.collect_list(F.col("id").cast("string"))).alias("mention_ids"))
+    listed = t["mentions"].groupBy("book_id", "scene_id").agg(F.collect_list(F.col("id").cast("string")).alias("ids"))  # by scene, so that few rows meet the scenes
+    own = listed.join(t["scenes"].select("book_id", F.col("id").alias("scene_id"), "chapter_id"), ["book_id", "scene_id"]).groupBy("book_id", "chapter_id").agg(F.sort_array(F.flatten(F.collect_list("ids"))).alias("mention_ids"))
     return t | {
         "scene_links": links, "event_links": links, "refers": named_by, "entities": named_by.select("book_id", F.col("entity_id").alias("id")).distinct(), "possibly_same": same,
         "chapter_entities": t["chapter_entities"].join(own, ["book_id", "chapter_id"], "left"),

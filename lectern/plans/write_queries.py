@@ -20,7 +20,7 @@ def library(spark, sf_dir) -> writes.Tables:
     scenes = o.select(F.col("o_custkey").alias("book_id"), F.col("o_orderpriority").alias("chapter_id"), F.col("o_orderkey").alias("id"), (F.col("o_orderkey") * 1000).alias("start_char"), (F.col("o_orderkey") * 1000 + 900).alias("end_char"), (F.col("o_orderkey") * 7 % 1000).alias("text_hash"))
     l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("scene_id"), F.col("l_linenumber").cast("long").alias("n"))
     own = scenes.select("book_id", F.col("id").alias("scene_id"), F.col("text_hash").alias("scene_text_hash"))
-    mentions = l.join(own, "scene_id").select("book_id", "scene_id", (F.col("scene_id") * 10 + F.col("n")).alias("id"), "scene_text_hash", (F.col("n") * 100).alias("start_offset"), (F.col("n") * 100 + 60).alias("end_offset"))
+    mentions = own.join(l, "scene_id").select("book_id", "scene_id", (F.col("scene_id") * 10 + F.col("n")).alias("id"), "scene_text_hash", (F.col("n") * 100).alias("start_offset"), (F.col("n") * 100 + 60).alias("end_offset"))
     chapters = scenes.select("book_id", "chapter_id").distinct()
     entities = chapters.select("book_id", "chapter_id", F.concat_ws(":", "book_id", "chapter_id").alias("id"))
     resolves = entities.select("book_id", F.col("id").alias("chapter_entity_id"), (F.col("book_id") * 10 + F.when(F.col("chapter_id") < "3", 1).otherwise(2)).alias("book_entity_id"), F.lit("same").alias("decision"))

@@ -287,3 +287,30 @@ def test_edits_of_openings_sort_a_section_once(spark):
         for k, v in old.items():
             spark.conf.set(k, v)
     assert plan.count("Sort [") <= 6
+
+
+def test_tables_that_none_names_are_compared_once(spark, monkeypatch):
+    from lectern.operators import writes
+
+    m = spark.createDataFrame([("b", "s", f"m{i}") for i in range(6)] + [("c", "s", "m0"), (None, "s", "m0"), ("b", "s", None)], "book_id string, scene_id string, id string")
+    t = {
+        "mentions": m,
+        "references": spark.createDataFrame([("b", "s", "r0", "m0"), ("b", "s", "r1", None), ("c", "s", "r2", "m0"), ("b", "s", "r3", "m5"), (None, "s", "r4", "m0")], "book_id string, scene_id string, id string, target_mention_id string"),
+        "chapter_entities": spark.createDataFrame([("b", "c1", "e1", ["m5", "m0"]), ("b", "c2", "e2", ["m5", None]), ("b", "c3", "e3", None), ("b", "c4", "e4", ["m5"]), ("c", "c1", "e1", ["m0"])], "book_id string, chapter_id string, id string, mention_ids array<string>"),
+        "resolves": spark.createDataFrame([("b", "e1", "x1"), ("b", "e2", "x2"), ("b", "e4", "x1"), ("c", "e1", "x1")], "book_id string, chapter_entity_id string, book_entity_id string"),
+        "book_entities": spark.createDataFrame([("b", "x1"), ("b", "x2"), ("b", "x3"), ("c", "x1"), ("c", "x9")], "book_id string, id string"),
+        "possibly_same": spark.createDataFrame([("b", "x2", "x1"), ("b", "x3", "x2"), ("b", "x1", "x2"), ("c", "x1", "x9")], "book_id string, left_id string, right_id string"),
+    }
+    gone = {"mentions": spark.createDataFrame([("b", "m0"), ("b", "m0"), (None, "m0"), ("b", None)], "book_id string, id string"), "chapter_entities": spark.createDataFrame([("b", "e4")], "book_id string, id string")}
+    for keep in (lambda keys: keys, lambda keys: keys.localCheckpoint()):
+        monkeypatch.setattr(writes, "_kept", keep, raising=False)
+        out = writes.cascade(t, gone)
+        left = {n: sorted(map(repr, map(tuple, out[n].select(*out[n].columns[: 4 if n == "references" else 3]).collect()))) for n in t}
+        assert len(left["mentions"]) == 8 and repr(("b", "s", "m0")) not in left["mentions"]
+        assert left["references"] == sorted(map(repr, [("b", "s", "r1", None), ("c", "s", "r2", "m0"), ("b", "s", "r3", "m5"), (None, "s", "r4", "m0")]))
+        assert left["chapter_entities"] == sorted(map(repr, [("b", "c2", "e2"), ("b", "c3", "e3"), ("c", "c1", "e1")]))
+        assert left["resolves"] == sorted(map(repr, [("b", "e2", "x2"), ("c", "e1", "x1")]))
+        assert left["book_entities"] == sorted(map(repr, [("b", "x2"), ("c", "x1"), ("c", "x9")]))
+        assert left["possibly_same"] == [repr(("c", "x1", "x9"))]
+        plan = out["references"]._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join") == 1, plan
