@@ -155,17 +155,30 @@ def _less(rows: DataFrame, void: DataFrame, on: list[str]) -> DataFrame:
 
 
 def missing(t: Tables) -> DataFrame:
-    """(name, column, book_id, key): every key that a row of a table names and that isn't there, once."""
+    """(name, column, book_id, key): every key that a row of a table names and that isn't there, once.
+
+    All columns that name the same keys are gathered, a bit each, and compared with them once. Keys are compared as they are where their types
+    agree, else as text."""
+    kind_of = lambda name, column: dict(t[name].dtypes)[column]
+    refs = [(name, column, to, key) for name, those in NAMES.items() for column, to, key in those if name in t and to in t and column in t[name].columns]
     out = None
-    for name, refs in NAMES.items():
-        for column, to, key in refs:
-            if name not in t or to not in t or column not in t[name].columns:
-                continue
-            each = F.explode(F.col(column).cast("array<string>")) if dict(t[name].dtypes)[column].startswith("array") else F.col(column).cast("string")
-            named = t[name].select(F.col("book_id").cast("string").alias("book_id"), each.alias("key")).where("key is not null").distinct()
-            there = t[to].select(F.col("book_id").cast("string").alias("book_id"), F.col(key).cast("string").alias("key"))
-            part = named.join(there, ["book_id", "key"], "left_anti").select(F.lit(name).alias("name"), F.lit(column).alias("column"), "book_id", "key")
-            out = part if out is None else out.unionByName(part)
+    for to, key in dict.fromkeys(r[2:] for r in refs):
+        naming = [(name, column) for name, column, *target in refs if target == [to, key]]
+        books = {kind_of(n, "book_id") for n in [to, *[n for n, _ in naming]]}
+        kinds = {kind_of(to, key), *[kind_of(n, c) for n, c in naming]}
+        plain = lambda c, found: c if found in ({"bigint"}, {"int"}, {"string"}) else c.cast("string")
+        by = ["book_id"] if key == "book_id" else ["book_id", "key"]
+        named = None
+        for i, (name, column) in enumerate(naming):
+            listed = kind_of(name, column).startswith("array")
+            each = F.explode(F.col(column).cast("array<string>")) if listed else plain(F.col(column), kinds)
+            rows = t[name].select(plain(F.col("book_id"), books).alias("book_id"), *([each.alias("key")] if "key" in by else []), F.lit(1 << i).cast("long").alias("bit")).where(f"{by[-1]} is not null")
+            named = rows if named is None else named.unionByName(rows)
+        there = t[to].select(plain(F.col("book_id"), books).alias("book_id"), *([plain(F.col(key), kinds).alias("key")] if "key" in by else []))
+        part = named.groupBy(*by).agg(F.bit_or("bit").alias("bits")).join(there, by, "left_anti")
+        who = F.array_compact(F.array(*[F.when(F.col("bits").bitwiseAND(1 << i) != 0, F.struct(F.lit(n).alias("name"), F.lit(c).alias("column"))) for i, (n, c) in enumerate(naming)]))
+        part = part.select(F.explode(who).alias("who"), "book_id", F.col(by[-1]).alias("key")).select("who.name", "who.column", F.col("book_id").cast("string").alias("book_id"), F.col("key").cast("string").alias("key"))
+        out = part if out is None else out.unionByName(part)
     return out
 
 

@@ -314,3 +314,23 @@ def test_tables_that_none_names_are_compared_once(spark, monkeypatch):
         assert left["possibly_same"] == [repr(("c", "x1", "x9"))]
         plan = out["references"]._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("Join") == 1, plan
+
+
+def test_missing_keys_are_compared_once_for_all_that_name_them(spark):
+    from lectern.operators import writes
+
+    df = spark.createDataFrame
+    t = {
+        "books": df([("1",), ("2",)], "book_id string"),
+        "scenes": df([(1, "c", 7), (1, None, 8), (3, "c", 7)], "book_id long, chapter_id string, id long"),
+        "mentions": df([(1, 7, 1), (1, 9, 2), (1, 9, 3), (1, None, 4), (None, 7, 5)], "book_id long, scene_id long, id long"),
+        "references": df([(1, "7", 1, 1), (1, "9", 2, 6)], "book_id long, scene_id string, id long, target_mention_id long"),
+        "chapter_entities": df([(1, "c", "e", ["1", "2", None, "77"]), (2, "c", "f", None)], "book_id long, chapter_id string, id string, mention_ids array<string>"),
+    }
+    found = writes.missing(t)
+    want = [
+        ("scenes", "book_id", "3", "3"), ("mentions", "scene_id", "1", "9"), ("mentions", "scene_id", None, "7"), ("references", "scene_id", "1", "9"),
+        ("references", "target_mention_id", "1", "6"), ("chapter_entities", "mention_ids", "1", "77"),
+    ]
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, want))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 3  # books, scenes and mentions; eight columns name them
